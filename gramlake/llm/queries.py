@@ -2,6 +2,8 @@
 
 from gramlake.llm.exact_dedup import OP3_SQL, op3_query
 from gramlake.llm.mixing import op6_query
+from gramlake.llm.pieces import op7_query
+from gramlake.llm.quality import op5_query
 from gramlake.llm.simhash import op4_query
 from gramlake.llm.substring import op10_query
 from gramlake.llm.warc import op2_query
@@ -10,7 +12,9 @@ QUERIES = {
     "op2_warc": op2_query,
     "op3_exact_dedup": op3_query,
     "op4_simhash": op4_query,
+    "op5_quality": op5_query,
     "op6_mixing": op6_query,
+    "op7_sentencepiece": op7_query,
     "op10_substring": op10_query,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
