@@ -97,6 +97,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", "source", F.col("source_size").cast("bigint"), "target", (F.col("size") * (F.col("epochs") + F.col("more").cast("bigint"))).alias("taken"), "h1", "h2")
 
 
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it."""
+    names = docs.columns
+    copies = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
+    often = mixed.groupBy(F.col(id_col).alias("__i"), F.col("h1").alias("__a"), F.col("h2").alias("__b")).agg(F.sum(copies).cast("int").alias("__n")).filter("__n > 0")
+    h1, h2 = text_key(text_col)
+    rows = docs.select("*", F.col(id_col).alias("__id"), h1.alias("__h1"), h2.alias("__h2"))
+    rows = rows.join(often, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")))
+    rows = rows.dropDuplicates(["__id", "__h1", "__h2"])
+    return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*names)
+
+
 def op6_query(spark, sf_dir):
     """The contract's rows over all of documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

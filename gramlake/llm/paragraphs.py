@@ -1,7 +1,11 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-Paragraphs are lines. Each distinct paragraph of enough words gets a MinHash signature over its
-five-word shingles, cut into bands tuned for a recall; paragraphs that collide in a band are
+Paragraphs are lines. Passages can also hide inside long lines, so these are cut once more, at
+words picked by a hash of the three words that end there: wherever a passage is copied to, it is
+cut alike. Such cuts are matched as they are; lines are matched by similarity:
+
+Each distinct line of enough words gets a MinHash signature over its
+five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
 candidates. In a bucket of up to ``small`` distinct paragraphs all pairs are verified. In a larger
 one members are verified against leaders, round after round: those that match no leader so far
 choose the next, until none is left; so no bucket is ever paired with itself. Verification is the
@@ -25,6 +29,8 @@ from gramlake.llm.substring import Rolling, _mix
 CHUNK = 1 << 19
 _C = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD1342543DE82EF95
+#: Lines of more words are cut too, every so many words on average; cuts of fewer words than the last number are left alone.
+LONG_LINE, CUT_EVERY, CUT_LEAST = 60, 12, 8
 
 
 def tune(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
@@ -57,7 +63,8 @@ class Shingler:
             self.inverses = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, pow(_BASE, -1, 2**64), np.uint64))))
 
     def read(self, texts: list[bytes], least: int):
-        """Paragraphs of at least least words: (text, line, words, id, starts, shingle hashes, first shingle of each)."""
+        """Units of the texts. Lines of at least least words: (text, start, stop, id, shingle hashes,
+        first shingle of each); start and stop are bytes of the text. Cuts of long lines: (text, start, stop, id)."""
         joined = b"\n".join(texts)
         self._grow(len(joined))
         data = self.lower[np.frombuffer(joined, np.uint8)]
@@ -67,22 +74,35 @@ class Shingler:
         first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
         sums = self.rolling.sums(data, 0)
         words = _mix(self.rolling.of(sums, 0, first, last) + (last - first).astype(np.uint64))
-        lines = np.cumsum(data == 10)
-        line = lines[first]  # over all texts; each text begins a new line
+        line = np.cumsum(data == 10)[first]  # over all texts; each text begins a new line
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes + 1) - sizes - 1
-        base = np.concatenate((lines, lines[-1:], [0]))[begins - 1] if len(data) else np.zeros(len(texts), np.int64)
-        base = np.where(begins == 0, 0, base)
-        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.powers[: len(words)])))
+
+        def unit(start, count):
+            text = np.searchsorted(begins, first[start], "right") - 1
+            name = _mix((total[start + count] - total[start]) * self.inverses[start] + count.astype(np.uint64))
+            return text, first[start] - begins[text], last[start + count - 1] - begins[text], name
+
+        opens = np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool)
+        start = np.flatnonzero(opens)
         count = np.diff(np.append(start, len(line)))
+        # cuts of long lines
+        long = np.repeat(count > LONG_LINE, count)
+        cut = np.zeros(len(words), bool)
+        if len(words) > 2:
+            h3 = _mix(words[:-2] * _C[40] + words[1:-1] * _C[41] + words[2:] * _C[42])
+            cut[2:] = ((h3 >> np.uint64(40)) % np.uint64(CUT_EVERY) == 0) & (line[2:] == line[:-2])
+        cut_start = np.flatnonzero(long & (opens | np.concatenate(([True], cut[:-1])))) if len(words) else np.zeros(0, np.int64)
+        ends = np.append(np.flatnonzero(opens | np.concatenate(([True], cut[:-1]))), len(words)) if len(words) else np.zeros(1, np.int64)
+        cut_count = ends[np.searchsorted(ends, cut_start, "right")] - cut_start if len(words) else cut_start
+        wide = cut_count >= CUT_LEAST
+        cuts = unit(cut_start[wide], cut_count[wide])
         keep = count >= max(least, self.n)
         start, count = start[keep], count[keep]
-        text = np.searchsorted(begins, first[start], "right") - 1
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.powers[: len(words)])))
-        name = _mix((total[start + count] - total[start]) * self.inverses[start] + count.astype(np.uint64))
         m = len(words) - self.n + 1
         if m <= 0 or not len(start):
-            return text, line[start] - base[text], count, name, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return (*unit(start, count), np.zeros(0, np.uint64), np.zeros(0, np.int64)), cuts
         hashes = np.zeros(m, np.uint64)
         for j in range(self.n):
             hashes += words[j : j + m] * _C[j]
@@ -90,7 +110,7 @@ class Shingler:
         each = count - self.n + 1
         offset = np.cumsum(each) - each
         index = np.repeat(start - offset, each) + np.arange(each.sum())
-        return text, line[start] - base[text], count, name, hashes[index], offset
+        return (*unit(start, count), hashes[index], offset), cuts
 
 
 def signatures(hashes: np.ndarray, offset: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -121,32 +141,33 @@ def _groups(texts, size: int):
 
 
 def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int) -> DataFrame:
-    """(id, h1, h2, line, pid, bands) of every paragraph of at least least words."""
+    """(id, h1, h2, start, stop, pid, bands) of every line of at least least words, and of every cut
+    of a long line (without bands)."""
 
     def run(batches):
         shingler = Shingler(n, CHUNK * 2)
         for batch in batches:
             for part, at in _groups((t.as_py() for t in batch.column(3)), CHUNK):
-                text, line, _, name, hashes, offset = shingler.read(part, least)
+                (text, start, stop, name, hashes, offset), cuts = shingler.read(part, least)
                 keys = signatures(hashes, offset, bands, rows).view(np.int64)
+                text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), cuts, strict=True))
                 own = pa.array(at[text])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(line.astype(np.int32)), pa.array(name.view(np.int64)), flat], names=["id", "h1", "h2", "line", "pid", "bands"])
+                flat = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(start), pa.array(stop), pa.array(name.view(np.int64)), flat], names=["id", "h1", "h2", "start", "stop", "pid", "bands"])
 
     kind = dict(docs.dtypes)[id_col]
     table = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    return table.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, line int, pid bigint, bands array<bigint>")
+    return table.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, pid bigint, bands array<bigint>")
 
 
 def _shingle_sets(n: int, least: int):
     def run(batches):
         shingler = Shingler(n, CHUNK)
         for batch in batches:
-            for text, lines in zip(batch.column(0), batch.column(1), strict=True):
-                lines = set(lines.as_py())
-                _, line, _, name, hashes, offset = shingler.read([text.as_py()], least)
+            for text, starts in zip(batch.column(0), batch.column(1), strict=True):
+                (_, start, _, name, hashes, offset), _ = shingler.read([text.as_py()], least)
+                pick = np.flatnonzero(np.isin(start, np.array(starts.as_py(), np.int64)))
                 ends = np.append(offset[1:], len(hashes))
-                pick = [i for i, x in enumerate(line.tolist()) if x in lines]
                 sets = [np.unique(hashes[offset[i] : ends[i]]).view(np.int64) for i in pick]
                 yield pa.RecordBatch.from_arrays([pa.array(name[pick].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["pid", "set"])
 
@@ -187,54 +208,72 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32) -> DataFrame:
-    """One row per row of docs: id, n_paragraphs (those looked at), n_removed, removed (line numbers
-    from 0), keep_ids (for each removed line the id of the row that keeps its component), h1, h2.
-
-    Lines of fewer than least words, and null or empty texts, have no paragraphs. The first
-    occurrence of a component stays: smallest id (null last), then text key, then line. Ties don't
-    matter: repeated rows are one text, whose lines are judged once. Other columns are not read. An
-    empty table gives an empty result.
+    """One row per row of docs: id, n_units (lines and cuts looked at), n_removed, spans (removed bytes
+    [start, stop) of the text, one for each unit), keep_ids (for each the id of the row that keeps
+    its component), h1, h2.
+
+    Lines of fewer than least words, and null or empty texts, have no units. The first occurrence of
+    a component stays: smallest id (null last), then text key, then position. Repeated rows are one
+    text, whose units are judged once. Other columns are not read. An empty table gives an empty
+    result. Units are named by 64 bits of hash.
     """
     bands, rows = tune(threshold, recall)
     seen = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows), "paragraphs")
-    where = seen.select(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("line").alias("line")).alias("at"), "pid")
+    at = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("start").alias("start"), F.col("stop").alias("stop"))
+    where = seen.select(at.alias("at"), "pid")
     banded = seen.select("pid", F.explode("bands").alias("bucket"))
-    # paragraphs that share a band with another distinct one
+    # lines that share a band with another distinct one
     shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
     members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
-    wanted = members.select("pid").distinct()
-    firsts = where.groupBy("pid").agg(F.min("at").alias("at"))
-    asked = firsts.join(wanted, "pid", "left_semi").groupBy(F.col("at.h1").alias("w1"), F.col("at.h2").alias("w2"), F.col("at.id").alias("wid")).agg(F.collect_list("at.line").alias("lines"))
+    wanted = stash(members.select("pid").distinct(), "wanted")
+    asked = seen.filter(F.size("bands") > 0).join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(at).alias("at"))
+    asked = asked.groupBy(F.col("at.h1").alias("w1"), F.col("at.h2").alias("w2"), F.col("at.id").alias("wid")).agg(F.collect_list("at.start").alias("starts"))
     raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    raw = raw.join(asked, (raw["h1"] == asked["w1"]) & (raw["h2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b", "lines")
+    raw = raw.join(asked, (raw["h1"] == asked["w1"]) & (raw["h2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b", "starts")
     sets = stash(raw.mapInArrow(_shingle_sets(n, least), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
     links = similar_links(members, sets, threshold, small)
     roots = stash(components(links), "roots")
-    discard(shared, members, sets)
-    placed = stash(where.join(roots, where["pid"] == roots["node"], "left").select("at", F.coalesce("root", "pid").alias("root")).distinct(), "placed")
+    discard(shared, members, sets, wanted)
+    # units that occur once and are similar to none are through
+    often = seen.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
+    often = stash(often.unionByName(roots.select(F.col("node").alias("pid"))).distinct(), "often")
+    placed = where.join(often, "pid")
+    placed = stash(placed.join(roots, placed["pid"] == roots["node"], "left").select("at", F.coalesce("root", "pid").alias("root")).distinct(), "placed")
     first = stash(placed.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("of"), "first"), "first")
     gone = placed.join(first, placed["root"] == first["of"]).filter(F.col("at") != F.col("first"))
-    gone = gone.groupBy(F.col("at.id").alias("gid"), F.col("at.h1").alias("g1"), F.col("at.h2").alias("g2")).agg(F.sort_array(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("first.id").alias("keep")))).alias("gone"))
-    counts = seen.select("id", "h1", "h2", "line").distinct().groupBy(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.count("*").alias("n_paragraphs"))
+    gone = gone.groupBy(F.col("at.id").alias("gid"), F.col("at.h1").alias("g1"), F.col("at.h2").alias("g2")).agg(F.sort_array(F.collect_list(F.struct(F.struct("at.start", "at.stop").alias("span"), F.col("first.id").alias("keep")))).alias("gone"))
+    counts = seen.groupBy("id", "h1", "h2", "start", "stop").count().groupBy(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.count("*").alias("n_units"))
     light = docs.select(F.col(id_col).alias("id"), *text_key(text_col))
     out = light.join(counts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     out = out.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     kind = dict(docs.dtypes)[id_col]
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce(F.col("gone.line"), F.array().cast("array<int>")).alias("removed"), F.coalesce(F.col("gone.keep"), F.array().cast(f"array<{kind}>")).alias("keep_ids"), "h1", "h2",
+        F.col("id").alias(id_col), F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.col("gone.span"), F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"), F.coalesce(F.col("gone.keep"), F.array().cast(f"array<{kind}>")).alias("keep_ids"), "h1", "h2",
     )
 
 
 def without_paragraphs(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed lines taken out of their texts."""
-    hit = result.filter("n_removed > 0").select(F.col(id_col).alias("__i"), F.col("h1").alias("__a"), F.col("h2").alias("__b"), F.col("removed").alias("__gone")).distinct()
+    """docs with the removed spans taken out of their texts (a cut may leave white space behind)."""
+    names = docs.columns
+    hit = result.filter("n_removed > 0").select(F.col(id_col).alias("__i"), F.col("h1").alias("__a"), F.col("h2").alias("__b"), F.col("spans").alias("__gone")).distinct()
     h1, h2 = text_key(text_col)
     rows = docs.select("*", h1.alias("__h1"), h2.alias("__h2")).join(hit, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    b = F.col(text_col).cast("binary")
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<binary>").alias("kept"))
+
+    def step(acc, s):
+        part = F.substring(b, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["kept"], F.array(part)).alias("kept"))
+
+    def rest(acc):
+        tail = F.substring(b, (acc["at"] + 1).cast("int"), F.octet_length(b))
+        return F.array_join(F.transform(F.concat(acc["kept"], F.array(tail)), lambda x: F.decode(x, "UTF-8")), "")
+
+    cut = F.aggregate(F.col("__gone"), zero, step, rest)
+    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut)).select(*names)
 
 
 def op8_query(spark, sf_dir):
-    """Every document's paragraphs, and which of them repeat an earlier one."""
+    """Every document, and which lines and passages of it repeat earlier ones."""
     return paragraph_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("h1", "h2")

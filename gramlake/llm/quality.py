@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([bags[i] for i in order], np.array([rows[i]["label"] for i in order]))
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) and the columns of keep, for every row; null texts count as empty, texts are read whole.
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """(id, score under the given name) and the columns of keep, for every row; null texts count as empty, texts are read whole.
 
     Very long texts are featurised by themselves, short ones in small groups; repeated rows get
     equal scores. The score reads nothing but the text. An empty table gives an empty result.
@@ -222,10 +222,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             if part:
                 done.append(score_texts(model, part))
             p = np.concatenate(done) if done else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(p, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(p, pa.float64())], names=[*names, name])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", score double"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + f", `{name}` double"
     return docs.select(*names, text_or_empty(text_col).cast("binary").alias("__b")).mapInArrow(run, schema)
 
 
