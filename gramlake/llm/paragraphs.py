@@ -140,9 +140,10 @@ def _groups(texts, size: int):
         yield part, np.array(rows)
 
 
-def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int) -> DataFrame:
+def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, cuts: bool = True) -> DataFrame:
     """(id, h1, h2, start, stop, pid, bands) of every line of at least least words, and of every cut
-    of a long line (without bands)."""
+    of a long line (without bands), if cuts is set."""
+    with_cuts = cuts
 
     def run(batches):
         shingler = Shingler(n, CHUNK * 2)
@@ -150,7 +151,8 @@ def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least:
             for part, at in _groups((t.as_py() for t in batch.column(3)), CHUNK):
                 (text, start, stop, name, hashes, offset), cuts = shingler.read(part, least)
                 keys = signatures(hashes, offset, bands, rows).view(np.int64)
-                text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), cuts, strict=True))
+                if with_cuts:
+                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), cuts, strict=True))
                 own = pa.array(at[text])
                 flat = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(start), pa.array(stop), pa.array(name.view(np.int64)), flat], names=["id", "h1", "h2", "start", "stop", "pid", "bands"])
@@ -253,6 +255,52 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 32) -> DataFrame:
+    """One row per row of docs: id, component_id, kept, h1, h2, where whole documents are compared.
+
+    The same banding, verification and components with each text as one line. component_id is the
+    smallest id of the component (null ids rank last); kept marks its first row (then smallest text
+    key; repeated rows are all marked). Texts of fewer than n words, null and empty ones are alone,
+    unless their rows repeat. An empty table gives an empty result.
+    """
+    bands, rows = tune(threshold, recall)
+    flat = docs.select(F.col(id_col), F.translate(text_or_empty(text_col), "\n", " ").alias("__flat"), *text_key(text_col))
+    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows, cuts=False)
+    seen = stash(seen.select("id", "h1", "h2", "pid", "bands"), "documents")
+    banded = seen.select("pid", F.explode("bands").alias("bucket"))
+    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
+    members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
+    wanted = stash(members.select("pid").distinct(), "wanted")
+    asked = seen.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(F.struct("id", "h1", "h2")).alias("at")).select(F.col("at.h1").alias("w1"), F.col("at.h2").alias("w2"), F.col("at.id").alias("wid"))
+    key1, key2 = text_key("__flat")
+    raw = flat.select(F.col(id_col).alias("id"), F.col("__flat").cast("binary").alias("b"), key1.alias("f1"), key2.alias("f2"))
+    raw = raw.join(asked, (raw["f1"] == asked["w1"]) & (raw["f2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b")
+    sets = stash(raw.mapInArrow(_whole_sets(n), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
+    roots = stash(components(similar_links(members, sets, threshold, small)), "roots")
+    discard(shared, members, sets, wanted)
+    # back to the keys of the texts themselves
+    named = flat.select(F.col(id_col).alias("id"), "h1", "h2", key1.alias("f1"), key2.alias("f2"))
+    found = seen.select(F.col("id").alias("i2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pid").distinct()
+    named = named.join(found, named["id"].eqNullSafe(found["i2"]) & (named["f1"] == found["g1"]) & (named["f2"] == found["g2"]), "left").select("id", "h1", "h2", F.coalesce("pid", "h1").alias("pid"))
+    placed = stash(named.join(roots, named["pid"] == roots["node"], "left").select("id", "h1", "h2", F.coalesce("root", "pid").alias("root")), "placed")
+    first = stash(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))).alias("first")), "first")
+    return placed.join(first, "root").select(
+        F.col("id").alias(id_col), F.col("first.id").alias("component_id"),
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))).alias("kept"), "h1", "h2",
+    )
+
+
+def _whole_sets(n: int):
+    def run(batches):
+        shingler = Shingler(n, CHUNK)
+        for batch in batches:
+            for text in batch.column(0):
+                (_, _, _, name, hashes, _), _ = shingler.read([text.as_py()], n)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array([np.unique(hashes).view(np.int64)] * len(name), pa.list_(pa.int64()))], names=["pid", "set"])
+
+    return run
+
+
 def without_paragraphs(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed spans taken out of their texts (a cut may leave white space behind)."""
     names = docs.columns
