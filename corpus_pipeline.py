@@ -6,7 +6,7 @@ return the columns of documents.
 
 from pyspark.sql import functions as F
 
-from gramlake.llm import exact_dedup, mixing, pieces, quality, simhash
+from gramlake.llm import exact_dedup, mixing, paragraphs, pieces, quality, simhash
 from gramlake.llm.common import keep_rows, stash
 
 SCORE = "__quality_score"
@@ -25,8 +25,14 @@ def exact_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    """Of each component of near-equal fingerprints (five-word shingles) the smallest id stays."""
-    return keep_rows(docs, simhash.simhash_dedup(docs).filter("kept"))
+    """Of each component of near copies the smallest id stays.
+
+    Fingerprints (five-word shingles) within two bits come first. They don't reach down to a
+    similarity of 0.8, where fingerprints differ in some ten bits, so documents of that Jaccard
+    similarity are then grouped over the same shingles.
+    """
+    docs = stash(keep_rows(docs, simhash.simhash_dedup(docs).filter("kept")), "near")
+    return keep_rows(docs, paragraphs.similar_documents(docs).filter("kept"))
 
 
 def mixing_stage(spark, docs, sf_dir):
