@@ -6,9 +6,11 @@ equal windows carry equal minimizers wherever they are. Runs of windows with one
 segments; only segments whose minimizer occurs more than once in the corpus can hold repeats, and
 segments equal as a whole (128 bits of hash) are repeats throughout. What is left, the distinct
 segments around the edges of repeats, is gathered by minimizer. There all windows are put into
-suffix order by prefix doubling, ties by position; a window's previous and next smaller position
-among neighbours with a common prefix of the full length tell whether it has an earlier or a later
-match (the longest-previous-factor array and its mirror, cut at ``length``).
+suffix order, ties by position; a window's previous and next smaller position among neighbours with
+a common prefix of the full length tell whether it has an earlier or a later match (the
+longest-previous-factor array and its mirror, cut at ``length``). Only which windows agree in
+``length`` bytes matters for such factors, so the order goes by a rolling hash of these bytes;
+neighbours are compared byte by byte, and should a hash lie, prefix doubling orders the windows.
 
 Minimizers with more text than a task should hold go another exact way: each of their windows is
 counted by a 128-bit hash in a shuffled aggregation.
@@ -146,6 +148,20 @@ def window_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return rank[starts]
 
 
+def window_classes(data: np.ndarray, starts: np.ndarray, length: int, rolling: Rolling) -> np.ndarray:
+    """Numbers that are equal exactly for equal length-byte strings: hashes, verified on the bytes."""
+    key = rolling.of(rolling.sums(data, 0), 0, starts, starts + length)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    a, b = starts[order[same]], starts[order[same + 1]]
+    words = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        words[: max(len(data) - j, 0)] |= data[j:].astype(np.uint64) << np.uint64(8 * j)
+    if all(np.array_equal(words[a + at], words[b + at]) for at in [*range(0, length - 7, 8), length - 8]):
+        return key
+    return window_order(data, starts, length)
+
+
 def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For windows in text order: does the window's suffix-order neighbourhood of equal windows hold
     a smaller position (a previous factor of full length), and a larger one?
@@ -181,7 +197,8 @@ def _match_bucket(length: int, keep_first: bool):
         windows = size - length + 1
         group = np.repeat(np.arange(len(pieces)), windows)
         within = np.arange(len(group)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank = window_order(np.frombuffer(b"".join(pieces), np.uint8), at[group] + within, length)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        rank = window_classes(data, at[group] + within, length, Rolling(len(data)))
         earlier, later = previous_factors(rank)
         a, b = _spans(earlier if keep_first else earlier | later, group)
         g = group[a]
@@ -265,9 +282,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = stash(kinds.join(anchors, "ah").select("ah", "sh", "r1", (F.col("n") > 1).alias("full"), ((F.col("single") > 0) if not keep_first else (F.col("kinds") > 1)).alias("open")), "known")
     discard(kinds, anchors)
     seen = segs.join(known, ["ah", "sh"]).select("ah", "sh", "h1", "h2", "s0", "len", "full", (F.col("open") & (~F.col("full") | (F.col("h1") == F.col("r1")))).alias("need"), (F.col("h1") == F.col("r1")).alias("first"))
-    # rows of equal texts are one text from here on
-    seen = stash(seen.distinct(), "seen")
+    # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
+    kept = stash(seen, "seen")
     discard(segs, known)
+    seen = kept.distinct()  # rows of equal texts are one text from here on
     full = seen.filter("full")
     if keep_first:
         nth = F.row_number().over(Window.partitionBy("ah", "sh", "h1").orderBy("h2", "s0"))
@@ -303,7 +321,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = work.dropDuplicates(["h1", "h2"]) if False else work
     cut = cut.join(covered, ["h1", "h2"]).select("h1", "h2", "b", "spans").mapInArrow(_cut(), "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     cut = stash((cut if texts else cut.drop("kept")).dropDuplicates(["h1", "h2"]), "cut")
-    discard(seen, work, weight)
+    discard(kept, work, weight)
     many = copies.filter("copies > 1").select("h1", "h2", "first")
     out = light.join(cut, ["h1", "h2"], "left").join(many, ["h1", "h2"], "left")
     nth = F.lit(False)
