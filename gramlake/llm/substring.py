@@ -274,6 +274,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are documents like others. Null ids are allowed. Other columns are not read. An empty
     table gives an empty result.
     """
+    if not 16 <= k < length:
+        raise ValueError("k must be 16 at least and less than length")
     light = stash(docs.select(F.col(id_col).alias("id"), *text_key(text_col), F.octet_length(text_or_empty(text_col).cast("binary")).cast("long").alias("n_bytes"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha")), "light")
     copies = stash(light.filter(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "copies")
     segs = stash(find_segments(docs, length, k, text_col), "segments")
