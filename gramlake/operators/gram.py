@@ -26,10 +26,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _fold(keys: list[str]):
     def run(batches):
         parts: dict = {}
+        kinds = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
+            kinds = [batch.schema.field(k).type for k in keys]
             groups = table.select(keys).group_by(keys).aggregate([]).to_pylist() if keys else [{}]
             codes = np.zeros(batch.num_rows, np.int64)
             if keys:
@@ -43,7 +45,7 @@ def _fold(keys: list[str]):
                 parts[tuple(g.values())] = (n, gram, colsum) if old is None else (old[0] + n, old[1] + gram, old[2] + colsum)
         if parts:
             names = list(parts)
-            cols = [pa.array([k[i] for k in names]) for i in range(len(keys))]
+            cols = [pa.array([k[i] for k in names], kinds[i]) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([v[0] for v in parts.values()], pa.int64()), pa.array([v[1].ravel() for v in parts.values()], pa.list_(pa.float64())), pa.array([v[2] for v in parts.values()], pa.list_(pa.float64()))], names=[*keys, "n", "gram", "colsum"])
 
     return run

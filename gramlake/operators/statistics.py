@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _by(df: DataFrame, by):
@@ -16,7 +17,9 @@ def _by(df: DataFrame, by):
 def pearson(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int = 2) -> DataFrame:
     """ST1/ST20: r over rows where both are known; null under least rows."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return _by(d, by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).withColumn("r", F.when(F.col("n") >= least, F.col("r")))
+    # corr() itself fails where a side doesn't vary; that r is null
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return _by(d, by).agg(F.count("*").alias("n"), r.alias("r")).withColumn("r", F.when(F.col("n") >= least, F.col("r")))
 
 
 def average_rank(value: str, by: tuple[str, ...] = ()) -> Column:
@@ -66,7 +69,7 @@ def correlation_p(r: float, n: int) -> float:
     return beta_cdf((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """ST2 for columns r and n."""
     return pd.Series([correlation_p(a, int(b)) for a, b in zip(r, n, strict=True)])

@@ -1 +1,6 @@
-"""See the modules of this package."""
+"""The registered queries of the engine and their SQL."""
+
+from gramlake.plans import unary, pairwise, rounds, stats, streams  # noqa: F401, I001
+from gramlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
