@@ -6,9 +6,10 @@ cut alike. Such cuts are matched as they are; lines are matched by similarity:
 
 Each distinct line of enough words gets a MinHash signature over its
 five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
-candidates. In a bucket of up to ``small`` distinct paragraphs all pairs are verified. In a larger
-one members are verified against leaders, round after round: those that match no leader so far
-choose the next, until none is left; so no bucket is ever paired with itself. Verification is the
+candidates. In a bucket of up to ``small`` distinct lines all pairs are verified. In a larger one
+members are verified against leaders for a few rounds, in which those that match none choose the
+next; then members that are still apart from the largest connected part of their bucket meet all
+its other parts. So no bucket is paired with itself, and no connection is lost. Verification is the
 exact Jaccard similarity of the shingle sets. Verified links join into components, and of each
 component only the first occurrence stays.
 """
@@ -31,6 +32,7 @@ _C = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint
 _BASE = 0xD1342543DE82EF95
 #: Lines of more words are cut too, every so many words on average; cuts of fewer words than the last number are left alone.
 LONG_LINE, CUT_EVERY, CUT_LEAST = 60, 12, 8
+LEADER_ROUNDS = 3
 
 
 def tune(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
@@ -181,7 +183,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small: int) -> DataFrame:
-    """(u, v) verified links among the members (bucket, pid) of buckets."""
+    """(u, v) verified links among the members (bucket, pid) of buckets, enough to connect what all
+    pairs within buckets would connect."""
 
     def verify(pairs):
         a = sets.select(F.col("pid").alias("u"), F.col("set").alias("su"))
@@ -195,18 +198,34 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     few = sized.filter(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("pid").alias("p"))
     few = few.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(b.alias("u"), a.alias("v")))))).alias("e")).select("e.u", "e.v")
     links = stash(verify(few.distinct()), "links")
-    rest = stash(sized.filter(F.col("n") > small).select("bucket", "pid"), "rest")
-    while not is_empty(rest):
+    large = stash(sized.filter(F.col("n") > small).select("bucket", "pid"), "large")
+    if is_empty(large):
+        return links
+    rest = large
+    for _ in range(LEADER_ROUNDS):
         lead = stash(rest.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")), "lead")
         near = rest.join(lead, "bucket").select("bucket", "pid", F.explode(F.array("low", "high")).alias("leader"))
         found = stash(verify(_pairs(near.select(F.col("pid").alias("u"), F.col("leader").alias("v")))), "found")
         links = links.unionByName(found)
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("pid"), F.col("v").alias("leader"))
         done = near.join(both, ["pid", "leader"], "left_semi").select("bucket", "pid").unionByName(near.filter("pid = leader").select("bucket", "pid"))
-        left = stash(rest.join(done.distinct(), ["bucket", "pid"], "left_anti"), "rest")
-        discard(rest)
-        rest = left
-    return links.distinct()
+        rest = stash(rest.join(done.distinct(), ["bucket", "pid"], "left_anti"), "rest")
+        if is_empty(rest):
+            break
+    # what is not yet connected to the largest part of its bucket meets all other parts of it
+    links = stash(links.distinct(), "links")
+    roots = stash(components(links), "parts")
+    sized = sets.select(F.col("pid").alias("__p"), F.size("set").alias("size"))
+    placed = large.join(roots, large["pid"] == roots["node"], "left").select("bucket", "pid", F.coalesce("root", "pid").alias("root"))
+    placed = stash(placed.join(sized, placed["pid"] == sized["__p"]).select("bucket", "pid", "root", "size"), "placed")
+    main = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
+    main = stash(main.filter("parts > 1").select("bucket", F.col("top.root").alias("main")), "main")
+    apart = placed.join(main, "bucket")
+    stray = apart.filter("root <> main").select("bucket", F.col("pid").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
+    t = F.lit(threshold)
+    across = stray.join(apart.select("bucket", F.col("pid").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv")), "bucket")
+    across = across.filter((F.col("ru") != F.col("rv")) & (F.col("su") >= t * F.col("sv")) & (F.col("sv") >= t * F.col("su")))
+    return links.unionByName(verify(_pairs(across.select("u", "v"))))
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32) -> DataFrame:
