@@ -35,7 +35,7 @@ def distance(x, y) -> Column:
 def running(x) -> Column:
     """SP8: cumulative sums."""
     start = F.array().cast("array<double>")
-    return F.aggregate(_c(x), start, lambda a, v: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0.0)) + v)))
+    return F.aggregate(_c(x), start, lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + v)))
 
 
 def shares(x, eps: float = 1e-12) -> Column:
