@@ -9,7 +9,7 @@ from gramlake.llm.quality import op5_query
 from gramlake.llm.simhash import op4_query
 from gramlake.llm.substring import op10_query
 from gramlake.llm.topk import OP1_SQL, op1_query
-from gramlake.llm.warc import op2_query
+from gramlake.llm.warc import OP2_SQL, op2_query
 
 QUERIES = {
     "op1_topk": op1_query,
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_chat": op9_query,
     "op10_substring": op10_query,
 }
-ORACLES = {"op1_topk": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_chat": OP9_SQL}

@@ -176,3 +176,12 @@ def op2_query(spark, sf_dir):
     back = read_records(index, folder, payloads=False)
     kind = dict(pages.dtypes)["page_id"]
     return back.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string([lpad(bin(strpos('0123456789abcdef', substr(hex, CAST(i AS INTEGER), 1)) - 1), 4, '0') FOR i IN range(1, 41)], '') AS bits FROM p),
+d AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([CAST(substr(bits, CAST(5 * j + k + 1 AS INTEGER), 1) AS INTEGER) * CAST(2 ** (4 - k) AS INTEGER) FOR k IN range(0, 5)])::INTEGER, 1) FOR j IN range(0, 32)], '') AS digest,
+  min(page_id) OVER (PARTITION BY hex) AS first FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM d
+"""

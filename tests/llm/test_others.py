@@ -91,6 +91,10 @@ def test_warc_files_are_gzip_members(spark, tmp_path):
     assert warc.read_records(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_op2_sql(spark, sf):
+    check(spark, sf, warc.op2_query, warc.OP2_SQL)
+
+
 def test_op2(spark, sf):
     got = {r["page_id"]: r for r in warc.op2_query(spark, sf).collect()}
     for i, h in connect(sf).execute("SELECT page_id, html FROM pages").fetchall():
