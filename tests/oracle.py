@@ -1,6 +1,7 @@
 """Compare a query with its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def connect(sf):
 def rows(df):
     def value(v):
         v = v.tolist() if hasattr(v, "tolist") else v
-        return None if v is None or v != v else float(f"{v:.9g}") if isinstance(v, float) else v
+        return None if v is None or v is pd.NA or v != v else float(f"{v:.9g}") if isinstance(v, float) else v
 
     df = df[sorted(df.columns)]
     return sorted(repr(tuple(map(value, r))) for r in df.itertuples(index=False))
