@@ -6,10 +6,11 @@ cut alike. Such cuts are matched as they are; lines are matched by similarity:
 
 Each distinct line of enough words gets a MinHash signature over its
 five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
-candidates. In a bucket of up to ``small`` distinct lines all pairs are verified. In a larger one
-members are verified against leaders for a few rounds, in which those that match none choose the
-next; then members that are still apart from the largest connected part of their bucket meet all
-its other parts. So no bucket is paired with itself, and no connection is lost. Verification is the
+candidates. In a bucket of up to ``small`` distinct lines all pairs are verified. Those of up to
+``TASK_MEMBERS`` are connected within a task, over an inverted index of their shingles. In still
+larger ones members are verified against leaders for a few rounds, in which those that match none
+choose the next; then members that are still apart from the largest connected part of their bucket
+meet all its other parts. So no bucket is paired with itself, and no connection is lost. Verification is the
 exact Jaccard similarity of the shingle sets. Verified links join into components, and of each
 component only the first occurrence stays.
 """
@@ -33,6 +34,8 @@ _BASE = 0xD1342543DE82EF95
 #: Lines of more words are cut too, every so many words on average; cuts of fewer words than the last number are left alone.
 LONG_LINE, CUT_EVERY, CUT_LEAST = 60, 12, 8
 LEADER_ROUNDS = 3
+#: Distinct lines of a bucket that may meet in one task.
+TASK_MEMBERS = 20_000
 
 
 def tune(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
@@ -182,7 +185,49 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
-def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small: int) -> DataFrame:
+def connected(owners: np.ndarray, sizes: np.ndarray, values: np.ndarray, threshold: float) -> np.ndarray:
+    """Component of each set under links of Jaccard similarity threshold or more.
+
+    owners and values: the sets' elements, set by set; sizes: elements of each. A set is compared with
+    all others by counting over an inverted index. Any link between two components has an end outside
+    the largest, so only sets that are still outside it are compared; in a group of near copies few are.
+    """
+    n = len(sizes)
+    inverse = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(inverse, kind="stable")
+    posted = owners[order]
+    ptr = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=1))))
+    stops = np.cumsum(sizes)
+    label = np.arange(n)
+    compared = np.zeros(n, bool)
+    while True:
+        counts = np.bincount(label, minlength=n)
+        open_ = np.flatnonzero(~compared & (label != counts.argmax()))
+        if not len(open_):
+            return label
+        u = open_[0]
+        compared[u] = True
+        near = np.concatenate([posted[ptr[x] : ptr[x + 1]] for x in inverse[stops[u] - sizes[u] : stops[u]]])
+        common = np.bincount(near, minlength=n)
+        parts = np.unique(label[common >= threshold * (sizes[u] + sizes - common)])
+        if len(parts) > 1:
+            label[np.isin(label, parts)] = parts[0]
+
+
+def _connect(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("pid").to_numpy()
+        sets = table.column("set").combine_chunks()
+        sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        label = connected(np.repeat(np.arange(len(ids)), sizes), sizes, sets.flatten().to_numpy(), threshold)
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": ids[at], "v": ids[label[at]]})
+
+    return run
+
+
+def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small: int, task_members: int = TASK_MEMBERS) -> DataFrame:
     """(u, v) verified links among the members (bucket, pid) of buckets, enough to connect what all
     pairs within buckets would connect."""
 
@@ -198,7 +243,11 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     few = sized.filter(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("pid").alias("p"))
     few = few.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(b.alias("u"), a.alias("v")))))).alias("e")).select("e.u", "e.v")
     links = stash(verify(few.distinct()), "links")
-    large = stash(sized.filter(F.col("n") > small).select("bucket", "pid"), "large")
+    # middling buckets: the members' sets meet in a task, which gives back one link for each member at most
+    some = sized.filter((F.col("n") > small) & (F.col("n") <= F.lit(task_members))).select("bucket", "pid").join(sets, "pid").select("bucket", "pid", "set")
+    links = stash(links.unionByName(some.groupBy("bucket").applyInArrow(_connect(threshold), "u bigint, v bigint")).distinct(), "links")
+    # larger ones never meet in a task
+    large = stash(sized.filter(F.col("n") > F.greatest(F.lit(small), F.lit(task_members))).select("bucket", "pid"), "large")
     if is_empty(large):
         return links
     rest = large
@@ -228,7 +277,7 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     return links.unionByName(verify(_pairs(across.select("u", "v"))))
 
 
-def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32) -> DataFrame:
+def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS) -> DataFrame:
     """One row per row of docs: id, n_units (lines and cuts looked at), n_removed, spans (removed bytes
     [start, stop) of the text, one for each unit), keep_ids (for each the id of the row that keeps
     its component), h1, h2.
@@ -252,7 +301,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
     raw = raw.join(asked, (raw["h1"] == asked["w1"]) & (raw["h2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b", "starts")
     sets = stash(raw.mapInArrow(_shingle_sets(n, least), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
-    links = similar_links(members, sets, threshold, small)
+    links = similar_links(members, sets, threshold, small, task_members)
     roots = stash(components(links), "roots")
     discard(shared, members, sets, wanted)
     # units that occur once and are similar to none are through
@@ -274,7 +323,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 32) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS) -> DataFrame:
     """One row per row of docs: id, component_id, kept, h1, h2, where whole documents are compared.
 
     The same banding, verification and components with each text as one line. component_id is the
@@ -295,7 +344,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     raw = flat.select(F.col(id_col).alias("id"), F.col("__flat").cast("binary").alias("b"), key1.alias("f1"), key2.alias("f2"))
     raw = raw.join(asked, (raw["f1"] == asked["w1"]) & (raw["f2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b")
     sets = stash(raw.mapInArrow(_whole_sets(n), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
-    roots = stash(components(similar_links(members, sets, threshold, small)), "roots")
+    roots = stash(components(similar_links(members, sets, threshold, small, task_members)), "roots")
     discard(shared, members, sets, wanted)
     # back to the keys of the texts themselves
     named = flat.select(F.col(id_col).alias("id"), "h1", "h2", key1.alias("f1"), key2.alias("f2"))

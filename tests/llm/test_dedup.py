@@ -112,16 +112,16 @@ def line_sets(text, n=5, least=20):
             yield line, frozenset(zip(*(w[i:] for i in range(n)), strict=False))
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_paragraphs(spark, small, monkeypatch):
-    """small=1 sends every bucket through leader rounds."""
+@pytest.mark.parametrize("small,task_members", [(32, 1000), (1, 1000), (1, 1)])
+def test_paragraphs(spark, small, task_members):
+    """Buckets compared whole, connected in tasks, and sent through leader rounds."""
     base = edges.words(20, 60).split()
     rows = [r for r in edges.texts() if r[0] is not None]
     for i in range(12):
         w = list(base)
         w[5 * i % 60] = f"edit{i}"
         rows.append((50 + i, " ".join(w), "en", "s9"))
-    got = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(edges.clashing(edges.documents(spark, rows)), small=small).collect()}
+    got = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(edges.clashing(edges.documents(spark, rows)), small=small, task_members=task_members).collect()}
     seen = sorted({(i, t) for i, t, *_ in rows if t})
     items = [(i, line, s) for i, t in seen for line, s in line_sets(t)]
     at = roots([s for _, _, s in items], lambda a, b: len(a & b) >= 0.8 * len(a | b))
@@ -229,3 +229,19 @@ def test_substring_empty(spark):
     assert substring.substring_dedup(edges.documents(spark, []), keep_first=False).count() == 0
     with pytest.raises(ValueError):
         substring.substring_dedup(edges.documents(spark, []), length=20)
+
+
+def test_connected():
+    r = np.random.default_rng(4)
+    sets = [set(r.choice(60, 40, replace=False).tolist()) for _ in range(30)]
+    for s in list(sets):
+        for _ in range(3):
+            t = set(s)
+            for x in r.choice(sorted(t), 3, replace=False).tolist():
+                t.discard(x)
+                t.add(x + 100)
+            sets.append(t)
+    sizes = np.array([len(s) for s in sets])
+    got = paragraphs.connected(np.repeat(np.arange(len(sets)), sizes), sizes, np.concatenate([sorted(s) for s in sets]), 0.8)
+    want = roots(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
