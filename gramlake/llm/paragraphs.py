@@ -1,6 +1,6 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-Paragraphs are lines. Passages can also hide inside long lines, so these are cut once more, at
+Paragraphs are lines. Passages can also hide inside lines, so these are cut once more, at
 words picked by a hash of the three words that end there: wherever a passage is copied to, it is
 cut alike. Such cuts are matched as they are; lines are matched by similarity:
 
@@ -31,8 +31,8 @@ from gramlake.llm.substring import Rolling, _mix
 CHUNK = 1 << 19
 _C = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD1342543DE82EF95
-#: Lines of more words are cut too, every so many words on average; cuts of fewer words than the last number are left alone.
-LONG_LINE, CUT_EVERY, CUT_LEAST = 60, 12, 8
+#: Lines are cut every so many words on average; cuts of fewer words than the last number are left alone.
+CUT_EVERY, CUT_LEAST = 12, 8
 LEADER_ROUNDS = 3
 #: Distinct lines of a bucket that may meet in one task.
 TASK_MEMBERS = 20_000
@@ -69,7 +69,7 @@ class Shingler:
 
     def read(self, texts: list[bytes], least: int):
         """Units of the texts. Lines of at least least words: (text, start, stop, id, shingle hashes,
-        first shingle of each); start and stop are bytes of the text. Cuts of long lines: (text, start, stop, id)."""
+        first shingle of each); start and stop are bytes of the text. Cuts of lines: (text, start, stop, id)."""
         joined = b"\n".join(texts)
         self._grow(len(joined))
         data = self.lower[np.frombuffer(joined, np.uint8)]
@@ -92,13 +92,12 @@ class Shingler:
         opens = np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool)
         start = np.flatnonzero(opens)
         count = np.diff(np.append(start, len(line)))
-        # cuts of long lines
-        long = np.repeat(count > LONG_LINE, count)
+        # cuts of lines
         cut = np.zeros(len(words), bool)
         if len(words) > 2:
             h3 = _mix(words[:-2] * _C[40] + words[1:-1] * _C[41] + words[2:] * _C[42])
             cut[2:] = ((h3 >> np.uint64(40)) % np.uint64(CUT_EVERY) == 0) & (line[2:] == line[:-2])
-        cut_start = np.flatnonzero(long & (opens | np.concatenate(([True], cut[:-1])))) if len(words) else np.zeros(0, np.int64)
+        cut_start = np.flatnonzero(opens | np.concatenate(([True], cut[:-1]))) if len(words) else np.zeros(0, np.int64)
         ends = np.append(np.flatnonzero(opens | np.concatenate(([True], cut[:-1]))), len(words)) if len(words) else np.zeros(1, np.int64)
         cut_count = ends[np.searchsorted(ends, cut_start, "right")] - cut_start if len(words) else cut_start
         wide = cut_count >= CUT_LEAST
@@ -147,7 +146,7 @@ def _groups(texts, size: int):
 
 def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, cuts: bool = True) -> DataFrame:
     """(id, h1, h2, start, stop, pid, bands) of every line of at least least words, and of every cut
-    of a long line (without bands), if cuts is set."""
+    of a line (without bands), if cuts is set."""
     with_cuts = cuts
 
     def run(batches):

@@ -136,6 +136,36 @@ def test_paragraphs(spark, small, task_members):
     assert len(cut[11]) < len(bytes_of[11].decode()) and cut[9] == bytes_of[9].decode() and cut[4] is None
 
 
+def removed_words(spark, rows):
+    """The words that paragraph_dedup takes out of each document."""
+    out = {}
+    docs = edges.documents(spark, [(i, t, "en", "s") for i, t in rows])
+    for r in paragraphs.paragraph_dedup(docs).collect():
+        b = dict(rows)[r["doc_id"]].encode()
+        gone = np.zeros(len(b), bool)
+        for s in r["spans"]:
+            gone[s["start"] : s["stop"]] = True
+        out[r["doc_id"]] = {m.group().decode() for m in re.finditer(rb"[^ \n]+", b) if gone[m.start()]}
+    return out
+
+
+def planted(seed, n):
+    return " ".join(f"{w}{seed}" for w in edges.words(seed, n).split())
+
+
+def test_passages_inside_lines_of_sixty_words(spark):
+    """(a) between other words in two lines of 60; (b) a line of its own, then inside a longer line."""
+    rows, passages = [], {}
+    for i in range(20):
+        p = planted(1000 + i, 51)
+        a, b, c, d = (planted(2000 + 10 * i + j, 9 + 20 * (j == 3)) for j in range(4))
+        rows += [(10 * i, f"{a} {p}"), (10 * i + 1, f"{p} {b}"), (1000 + 10 * i, p.replace("1", "7")), (1001 + 10 * i, f"{c} {p.replace('1', '7')} {d}")]
+        passages |= {10 * i + 1: p, 1001 + 10 * i: p.replace("1", "7")}
+    gone = removed_words(spark, rows)
+    for first in (1, 1001):
+        assert sum(bool(gone[i] & set(passages[i].split())) for i in range(first, first + 200, 10)) >= 12
+
+
 def test_paragraphs_empty_and_nulls(spark):
     assert paragraphs.paragraph_dedup(edges.documents(spark, [])).count() == 0
     assert paragraphs.paragraph_dedup(edges.documents(spark)).count() == len(edges.texts())
