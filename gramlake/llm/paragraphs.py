@@ -1,8 +1,11 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-Paragraphs are lines. Passages can also hide inside lines, so these are cut once more, at
-words picked by a hash of the three words that end there: wherever a passage is copied to, it is
-cut alike. Such cuts are matched as they are; lines are matched by similarity:
+Paragraphs are lines. Passages can also hide inside lines, so every window of ``PASSAGE`` words
+is looked for as well. Windows in a row whose smallest hash of ``SEED`` words is the same one make a
+segment (winnowing): equal windows have equal seeds, wherever they lie. Equal segments repeat each
+other as a whole; of seeds with several distinct segments the first copy of each is opened, and its
+windows meet one by one. So every passage of ``PASSAGE`` words or more that is copied word by word
+is found, in full length. Lines are matched by similarity:
 
 Each distinct line of enough words gets a MinHash signature over its
 five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
@@ -21,18 +24,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.llm.common import discard, is_empty, stash, text_key, text_or_empty
 from gramlake.llm.components import components
-from gramlake.llm.substring import Rolling, _mix
+from gramlake.llm.substring import Rolling, _mix, sliding_min
 
 CHUNK = 1 << 19
 _C = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD1342543DE82EF95
-#: Lines are cut every so many words on average; cuts of fewer words than the last number are left alone.
-CUT_EVERY, CUT_LEAST = 12, 8
+#: Words of a passage, and words hashed for the choice of seeds.
+PASSAGE, SEED = 50, 12
 LEADER_ROUNDS = 3
 #: Distinct lines of a bucket that may meet in one task.
 TASK_MEMBERS = 20_000
@@ -67,46 +70,38 @@ class Shingler:
             self.powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, _BASE, np.uint64))))
             self.inverses = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, pow(_BASE, -1, 2**64), np.uint64))))
 
-    def read(self, texts: list[bytes], least: int):
-        """Units of the texts. Lines of at least least words: (text, start, stop, id, shingle hashes,
-        first shingle of each); start and stop are bytes of the text. Cuts of lines: (text, start, stop, id)."""
+    def _words(self, texts: list[bytes]) -> None:
         joined = b"\n".join(texts)
         self._grow(len(joined))
         data = self.lower[np.frombuffer(joined, np.uint8)]
         space = self.space[data]
         before = np.concatenate(([True], space[:-1])) if len(data) else space
         after = np.concatenate((space[1:], [True])) if len(data) else space
-        first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        self.first, self.last = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
         sums = self.rolling.sums(data, 0)
-        words = _mix(self.rolling.of(sums, 0, first, last) + (last - first).astype(np.uint64))
-        line = np.cumsum(data == 10)[first]  # over all texts; each text begins a new line
+        self.words = _mix(self.rolling.of(sums, 0, self.first, self.last) + (self.last - self.first).astype(np.uint64))
+        self.line = np.cumsum(data == 10)[self.first]  # over all texts; each text begins a new line
         sizes = np.array([len(t) for t in texts], np.int64)
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.powers[: len(words)])))
+        self.begins = np.cumsum(sizes + 1) - sizes - 1
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * self.powers[: len(self.words)])))
 
-        def unit(start, count):
-            text = np.searchsorted(begins, first[start], "right") - 1
-            name = _mix((total[start + count] - total[start]) * self.inverses[start] + count.astype(np.uint64))
-            return text, first[start] - begins[text], last[start + count - 1] - begins[text], name
+    def _unit(self, start, count):
+        text = np.searchsorted(self.begins, self.first[start], "right") - 1
+        name = _mix((self.total[start + count] - self.total[start]) * self.inverses[start] + count.astype(np.uint64))
+        return text, self.first[start] - self.begins[text], self.last[start + count - 1] - self.begins[text], name
 
-        opens = np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool)
-        start = np.flatnonzero(opens)
+    def read(self, texts: list[bytes], least: int):
+        """Lines of at least least words: (text, start, stop, id, shingle hashes, first shingle of each);
+        start and stop are bytes of the text."""
+        self._words(texts)
+        words, line = self.words, self.line
+        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool))
         count = np.diff(np.append(start, len(line)))
-        # cuts of lines
-        cut = np.zeros(len(words), bool)
-        if len(words) > 2:
-            h3 = _mix(words[:-2] * _C[40] + words[1:-1] * _C[41] + words[2:] * _C[42])
-            cut[2:] = ((h3 >> np.uint64(40)) % np.uint64(CUT_EVERY) == 0) & (line[2:] == line[:-2])
-        cut_start = np.flatnonzero(opens | np.concatenate(([True], cut[:-1]))) if len(words) else np.zeros(0, np.int64)
-        ends = np.append(np.flatnonzero(opens | np.concatenate(([True], cut[:-1]))), len(words)) if len(words) else np.zeros(1, np.int64)
-        cut_count = ends[np.searchsorted(ends, cut_start, "right")] - cut_start if len(words) else cut_start
-        wide = cut_count >= CUT_LEAST
-        cuts = unit(cut_start[wide], cut_count[wide])
         keep = count >= max(least, self.n)
         start, count = start[keep], count[keep]
         m = len(words) - self.n + 1
         if m <= 0 or not len(start):
-            return (*unit(start, count), np.zeros(0, np.uint64), np.zeros(0, np.int64)), cuts
+            return *self._unit(start, count), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         hashes = np.zeros(m, np.uint64)
         for j in range(self.n):
             hashes += words[j : j + m] * _C[j]
@@ -114,7 +109,37 @@ class Shingler:
         each = count - self.n + 1
         offset = np.cumsum(each) - each
         index = np.repeat(start - offset, each) + np.arange(each.sum())
-        return (*unit(start, count), hashes[index], offset), cuts
+        return *self._unit(start, count), hashes[index], offset
+
+    def segments(self, length: int = PASSAGE, k: int = SEED):
+        """Segments of the texts just read: (text, start, stop, id, seed)."""
+        n = len(self.words) - length + 1
+        if n <= 0:
+            return *self._unit(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.uint64)
+        h = _mix((self.total[k:] - self.total[:-k]) * self.inverses[: len(self.words) - k + 1])
+        low = np.uint64((1 << 24) - 1)
+        at = np.arange(len(h), dtype=np.uint64)
+        least = sliding_min((h & ~low) | (at & low), length - k + 1)
+        s = np.arange(n)
+        seed = s + ((least - s.astype(np.uint64)) & low).astype(np.int64)
+        valid = self._bounds[s] == self._bounds[s + length - 1]
+        differs = seed[1:] != seed[:-1]
+        first = np.flatnonzero(valid & np.concatenate(([True], differs | ~valid[:-1])))
+        stop = np.flatnonzero(valid & np.concatenate((differs | ~valid[1:], [True]))) + length
+        text, start, end, name = self._unit(first, stop - first)
+        return text, start, end, _mix(name + (seed[first] - first).astype(np.uint64)), h[seed[first]]
+
+    @property
+    def _bounds(self):
+        """What a passage can't cross: lines."""
+        return self.line
+
+    def windows(self, starts: np.ndarray, stops: np.ndarray, length: int = PASSAGE):
+        """Windows of the one text just read that lie in [start, stop) bytes: (start, stop, id)."""
+        a = np.searchsorted(self.first, starts)
+        each = np.searchsorted(self.last, stops) + 1 - a - length + 1
+        at = np.repeat(a - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return self._unit(at, np.full(len(at), length))[1:]
 
 
 def signatures(hashes: np.ndarray, offset: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -144,26 +169,77 @@ def _groups(texts, size: int):
         yield part, np.array(rows)
 
 
-def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, cuts: bool = True) -> DataFrame:
-    """(id, h1, h2, start, stop, pid, bands) of every line of at least least words, and of every cut
-    of a line (without bands), if cuts is set."""
-    with_cuts = cuts
+def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, passages: bool = True) -> DataFrame:
+    """(id, h1, h2, start, stop, pid, bands, seed) of every line of at least least words (without seed),
+    and of every segment (without bands), if passages is set."""
 
     def run(batches):
         shingler = Shingler(n, CHUNK * 2)
         for batch in batches:
             for part, at in _groups((t.as_py() for t in batch.column(3)), CHUNK):
-                (text, start, stop, name, hashes, offset), cuts = shingler.read(part, least)
+                text, start, stop, name, hashes, offset = shingler.read(part, least)
                 keys = signatures(hashes, offset, bands, rows).view(np.int64)
-                if with_cuts:
-                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), cuts, strict=True))
+                seed = np.zeros(0, np.uint64)
+                if passages:
+                    *segments, seed = shingler.segments()
+                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), segments, strict=True))
                 own = pa.array(at[text])
                 flat = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(start), pa.array(stop), pa.array(name.view(np.int64)), flat], names=["id", "h1", "h2", "start", "stop", "pid", "bands"])
+                seeds = pa.concat_arrays([pa.nulls(len(text) - len(seed), pa.int64()), pa.array(seed.view(np.int64))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(start), pa.array(stop), pa.array(name.view(np.int64)), flat, seeds], names=["id", "h1", "h2", "start", "stop", "pid", "bands", "seed"])
 
     kind = dict(docs.dtypes)[id_col]
     table = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    return table.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, pid bigint, bands array<bigint>")
+    return table.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, pid bigint, bands array<bigint>, seed bigint")
+
+
+def _windows(n: int):
+    def run(batches):
+        shingler = Shingler(n, CHUNK)
+        for batch in batches:
+            for row, (text, needs) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                shingler.read([text.as_py()], n)
+                start, stop, name = shingler.windows(needs.values.field("start").to_numpy(), needs.values.field("stop").to_numpy())
+                own = pa.array(np.full(len(start), row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(start), pa.array(stop), pa.array(name.view(np.int64))], names=["id", "h1", "h2", "start", "stop", "wid"])
+
+    return run
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of a text that overlap and are kept by one row -> one span."""
+    w = Window.partitionBy("id", "h1", "h2", "keep").orderBy("start")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    new = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return new.groupBy("id", "h1", "h2", "keep", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
+def _position():
+    return F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("start").alias("start"), F.col("stop").alias("stop"))
+
+
+def repeated_passages(docs: DataFrame, segments: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, h1, h2, start, stop, keep) of every passage whose windows begin elsewhere, earlier."""
+    same = ["id", "h1", "h2", "start", "stop"]
+    kinds = stash(segments.groupBy("seed", "pid").agg(F.min(_position()).alias("first"), F.count("*").alias("n")), "kinds")
+    whole = kinds.filter("n > 1").select(F.col("pid").alias("of"), F.col("seed").alias("by"), "first")
+    copies = segments.join(whole, (F.col("pid") == F.col("of")) & (F.col("seed") == F.col("by"))).filter(_position() != F.col("first"))
+    # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
+    copies = stash(copies.select(*same, F.col("first.id").alias("keep")), "copies")
+    open_ = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
+    needs = kinds.join(open_, "seed").select("first.*")
+    needs = needs.groupBy(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("id").alias("wid")).agg(F.collect_list(F.struct("start", "stop")).alias("needs"))
+    raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
+    raw = raw.join(needs, (raw["h1"] == needs["w1"]) & (raw["h2"] == needs["w2"]) & raw["id"].eqNullSafe(needs["wid"])).select("id", "h1", "h2", "b", "needs")
+    kind = dict(docs.dtypes)[id_col]
+    windows = stash(raw.mapInArrow(_windows(n), f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, wid bigint"), "windows")
+    firsts = windows.groupBy("wid").agg(F.min(_position()).alias("first"), F.max(_position()).alias("final")).filter("first <> final").select(F.col("wid").alias("of"), "first")
+    # what the first copy of a segment loses, all its copies lose too: they are removed whole already
+    later = windows.join(firsts, F.col("wid") == F.col("of")).filter(_position() != F.col("first"))
+    later = stash(later.select(*same, F.col("first.id").alias("keep")).distinct(), "later")
+    discard(kinds, windows)
+    return _joined(copies.distinct().unionByName(later)).select(*same, "keep")
 
 
 def _shingle_sets(n: int, least: int):
@@ -171,7 +247,7 @@ def _shingle_sets(n: int, least: int):
         shingler = Shingler(n, CHUNK)
         for batch in batches:
             for text, starts in zip(batch.column(0), batch.column(1), strict=True):
-                (_, start, _, name, hashes, offset), _ = shingler.read([text.as_py()], least)
+                _, start, _, name, hashes, offset = shingler.read([text.as_py()], least)
                 pick = np.flatnonzero(np.isin(start, np.array(starts.as_py(), np.int64)))
                 ends = np.append(offset[1:], len(hashes))
                 sets = [np.unique(hashes[offset[i] : ends[i]]).view(np.int64) for i in pick]
@@ -277,9 +353,9 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS) -> DataFrame:
-    """One row per row of docs: id, n_units (lines and cuts looked at), n_removed, spans (removed bytes
-    [start, stop) of the text, one for each unit), keep_ids (for each the id of the row that keeps
-    its component), h1, h2.
+    """One row per row of docs: id, n_units (lines and segments looked at), n_removed (spans), spans
+    (removed bytes [start, stop) of the text, one for each line and each passage; they may overlap),
+    keep_ids (for each the id of the row that keeps it), h1, h2.
 
     Lines of fewer than least words, and null or empty texts, have no units. The first occurrence of
     a component stays: smallest id (null last), then text key, then position. Repeated rows are one
@@ -287,8 +363,10 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Units are named by 64 bits of hash.
     """
     bands, rows = tune(threshold, recall)
-    seen = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows), "paragraphs")
-    at = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("start").alias("start"), F.col("stop").alias("stop"))
+    units = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows), "paragraphs")
+    passages = repeated_passages(docs, units.filter("seed is not null").drop("bands"), id_col, text_col, n)
+    seen = units.filter("seed is null")
+    at = _position()
     where = seen.select(at.alias("at"), "pid")
     banded = seen.select("pid", F.explode("bands").alias("bucket"))
     # lines that share a band with another distinct one
@@ -309,9 +387,9 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = where.join(often, "pid")
     placed = stash(placed.join(roots, placed["pid"] == roots["node"], "left").select("at", F.coalesce("root", "pid").alias("root")).distinct(), "placed")
     first = stash(placed.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("of"), "first"), "first")
-    gone = placed.join(first, placed["root"] == first["of"]).filter(F.col("at") != F.col("first"))
-    gone = gone.groupBy(F.col("at.id").alias("gid"), F.col("at.h1").alias("g1"), F.col("at.h2").alias("g2")).agg(F.sort_array(F.collect_list(F.struct(F.struct("at.start", "at.stop").alias("span"), F.col("first.id").alias("keep")))).alias("gone"))
-    counts = seen.groupBy("id", "h1", "h2", "start", "stop").count().groupBy(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.count("*").alias("n_units"))
+    gone = placed.join(first, placed["root"] == first["of"]).filter(F.col("at") != F.col("first")).select("at.id", "at.h1", "at.h2", "at.start", "at.stop", F.col("first.id").alias("keep"))
+    gone = gone.unionByName(passages).groupBy(F.col("id").alias("gid"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.sort_array(F.collect_set(F.struct(F.struct("start", "stop").alias("span"), "keep"))).alias("gone"))
+    counts = units.groupBy("id", "h1", "h2", "start", "stop").count().groupBy(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.count("*").alias("n_units"))
     light = docs.select(F.col(id_col).alias("id"), *text_key(text_col))
     out = light.join(counts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     out = out.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
@@ -332,7 +410,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     bands, rows = tune(threshold, recall)
     flat = docs.select(F.col(id_col), F.translate(text_or_empty(text_col), "\n", " ").alias("__flat"), *text_key(text_col))
-    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows, cuts=False)
+    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows, passages=False)
     seen = stash(seen.select("id", "h1", "h2", "pid", "bands"), "documents")
     banded = seen.select("pid", F.explode("bands").alias("bucket"))
     shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
@@ -362,7 +440,7 @@ def _whole_sets(n: int):
         shingler = Shingler(n, CHUNK)
         for batch in batches:
             for text in batch.column(0):
-                (_, _, _, name, hashes, _), _ = shingler.read([text.as_py()], n)
+                _, _, _, name, hashes, _ = shingler.read([text.as_py()], n)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array([np.unique(hashes).view(np.int64)] * len(name), pa.list_(pa.int64()))], names=["pid", "set"])
 
     return run

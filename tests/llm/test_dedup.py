@@ -166,6 +166,17 @@ def test_passages_inside_lines_of_sixty_words(spark):
         assert sum(bool(gone[i] & set(passages[i].split())) for i in range(first, first + 200, 10)) >= 12
 
 
+def test_passages_are_found_in_full(spark):
+    """Every copied passage of 50 words or more goes, from its first word to its last, and nothing else."""
+    rows, passages = [], {}
+    for i in range(40):
+        p = planted(3000 + i, 50 + i % 31)
+        a, b, c, d = (planted(4000 + 10 * i + j, 70) for j in range(4))
+        rows += [(10 * i, f"{a} {p} {b}"), (10 * i + 1, f"{c}  {p.upper()} {d}")]
+        passages |= {10 * i: set(), 10 * i + 1: set(p.upper().split())}
+    assert removed_words(spark, rows) == passages
+
+
 def test_paragraphs_empty_and_nulls(spark):
     assert paragraphs.paragraph_dedup(edges.documents(spark, [])).count() == 0
     assert paragraphs.paragraph_dedup(edges.documents(spark)).count() == len(edges.texts())
