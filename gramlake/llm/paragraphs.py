@@ -1,11 +1,11 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-Paragraphs are lines. Passages can also hide inside lines, so every window of ``PASSAGE`` words
-is looked for as well. Windows in a row whose smallest hash of ``SEED`` words is the same one make a
+Paragraphs are lines. Passages can also hide inside lines or be wrapped over several, so every
+window of ``PASSAGE`` words of a text is looked for as well, across its line breaks. Windows in a row whose smallest hash of ``SEED`` words is the same one make a
 segment (winnowing): equal windows have equal seeds, wherever they lie. Equal segments repeat each
 other as a whole; of seeds with several distinct segments the first copy of each is opened, and its
 windows meet one by one. So every passage of ``PASSAGE`` words or more that is copied word by word
-is found, in full length. Lines are matched by similarity:
+is found, in full length. Lines of a few words are matched as they are, longer ones by similarity:
 
 Each distinct line of enough words gets a MinHash signature over its
 five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
@@ -90,13 +90,22 @@ class Shingler:
         name = _mix((self.total[start + count] - self.total[start]) * self.inverses[start] + count.astype(np.uint64))
         return text, self.first[start] - self.begins[text], self.last[start + count - 1] - self.begins[text], name
 
+    def _lines(self):
+        start = np.flatnonzero(np.concatenate(([True], self.line[1:] != self.line[:-1])) if len(self.line) else np.zeros(0, bool))
+        return start, np.diff(np.append(start, len(self.line)))
+
+    def short_lines(self, least: int, below: int):
+        """Lines of the texts just read of least words or more, under below: (text, start, stop, id)."""
+        start, count = self._lines()
+        keep = (count >= least) & (count < max(below, self.n))
+        return self._unit(start[keep], count[keep])
+
     def read(self, texts: list[bytes], least: int):
         """Lines of at least least words: (text, start, stop, id, shingle hashes, first shingle of each);
         start and stop are bytes of the text."""
         self._words(texts)
-        words, line = self.words, self.line
-        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.zeros(0, bool))
-        count = np.diff(np.append(start, len(line)))
+        words = self.words
+        start, count = self._lines()
         keep = count >= max(least, self.n)
         start, count = start[keep], count[keep]
         m = len(words) - self.n + 1
@@ -122,18 +131,14 @@ class Shingler:
         least = sliding_min((h & ~low) | (at & low), length - k + 1)
         s = np.arange(n)
         seed = s + ((least - s.astype(np.uint64)) & low).astype(np.int64)
-        valid = self._bounds[s] == self._bounds[s + length - 1]
+        owner = np.searchsorted(self.begins, self.first, "right")
+        valid = owner[s] == owner[s + length - 1]
         differs = seed[1:] != seed[:-1]
         first = np.flatnonzero(valid & np.concatenate(([True], differs | ~valid[:-1])))
         stop = np.flatnonzero(valid & np.concatenate((differs | ~valid[1:], [True]))) + length
         text, start, end, name = self._unit(first, stop - first)
         return text, start, end, _mix(name + (seed[first] - first).astype(np.uint64)), h[seed[first]]
 
-    @property
-    def _bounds(self):
-        """What a passage can't cross: lines."""
-        return self.line
-
     def windows(self, starts: np.ndarray, stops: np.ndarray, length: int = PASSAGE):
         """Windows of the one text just read that lie in [start, stop) bytes: (start, stop, id)."""
         a = np.searchsorted(self.first, starts)
@@ -169,9 +174,10 @@ def _groups(texts, size: int):
         yield part, np.array(rows)
 
 
-def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, passages: bool = True) -> DataFrame:
-    """(id, h1, h2, start, stop, pid, bands, seed) of every line of at least least words (without seed),
-    and of every segment (without bands), if passages is set."""
+def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, short: int | None = None) -> DataFrame:
+    """(id, h1, h2, start, stop, pid, bands, seed) of every line of at least least words (without seed).
+    If short is given, also of every other line of at least short words (without both), and of every
+    segment (without bands)."""
 
     def run(batches):
         shingler = Shingler(n, CHUNK * 2)
@@ -180,9 +186,9 @@ def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least:
                 text, start, stop, name, hashes, offset = shingler.read(part, least)
                 keys = signatures(hashes, offset, bands, rows).view(np.int64)
                 seed = np.zeros(0, np.uint64)
-                if passages:
+                if short is not None:
                     *segments, seed = shingler.segments()
-                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), segments, strict=True))
+                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), shingler.short_lines(short, least), segments, strict=True))
                 own = pa.array(at[text])
                 flat = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
                 seeds = pa.concat_arrays([pa.nulls(len(text) - len(seed), pa.int64()), pa.array(seed.view(np.int64))])
@@ -352,18 +358,20 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     return links.unionByName(verify(_pairs(across.select("u", "v"))))
 
 
-def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS) -> DataFrame:
+def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS, short: int = 5) -> DataFrame:
     """One row per row of docs: id, n_units (lines and segments looked at), n_removed (spans), spans
     (removed bytes [start, stop) of the text, one for each line and each passage; they may overlap),
     keep_ids (for each the id of the row that keeps it), h1, h2.
 
-    Lines of fewer than least words, and null or empty texts, have no units. The first occurrence of
+    Lines of short words or more, but fewer than least, repeat each other only if they are equal (case
+    and white space aside); shorter ones count as parts of passages alone. Lines and passages are
+    judged on the input, each for itself. Null and empty texts have no units. The first occurrence of
     a component stays: smallest id (null last), then text key, then position. Repeated rows are one
     text, whose units are judged once. Other columns are not read. An empty table gives an empty
     result. Units are named by 64 bits of hash.
     """
     bands, rows = tune(threshold, recall)
-    units = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows), "paragraphs")
+    units = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows, short), "paragraphs")
     passages = repeated_passages(docs, units.filter("seed is not null").drop("bands"), id_col, text_col, n)
     seen = units.filter("seed is null")
     at = _position()
@@ -410,7 +418,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     bands, rows = tune(threshold, recall)
     flat = docs.select(F.col(id_col), F.translate(text_or_empty(text_col), "\n", " ").alias("__flat"), *text_key(text_col))
-    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows, passages=False)
+    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows)
     seen = stash(seen.select("id", "h1", "h2", "pid", "bands"), "documents")
     banded = seen.select("pid", F.explode("bands").alias("bucket"))
     shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")

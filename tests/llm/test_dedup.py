@@ -177,6 +177,20 @@ def test_passages_are_found_in_full(spark):
     assert removed_words(spark, rows) == passages
 
 
+def wrapped(text, n):
+    w = text.split()
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_wrapped_passages_and_short_lines(spark):
+    """A passage wrapped at two widths, all lines under 20 words, and equal lines of 5 to 19 words."""
+    p, lines = planted(5000, 60), [planted(5001 + n, n) for n in (4, 5, 12, 19)]
+    own = [planted(5100 + i, 11) for i in range(4)]
+    rows = [(1, f"{own[0]}\n{wrapped(p, 9)}\n{own[1]}"), (2, f"{own[2]}\n{wrapped(p, 13)}\n{own[3]}")]
+    rows += [(3, "\n".join([planted(5200, 8), *lines])), (4, "\n".join([*reversed(lines), planted(5201, 8)]))]
+    assert removed_words(spark, rows) == {1: set(), 2: set(p.split()), 3: set(), 4: set(" ".join(lines[1:]).split())}
+
+
 def test_paragraphs_empty_and_nulls(spark):
     assert paragraphs.paragraph_dedup(edges.documents(spark, [])).count() == 0
     assert paragraphs.paragraph_dedup(edges.documents(spark)).count() == len(edges.texts())
