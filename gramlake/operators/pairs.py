@@ -231,14 +231,16 @@ def parc(grams: DataFrame) -> DataFrame:
     return both.groupBy("probe", "ds_a", "ds_b").agg(F.corr("v", "w").alias("parc"))
 
 
-def linear_cka(features: DataFrame, rows: int) -> DataFrame:
-    """PW17: (probe, ds_a, ds_b, cka) of pools whose first rows rows (by row_id) correspond.
+def linear_cka(features: DataFrame, rows: int | None = None) -> DataFrame:
+    """PW17: (probe, ds_a, ds_b, cka) of pools whose first rows rows (by row_id) correspond; without
+    rows, all of them up to the smaller pool of each pair.
 
     Cross-products are sums over positions: each position's rows of both pools meet in an equi-join,
     are stacked, and one Gram of the stacked, centred vectors gives all three norms.
     """
     w = Window.partitionBy("probe", "pool_id").orderBy("row_id")
-    ranked = features.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= rows).select("probe", "pool_id", "pos", "features")
+    ranked = features.withColumn("pos", F.row_number().over(w)).select("probe", "pool_id", "pos", "features")
+    ranked = ranked if rows is None else ranked.filter(F.col("pos") <= rows)
     a = ranked.select("probe", "pos", F.col("pool_id").alias("ds_a"), F.col("features").alias("fa"))
     b = ranked.select("probe", "pos", F.col("pool_id").alias("ds_b"), F.col("features").alias("fb"))
     from gramlake.operators.gram import pool_grams

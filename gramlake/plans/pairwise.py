@@ -111,6 +111,12 @@ def cka_pairs(spark, sf):
     return P.linear_cka(pools(spark, sf, dims=4), 30).select("ds_a", "ds_b", R("cka"))
 
 
+@query("cka_pairs_d64")
+def cka_pairs_d64(spark, sf):
+    """All rows up to each pair's smaller pool, at full width; cka_pairs is the cut of it that SQL expresses."""
+    return P.linear_cka(pools(spark, sf)).select("ds_a", "ds_b", R("cka"))
+
+
 @query("centroid_distances", f"WITH {sql_pools()}, c AS (SELECT pool, sx / sqrt(sx * sx + sy * sy) AS x, sy / sqrt(sx * sx + sy * sy) AS y FROM g) SELECT a.pool AS ds_a, b.pool AS ds_b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d FROM c a JOIN c b ON a.pool < b.pool")
 def centroid_distances(spark, sf):
     c = G.pool_grams(pools(spark, sf, dims=2)).select("probe", "pool_id", G.centroid().alias("c"))
