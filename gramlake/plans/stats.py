@@ -146,6 +146,16 @@ def joint_matrix_lookup(spark, sf):
     return ST.joint_lookup(pairs, scores).select("ds_a", "ds_b", R("score"))
 
 
+@query("joint_matrix_lookup_all")
+def joint_matrix_lookup_all(spark, sf):
+    """With the suppliers of every nation; joint_matrix_lookup leaves out those of every second one, as its SQL does."""
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    a = n.select(F.col("n_name").alias("ds_a"), "n_regionkey")
+    pairs = a.join(n.select(F.col("n_name").alias("ds_b"), "n_regionkey"), "n_regionkey").filter("ds_a < ds_b").select("ds_a", "ds_b")
+    scores = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("pool_id"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("seq"))
+    return ST.joint_lookup(pairs, scores).select("ds_a", "ds_b", R("score"))
+
+
 @query("dedup_keep_first", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1")
 def dedup_keep_first(spark, sf):
     return ST.keep_first(table(spark, sf, "orders"), ["o_custkey"], ["o_orderpriority", "o_orderkey"]).select("o_custkey", "o_orderkey")

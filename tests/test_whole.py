@@ -17,3 +17,11 @@ def test_cka_pairs_d64(spark, sf):
         ca, cb = (v[:n] - v[:n].mean(0) for v in (x[a], x[b]))
         want = np.sum((ca.T @ cb) ** 2) / np.sqrt(np.sum((ca.T @ ca) ** 2) * np.sum((cb.T @ cb) ** 2))
         assert abs(cka - want) < 2e-6
+
+
+def test_joint_matrix_lookup_all(spark, tmp_path):
+    """Odd nation keys have scores too; only a nation without suppliers has none."""
+    spark.createDataFrame([(0, "a", 0), (1, "b", 0), (2, "c", 0), (3, "d", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(5, 1, 10.0), (2, 1, 20.0), (3, 0, 30.0)], "s_suppkey int, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["ds_a"], r["ds_b"]): r["score"] for r in QUERIES["joint_matrix_lookup_all"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 20.0, ("a", "c"): 30.0, ("a", "d"): 30.0, ("b", "c"): 20.0, ("b", "d"): 20.0, ("c", "d"): None}
