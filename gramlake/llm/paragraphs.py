@@ -24,8 +24,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gramlake.llm.common import discard, is_empty, stash, text_key, text_or_empty
 from gramlake.llm.components import components
@@ -100,10 +102,12 @@ class Shingler:
         keep = (count >= least) & (count < max(below, self.n))
         return self._unit(start[keep], count[keep])
 
-    def read(self, texts: list[bytes], least: int):
+    def read(self, texts, least: int, whole: bool = False):
         """Lines of at least least words: (text, start, stop, id, shingle hashes, first shingle of each);
-        start and stop are bytes of the text."""
+        start and stop are bytes of the text. whole: a text is one line."""
         self._words(texts)
+        if whole:
+            self.line = np.searchsorted(self.begins, self.first, "right")
         words = self.words
         start, count = self._lines()
         keep = count >= max(least, self.n)
@@ -140,11 +144,11 @@ class Shingler:
         return text, start, end, _mix(name + (seed[first] - first).astype(np.uint64)), h[seed[first]]
 
     def windows(self, starts: np.ndarray, stops: np.ndarray, length: int = PASSAGE):
-        """Windows of the one text just read that lie in [start, stop) bytes: (start, stop, id)."""
+        """Windows of the one text just read that lie in [start, stop) bytes: (start, stop, id, which)."""
         a = np.searchsorted(self.first, starts)
         each = np.searchsorted(self.last, stops) + 1 - a - length + 1
         at = np.repeat(a - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return self._unit(at, np.full(len(at), length))[1:]
+        return *self._unit(at, np.full(len(at), length))[1:], np.repeat(np.arange(len(each)), each)
 
 
 def signatures(hashes: np.ndarray, offset: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -161,105 +165,150 @@ def signatures(hashes: np.ndarray, offset: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def _groups(texts, size: int):
-    part, rows, total = [], [], 0
-    for row, t in enumerate(texts):
-        part.append(t)
-        rows.append(row)
-        total += len(t)
+def _rows(batches):
+    """(id, h1, h2, text, times) of sorted rows; equal neighbours are one row."""
+    held, times = None, 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if held is not None and held[:3] == row[:3]:
+                times += 1
+                continue
+            if held is not None:
+                yield *held, times
+            held, times = row, 1
+    if held is not None:
+        yield *held, times
+
+
+def _groups(rows, size: int):
+    part, total = [], 0
+    for row in rows:
+        part.append(row)
+        total += len(row[3])
         if total >= size:
-            yield part, np.array(rows)
-            part, rows, total = [], [], 0
+            yield part
+            part, total = [], 0
     if part:
-        yield part, np.array(rows)
+        yield part
 
 
-def find_paragraphs(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, short: int | None = None) -> DataFrame:
-    """(id, h1, h2, start, stop, pid, bands, seed) of every line of at least least words (without seed).
-    If short is given, also of every other line of at least short words (without both), and of every
-    segment (without bands)."""
+def _listed(owner: np.ndarray, rows: int, names: list[str], columns: list) -> pa.Array:
+    """For each row the structs that it owns; owner is sorted."""
+    ends = np.cumsum(np.bincount(owner, minlength=rows)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int32), ends))), pa.StructArray.from_arrays(columns, names=names))
 
-    def run(batches):
-        shingler = Shingler(n, CHUNK * 2)
-        for batch in batches:
-            for part, at in _groups((t.as_py() for t in batch.column(3)), CHUNK):
-                text, start, stop, name, hashes, offset = shingler.read(part, least)
-                keys = signatures(hashes, offset, bands, rows).view(np.int64)
-                seed = np.zeros(0, np.uint64)
-                if short is not None:
-                    *segments, seed = shingler.segments()
-                    text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), shingler.short_lines(short, least), segments, strict=True))
-                own = pa.array(at[text])
-                flat = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
-                seeds = pa.concat_arrays([pa.nulls(len(text) - len(seed), pa.int64()), pa.array(seed.view(np.int64))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own), pa.array(start), pa.array(stop), pa.array(name.view(np.int64)), flat, seeds], names=["id", "h1", "h2", "start", "stop", "pid", "bands", "seed"])
 
+LINE = "start int, stop int, pid bigint, bands array<bigint>"
+SEGMENT = "start int, stop int, pid bigint, seed bigint"
+
+
+def find_units(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, bands: int, rows: int, short: int | None = None, whole: bool = False) -> DataFrame:
+    """(doc, id, h1, h2, b, times, lines, segments): a row for each distinct row of docs, b its text.
+
+    Rows are dealt out in order of id (null last), then text key; doc is where a text begins if all
+    are joined in that order (with gaps between partitions). So doc + start orders all positions.
+    lines: those of at least least words with their bands; if short is given, also those of at
+    least short words without bands, and the segments of passages. whole: a text is one line.
+    """
     kind = dict(docs.dtypes)[id_col]
+    schema = f"doc bigint, id {kind}, h1 bigint, h2 bigint, b binary, times int, lines array<struct<{LINE}>>, segments array<struct<{SEGMENT}>>"
+    names = ["doc", "id", "h1", "h2", "b", "times", "lines", "segments"]
+
+    def run(batches):
+        shingler = Shingler(n, CHUNK * 2)
+        at = TaskContext.get().partitionId() << 40
+        for part in _groups(_rows(batches), CHUNK):
+            ids, h1, h2, texts, times = zip(*part, strict=True)
+            text, start, stop, name, hashes, offset = shingler.read(texts, least, whole)
+            keys = signatures(hashes, offset, bands, rows).view(np.int64)
+            more = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+            segments = [*more, np.zeros(0, np.uint64)]
+            if short is not None:
+                more, segments = shingler.short_lines(short, least), shingler.segments()
+            text, start, stop, name = (np.concatenate(x) for x in zip((text, start, stop, name), more, strict=True))
+            banded = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(text) + 1), len(keys)) * bands, pa.int32()), pa.array(keys.ravel()))
+            order = np.argsort(text, kind="stable")
+            lines = _listed(text[order], len(part), ["start", "stop", "pid", "bands"], [pa.array(start[order], pa.int32()), pa.array(stop[order], pa.int32()), pa.array(name[order].view(np.int64)), banded.take(pa.array(order))])
+            owner, first, end, pid, seed = segments
+            found = _listed(owner, len(part), ["start", "stop", "pid", "seed"], [pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(pid.view(np.int64)), pa.array(seed.view(np.int64))])
+            sizes = np.array([len(t) + 1 for t in texts], np.int64)
+            doc = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ids, arrow_kind), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.binary()), pa.array(times, pa.int32()), lines, found], names=names)
+
+    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
+    order = [F.col("id").isNull(), "id", "h1", "h2"]
     table = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    return table.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, pid bigint, bands array<bigint>, seed bigint")
+    return table.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _windows(n: int):
+def _reread(n: int, least: int, whole: bool):
+    """(doc, b, needs, starts) -> (doc, windows, sets): windows of the segments in needs, shingle sets
+    of the lines at starts."""
+
     def run(batches):
         shingler = Shingler(n, CHUNK)
         for batch in batches:
-            for row, (text, needs) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                shingler.read([text.as_py()], n)
-                start, stop, name = shingler.windows(needs.values.field("start").to_numpy(), needs.values.field("stop").to_numpy())
-                own = pa.array(np.full(len(start), row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(start), pa.array(stop), pa.array(name.view(np.int64))], names=["id", "h1", "h2", "start", "stop", "wid"])
+            for doc, text, needs, starts in zip(*(batch.column(c) for c in range(4)), strict=True):
+                _, start, _, name, hashes, offset = shingler.read([text.as_py()], least, whole)
+                pick = np.flatnonzero(np.isin(start, np.array(starts.as_py() or [], np.int64)))
+                ends = np.append(offset[1:], len(hashes))
+                shingles = [np.unique(hashes[offset[i] : ends[i]]).view(np.int64) for i in pick]
+                sets = _listed(np.zeros(len(pick), np.int64), 1, ["pid", "set"], [pa.array(name[pick].view(np.int64)), pa.array(shingles, pa.list_(pa.int64()))])
+                if needs.is_valid:
+                    first, stop, seed = (needs.values.field(f).to_numpy() for f in ("start", "stop", "seed"))
+                    a, b, wid, of = shingler.windows(first, stop)
+                    windows = [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(seed[of]), pa.array(wid.view(np.int64))]
+                else:
+                    windows = [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+                windows = _listed(np.zeros(len(windows[0]), np.int64), 1, ["start", "stop", "seed", "wid"], windows)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()]), windows, sets], names=["doc", "windows", "sets"])
 
     return run
 
 
-def _joined(spans: DataFrame) -> DataFrame:
-    """Spans of a text that overlap and are kept by one row -> one span."""
-    w = Window.partitionBy("id", "h1", "h2", "keep").orderBy("start")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    new = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return new.groupBy("id", "h1", "h2", "keep", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+def reread(units: DataFrame, needs: DataFrame | None, asked: DataFrame, n: int, least: int, whole: bool = False) -> DataFrame:
+    """The texts that needs(doc, needs) or asked(doc, starts) name are read once more."""
+    if needs is None:
+        both = asked.select(F.col("doc").alias("d"), F.lit(None).cast("array<struct<start:int,stop:int,seed:bigint>>").alias("needs"), "starts")
+    else:
+        both = needs.join(asked, "doc", "full").withColumnRenamed("doc", "d")
+    rows = units.select("doc", "b").join(both, F.col("doc") == F.col("d")).select("doc", "b", "needs", "starts")
+    return rows.mapInArrow(_reread(n, least, whole), "doc bigint, windows array<struct<start int, stop int, seed bigint, wid bigint>>, sets array<struct<pid bigint, set array<bigint>>>")
 
 
-def _position():
-    return F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("start").alias("start"), F.col("stop").alias("stop"))
+def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, first, keep, stop): how many there are, and position, doc and end of the first."""
+    pos = F.col("doc") + F.col("start")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(pos).alias("first"), F.min_by("doc", pos).alias("keep"), F.min_by("stop", pos).alias("stop"))
 
 
-def repeated_passages(docs: DataFrame, segments: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, h1, h2, start, stop, keep) of every passage whose windows begin elsewhere, earlier."""
-    same = ["id", "h1", "h2", "start", "stop"]
-    kinds = stash(segments.groupBy("seed", "pid").agg(F.min(_position()).alias("first"), F.count("*").alias("n")), "kinds")
-    whole = kinds.filter("n > 1").select(F.col("pid").alias("of"), F.col("seed").alias("by"), "first")
-    copies = segments.join(whole, (F.col("pid") == F.col("of")) & (F.col("seed") == F.col("by"))).filter(_position() != F.col("first"))
-    # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
-    copies = stash(copies.select(*same, F.col("first.id").alias("keep")), "copies")
-    open_ = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
-    needs = kinds.join(open_, "seed").select("first.*")
-    needs = needs.groupBy(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("id").alias("wid")).agg(F.collect_list(F.struct("start", "stop")).alias("needs"))
-    raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    raw = raw.join(needs, (raw["h1"] == needs["w1"]) & (raw["h2"] == needs["w2"]) & raw["id"].eqNullSafe(needs["wid"])).select("id", "h1", "h2", "b", "needs")
-    kind = dict(docs.dtypes)[id_col]
-    windows = stash(raw.mapInArrow(_windows(n), f"id {kind}, h1 bigint, h2 bigint, start bigint, stop bigint, wid bigint"), "windows")
-    firsts = windows.groupBy("wid").agg(F.min(_position()).alias("first"), F.max(_position()).alias("final")).filter("first <> final").select(F.col("wid").alias("of"), "first")
-    # what the first copy of a segment loses, all its copies lose too: they are removed whole already
-    later = windows.join(firsts, F.col("wid") == F.col("of")).filter(_position() != F.col("first"))
-    later = stash(later.select(*same, F.col("first.id").alias("keep")).distinct(), "later")
-    discard(kinds, windows)
-    return _joined(copies.distinct().unionByName(later)).select(*same, "keep")
+def _later(rows: DataFrame, firsts: DataFrame, *keys: str) -> DataFrame:
+    """(doc, start, stop, keep) of the rows that aren't the first of their key."""
+    renamed = firsts.filter("n > 1").select(*(F.col(k).alias(f"of_{k}") for k in keys), "first", "keep")
+    on = [F.col(k) == F.col(f"of_{k}") for k in keys]
+    return rows.join(renamed, on).filter(F.col("doc") + F.col("start") != F.col("first")).select("doc", "start", "stop", "keep")
 
 
-def _shingle_sets(n: int, least: int):
-    def run(batches):
-        shingler = Shingler(n, CHUNK)
-        for batch in batches:
-            for text, starts in zip(batch.column(0), batch.column(1), strict=True):
-                _, start, _, name, hashes, offset = shingler.read([text.as_py()], least)
-                pick = np.flatnonzero(np.isin(start, np.array(starts.as_py(), np.int64)))
-                ends = np.append(offset[1:], len(hashes))
-                sets = [np.unique(hashes[offset[i] : ends[i]]).view(np.int64) for i in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(name[pick].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["pid", "set"])
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of a text that overlap and are kept by one row -> one span."""
+    w = Window.partitionBy("doc", "keep").orderBy("start")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    new = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return new.groupBy("doc", "keep", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc", "start", "stop", "keep")
 
-    return run
+
+def _shared_bands(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (bucket, pid) of the bands that distinct lines share, and where each such line is first
+    found, as (doc, starts)."""
+    banded = lines.select("pid", F.explode("bands").alias("bucket"))
+    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
+    members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
+    discard(shared)
+    wanted = members.select("pid").distinct()
+    asked = _firsts(lines.filter(F.size("bands") > 0).join(wanted, "pid", "left_semi"), "pid")
+    return members, asked.groupBy(F.col("keep").alias("doc")).agg(F.collect_list((F.col("first") - F.col("keep")).cast("int")).alias("starts"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -368,42 +417,40 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input, each for itself. Null and empty texts have no units. The first occurrence of
     a component stays: smallest id (null last), then text key, then position. Repeated rows are one
     text, whose units are judged once. Other columns are not read. An empty table gives an empty
-    result. Units are named by 64 bits of hash.
+    result. Segments and windows are named by 128 bits of hash (their seed's and their own), lines by
+    64 bits; similar lines are compared over 64-bit hashes of their shingles.
     """
     bands, rows = tune(threshold, recall)
-    units = stash(find_paragraphs(docs, id_col, text_col, n, least, bands, rows, short), "paragraphs")
-    passages = repeated_passages(docs, units.filter("seed is not null").drop("bands"), id_col, text_col, n)
-    seen = units.filter("seed is null")
-    at = _position()
-    where = seen.select(at.alias("at"), "pid")
-    banded = seen.select("pid", F.explode("bands").alias("bucket"))
-    # lines that share a band with another distinct one
-    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
-    members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
-    wanted = stash(members.select("pid").distinct(), "wanted")
-    asked = seen.filter(F.size("bands") > 0).join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(at).alias("at"))
-    asked = asked.groupBy(F.col("at.h1").alias("w1"), F.col("at.h2").alias("w2"), F.col("at.id").alias("wid")).agg(F.collect_list("at.start").alias("starts"))
-    raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
-    raw = raw.join(asked, (raw["h1"] == asked["w1"]) & (raw["h2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b", "starts")
-    sets = stash(raw.mapInArrow(_shingle_sets(n, least), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
-    links = similar_links(members, sets, threshold, small, task_members)
+    units = stash(find_units(docs, id_col, text_col, n, least, bands, rows, short), "units")
+    lines, segments = units.select("doc", F.inline("lines")), units.select("doc", F.inline("segments"))
+    # equal segments, and the seeds whose segments differ
+    kinds = stash(_firsts(segments, "seed", "pid"), "kinds")
+    # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
+    copies = stash(_later(segments, kinds, "seed", "pid"), "copies")
+    open_ = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
+    needs = kinds.join(open_, "seed").groupBy(F.col("keep").alias("doc")).agg(F.collect_list(F.struct((F.col("first") - F.col("keep")).cast("int").alias("start"), "stop", "seed")).alias("needs"))
+    members, asked = _shared_bands(lines)
+    again = stash(reread(units, needs, asked, n, least), "again")
+    # what the first copy of a segment loses, all its copies lose too: they are removed whole already
+    windows = again.select("doc", F.inline("windows"))
+    later = stash(_later(windows, _firsts(windows, "seed", "wid"), "seed", "wid"), "later")
+    links = similar_links(members, again.select(F.inline("sets")), threshold, small, task_members)
     roots = stash(components(links), "roots")
-    discard(shared, members, sets, wanted)
-    # units that occur once and are similar to none are through
-    often = seen.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
+    discard(kinds, members, again)
+    # lines that occur once and are similar to none are through
+    often = lines.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
     often = stash(often.unionByName(roots.select(F.col("node").alias("pid"))).distinct(), "often")
-    placed = where.join(often, "pid")
-    placed = stash(placed.join(roots, placed["pid"] == roots["node"], "left").select("at", F.coalesce("root", "pid").alias("root")).distinct(), "placed")
-    first = stash(placed.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("of"), "first"), "first")
-    gone = placed.join(first, placed["root"] == first["of"]).filter(F.col("at") != F.col("first")).select("at.id", "at.h1", "at.h2", "at.start", "at.stop", F.col("first.id").alias("keep"))
-    gone = gone.unionByName(passages).groupBy(F.col("id").alias("gid"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.sort_array(F.collect_set(F.struct(F.struct("start", "stop").alias("span"), "keep"))).alias("gone"))
-    counts = units.groupBy("id", "h1", "h2", "start", "stop").count().groupBy(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.count("*").alias("n_units"))
-    light = docs.select(F.col(id_col).alias("id"), *text_key(text_col))
-    out = light.join(counts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    out = out.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    placed = lines.select("doc", "start", "stop", "pid").join(often, "pid")
+    placed = stash(placed.join(roots, placed["pid"] == roots["node"], "left").select("doc", "start", "stop", F.coalesce("root", "pid").alias("root")), "placed")
+    gone = _later(placed, _firsts(placed, "root"), "root").unionByName(copies).unionByName(_joined(later))
+    ids = units.select(F.col("doc").alias("kept_doc"), F.col("id").alias("keep_id"))
+    gone = gone.join(ids, gone["keep"] == ids["kept_doc"]).groupBy(F.col("doc").alias("of")).agg(F.sort_array(F.collect_set(F.struct(F.struct(F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop")).alias("span"), F.col("keep_id").alias("keep")))).alias("gone"))
+    n_units = (F.size("lines") + F.size("segments")).cast("bigint")
+    light = units.select("doc", "id", "h1", "h2", n_units.alias("n_units"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    out = light.join(gone, light["doc"] == gone["of"], "left")
     kind = dict(docs.dtypes)[id_col]
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.col("id").alias(id_col), "n_units", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(F.col("gone.span"), F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"), F.coalesce(F.col("gone.keep"), F.array().cast(f"array<{kind}>")).alias("keep_ids"), "h1", "h2",
     )
 
@@ -417,41 +464,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     unless their rows repeat. An empty table gives an empty result.
     """
     bands, rows = tune(threshold, recall)
-    flat = docs.select(F.col(id_col), F.translate(text_or_empty(text_col), "\n", " ").alias("__flat"), *text_key(text_col))
-    seen = find_paragraphs(flat.select(F.col(id_col).alias("id"), "__flat"), "id", "__flat", n, n, bands, rows)
-    seen = stash(seen.select("id", "h1", "h2", "pid", "bands"), "documents")
-    banded = seen.select("pid", F.explode("bands").alias("bucket"))
-    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
-    members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
-    wanted = stash(members.select("pid").distinct(), "wanted")
-    asked = seen.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(F.struct("id", "h1", "h2")).alias("at")).select(F.col("at.h1").alias("w1"), F.col("at.h2").alias("w2"), F.col("at.id").alias("wid"))
-    key1, key2 = text_key("__flat")
-    raw = flat.select(F.col(id_col).alias("id"), F.col("__flat").cast("binary").alias("b"), key1.alias("f1"), key2.alias("f2"))
-    raw = raw.join(asked, (raw["f1"] == asked["w1"]) & (raw["f2"] == asked["w2"]) & raw["id"].eqNullSafe(asked["wid"])).select("b")
-    sets = stash(raw.mapInArrow(_whole_sets(n), "pid bigint, set array<bigint>").dropDuplicates(["pid"]), "sets")
-    roots = stash(components(similar_links(members, sets, threshold, small, task_members)), "roots")
-    discard(shared, members, sets, wanted)
-    # back to the keys of the texts themselves
-    named = flat.select(F.col(id_col).alias("id"), "h1", "h2", key1.alias("f1"), key2.alias("f2"))
-    found = seen.select(F.col("id").alias("i2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pid").distinct()
-    named = named.join(found, named["id"].eqNullSafe(found["i2"]) & (named["f1"] == found["g1"]) & (named["f2"] == found["g2"]), "left").select("id", "h1", "h2", F.coalesce("pid", "h1").alias("pid"))
-    placed = stash(named.join(roots, named["pid"] == roots["node"], "left").select("id", "h1", "h2", F.coalesce("root", "pid").alias("root")), "placed")
-    first = stash(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))).alias("first")), "first")
-    return placed.join(first, "root").select(
-        F.col("id").alias(id_col), F.col("first.id").alias("component_id"),
-        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))).alias("kept"), "h1", "h2",
-    )
-
-
-def _whole_sets(n: int):
-    def run(batches):
-        shingler = Shingler(n, CHUNK)
-        for batch in batches:
-            for text in batch.column(0):
-                _, _, _, name, hashes, _ = shingler.read([text.as_py()], n)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array([np.unique(hashes).view(np.int64)] * len(name), pa.list_(pa.int64()))], names=["pid", "set"])
-
-    return run
+    units = stash(find_units(docs, id_col, text_col, n, n, bands, rows, whole=True), "units")
+    lines = units.select("doc", F.inline("lines"))
+    members, asked = _shared_bands(lines)
+    again = stash(reread(units, None, asked, n, n, whole=True), "again")
+    roots = stash(components(similar_links(members, again.select(F.inline("sets")), threshold, small, task_members)), "roots")
+    discard(members, again)
+    named = units.select("doc", "id", "h1", "h2", F.get("lines", F.lit(0))["pid"].alias("pid"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    placed = stash(named.join(roots, named["pid"] == roots["node"], "left").select("doc", "id", "h1", "h2", F.coalesce("root", "pid").alias("root")), "placed")
+    first = stash(placed.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc").alias("first"), F.min_by("id", "doc").alias("first_id")), "first")
+    out = placed.join(first, placed["root"] == first["of"], "left")
+    alone = F.col("of").isNull()
+    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first_id")).alias("component_id"), (alone | (F.col("doc") == F.col("first"))).alias("kept"), "h1", "h2")
 
 
 def without_paragraphs(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
