@@ -2,18 +2,21 @@
 
 A repeat of at least ``length`` bytes makes every window of that length in it occur twice. Each
 window is assigned to its minimizer, the smallest-hashed k-mer in it (the leftmost of equals), so
-equal windows carry equal minimizers wherever they are. Runs of windows with one minimizer are
-segments; only segments whose minimizer occurs more than once in the corpus can hold repeats, and
-segments equal as a whole (128 bits of hash) are repeats throughout. What is left, the distinct
-segments around the edges of repeats, is gathered by minimizer. There all windows are put into
-suffix order, ties by position; a window's previous and next smaller position among neighbours with
-a common prefix of the full length tell whether it has an earlier or a later match (the
-longest-previous-factor array and its mirror, cut at ``length``). Only which windows agree in
-``length`` bytes matters for such factors, so the order goes by a rolling hash of these bytes;
-neighbours are compared byte by byte, and should a hash lie, prefix doubling orders the windows.
-
-Minimizers with more text than a task should hold go another exact way: each of their windows is
-counted by a 128-bit hash in a shuffled aggregation.
+equal windows carry equal minimizers at equal offsets wherever they are. Runs of windows with one
+minimizer are segments; only segments whose minimizer occurs more than once in the corpus can hold
+repeats, and segments equal as a whole (minimizer, offset, length and 128 bits of hash) are repeats throughout. What
+is left, the distinct segments around the edges of repeats, is gathered by minimizer.
+
+There the segments are laid over each other with their minimizers in one column, as windows that
+agree lie in one column then. Going from the last column to the first, segments are kept in the
+lexicographic order of their suffixes: one more byte in front is a stable sort by that byte, and the
+common prefixes of neighbours (the LCP array) grow by one or start anew. At the columns where windows begin,
+the previous and the next smaller text position in this order, among neighbours with a common prefix
+of the full length, tell whether a window has an earlier match, and the larger ones whether it has a
+later one: the longest-previous-factor array, cut at ``length``, and its mirror.
+
+Minimizers with more text than a task should hold go another way: each of their windows is counted
+by a 128-bit hash in a shuffled aggregation.
 """
 
 from __future__ import annotations
@@ -70,13 +73,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int, k: int, rolling: Rolling):
-    """Segments of concatenated texts: (text, first window, bytes, minimizer hash, segment hash).
+    """Segments of concatenated texts: (text, first window, bytes, minimizer hash, segment hash, minimizer's offset).
 
     ends: where each text stops in data. Texts shorter than length have none.
     """
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
     a, b = rolling.sums(data, 0), rolling.sums(data, 1)
     at = np.arange(len(data) - k + 1)
     h = _mix(rolling.of(a, 0, at, at + k))
@@ -89,7 +92,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, k: int, rolling: R
     last = np.flatnonzero(valid & np.concatenate(((pos[1:] != pos[:-1]) | ~valid[1:], [True])))
     stop = last + length
     whole = _mix(rolling.of(b, 1, first, stop) + _mix(((pos[first] - first) << 32 | (stop - first)).astype(np.uint64)))
-    return text[first], first, stop - first, h[pos[first]], whole
+    return text[first], first, stop - first, h[pos[first]], whole, pos[first] - first
 
 
 def _batches(keys, texts, size: int, overlap: int):
@@ -109,72 +112,80 @@ def _batches(keys, texts, size: int, overlap: int):
 
 
 def find_segments(docs: DataFrame, length: int, k: int, text_col: str) -> DataFrame:
-    """(ah, sh, h1, h2, s0, len): minimizer, segment hash, text key, first byte, bytes."""
+    """(ah, sh, h1, h2, s0, len, off): minimizer, segment hash, text key, first byte, bytes, minimizer's offset."""
 
     def run(batches):
         rolling = Rolling(CHUNK + 2 * length)
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, ends, rows in _batches(None, (t.as_py() for t in batch.column(2)), CHUNK, length - 1):
-                text, first, size, ah, sh = segments(data, ends, length, k, rolling)
+                text, first, size, ah, sh, off = segments(data, ends, length, k, rolling)
                 rows = np.array(rows, np.int64).reshape(-1, 2)
                 starts = np.concatenate(([0], ends[:-1]))
                 row = rows[text, 0]
                 s0 = first - starts[text] + rows[text, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array(s0), pa.array(size.astype(np.int32))], names=["ah", "sh", "h1", "h2", "s0", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array(s0), pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32))], names=["ah", "sh", "h1", "h2", "s0", "len", "off"])
 
     table = docs.select(*text_key(text_col), text_or_empty(text_col).cast("binary").alias("b")).filter(F.octet_length("b") >= length)
-    return table.mapInArrow(run, "ah bigint, sh bigint, h1 bigint, h2 bigint, s0 bigint, len int")
-
-
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
-
-
-def window_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the length-byte string at each start, by prefix doubling; equal strings share one."""
-    padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
-    n = len(data)
-    rank = np.zeros(n, np.uint64)
-    for j in range(8):
-        rank = (rank << np.uint64(8)) | padded[j : j + n]
-    rank, size = _ranks(rank), 8
-    while size * 2 <= length:
-        far = np.concatenate((rank[size:], np.zeros(size, np.uint64)))
-        rank = _ranks((rank << np.uint64(32)) | far[:n])
-        size *= 2
-    if size < length:
-        return _ranks((rank[starts] << np.uint64(32)) | rank[starts + length - size])
-    return rank[starts]
-
-
-def window_classes(data: np.ndarray, starts: np.ndarray, length: int, rolling: Rolling) -> np.ndarray:
-    """Numbers that are equal exactly for equal length-byte strings: hashes, verified on the bytes."""
-    key = rolling.of(rolling.sums(data, 0), 0, starts, starts + length)
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    a, b = starts[order[same]], starts[order[same + 1]]
-    words = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        words[: max(len(data) - j, 0)] |= data[j:].astype(np.uint64) << np.uint64(8 * j)
-    if all(np.array_equal(words[a + at], words[b + at]) for at in [*range(0, length - 7, 8), length - 8]):
-        return key
-    return window_order(data, starts, length)
-
-
-def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows in text order: does the window's suffix-order neighbourhood of equal windows hold
-    a smaller position (a previous factor of full length), and a larger one?
-
-    In (rank, position) order the previous smaller position of a window within its class is its
-    predecessor, the next larger one its successor.
-    """
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:][same]] = True
-    later[order[:-1][same]] = True
-    return earlier, later
+    return table.mapInArrow(run, "ah bigint, sh bigint, h1 bigint, h2 bigint, s0 bigint, len int, off int")
+
+
+def laid_over(data: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int, k: int) -> np.ndarray:
+    """(columns, pieces): bytes of the joined pieces plus 1, anchors in one column; 0 where there are none."""
+    lead = length - k
+    out = np.zeros((lead + length, len(size)), np.uint16)
+    piece = np.repeat(np.arange(len(size)), size)
+    column = np.arange(len(data)) - np.repeat(np.cumsum(size) - size + offset - lead, size)
+    out[column, piece] = data.astype(np.uint16) + np.uint16(1)
+    return out
+
+
+def suffix_order(table: np.ndarray, group: np.ndarray):
+    """From the last column to the first: (column, pieces in the order of their suffixes from there
+    on, common prefix of each with the one before it). group is sorted; orders are within groups."""
+    n = table.shape[1]
+    order, lcp = np.arange(n), np.zeros(n, np.int32)
+    place = group.astype(np.int64) << 9
+    for column in range(len(table) - 1, -1, -1):
+        key = place + table[column][order]
+        at = None
+        if (key[1:] < key[:-1]).any():
+            at = np.argsort(key, kind="stable")
+            key, order = key[at], order[at]
+        same = key[1:] == key[:-1]
+        grown = np.zeros(n, np.int32)
+        if at is None:
+            grown[1:][same] = lcp[1:][same] + 1
+        else:
+            before, now = at[:-1], at[1:]
+            near = same & (now == before + 1)
+            grown[1:][near] = lcp[now[near]] + 1
+            far = np.flatnonzero(same & ~near)
+            if len(far):
+                # others lay between the two: the least common prefix on the way
+                ends = np.stack((before[far] + 1, now[far] + 1), 1).ravel()
+                grown[far + 1] = np.minimum.reduceat(np.append(lcp, np.int32(0)), ends)[::2] + 1
+        lcp = grown
+        yield column, order, lcp
+
+
+def previous_factors(table: np.ndarray, group: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, windows) flags: does a window's neighbourhood of full common prefix in suffix order hold
+    a smaller position (a previous factor of full length), and a larger one? Pieces are in text order."""
+    starts = length - k + 1
+    earlier, later = np.zeros((2, starts, table.shape[1]), bool)
+    for column, order, lcp in suffix_order(table, group):
+        if column >= starts:
+            continue
+        agrees = lcp >= length
+        if not agrees.any():
+            continue
+        first = np.flatnonzero(~agrees)
+        run = np.cumsum(~agrees) - 1
+        earlier[column, order] = order > np.minimum.reduceat(order, first)[run]
+        later[column, order] = order < np.maximum.reduceat(order, first)[run]
+    whole = (table[:starts] > 0) & (table[length - 1 : length - 1 + starts] > 0)
+    return (earlier & whole).T, (later & whole).T
 
 
 def _spans(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,24 +196,23 @@ def _spans(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after)
 
 
-def _match_bucket(length: int, keep_first: bool):
+def _match_bucket(length: int, k: int, keep_first: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h1", "ascending"), ("h2", "ascending"), ("s0", "ascending")])
-        h1, h2, s0 = (table.column(c).to_numpy() for c in ("h1", "h2", "s0"))
-        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (s0[1:] != s0[:-1])))  # repeated rows
-        pieces = [p for p, fresh in zip(table.column("bytes").to_pylist(), new.tolist(), strict=True) if fresh]
-        h1, h2, s0 = h1[new], h2[new], s0[new]
+        table = table.sort_by([(c, "ascending") for c in ("ah", "h1", "h2", "s0")])
+        ah, h1, h2, s0, offset = (table.column(c).to_numpy() for c in ("ah", "h1", "h2", "s0", "off"))
+        new = np.concatenate(([True], (ah[1:] != ah[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (s0[1:] != s0[:-1])))  # repeated rows
+        pieces = table.column("bytes").filter(pa.array(new)).to_pylist()
+        ah, h1, h2, s0, offset = (c[new] for c in (ah, h1, h2, s0, offset))
         size = np.array([len(p) for p in pieces], np.int64)
-        at = np.cumsum(size) - size
-        windows = size - length + 1
-        group = np.repeat(np.arange(len(pieces)), windows)
-        within = np.arange(len(group)) - np.repeat(np.cumsum(windows) - windows, windows)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        rank = window_classes(data, at[group] + within, length, Rolling(len(data)))
-        earlier, later = previous_factors(rank)
-        a, b = _spans(earlier if keep_first else earlier | later, group)
-        g = group[a]
-        return pa.table({"h1": h1[g], "h2": h2[g], "start": s0[g] + within[a], "stop": s0[g] + within[b] + length})
+        group = np.cumsum(np.concatenate(([0], ah[1:] != ah[:-1])))
+        laid = laid_over(np.frombuffer(b"".join(pieces), np.uint8), size, offset.astype(np.int64), length, k)
+        earlier, later = previous_factors(laid, group, length, k)
+        flags = earlier if keep_first else earlier | later
+        # windows of a piece begin in the column of its first byte
+        a, b = _spans(flags.ravel(), np.repeat(np.arange(len(size)), flags.shape[1]))
+        g = a // flags.shape[1]
+        begin = s0[g] - (length - k - offset[g])
+        return pa.table({"h1": h1[g], "h2": h2[g], "start": begin + a % flags.shape[1], "stop": begin + b % flags.shape[1] + length})
 
     return run
 
@@ -221,23 +231,22 @@ def _hash_windows(length: int):
     return run
 
 
-def _extract():
-    def run(batches):
-        for batch in batches:
-            keys, out = ([], [], [], [], []), pa
-            size = 0
-            for h1, h2, text, needs in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "b", "needs")), strict=True):
-                for need in needs:
-                    piece = text[need["s0"] : need["s0"] + need["len"]]
-                    for c, v in zip(keys, (need["ah"], h1, h2, need["s0"], piece), strict=True):
-                        c.append(v)
-                    size += len(piece)
-                if size > 1 << 23:
-                    yield out.RecordBatch.from_arrays([out.array(c, t) for c, t in zip(keys, [out.int64()] * 4 + [out.binary()], strict=True)], names=["ah", "h1", "h2", "s0", "bytes"])
-                    keys, size = ([], [], [], [], []), 0
-            yield out.RecordBatch.from_arrays([out.array(c, t) for c, t in zip(keys, [out.int64()] * 4 + [out.binary()], strict=True)], names=["ah", "h1", "h2", "s0", "bytes"])
+PIECE = pa.schema([("ah", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s0", pa.int64()), ("off", pa.int32()), ("bytes", pa.binary())])
 
-    return run
+
+def _extract(batches):
+    for batch in batches:
+        rows, size = [], 0
+        for h1, h2, text, needs in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for need in needs:
+                piece = text[need["s0"] : need["s0"] + need["len"]]
+                rows.append((need["ah"], h1, h2, need["s0"], need["off"], piece))
+                size += len(piece)
+            if size > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE, strict=True)], schema=PIECE)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE, strict=True)], schema=PIECE)
 
 
 def _cut():
@@ -283,7 +292,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = stash(kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("int")).alias("single"), F.count("*").alias("kinds")).filter("total > 1").select("ah", F.col("single").cast("int").alias("single"), F.col("kinds").cast("int").alias("kinds")), "anchors")
     known = stash(kinds.join(anchors, "ah").select("ah", "sh", "r1", (F.col("n") > 1).alias("full"), ((F.col("single") > 0) if not keep_first else (F.col("kinds") > 1)).alias("open")), "known")
     discard(kinds, anchors)
-    seen = segs.join(known, ["ah", "sh"]).select("ah", "sh", "h1", "h2", "s0", "len", "full", (F.col("open") & (~F.col("full") | (F.col("h1") == F.col("r1")))).alias("need"), (F.col("h1") == F.col("r1")).alias("first"))
+    seen = segs.join(known, ["ah", "sh"]).select("ah", "sh", "h1", "h2", "s0", "len", "off", "full", (F.col("open") & (~F.col("full") | (F.col("h1") == F.col("r1")))).alias("need"), (F.col("h1") == F.col("r1")).alias("first"))
     # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
     kept = stash(seen, "seen")
     discard(segs, known)
@@ -298,19 +307,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = docs.select(F.col(id_col).alias("id"), *text_key(text_col), text_or_empty(text_col).cast("binary").alias("b"))
     raw = raw.join(wanted, (raw["h1"] == wanted["w1"]) & (raw["h2"] == wanted["w2"]) & raw["id"].eqNullSafe(wanted["wid"]), "left_semi")
     work = stash(raw.select("h1", "h2", "b"), "work")
-    needs = seen.filter("need").select("h1", "h2", "ah", "s0", "len").distinct()
+    needs = seen.filter("need").select("h1", "h2", "ah", "s0", "len", "off").distinct()
     weight = stash(needs.groupBy("ah").agg(F.sum("len").alias("bytes")), "weight")
     total = weight.filter(F.col("bytes") <= heavy_bytes).agg(F.sum("bytes")).first()[0] or 0
     heavy = weight.filter(F.col("bytes") > heavy_bytes).select("ah")
     any_heavy = not is_empty(heavy)
-    gathered = needs.groupBy("h1", "h2").agg(F.collect_list(F.struct("ah", "s0", "len")).alias("needs"))
-    pieces = work.join(gathered, ["h1", "h2"]).select("h1", "h2", "b", "needs").mapInArrow(_extract(), "ah bigint, h1 bigint, h2 bigint, s0 bigint, bytes binary")
+    gathered = needs.groupBy("h1", "h2").agg(F.collect_list(F.struct("ah", "s0", "len", "off")).alias("needs"))
+    pieces = work.join(gathered, ["h1", "h2"]).select("h1", "h2", "b", "needs").mapInArrow(_extract, "ah bigint, h1 bigint, h2 bigint, s0 bigint, off int, bytes binary")
     buckets = max(1, -(-int(total) // bucket_bytes))
     if any_heavy:
         pieces = stash(pieces, "pieces")
         beyond = pieces.join(heavy, "ah", "left_semi")
         pieces = pieces.join(heavy, "ah", "left_anti")
-    found = pieces.withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).groupBy("bucket").applyInArrow(_match_bucket(length, keep_first), "h1 bigint, h2 bigint, start bigint, stop bigint")
+    found = pieces.withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).groupBy("bucket").applyInArrow(_match_bucket(length, k, keep_first), "h1 bigint, h2 bigint, start bigint, stop bigint")
     spans = spans.unionByName(found)
     if any_heavy:
         windows = stash(beyond.mapInArrow(_hash_windows(length), "x bigint, y bigint, h1 bigint, h2 bigint, s bigint").distinct(), "windows")
@@ -320,14 +329,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hit = hit.filter(F.struct("h1", "h2", "s") != F.col("first"))
         spans = spans.unionByName(hit.select("h1", "h2", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
     covered = spans.distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = work.dropDuplicates(["h1", "h2"]) if False else work
-    cut = cut.join(covered, ["h1", "h2"]).select("h1", "h2", "b", "spans").mapInArrow(_cut(), "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = work.join(covered, ["h1", "h2"]).select("h1", "h2", "b", "spans").mapInArrow(_cut(), "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     cut = stash((cut if texts else cut.drop("kept")).dropDuplicates(["h1", "h2"]), "cut")
     discard(kept, work, weight)
     many = copies.filter("copies > 1").select("h1", "h2", "first")
     out = light.join(cut, ["h1", "h2"], "left").join(many, ["h1", "h2"], "left")
-    nth = F.lit(False)
-    whole = F.col("first").isNotNull() | nth
+    whole = F.col("first").isNotNull()
     if keep_first:
         # of equal texts the first row keeps what its text keeps; one of its repeats, if there are any
         again = F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy(F.lit(0)))

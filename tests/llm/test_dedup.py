@@ -229,7 +229,7 @@ def brute_substring(rows, length):
 
 @pytest.mark.parametrize("heavy", [8 << 20, 100])
 def test_substring(spark, heavy):
-    rows = [(i, t) for i, t, *_ in edges.texts() if i != 8] + [(20, "ab" * 400), (21, "z" * 199), (21, "z" * 199), (22, "q" * 230)]
+    rows = [(i, t) for i, t, *_ in edges.texts()] + [(20, "ab" * 400), (21, "z" * 199), (21, "z" * 199), (22, "q" * 230)]
     docs = edges.documents(spark, [(*r, "en", "s") for r in rows])
     got = substring.substring_dedup(edges.clashing(docs), keep_first=False, heavy_bytes=heavy, bucket_bytes=4000).collect()
     assert sorted((key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_substring(rows, 200)
@@ -258,7 +258,7 @@ def test_segments_of_long_texts():
     data = edges.words(9, 900).encode()
     seen = []
     for piece, ends, rows in substring._batches(None, [data], 1000, 199):
-        text, first, size, _, _ = substring.segments(piece, ends, 200, 48, roll)
+        text, first, size, *_ = substring.segments(piece, ends, 200, 48, roll)
         begins = np.concatenate(([0], ends[:-1]))
         for t, f, s in zip(text, first, size, strict=True):
             at = f - begins[t] + rows[t][1]
@@ -266,18 +266,38 @@ def test_segments_of_long_texts():
     assert sorted(seen) == list(range(len(data) - 199))
 
 
-def test_window_order_is_lexicographic():
-    data = np.frombuffer(b"abracadabra" * 30 + edges.words(3, 50).encode(), np.uint8)
-    starts = np.arange(len(data) - 40)
-    rank = substring.window_order(data, starts, 40)
-    want = [data[s : s + 40].tobytes() for s in starts]
-    order = sorted(set(want))
-    assert [order.index(w) for w in want] == rank.tolist()
-    same = substring.window_classes(data, starts, 40, substring.Rolling(len(data)))
-    assert len(set(zip(rank.tolist(), same.tolist(), strict=True))) == len(order)
-    earlier, later = substring.previous_factors(rank)
-    assert earlier.tolist() == [w in want[:i] for i, w in enumerate(want)]
-    assert later.tolist() == [w in want[i + 1 :] for i, w in enumerate(want)]
+def test_suffix_order_and_previous_factors():
+    """Pieces around one anchor: orders, common prefixes and factors against plain comparison."""
+    r = np.random.default_rng(8)
+    k, length = 4, 10
+    pieces, offset, group = [], [], []
+    for g in range(5):
+        for _ in range(30):
+            left, right = (bytes(r.choice(list(b"ab"), r.integers(0, length - k + 1), p=(0.8, 0.2)).tolist()) for _ in range(2))
+            if len(left) + len(right) + k >= length:
+                pieces.append(left + b"KKKK" + right)
+                offset.append(len(left))
+                group.append(g)
+    size, offset, group = np.array([len(p) for p in pieces]), np.array(offset), np.array(group)
+    table = substring.laid_over(np.frombuffer(b"".join(pieces), np.uint8), size, offset, length, k)
+    strings = ["".join(map(chr, table[:, i])) for i in range(len(pieces))]
+    for column, order, lcp in substring.suffix_order(table, group):
+        want = sorted(range(len(pieces)), key=lambda i: (group[i], strings[i][column:]))
+        assert [(group[i], strings[i][column:]) for i in order] == [(group[i], strings[i][column:]) for i in want]
+        for i in range(1, len(order)):
+            a, b = (strings[j][column:] for j in order[i - 1 : i + 1])
+            same = next((x for x, (p, q) in enumerate(zip(a, b, strict=True)) if p != q), len(a)) if group[order[i]] == group[order[i - 1]] else 0
+            assert lcp[i] == same
+    earlier, later = substring.previous_factors(table, group, length, k)
+    seen = collections.defaultdict(list)
+    for i, p in enumerate(pieces):
+        for j in range(len(p) - length + 1):
+            seen[group[i], length - k - offset[i] + j, p[j : j + length]].append(i)
+    want = np.zeros((2, *earlier.shape), bool)
+    for (_, column, _), at in seen.items():
+        for i in at:
+            want[0, i, column], want[1, i, column] = i > min(at), i < max(at)
+    assert (earlier == want[0]).all() and (later == want[1]).all() and earlier.any()
 
 
 def test_substring_empty(spark):
