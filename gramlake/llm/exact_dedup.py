@@ -5,10 +5,11 @@ size. The distinct blocks are sorted and numbered: equal blocks, and only those,
 name. Adjacent names are then named pair by pair until one name is left, which identifies the
 whole text without any chance of collision.
 
-Names travel back to their blocks over a 64-bit hash, which only routes: a naming is used once
-it is shown on the blocks themselves that no two distinct blocks share a hash; otherwise the
-hash is drawn anew. So the text crosses the network once, combined beforehand, and a hot group
-of copies is a single row from each map task.
+Names travel back to their blocks over a 128-bit hash, which only routes: a naming is used once
+it is shown on the blocks themselves that no two distinct blocks share a hash. If any do, the
+blocks are routed by their own bytes instead, which costs one more exchange of the text. So the
+text otherwise crosses the network to be named alone, combined beforehand, and a hot group of
+copies is a single row from each map task.
 """
 
 from __future__ import annotations
@@ -29,39 +30,42 @@ def _blocks(size: int):
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("b"), i * size + 1, F.lit(size)))
 
 
-def _route(block, seed: int, bits: int):
-    h = F.xxhash64(F.lit(seed), block)
-    return h if bits >= 64 else F.shiftrightunsigned(h, 64 - bits)
+def _route(block, bits: int | None):
+    """What names travel by: bits of hash, or the block itself."""
+    if bits is None:
+        return block
+    high, low = (F.xxhash64(F.lit(seed), block) for seed in (0, 1))
+    return F.struct(F.shiftrightunsigned(high, max(0, 128 - bits) // 2).alias("a"), F.shiftrightunsigned(low, (max(0, 128 - bits) + 1) // 2).alias("b"))
 
 
-def name_blocks(docs: DataFrame, text_col: str, size: int, seed: int, bits: int) -> tuple[DataFrame, bool]:
-    """(h, name) of every distinct block, and whether each h stands for one block."""
+def name_blocks(docs: DataFrame, text_col: str, size: int, bits: int | None) -> tuple[DataFrame, bool]:
+    """(h, name) of every distinct block, names in the order of the blocks, and whether each h stands
+    for one block."""
     blocks = docs.select(normalised(text_col).cast("binary").alias("b")).select(F.explode(_blocks(size)).alias("block"))
-    ordered = blocks.distinct().sortWithinPartitions("block")
-    names = stash(ordered.select(_route(F.col("block"), seed, bits).alias("h"), F.monotonically_increasing_id().alias("name")), "names")
-    return names, is_empty(names.groupBy("h").count().filter("count > 1"))
+    ordered = blocks.distinct().orderBy("block")
+    names = stash(ordered.select(_route(F.col("block"), bits).alias("h"), F.monotonically_increasing_id().alias("name")), "names")
+    return names, bits is None or is_empty(names.groupBy("h").count().filter("count > 1"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, route_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, route_bits: int = 128) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, n_bytes, h1, h2.
 
     A null text counts as empty. Of equal texts the row with the smallest id stays (null ids come
     last); of repeated rows with one id and text exactly one is kept. Other columns of docs are not
     read. An empty table gives an empty result. h1 and h2 name the raw text, for joining back.
     """
-    seed = 0
-    while True:
-        names, clean = name_blocks(docs, text_col, block_bytes, seed, route_bits)
-        if clean:
-            break
+    bits: int | None = min(route_bits, 128)
+    names, clean = name_blocks(docs, text_col, block_bytes, bits)
+    if not clean:
         discard(names)
-        seed, route_bits = seed + 1, min(64, route_bits + 8)
+        bits = None
+        names, _ = name_blocks(docs, text_col, block_bytes, bits)
     h1, h2 = text_key(text_col)
     base = docs.select(F.col(id_col).alias("id"), h1, h2, normalised(text_col).alias("norm")).select("id", "h1", "h2", "norm", F.col("norm").cast("binary").alias("b"))
     base = stash(
         base.select(
             F.monotonically_increasing_id().alias("rid"), "id", "h1", "h2", F.octet_length("b").cast("long").alias("n_bytes"), F.sha2("b", 256).alias("text_sha256"),
-            F.transform(_blocks(block_bytes), lambda x: _route(x, seed, route_bits)).alias("hs"),
+            F.transform(_blocks(block_bytes), lambda x: _route(x, bits)).alias("hs"),
         ),
         "base",
     )
@@ -83,7 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if is_empty(todo):
             break
         depth += 1
-        named = stash(todo.groupBy("a", "b").count().sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), "pairnames")
+        named = stash(todo.groupBy("a", "b").count().orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), "pairnames")
         level = stash(todo.join(named, ["a", "b"]).select("rid", "pos", "name"), "level")
         discard(named)
     identity = None
