@@ -15,6 +15,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 1 << 30
 GAP_BYTES = 1 << 16
 RANGE_BYTES = 8 << 20
+#: Archive bytes that one task reads, about.
+TASK_BYTES = 64 << 20
+#: Record ids: the page's id with all but letters and digits escaped; pages without an id have none.
+URN, NO_ID = "<urn:gramlake:", "<urn:gramlake-none>"
 
 
 def file_system(uri: str):
@@ -49,16 +54,24 @@ def _clean(value: str) -> str:
     return " ".join(value.split("\r")).replace("\n", " ")
 
 
-def record(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+def _urn(key: str | None) -> str:
+    return NO_ID if key is None else f"{URN}{quote(key, safe='')}>"
+
+
+def _key(urn: str) -> str | None:
+    return None if urn == NO_ID else unquote(urn[len(URN) : -1])
+
+
+def record(record_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One WARC/1.1 record as a gzip member; a revisit if refers_to is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:gramlake:{record_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {_urn(record_id)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:gramlake:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -79,7 +92,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Payload: the html in UTF-8, null as empty. Payloads of fewer than least bytes are always
     responses. A null id counts as the largest; repeated rows of the smallest id are all
-    responses. A null URL leaves its header out. No pages, no archives, an empty index.
+    responses. A null URL leaves its header out. No pages, no archives, an empty index. The archives
+    are the product and stay; so do those of lost attempts, which the index doesn't name.
     """
     spark = pages.sparkSession
     digested = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).cast("binary").alias("payload"))
@@ -104,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 key, url, payload, ref = (batch.column(k)[i].as_py() for k in range(4))
                 digest = sha1_base32(payload)
-                member = record("null" if key is None else key, url, payload, digest, ref, date)
+                member = record(key, url, payload, digest, ref, date)
                 out.write(member)
                 rows.append((name, at, len(member), url, digest, "response" if ref is None else "revisit", key))
                 at += len(member)
@@ -154,17 +168,21 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
                 for part in parts:
                     at = part["offset"] - start
                     warc, http, payload = parse(data[at : at + part["length"]])
-                    key = warc["WARC-Record-ID"][len("<urn:gramlake:") : -1]
+                    key = _key(warc["WARC-Record-ID"])
                     ref = warc.get("WARC-Refers-To")
                     whole = warc["WARC-Type"] == "response"
                     digest = sha1_base32(payload) if whole else warc["WARC-Payload-Digest"][5:]
                     if digest != warc["WARC-Payload-Digest"][5:] or (whole and len(payload) != int(http["Content-Length"])):
                         raise ValueError(f"record {key} in {archive} at {part['offset']} is damaged")
-                    rows.append((archive, part["offset"], None if key == "null" else key, warc.get("WARC-Target-URI"), warc["WARC-Type"], ref and ref[len("<urn:gramlake:") : -1], int(http["Content-Length"]), digest, payload if whole and payloads else None))
+                    rows.append((archive, part["offset"], key, warc.get("WARC-Target-URI"), warc["WARC-Type"], ref and _key(ref), int(http["Content-Length"]), digest, payload if whole and payloads else None))
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["archive", "offset", "record_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    ranges = plan_ranges(selected).select("archive", "start", "stop", "parts")
+    # the index is small beside what it names, so tasks are counted by the bytes to read
+    spark = selected.sparkSession
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES), min(spark.sparkContext.defaultParallelism, total // GAP_BYTES))
+    ranges = plan_ranges(selected).select("archive", "start", "stop", "parts").repartition(tasks)
     return ranges.mapInArrow(run, READ)
 
 
