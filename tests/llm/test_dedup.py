@@ -44,8 +44,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-@pytest.mark.parametrize("route_bits,block", [(64, 4096), (2, 16), (64, 7)])
+@pytest.mark.parametrize("route_bits,block", [(128, 4096), (2, 16), (0, 16), (64, 7)])
 def test_exact(spark, route_bits, block):
+    """Few bits of route, or none: hashes that collide for good."""
     rows = edges.texts()
     got = exact_dedup.exact_dedup(edges.clashing(edges.documents(spark)), block_bytes=block, route_bits=route_bits).collect()
     groups = collections.defaultdict(list)

@@ -91,6 +91,18 @@ def test_warc_files_are_gzip_members(spark, tmp_path):
     assert warc.read_records(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_ids_and_tasks(spark, tmp_path, monkeypatch):
+    """Text ids of any kind come back; reads are dealt to several tasks by bytes."""
+    ids = ["null", "", None, "a b", "x\r\ny", "<urn>", "ü%20"]
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 400) for i in ids], "page_id string, url string, html string")
+    index = warc.write_archives(pages, str(tmp_path / "i"))
+    got = warc.read_records(index, str(tmp_path / "i")).collect()
+    assert collections.Counter((r["record_id"], bytes(r["payload"])) for r in got) == collections.Counter((i, (f"{i}" * 400).encode()) for i in ids if i != "null") + collections.Counter([("null", b"null" * 400)])
+    monkeypatch.setattr(warc, "TASK_BYTES", 200)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 100)
+    assert warc.read_records(index, str(tmp_path / "i")).rdd.getNumPartitions() > 2
+
+
 def test_op2_sql(spark, sf):
     check(spark, sf, warc.op2_query, warc.OP2_SQL)
 
@@ -211,6 +223,70 @@ def test_mix_comes_near_and_splits_hot_sources(spark, monkeypatch):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def reference_mix(rows, weights=(1, 2, 3), most=3, seed=7):
+    """Which documents the mix takes, and how often, by sorting each source whole."""
+    import math
+
+    import xxhash
+
+    def x64(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, h)
+        return h
+
+    size = {i: len((t or "").split()) for i, t, s in rows}
+    total = collections.Counter()
+    for i, _, s in rows:
+        total[s] += size[i]
+    want, taken = targets(dict(total), weights, most), {}
+    for source in total:
+        drawn = []
+        for i, t, s in rows:
+            if s == source:
+                t = t or ""
+                signed = [v - 2**64 if v >= 2**63 else v for v in (x64(t), x64("second seed", t))]
+                u = ((x64(*(int(v).to_bytes(n, "little", signed=True) for v, n in ((seed, 4), (i, 8), (signed[0], 8), (signed[1], 8)))) >> 11) + 0.5) / 2**53
+                share = sum(c in mixing.SYMBOLS for c in t) / max(len(t), 1)
+                drawn.append((-math.log(u) / max(0.05, 1 - 5 * share), signed, i))
+        epochs = int(want[source] // total[source]) if total[source] else 0
+        left, more, at = want[source] - epochs * total[source], set(), 0
+        order = [i for *_, i in sorted(drawn)]
+        while at < len(order) and size[order[at]] <= left:
+            left -= size[order[at]]
+            more.add(order[at])
+            at += 1
+        rest = [i for i in order[at:] if size[i]]
+        for i in rest:
+            if size[i] <= left:
+                left -= size[i]
+                more.add(i)
+        nearest = min(((abs(size[i] - left), k, i) for k, i in enumerate(rest) if i not in more), default=None)
+        if nearest and nearest[0] < left:
+            more.add(nearest[2])
+        taken |= {i: size[i] * (epochs + (i in more)) for i in order}
+    return taken
+
+
+def test_op6_takes_what_sorting_takes(spark, sf):
+    """The whole query against a plain sort of each source (sources here are one key range)."""
+    rows = connect(sf).execute("SELECT doc_id, text, source FROM documents").fetchall()
+    got = {r["doc_id"]: r["taken"] for r in mixing.op6_query(spark, sf).collect()}
+    assert got == reference_mix(rows)
+
+
+def test_key_ranges_hold_about_as_many_rows_each(spark):
+    """Also when most documents weigh little."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000).select((-F.log((F.shiftrightunsigned(F.xxhash64("id"), 11) + 0.5) / F.lit(2.0**53)) / F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.05)).alias("key"), F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.05).alias("w"))
+    counted = {r["level"]: r["count"] / 200_000 for r in rows.groupBy(mixing._level(F.col("w")).alias("level")).count().collect()}
+    levels = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("share")) for a, b in sorted(counted.items())])
+    held = [r["count"] for r in rows.groupBy(F.floor(mixing.key_share(levels, F.col("key")) * 50).alias("range")).count().collect()]
+    assert max(held) < 3 * 4000
+
+
 # ---- pieces -----------------------------------------------------------------------------------
 
 
