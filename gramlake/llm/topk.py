@@ -1,113 +1,140 @@
 """Exact top-k search by aggregation without random access.
 
-Dimensions are split into a few groups. For a query each group gives a list of all candidates
-sorted by their partial inner product. The lists are read from the top, all to the same depth. A
-candidate's lower bound takes its read partial scores and each unread list's minimum, its upper
-bound the last value read from the lists that haven't shown it. Reading stops when no unseen
-candidate and few seen ones could still reach the k-th lower bound; those few are resolved to
-final scores.
-
-Candidates and queries are dealt into blocks of bounded size by a hash of the id; each pair of
+Each dimension of a block of candidates is a list of its components, sorted once for all queries. A
+query's score sums its products with one entry of each list, so it reads a list from the top where
+its own component is positive and from the bottom where it is negative: the products fall as it
+goes. All lists are read to the same depth. What a candidate has shown so far plus each unread
+list's least product is its lower bound, plus each unread list's last product its upper bound.
+Reading stops when no unseen candidate and few seen ones could still reach the k-th lower bound;
+those few are resolved to final scores.
+
+Candidates and queries are dealt into blocks of bounded bytes by a hash of the id; each pair of
 blocks is one task's work, and the k best of each block pair meet in a ranked aggregation.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of candidates, and of queries.
-CANDIDATES, QUERIES = 8192, 1024
-GROUPS = 4
-#: Components saturate here, so that sums of products fit into 64 bits.
-LIMIT = 2**28
-
-
-def quantise(column: str, scale: int = 256):
-    """floor(scale * x) of each component, x as double, within +-LIMIT."""
-    top = F.lit(float(LIMIT))
-    return F.transform(F.col(column), lambda x: F.floor(F.greatest(-top, F.least(top, x.cast("double") * scale))).cast("int"))
+#: Bytes of vectors (8 for each component) in a block of candidates, and of queries.
+CANDIDATE_BYTES, QUERY_BYTES = 4 << 20, 1 << 19
+LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
 def usable(column: str):
-    """Neither null nor holding null or non-finite components; not empty."""
+    """Neither null nor holding null or non-finite components."""
     bad = F.exists(F.col(column), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.coalesce((F.size(column) > 0) & ~bad, F.lit(False))
-
-
-def no_random_access(partial: np.ndarray, k: int, step: int = 128) -> np.ndarray:
-    """Candidates that can be among the k best: indices, k at least if there are so many.
-
-    partial: (lists, candidates) partial scores. Every candidate whose sum ties with the k-th best
-    or beats it is included. Lists are read to a depth that doubles, each to the end of its ties.
-    """
-    lists, n = partial.shape
-    ordered = -np.sort(-partial, axis=1)
-    least = ordered[:, -1]
-    depth = step
-    while depth < n:
-        last = ordered[:, depth - 1]
-        shown = partial >= last[:, None]
-        seen = np.flatnonzero(shown.any(0))
-        if len(seen) >= k:
-            own, known = partial[:, seen], shown[:, seen]
-            lower = np.where(known, own, least[:, None]).sum(0)
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-            if last.sum() < kth:
-                # nothing unseen can qualify; seen ones may by their upper bounds
-                upper = np.where(known, own, last[:, None]).sum(0)
-                return seen[upper >= kth]
-        depth *= 2
-    return np.arange(n)
-
-
-def _search_block(k: int, groups: int):
+    return F.coalesce(F.col(column).isNotNull() & ~bad, F.lit(False))
+
+
+def quantise(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component, x as double: whole numbers, Python's where doubles overflow."""
+    with np.errstate(over="ignore"):
+        out = np.floor(vectors.astype(np.float64) * scale)
+    if np.isfinite(out).all():
+        return out
+    return np.array([[int(x) * scale if abs(x) > 2.0**60 else math.floor(x * scale) for x in row] for row in vectors.tolist()], object).reshape(vectors.shape)
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+
+
+class Lists:
+    """A block's candidates as one sorted list for each dimension."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(vectors))[:, None], 0)
+        self.sorted = np.take_along_axis(vectors, order, 0)
+
+    def candidates(self, queries: np.ndarray, k: int, first: int = 8) -> list[np.ndarray]:
+        """For each query the candidates that can be among its k best, all that tie with the k-th
+        included: indices, k at least if there are so many.
+
+        The first 1 / first of each list is read, then twice as much, and so on. Each list is there
+        twice, for queries that read it from the top and from the bottom; the other has a factor of 0.
+        """
+        n, d = self.vectors.shape
+        out = [np.arange(n)] * len(queries)
+        factors = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0)))
+        least = np.concatenate((self.sorted[0], self.sorted[-1])) if n else factors[:0]
+        open_, depth = np.arange(len(queries)), max(k, -(-n // first))
+        while depth < n and d and len(open_):
+            q = factors[open_]
+            read = np.hstack((self.rank >= n - depth, self.rank < depth))
+            known = q @ (np.hstack((self.vectors, self.vectors)) * read).T
+            unread = (~read).astype(q.dtype).T
+            last = np.concatenate((self.sorted[n - depth], self.sorted[depth - 1]))
+            lower, upper = known + (q * least) @ unread, known + (q * last) @ unread
+            kth = np.sort(lower, 1)[:, n - k] if q.dtype == object else np.partition(lower, n - k, 1)[:, n - k]
+            # unseen candidates have the upper bound of all last products
+            left = upper >= kth[:, None]
+            few = left.sum(1) <= max(4 * k, n // 32)
+            for at in np.flatnonzero(few):
+                out[open_[at]] = np.flatnonzero(left[at])
+            open_, depth = open_[~few], 2 * depth
+        return out
+
+
+def _search_block(k: int, scale: int, sheet: int = 128):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            c, q = np.stack(left["v"].to_numpy()).astype(np.int64), np.stack(right["v"].to_numpy()).astype(np.int64)
-            exact = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2**53
-            cf, qf = (c.astype(float), q.astype(float)) if exact else (c, q)
+            d = int(left["d"].iloc[0])
             ids = left["id"].to_numpy()
             by_id = np.argsort(ids, kind="stable")
-            cf, ids = cf[by_id], ids[by_id]
-            parts = [g for g in np.array_split(np.arange(c.shape[1]), groups) if len(g)]
-            for at in range(0, len(q), 64):
-                partial = np.stack([qf[at : at + 64, g] @ cf[:, g].T for g in parts])
-                for j, own in enumerate(right["id"].to_numpy()[at : at + 64]):
-                    p = partial[:, j]
-                    # the query's own row may take a place, so one more is looked for
-                    could = no_random_access(p, k + 1)
+            ids = ids[by_id]
+            c, q = (quantise(np.stack(x.to_numpy()).reshape(len(x), d), scale) for x in (left["v"], right["v"]))
+            c = c[by_id]
+            # sums of products stay exact in floating point, or else Python's numbers are taken
+            if int(abs(c).max(initial=0)) * int(abs(q).max(initial=0)) * d >= 2**52:
+                c, q = whole_numbers(c), whole_numbers(q)
+            lists = Lists(c)
+            for at in range(0, len(q), sheet):
+                # the query's own row may take a place, so one more is looked for
+                found = lists.candidates(q[at : at + sheet], min(k + 1, len(ids)))
+                for own, query, could in zip(right["id"].to_numpy()[at : at + sheet], q[at : at + sheet], found, strict=True):
                     could = could[ids[could] != own]
-                    score = p[:, could].sum(0)
-                    best = np.lexsort((ids[could], -score))[:k]
-                    out += [(own, ids[could[b]], int(score[b])) for b in best]
+                    score = c[could] @ query if d else np.zeros(len(could))
+                    best = sorted(range(len(could)), key=lambda i: (-score[i], could[i]))[:k] if score.dtype == object else np.lexsort((could, -score))[:k]
+                    out += [(own, ids[could[b]], min(max(int(score[b]), LONG_MIN), LONG_MAX)) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, groups: int = GROUPS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of vectors by inner product of quantised
     components; ties go to smaller ids. Fewer candidates give fewer rows.
 
-    Vectors that are null, empty, hold null or non-finite components, or have a null id take no part;
-    components saturate at +-2**28. Only vectors of the query's length are its candidates. Rows
-    with the query's id are not. Repeated rows count once; of rows that differ under one id the
-    smallest vector counts. Other columns are not read; empty tables give an empty result.
+    Vectors that are null, hold null or non-finite components, or have a null id take no part. Scores
+    are exact whole numbers; one beyond 64 bits is given as the nearest long, and ranks as that
+    between blocks. Only vectors of the query's length are its candidates (empty ones score 0
+    among each other). Rows with the query's id are not. Repeated rows count once; of rows that
+    differ under one id the smallest vector counts. Other columns are not read; empty tables give an
+    empty result.
     """
 
     def clean(df):
-        df = df.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), quantise(vector_col, scale).alias("v"))
+        df = df.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
         return df.groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
 
-    blocks = max(1, -(-vectors.select(id_col).count() // CANDIDATES))
-    sheets = max(1, -(-queries.select(id_col).count() // QUERIES))
+    def parts(df, size):
+        row = df.agg(F.sum(8 * F.greatest(F.size(vector_col), F.lit(1)).cast("long")).alias("bytes")).first()
+        return max(1, -(-(row["bytes"] or 0) // size))
+
+    blocks, sheets = parts(vectors, CANDIDATE_BYTES), parts(queries, QUERY_BYTES)
     dealt = clean(vectors).withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {sheets - 1}L)")))
     asked = clean(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(sheets).cast("long"))).withColumn("cb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    found = dealt.groupBy("d", "cb", "qb").cogroup(asked.groupBy("d", "cb", "qb")).applyInPandas(_search_block(k, groups), "query_id bigint, vec_id bigint, score bigint")
+    found = dealt.groupBy("d", "cb", "qb").cogroup(asked.groupBy("d", "cb", "qb")).applyInPandas(_search_block(k, scale), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
