@@ -2,8 +2,8 @@
 
 For every participant of a conversation the dialogue is rendered with that participant as the
 assistant and all others as named users; the loss mask covers what the assistant says. Rendering
-is done in pieces of a bounded number of turns (turn numbers divided by ``span``), so that no
-conversation, however long, meets in one task; the pieces joined in order are the conversation.
+is done in pieces of a bounded number of turns (turn numbers divided by ``span``), spread over tasks;
+then the pieces of a conversation are joined in order, with one mask. A row holds a whole dialogue.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ NAMELESS = "unknown"
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = ("system",), span: int = 64) -> DataFrame:
-    """One row per conversation, participant and piece: conv_id, perspective, piece, n_turns, rendered, mask.
+    """One row per conversation and participant: conv_id, perspective, n_turns, rendered, mask.
 
     mask: [start, stop) character ranges of rendered that are learnt, the text and end marker of
     each turn of the perspective's speaker. Narrators (system) are rendered as themselves from
     every perspective and have none of their own; a conversation of narrators alone has no rows.
-    Turns are in order of number, then speaker, then text; null turn numbers form the last piece
-    (piece null). A null speaker is a participant named "unknown", a null text is empty, a null
+    Turns are in order of number (null last), then speaker, then text. A null speaker is a participant named "unknown", a null text is empty, a null
     conversation is one conversation of its own. Markers inside texts lose their bar ("<|" becomes
     "< |"), so that no text can end its turn. Repeated rows are repeated turns. Other columns are
     not read; an empty table gives an empty result.
@@ -49,9 +48,17 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         stop = start + F.length(p["body"])
         return F.struct(stop.alias("at"), F.when(p["own"], F.concat(acc["mask"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(acc["mask"]).alias("mask"))
 
-    return seen.select(
-        F.col("conv").alias(conv_col), "perspective", "piece", F.size("parts").alias("n_turns"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), F.aggregate("parts", zero, step)["mask"].alias("mask"),
+    done = seen.select("conv", "perspective", F.col("piece").isNull().alias("last"), "piece", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"), F.aggregate("parts", zero, step).alias("end"))
+    whole = done.groupBy("conv", "perspective").agg(F.sort_array(F.collect_list(F.struct("last", "piece", "n", "text", "end"))).alias("pieces"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int>>>").alias("masks"))
+
+    def join(acc, p):
+        moved = F.transform(p["end"]["mask"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["stop"] + acc["at"]).alias("stop")))
+        return F.struct((acc["at"] + p["end"]["at"]).alias("at"), F.array_append(acc["masks"], moved).alias("masks"))
+
+    return whole.select(
+        F.col("conv").alias(conv_col), "perspective", F.aggregate("pieces", F.lit(0), lambda a, p: a + p["n"]).alias("n_turns"),
+        F.array_join(F.col("pieces.text"), "").alias("rendered"), F.flatten(F.aggregate("pieces", begin, join)["masks"]).alias("mask"),
     )
 
 
@@ -59,13 +66,12 @@ def op9_query(spark, sf_dir):
     """Every conversation from every participant's perspective; the mask as its text "start-stop ..."."""
     out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), " ")
-    return out.select("conv_id", "perspective", "piece", F.col("n_turns").cast("bigint").alias("n_turns"), "rendered", spans.alias("mask"))
+    return out.select("conv_id", "perspective", F.col("n_turns").cast("bigint").alias("n_turns"), "rendered", spans.alias("mask"))
 
 
 OP9_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS said,
-         CAST(floor(turn / 64.0) AS BIGINT) AS piece FROM conversations),
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
 p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
 x AS (
   SELECT t.*, perspective,
@@ -74,8 +80,8 @@ x AS (
     said || '<|im_end|>' || chr(10) AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 y AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, who, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
-SELECT conv_id, perspective, piece, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS rendered,
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, who, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
+SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS rendered,
   coalesce(string_agg(CASE WHEN who = perspective THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR) END, ' ' ORDER BY turn, who, said), '') AS mask
-FROM y GROUP BY conv_id, perspective, piece
+FROM y GROUP BY conv_id, perspective
 """
