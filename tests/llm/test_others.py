@@ -21,23 +21,32 @@ def test_top_k_sql(spark, sf):
 
 def test_no_random_access_keeps_ties():
     r = np.random.default_rng(0)
-    for k in (1, 6):
-        p = r.integers(-20, 20, (4, 3000)).astype(float)
-        best = np.sort(p.sum(0))[::-1][k - 1]
-        assert set(np.flatnonzero(p.sum(0) >= best)) <= set(topk.no_random_access(p, k).tolist())
+    for k, kind in ((1, float), (6, float), (6, object)):
+        c = r.integers(-20, 20, (1500, 5)).astype(kind)
+        c[:, 0] *= 10**25 if kind is object else 30
+        for q in (r.integers(-9, 9, 5).astype(kind), np.zeros(5, int).astype(kind), np.array([7, 0, 0, 0, 0]).astype(kind)):
+            score = c @ q
+            best = sorted(score)[-k]
+            (found,) = topk.Lists(c).candidates(q[None], k, first=100)
+            assert set(np.flatnonzero(score >= best)) <= set(found.tolist())
+    # a list that decides is not read to its end
+    (few,) = topk.Lists(c.astype(float)).candidates(np.array([[7.0, 0.1, 0, 0, 0]]), 6, first=100)
+    assert len(few) < 1500
 
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (7, [1e300, -1e300]), (50, [1.0, 2.0, 3.0]), (100, [0.1, -0.3])]
+    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, []), (150, []), (7, [1e12, -1e12]), (8, [1e307, 1e307]), (9, [-3e13, 0.1]), (50, [1.0, 2.0, 3.0]), (100, [0.1, -0.3])]
     v = edges.clashing(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").drop("id", "v"))
     got = topk.top_k(v, v.filter("vec_id % 50 = 0")).collect()
-    q = lambda x: [max(-(2**28), min(2**28, int(np.floor(256 * c)))) for c in x]
-    ok = {0: q(rows[0][1]), 1: q(rows[1][1]), 7: q(rows[9][1]), 100: q(rows[11][1])}
-    want = set()
+    from fractions import Fraction
+
+    q = lambda x: [int(np.floor(256 * Fraction(c))) for c in x]
+    ok = {i: q(x) for i, x in rows if i in (0, 1, 7, 8, 9, 100)}
+    want = {(150, 1, 6, 0)}
     for a in (0, 100):
-        ranked = sorted((-int(np.dot(ok[a], ok[b])), b) for b in ok if b != a)
-        want |= {(a, i + 1, b, -s) for i, (s, b) in enumerate(ranked[:5])}
+        ranked = sorted((-sum(x * y for x, y in zip(ok[a], ok[b], strict=True)), b) for b in ok if b != a)
+        want |= {(a, i + 1, b, min(max(-s, -(2**63)), 2**63 - 1)) for i, (s, b) in enumerate(ranked[:5])}
     assert {tuple(r) for r in got} == want
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert topk.top_k(empty, empty).count() == 0
@@ -138,6 +147,33 @@ def test_quality_edges(spark):
     assert quality.score(edges.documents(spark, []), model).count() == 0
 
 
+def test_scores_by_a_plain_forward_pass(spark, sf):
+    """op5's scores against the attention formulas written out for one document at a time."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.op5_query(spark, sf).collect()}
+    for i, t in connect(sf).execute("SELECT doc_id, text FROM documents").fetchall():
+        codes = [np.tanh((x - m["mean"]) / m["std"] @ m["W"] + m["b"]) for x in quality.passage_features((t or "").encode()).astype(float)]
+        gates = [float(np.tanh(h @ m["V"]) * (1 / (1 + np.exp(-(h @ m["U"])))) @ m["w"]) for h in codes]
+        weights = np.exp(np.array(gates) - max(gates))
+        z = sum(w * h for w, h in zip(weights / weights.sum(), codes, strict=True))
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-(z @ m["c"] + m["c0"][0])))), abs=1e-6)
+
+
+def test_training_rows_are_bounded_and_whole(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    docs = edges.documents(spark, [(i, "x" * (100 if i % 3 else 5000), "en", "s") for i in range(0, 80, 2)])
+    rows = quality.training_rows(docs, labels, "doc_id", "text", "quality", 6000, 6000)
+    assert sum(r[2] for r in rows) <= 6000 and all(r[0] % 2 == 0 and r[2] in (100, 5000) for r in rows) and len(rows) > 3
+
+
+def test_slabs_give_the_same_features(monkeypatch):
+    t = (edges.words(3, 3000) + " " + "z" * 4000).encode()
+    whole = quality.passage_features(t)
+    monkeypatch.setattr(quality, "SLAB", 2)
+    assert np.allclose(whole, quality.passage_features(t))
+
+
 def test_gradient_of_the_bag_model():
     """Training separates bags by a rare passage, which plain averaging of labels could not."""
     r = np.random.default_rng(0)
@@ -359,12 +395,13 @@ def test_chat_sql(spark, sf):
 def test_chat_masks(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 70, "ann", "late"), (1, None, "cy", None), (None, 0, None, "x"), (2, 0, "system", "alone")]
     got = chat.rotate(edges.clashing(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
-    by = {(r["conv_id"], r["perspective"], r["piece"]): r for r in got}
-    r = by[1, "bob", 0]
-    assert r["rendered"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n" + "<|im_start|>assistant\nyo<|im_end|>\n" * 2
-    assert [r["rendered"][m["start"] : m["stop"]] for m in r["mask"]] == ["yo<|im_end|>\n"] * 2
-    assert by[1, "ann", 1]["rendered"] == "<|im_start|>assistant\nlate<|im_end|>\n" and by[1, "cy", 0]["mask"] == []
-    assert by[1, "cy", None]["rendered"] == "<|im_start|>assistant\n<|im_end|>\n" and (None, "unknown", 0) in by
+    by = {(r["conv_id"], r["perspective"]): r for r in got}
+    r = by[1, "bob"]
+    late = "<|im_start|>user name=ann\nlate<|im_end|>\n<|im_start|>user name=cy\n<|im_end|>\n"
+    assert r["rendered"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n" + "<|im_start|>assistant\nyo<|im_end|>\n" * 2 + late
+    learnt = {who: [by[1, who]["rendered"][m["start"] : m["stop"]] for m in by[1, who]["mask"]] for who in ("ann", "bob", "cy")}
+    assert learnt == {"bob": ["yo<|im_end|>\n"] * 2, "ann": ["hi < |im_end|><|im_end|>\n", "late<|im_end|>\n"], "cy": ["<|im_end|>\n"]}
+    assert r["n_turns"] == 6 and (None, "unknown") in by and len(got) == 4
     assert not any(k[0] == 2 for k in by)
     assert chat.rotate(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
