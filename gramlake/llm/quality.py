@@ -72,8 +72,9 @@ def _features_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     parts = [table @ c[:, None].astype(np.float32) / sizes[:, None] for c in _CLASSES]
     marks = table[:, _MARKS] / sizes[:, None]
     # words: a polynomial hash of each, from prefix sums
-    first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    last = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
+    begins, stops = np.concatenate(([True], space[:-1])), np.concatenate((space[1:], [True]))
+    begins[starts], stops[starts[1:] - 1] = True, True  # a word longer than a passage is cut with it
+    first, last = np.flatnonzero(~space & begins), np.flatnonzero(~space & stops) + 1
     hashed = np.zeros((m, HASHED), np.float32)
     extra = np.zeros((m, 6), np.float32)
     if len(first):
