@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Edges never meet in one task: every round takes minima per node (combined before the shuffle)
-and joins them back. Each round's edges are written to the shared folder, which cuts lineage;
+and joins them back. The edges of each half round are written to the shared folder, which cuts lineage;
 a star's hot centre is an ordinary skewed sort-merge join, which adaptive execution splits.
 Rounds grow with the logarithm of the component size.
 """
@@ -21,16 +21,14 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    low = stash(low.select(F.col("u").alias("w"), F.least("u", "low").alias("low")), "low")
+    low = low.select(F.col("u").alias("w"), F.least("u", "low").alias("low"))
     joined = edges.join(low, edges["u"] == low["w"]).select("u", "v", "low")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         moved = joined.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         out = moved.unionByName(low.select(F.col("w").alias("u"), F.col("low").alias("v")))
-    out = stash(out.filter(F.col("u") != F.col("v")).distinct(), "star")
-    discard(low)
-    return out
+    return stash(out.filter(F.col("u") != F.col("v")).distinct(), "star")
 
 
 def components(edges: DataFrame) -> DataFrame:

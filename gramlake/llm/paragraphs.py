@@ -303,9 +303,8 @@ def _shared_bands(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (bucket, pid) of the bands that distinct lines share, and where each such line is first
     found, as (doc, starts)."""
     banded = lines.select("pid", F.explode("bands").alias("bucket"))
-    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
+    shared = banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket")
     members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
-    discard(shared)
     wanted = members.select("pid").distinct()
     asked = _firsts(lines.filter(F.size("bands") > 0).join(wanted, "pid", "left_semi"), "pid")
     return members, asked.groupBy(F.col("keep").alias("doc")).agg(F.collect_list((F.col("first") - F.col("keep")).cast("int")).alias("starts"))
@@ -372,7 +371,7 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     sized = members.join(sizes, "bucket")
     few = sized.filter(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("pid").alias("p"))
     few = few.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(b.alias("u"), a.alias("v")))))).alias("e")).select("e.u", "e.v")
-    links = stash(verify(few.distinct()), "links")
+    links = verify(few.distinct())
     # middling buckets: the members' sets meet in a task, which gives back one link for each member at most
     some = sized.filter((F.col("n") > small) & (F.col("n") <= F.lit(task_members))).select("bucket", "pid").join(sets, "pid").select("bucket", "pid", "set")
     links = stash(links.unionByName(some.groupBy("bucket").applyInArrow(_connect(threshold), "u bigint, v bigint")).distinct(), "links")
@@ -439,7 +438,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(kinds, members, again)
     # lines that occur once and are similar to none are through
     often = lines.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
-    often = stash(often.unionByName(roots.select(F.col("node").alias("pid"))).distinct(), "often")
+    often = often.unionByName(roots.select(F.col("node").alias("pid"))).distinct()
     placed = lines.select("doc", "start", "stop", "pid").join(often, "pid")
     placed = stash(placed.join(roots, placed["pid"] == roots["node"], "left").select("doc", "start", "stop", F.coalesce("root", "pid").alias("root")), "placed")
     gone = _later(placed, _firsts(placed, "root"), "root").unionByName(copies).unionByName(_joined(later))
@@ -468,11 +467,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = units.select("doc", F.inline("lines"))
     members, asked = _shared_bands(lines)
     again = stash(reread(units, None, asked, n, n, whole=True), "again")
-    roots = stash(components(similar_links(members, again.select(F.inline("sets")), threshold, small, task_members)), "roots")
+    roots = components(similar_links(members, again.select(F.inline("sets")), threshold, small, task_members))
     discard(members, again)
     named = units.select("doc", "id", "h1", "h2", F.get("lines", F.lit(0))["pid"].alias("pid"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
     placed = stash(named.join(roots, named["pid"] == roots["node"], "left").select("doc", "id", "h1", "h2", F.coalesce("root", "pid").alias("root")), "placed")
-    first = stash(placed.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc").alias("first"), F.min_by("id", "doc").alias("first_id")), "first")
+    first = placed.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc").alias("first"), F.min_by("id", "doc").alias("first_id"))
     out = placed.join(first, placed["root"] == first["of"], "left")
     alone = F.col("of").isNull()
     return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first_id")).alias("component_id"), (alone | (F.col("doc") == F.col("first"))).alias("kept"), "h1", "h2")

@@ -116,11 +116,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = stash(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
     fps = stash(base.select("fp").distinct(), "fps")
-    roots = stash(components(links(fps, cap)), "roots")
+    roots = components(links(fps, cap))
     classes = base.join(roots, base["fp"] == roots["node"], "left").select("id", "h1", "h2", "fp", F.coalesce("root", "fp").alias("root"))
     classes = stash(classes, "classes")
-    first = stash(classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))).alias("first")), "first")
-    discard(base, fps, roots)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))).alias("first"))
+    discard(base, fps)
     return classes.join(first, "root").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"),
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))).alias("kept"), "h1", "h2",
