@@ -71,8 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # level 0: a row for each block of a text, with its name
     spread = base.select("rid", F.posexplode("hs").alias("pos", "h"))
-    level = stash(spread.join(names, "h").select("rid", "pos", "name"), "level")
-    discard(names)
+    level, used = spread.join(names, "h").select("rid", "pos", "name"), names
     done, depth = [], 0
     while True:
         # texts with a single name are through; the others name their adjacent pairs
@@ -83,23 +82,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # blocks are numbered without gaps, so a lone block at position 0 is a whole text
         done.append((depth, pairs.filter("not more").select("rid", F.col("a").alias("name"))))
         todo = pairs.filter("more")
-        discard(level)
+        discard(used)
         if is_empty(todo):
             break
         depth += 1
         named = stash(todo.groupBy("a", "b").count().orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), "pairnames")
-        level = stash(todo.join(named, ["a", "b"]).select("rid", "pos", "name"), "level")
-        discard(named)
+        level, used = todo.join(named, ["a", "b"]).select("rid", "pos", "name"), named
     identity = None
     for at, part in done:
         part = part.select("rid", F.lit(at).alias("depth"), "name")
         identity = part if identity is None else identity.unionByName(part)
     whole = stash(base.drop("hs").join(identity, "rid"), "whole")
-    groups = stash(
-        whole.groupBy("depth", "name").agg(
-            F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("first"), F.count("*").alias("group_size")
-        ),
-        "groups",
+    groups = whole.groupBy("depth", "name").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("first"), F.count("*").alias("group_size")
     )
     out = whole.join(groups, ["depth", "name"])
     return out.select(
