@@ -39,10 +39,14 @@ def _route(block, bits: int | None):
 
 
 def name_blocks(docs: DataFrame, text_col: str, size: int, bits: int | None) -> tuple[DataFrame, bool]:
-    """(h, name) of every distinct block, names in the order of the blocks, and whether each h stands
-    for one block."""
+    """(h, name) of every distinct block, and whether each h stands for one block.
+
+    Blocks are sorted within the partitions that their distinct values are dealt to, and numbered
+    through all of them. (One order over all partitions gave the same groups, but its range bounds
+    are drawn from whole blocks on the driver: 37 MB from 0.5 GB.)
+    """
     blocks = docs.select(normalised(text_col).cast("binary").alias("b")).select(F.explode(_blocks(size)).alias("block"))
-    ordered = blocks.distinct().orderBy("block")
+    ordered = blocks.distinct().sortWithinPartitions("block")
     names = stash(ordered.select(_route(F.col("block"), bits).alias("h"), F.monotonically_increasing_id().alias("name")), "names")
     return names, bits is None or is_empty(names.groupBy("h").count().filter("count > 1"))
 
@@ -86,7 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if is_empty(todo):
             break
         depth += 1
-        named = stash(todo.groupBy("a", "b").count().orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), "pairnames")
+        named = stash(todo.groupBy("a", "b").count().sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), "pairnames")
         level, used = todo.join(named, ["a", "b"]).select("rid", "pos", "name"), named
     identity = None
     for at, part in done:
