@@ -39,6 +39,8 @@ _BASE = 0xD1342543DE82EF95
 #: Words of a passage, and words hashed for the choice of seeds.
 PASSAGE, SEED = 50, 12
 LEADER_ROUNDS = 3
+#: Numbers (of texts, of buckets) that may be broadcast, 16 MB; more of them are joined by a shuffle.
+FEW = 1 << 21
 #: Distinct lines of a bucket that may meet in one task.
 TASK_MEMBERS = 20_000
 
@@ -267,13 +269,22 @@ def _reread(n: int, least: int, whole: bool):
     return run
 
 
+def few(numbers: DataFrame) -> DataFrame:
+    """A stashed column of numbers, to be broadcast if there are FEW at most."""
+    return F.broadcast(numbers) if numbers.count() <= FEW else numbers
+
+
 def reread(units: DataFrame, needs: DataFrame | None, asked: DataFrame, n: int, least: int, whole: bool = False) -> DataFrame:
     """The texts that needs(doc, needs) or asked(doc, starts) name are read once more."""
     if needs is None:
         both = asked.select(F.col("doc").alias("d"), F.lit(None).cast("array<struct<start:int,stop:int,seed:bigint>>").alias("needs"), "starts")
     else:
         both = needs.join(asked, "doc", "full").withColumnRenamed("doc", "d")
-    rows = units.select("doc", "b").join(both, F.col("doc") == F.col("d")).select("doc", "b", "needs", "starts")
+    both = stash(both, "named")
+    texts = units.select("doc", "b")
+    # the texts that nobody asks for stay where they are, or at least are not sorted
+    texts = texts.join(few(both.select(F.col("d").alias("asking"))), F.col("doc") == F.col("asking"), "left_semi")
+    rows = texts.join(both, F.col("doc") == F.col("d")).select("doc", "b", "needs", "starts")
     return rows.mapInArrow(_reread(n, least, whole), "doc bigint, windows array<struct<start int, stop int, seed bigint, wid bigint>>, sets array<struct<pid bigint, set array<bigint>>>")
 
 
@@ -303,8 +314,9 @@ def _shared_bands(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (bucket, pid) of the bands that distinct lines share, and where each such line is first
     found, as (doc, starts)."""
     banded = lines.select("pid", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket")
-    members = stash(banded.join(shared, "bucket").select("bucket", "pid").distinct(), "members")
+    shared = stash(banded.groupBy("bucket").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).filter("low <> high").select("bucket"), "shared")
+    members = stash(banded.join(few(shared), "bucket").select("bucket", "pid").distinct(), "members")
+    discard(shared)
     wanted = members.select("pid").distinct()
     asked = _firsts(lines.filter(F.size("bands") > 0).join(wanted, "pid", "left_semi"), "pid")
     return members, asked.groupBy(F.col("keep").alias("doc")).agg(F.collect_list((F.col("first") - F.col("keep")).cast("int")).alias("starts"))
@@ -430,12 +442,13 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needs = kinds.join(open_, "seed").groupBy(F.col("keep").alias("doc")).agg(F.collect_list(F.struct((F.col("first") - F.col("keep")).cast("int").alias("start"), "stop", "seed")).alias("needs"))
     members, asked = _shared_bands(lines)
     again = stash(reread(units, needs, asked, n, least), "again")
+    discard(kinds)
     # what the first copy of a segment loses, all its copies lose too: they are removed whole already
     windows = again.select("doc", F.inline("windows"))
     later = stash(_later(windows, _firsts(windows, "seed", "wid"), "seed", "wid"), "later")
     links = similar_links(members, again.select(F.inline("sets")), threshold, small, task_members)
     roots = stash(components(links), "roots")
-    discard(kinds, members, again)
+    discard(members, again)
     # lines that occur once and are similar to none are through
     often = lines.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
     often = often.unionByName(roots.select(F.col("node").alias("pid"))).distinct()
