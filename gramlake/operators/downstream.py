@@ -13,17 +13,19 @@ from gramlake.operators.spectral import effective_rank, eigen
 
 
 def scaling(train: DataFrame) -> DataFrame:
-    """EV1: one row (mean, std) of arrays: population statistics by dimension; no variance gives std 1."""
-    long = train.select(F.posexplode("features").alias("pos", "x"))
-    stats = long.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    packed = F.sort_array(F.collect_list(F.struct("pos", "m", F.when(F.col("s") > 1e-12, F.col("s")).otherwise(F.lit(1.0)).alias("s"))))
-    return stats.agg(packed.alias("p")).select(F.transform("p", lambda x: x["m"]).alias("mean"), F.transform("p", lambda x: x["s"]).alias("std"))
+    """EV1: one row (mean, std, n): population statistics by dimension; no variance gives std 1. They are
+    the column sums and the Gram's diagonal of one pass, in which rows fold where they lie."""
+    sums = pool_grams(train.select("features"), [])
+    mean = F.transform("colsum", lambda c: c / F.col("n"))
+    square = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: F.element_at("gram", (i * (F.col("d") + 1) + 1).cast("int")) / F.col("n"))
+    std = F.transform(F.zip_with(square, mean, lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0)))), lambda s: F.when(s > 1e-12, s).otherwise(F.lit(1.0)))
+    return sums.select(mean.alias("mean"), std.alias("std"), "n")
 
 
 def scale(df: DataFrame, stats: DataFrame) -> DataFrame:
     """df with features standardised; stats is one row, so its size is fixed."""
     scaled = F.zip_with(F.zip_with("features", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
-    return df.crossJoin(F.broadcast(stats)).withColumn("features", scaled).drop("mean", "std")
+    return df.crossJoin(F.broadcast(stats)).withColumn("features", scaled).drop("mean", "std", "n")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
@@ -43,13 +45,18 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int = 2048
         if a.num_rows and b.num_rows:
             x, q = (np.stack(c.to_pylist()).astype(float) for c in (a.column("t"), b.column("features")))
             ids, labels = a.column("train_id").to_numpy(), a.column("train_label").to_numpy()
+            # squared distances by a product of the blocks; those that may be nearest are measured anew
+            rough = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
+            at = min(k, len(x)) - 1
+            near = rough <= np.partition(rough, at, 1)[:, at, None] + 1e-9 * (1 + np.abs(rough).max())
             for i, row in enumerate(b.column("row_id").to_pylist()):
-                d = np.sqrt(((x - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids, d))[:k]
+                own = np.flatnonzero(near[i])
+                d = np.sqrt(((x[own] - q[i]) ** 2).sum(1))
+                best = np.lexsort((ids[own], d))[:k]
                 out["row_id"] += [row] * len(best)
                 out["d"] += d[best].tolist()
-                out["train_id"] += ids[best].tolist()
-                out["train_label"] += labels[best].tolist()
+                out["train_id"] += ids[own[best]].tolist()
+                out["train_label"] += labels[own[best]].tolist()
         return pa.table({"row_id": pa.array(out["row_id"], pa.int64()), "d": pa.array(out["d"], pa.float64()), "train_id": pa.array(out["train_id"], pa.int64()), "train_label": pa.array(out["train_label"], pa.int32())})
 
     near = left.withColumn("tb", F.col("tb").cast("bigint")).groupBy("tb", "qb").cogroup(right.groupBy("tb", "qb")).applyInArrow(run, "row_id bigint, d double, train_id bigint, train_label int")
@@ -63,17 +70,29 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
+#: Bytes of features in a partition of the fit, which visits each partition in every iteration, and
+#: classes that a model of one row of weights for each may have.
+FIT_BYTES, MOST_CLASSES = 32 << 20, 100_000
+
+
 def linear_probe(train: DataFrame, test: DataFrame, max_iter: int = 1000, c: float = 1.0) -> DataFrame:
     """EV2: (row_id, label, predicted) by multinomial logistic regression on standardised features."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    stats = scaling(train)
+    row = scaling(train).first()
+    n, d = (row["n"], len(row["mean"])) if row else (0, 0)
+    stats = train.sparkSession.createDataFrame([(row["mean"], row["std"])] if row else [], "mean array<double>, std array<double>")
     tr, te = (scale(df, stats).select("row_id", "label", array_to_vector("features").alias("features")) for df in (train, test))
-    n = train.count()
     # labels as 0, 1, ...; at least two, as the model needs
+    tr = tr.coalesce(max(1, -(-n * d * 8 // FIT_BYTES))).persist()
     classes = tr.select("label").distinct().withColumn("y", (F.row_number().over(Window.orderBy("label")) - 1).cast("double"))
-    model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, labelCol="y").fit(tr.join(F.broadcast(classes), "label"))
+    y = F.broadcast(train.sparkSession.createDataFrame(classes.limit(MOST_CLASSES + 1).collect(), classes.schema))
+    if y.count() > MOST_CLASSES:
+        raise ValueError(f"over {MOST_CLASSES} classes")
+    model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, labelCol="y").fit(tr.join(y, "label"))
+    tr.unpersist()
+    classes = y
     found = model.transform(te).select("row_id", "label", F.col("prediction").alias("y"))
     return found.join(F.broadcast(classes.select(F.col("label").alias("predicted"), "y")), "y").select("row_id", "label", "predicted")
 

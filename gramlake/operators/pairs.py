@@ -135,10 +135,10 @@ def multiscale(pairs: DataFrame, scales: tuple[int, ...] = (10, 20, 50)) -> Data
                 out.append([(k, float(np.sum((a[:, :m].T @ b[:, :m]) ** 2) / m)) for k in scales for m in [min(k, ka, kb)]])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(out, pa.map_(pa.int32(), pa.float64()))], names=[*ids, "scales"])
 
-    long = pairs.select(*ids, "basis_a", "k_a", "basis_b", "k_b").mapInArrow(run, schema).select(*ids, F.explode("scales").alias("k", "sa"))
-    wide = long.groupBy(*ids).pivot("k", list(scales)).agg(F.first("sa"))
-    mean = sum(F.col(str(k)) for k in scales) / len(scales)
-    return wide.select(*ids, *(F.col(str(k)).alias(f"sa_{k}") for k in scales), mean.alias("sa_mean"), (1 - mean).alias("gain_mean"))
+    found = pairs.select(*ids, "basis_a", "k_a", "basis_b", "k_b").mapInArrow(run, schema)
+    at = {k: F.col("scales")[F.lit(k)] for k in scales}
+    mean = sum(at.values()) / len(scales)
+    return found.select(*ids, *(c.alias(f"sa_{k}") for k, c in at.items()), mean.alias("sa_mean"), (1 - mean).alias("gain_mean"))
 
 
 def merged_spectrum(pairs: DataFrame) -> DataFrame:
@@ -196,29 +196,51 @@ def grassmann_loss(pairs: DataFrame, clamp: float | None = None) -> DataFrame:
     return pairs.groupBy("probe").agg(F.sum(F.pow(grassmann("__c"), 2)).alias("loss"))
 
 
-def karcher_mean(summaries: DataFrame, rounds: int = 10) -> DataFrame:
-    """PW6: (probe, d, k, basis), a mean subspace of each probe's bases.
+def subspace_tangents(at: np.ndarray, bases: np.ndarray) -> np.ndarray:
+    """Logarithm map on the Grassmann manifold: (m, d, k) tangents at one basis (d, k) towards m others.
 
-    Starts at the first pool in order of name and repeats: average the tangents towards all bases
-    (residual directions by principal angle), step along the average. Bases are cut to the smallest
-    k of the probe. One row for each pool meets in a task, d x k numbers each.
+    By principal vectors: each angle turns a direction of the space at hand towards one of the other's,
+    along the part of the latter that is orthogonal to the former.
+    """
+    p, cos, qt = np.linalg.svd(at.T @ bases)
+    x, y = at @ p, bases @ qt.transpose(0, 2, 1)
+    across = y - x * cos[:, None, :]
+    sin = np.linalg.norm(across, axis=1)
+    turn = np.divide(np.arctan2(sin, cos), sin, out=np.zeros_like(sin), where=sin > 1e-12)
+    return (across * turn[:, None, :]) @ p.transpose(0, 2, 1)
+
+
+def subspace_step(at: np.ndarray, tangent: np.ndarray) -> np.ndarray:
+    """Exponential map: the basis that a tangent leads to, with orthonormal columns."""
+    u, s, wt = np.linalg.svd(tangent, full_matrices=False)
+    moved = (at @ wt.T * np.cos(s) + u * np.sin(s)) @ wt
+    left, _, right = np.linalg.svd(moved, full_matrices=False)
+    return left @ right
+
+
+def mean_subspace(bases: np.ndarray, rounds: int = 50, tolerance: float = 1e-10) -> np.ndarray:
+    """The subspace whose tangents towards all bases cancel out, reached from the first of them."""
+    mean = bases[0]
+    for _ in range(rounds):
+        pull = subspace_tangents(mean, bases).mean(0)
+        if np.linalg.norm(pull) < tolerance:
+            break
+        mean = subspace_step(mean, pull)
+    return mean
+
+
+def karcher_mean(summaries: DataFrame, rounds: int = 50) -> DataFrame:
+    """PW6: (probe, d, k, basis), the Karcher mean of each probe's bases, in order of name.
+
+    Bases are cut to the smallest k of the probe. One row for each pool meets in a task, d x k
+    numbers each.
     """
-
-    def tangent(v, b):
-        m = v.T @ b
-        theta = np.arccos(np.clip(np.linalg.svd(m, compute_uv=False), -1.0, 1.0))
-        q = np.linalg.qr(b - v @ m)[0][:, : v.shape[1]]
-        return q * theta
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["pool_id"])
         k = min(r["k"] for r in rows)
-        bases = [np.array(r["basis"]).reshape(-1, r["k"])[:, :k] for r in rows]
-        v = bases[0]
-        for _ in range(rounds if len(bases) > 1 else 0):
-            u, s, w = np.linalg.svd(sum(tangent(v, b) for b in bases) / len(bases), full_matrices=False)
-            v = np.linalg.qr((v @ w.T) * np.cos(s) + u * np.sin(s))[0][:, :k]
-        return pa.table({"probe": [rows[0]["probe"]], "d": pa.array([v.shape[0]], pa.int32()), "k": pa.array([k], pa.int32()), "basis": pa.array([v.ravel()], pa.list_(pa.float64()))})
+        mean = mean_subspace(np.stack([np.array(r["basis"]).reshape(-1, r["k"])[:, :k] for r in rows]), rounds)
+        return pa.table({"probe": [rows[0]["probe"]], "d": pa.array([mean.shape[0]], pa.int32()), "k": pa.array([k], pa.int32()), "basis": pa.array([mean.ravel()], pa.list_(pa.float64()))})
 
     return summaries.select("probe", "pool_id", "k", "basis").groupBy("probe").applyInArrow(run, "probe string, d int, k int, basis array<double>")
 

@@ -117,22 +117,27 @@ SCORES = {"prediction": score_prediction, "vendi": score_vendi, "direction": sco
 class Pools:
     """Summaries (pool_id, n, d, gram, r_eff, vendi) for sequential strategies.
 
-    Small frames come to the driver once; larger ones stay, and rounds are jobs.
+    Small frames come to the driver once; larger ones stay persisted, and rounds are jobs. Either way
+    the features behind the summaries are read once; release() gives a large frame back.
     """
 
     def __init__(self, summaries: DataFrame, local_bytes: int = LOCAL_BYTES):
-        self.frame = summaries.select("pool_id", "n", "d", "gram", "r_eff", "vendi", "colsum")
+        self.frame = summaries.select("pool_id", "n", "d", "gram", "r_eff", "vendi", "colsum").persist()
         size = self.frame.agg(F.sum(8 * (F.size("gram").cast("long") + F.col("d")))).first()[0] or 0
         self.local = size <= local_bytes
         self.ids: dict[str, dict] = {}
         if self.local:
             self.ids = {r["pool_id"]: r for r in map(self._unpack, self.frame.collect())}
             light = self.ids.values()
+            self.frame.unpersist()
         else:
             light = [r.asDict() for r in self.frame.select("pool_id", "n", "d", "r_eff", "vendi").collect()]
         self.light = {r["pool_id"]: {k: r[k] for k in ("r_eff", "vendi")} for r in light}
         self.names = sorted(self.light)
 
+    def release(self) -> None:
+        self.frame.unpersist()
+
     @staticmethod
     def _unpack(row) -> dict:
         d = row["d"]
@@ -197,10 +202,46 @@ def rounds_frame(spark, rounds: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["round"], r["selected"], r["score"], r["all_scores"]) for r in rounds], "round int, selected string, score double, all_scores map<string,double>")
 
 
-def farthest_first(centroids: DataFrame, k: int, start: list[str] | None = None) -> list[str]:
+def _gap(a: np.ndarray, b: np.ndarray) -> float:
+    return round(float(np.linalg.norm(a - b)), 9)
+
+
+def farthest_first(centroids: DataFrame | dict[str, np.ndarray], k: int, start: list[str] | None = None, local_bytes: int = LOCAL_BYTES) -> list[str]:
     """SEL7: (pool_id, centroid) -> ordered names. The seed lies farthest from the mean centroid; then
-    the pool whose nearest chosen one is farthest. Only the chosen centroid moves between rounds.
+    the pool whose nearest chosen one is farthest. Centroids come to the driver once if they are
+    small, and may be given as a dict; larger ones stay, and only the chosen one moves between rounds.
     """
+    if isinstance(centroids, DataFrame):
+        centroids = centroids.persist()
+        size = centroids.agg(F.sum(8 * F.size("centroid").cast("long"))).first()[0] or 0
+        if size > local_bytes:
+            try:
+                return _farthest_far(centroids, k, start)
+            finally:
+                centroids.unpersist()
+        at = local_centroids(centroids)
+        centroids.unpersist()
+    else:
+        at = centroids
+    names = sorted(at)
+    if not start:
+        mean = np.mean([at[n] for n in names], 0) if names else None
+        start = [min(names, key=lambda n: (-_gap(at[n], mean / max(np.linalg.norm(mean), 1e-300)), n))] if names else []
+    chosen = list(start)
+    nearest = {n: min(_gap(at[n], at[c]) for c in chosen) for n in names} if chosen else {}
+    while len(chosen) < min(k, len(names)):
+        pick = min((n for n in names if n not in chosen), key=lambda n: (-nearest[n], n))
+        chosen.append(pick)
+        nearest = {n: min(v, _gap(at[n], at[pick])) for n, v in nearest.items()}
+    return chosen[:k]
+
+
+def local_centroids(centroids: DataFrame) -> dict[str, np.ndarray]:
+    return {r["pool_id"]: np.array(r["centroid"]) for r in centroids.select("pool_id", "centroid").collect()}
+
+
+def _farthest_far(centroids: DataFrame, k: int, start: list[str] | None) -> list[str]:
+    """The same over a frame that stays on the executors, persisted."""
     if not start:
         mean = centroids.select(F.posexplode("centroid").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("v")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("m"))
         far = centroids.crossJoin(F.broadcast(mean)).select("pool_id", F.round(V.distance("centroid", V.unit("m")), 9).alias("d"))
@@ -241,8 +282,18 @@ def rank_order(summaries: DataFrame, k: int) -> DataFrame:
     return top_pools(summaries, k)
 
 
+#: Pools whose full similarity matrix the driver may hold (a hundred million numbers).
+MATRIX_POOLS = 10_000
+
+
+def _fits_driver(names: list[str]) -> None:
+    if len(names) > MATRIX_POOLS:
+        raise ValueError(f"{len(names)} pools: their similarity matrix is too large for the driver (MATRIX_POOLS = {MATRIX_POOLS})")
+
+
 def facility_location(similarity: dict[tuple[str, str], float], names: list[str], k: int) -> list[str]:
     """SEL13: greedy maximum of the sum over pools of their best similarity to a chosen one."""
+    _fits_driver(names)
     best, chosen = dict.fromkeys(names, 0.0), []
     while len(chosen) < min(k, len(names)):
         gain = {c: round(sum(max(best[n], similarity[n, c]) for n in names), 9) for c in names if c not in chosen}
@@ -275,6 +326,8 @@ def exhaustive(grams: DataFrame, k: int) -> DataFrame:
     from gramlake.operators.gram import sum_grams
 
     names = [r[0] for r in grams.select("pool_id").orderBy("pool_id").collect()]
+    if math.comb(len(names), k) > MATRIX_POOLS**2 // 100:
+        raise ValueError(f"{math.comb(len(names), k)} subsets are too many to enumerate")
     subsets = grams.sparkSession.createDataFrame([(i, list(s)) for i, s in enumerate(combinations(names, k))], "subset_id int, subset array<string>")
     members = subsets.select("subset_id", F.explode("subset").alias("pool_id")).join(grams, "pool_id").select("subset_id", "n", "gram", "colsum")
 
@@ -317,6 +370,13 @@ def compare_strategies(spark, summaries: DataFrame, centroids: DataFrame, domain
     """SEL19: a row for each budget, strategy and seed: chosen pools, rank, Vendi score and retention."""
     pools = Pools(summaries)
     full, m, rows = pools.stack(pools.names).rank, len(pools.names), []
+    if pools.local:
+        # as small as the summaries: one collect serves all strategies
+        centroids = local_centroids(centroids)
+        own = [(n, pools.light[n]["r_eff"]) for n in pools.names]
+        summaries = spark.createDataFrame([("", *x) for x in own], "probe string, pool_id string, r_eff double")
+        found = {r["pool_id"]: r["domain"] for r in domains.collect()}
+        domains = spark.createDataFrame(list(found.items()), "pool_id string, domain string")
     drawn = {(r["seed"], r["round"]): r["pool_id"] for r in random_pools(summaries, max(budgets), seeds).collect()}
     for k in budgets:
         plans = {

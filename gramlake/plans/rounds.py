@@ -102,12 +102,12 @@ def delta_dir_greedy(spark, sf):
 
 @query("hybrid_col_cen")
 def hybrid_col_cen(spark, sf):
-    return names_frame(spark, S.hybrid_predict_then_spread(S.Pools(summaries(spark, sf)), centroids(spark, sf), 5))
+    return _hybrid(spark, sf, lambda p, c: S.hybrid_predict_then_spread(p, c, 5))
 
 
 @query("hybrid_cen_col")
 def hybrid_cen_col(spark, sf):
-    return names_frame(spark, S.hybrid_spread_then_predict(S.Pools(summaries(spark, sf)), centroids(spark, sf), 5))
+    return _hybrid(spark, sf, lambda p, c: S.hybrid_spread_then_predict(p, c, 5))
 
 
 @query("hybrid_col_dom")
@@ -154,7 +154,18 @@ def clone_attack(spark, sf):
 @query("strategy_grid")
 def strategy_grid(spark, sf):
     s = summaries(spark, sf).persist()
-    return S.compare_strategies(spark, s, centroids(spark, sf).persist(), domains(spark, sf), [3, 5], [1, 2, 3])
+    c = s.select("pool_id", G.centroid().alias("centroid"))
+    out = S.compare_strategies(spark, s, c, domains(spark, sf), [3, 5], [1, 2, 3])
+    s.unpersist()
+    return out
+
+
+def _hybrid(spark, sf, choose):
+    """The choice of a hybrid strategy over summaries and the centroids that they hold."""
+    s = summaries(spark, sf).persist()
+    names = choose(S.Pools(s), s.select("pool_id", G.centroid().alias("centroid")))
+    s.unpersist()
+    return names_frame(spark, names)
 
 
 # ---- evaluators ------------------------------------------------------------------------------
@@ -215,13 +226,13 @@ def mean_over_targets(spark, sf):
 @query("linear_probe")
 def linear_probe(spark, sf):
     train, test = sets(spark, sf)
-    return D.accuracy(D.linear_probe(train, test, 100))
+    return D.accuracy(D.linear_probe(train, test))
 
 
 @query("fair_lp")
 def fair_lp(spark, sf):
     train, test = sets(spark, sf)
-    return D.accuracy(D.fair_probe(pools(spark, sf), ["p0", "p1", "p2"], train, test, 100))
+    return D.accuracy(D.fair_probe(pools(spark, sf), ["p0", "p1", "p2"], train, test))
 
 
 @query("augmented_knn")
@@ -283,8 +294,33 @@ def transfer_bundle(spark, sf):
 @query("synthetic_grid")
 def synthetic_grid(spark, sf):
     """GEN3: prediction against measurement where the truth is controlled; one row."""
-    alphas, gammas, _, d, k, n = SY.MINI
-    return ST.grid_summary(SY.grid(spark, alphas, gammas, 1, d, k, n), "r_merged", "r_pred", "is_superadditive")
+    return ST.grid_summary(SY.grid(spark, *SY.MINI), "r_merged", "r_pred", "is_superadditive")
+
+
+@query("synthetic_grid_full")
+def synthetic_grid_full(spark, sf):
+    """GEN2: the same over all 280 settings."""
+    return ST.grid_summary(SY.grid(spark, *SY.FULL), "r_merged", "r_pred", "is_superadditive")
+
+
+@query("best_subset_regret")
+def best_subset_regret(spark, sf):
+    """SEL15: what each strategy's three pools lose against the best three of all, in percent, and how many
+    of the best it picks."""
+    s = summaries(spark, sf).persist()
+    best = S.exhaustive(s.select("pool_id", "n", "gram", "colsum"), 3).first()
+    p = S.Pools(s)
+    c = S.local_centroids(s.select("pool_id", G.centroid().alias("centroid")))
+    picks = {"prediction": [r["selected"] for r in S.greedy(p, 3)], "vendi": [r["selected"] for r in S.greedy(p, 3, "vendi")], "farthest_first": S.farthest_first(c, 3), "max_rank": sorted(p.names, key=lambda n: (-round(p.light[n]["r_eff"], 9), n))[:3]}
+    rows = [(name, chosen, S.regret(best["r_eff"], p.stack(chosen).rank), len(set(chosen) & set(best["subset"])) / 3) for name, chosen in picks.items()]
+    s.unpersist()
+    return spark.createDataFrame(rows, "strategy string, selected array<string>, regret_pct double, recall double")
+
+
+@query("regime_guide", "SELECT CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, CASE WHEN m = 0 THEN 'hybrid_spread_then_predict' WHEN k <= 0.2 * m THEN 'prediction' ELSE 'farthest_first' END AS strategy FROM range(1, 11) a(k), (VALUES (0), (5), (10), (50)) b(m)")
+def regime_guide(spark, sf):
+    """SEL17 over budgets k of m pools; m = 0 stands for an unknown number."""
+    return spark.createDataFrame([(k, m, S.recommend(k, m or None)) for k in range(1, 11) for m in (0, 5, 10, 50)], "k int, m int, strategy string")
 
 
 @query("synthetic_generators")

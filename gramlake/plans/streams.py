@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from gramlake.plans.fixtures import pools, sql_pools
 from gramlake.plans.registry import query
 from gramlake.plans.unary import R
-from gramlake.streaming.fold import read_fold, start_fold, windowed_rates
+from gramlake.streaming.fold import compact_fold, read_fold, start_fold, windowed_rates
 
 
 def scratch(spark) -> str:
     """A folder that executors share; a local master may use its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root or tempfile.gettempdir()}/gramlake-stream-{uuid.uuid4().hex}"
 
 
@@ -26,6 +28,7 @@ def stream_gram_d2(spark, sf):
     rows.repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     start_fold(stream, f"{root}/out", f"{root}/progress").awaitTermination()
+    compact_fold(spark, f"{root}/out")
     f = read_fold(spark, f"{root}/out")
     return f.select("pool_id", "n", R("g11", F.element_at("gram", 1)), R("g12", F.element_at("gram", 2)), R("g22", F.element_at("gram", 4)))
 

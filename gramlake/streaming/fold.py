@@ -2,7 +2,9 @@
 
 Gram matrices add, so a stream of feature rows is folded into (pool, n, gram, colsum) state one
 micro-batch at a time. Each batch writes its own deltas under its batch id, which makes a replayed
-batch overwrite itself (exactly once); readers add deltas up, and compaction replaces them.
+batch overwrite itself (exactly once); readers add deltas up. Compaction adds all deltas up to a
+batch into one sum named after that batch; readers take the latest sum and the deltas after it, so
+a compaction that breaks off changes nothing.
 """
 
 from __future__ import annotations
@@ -24,10 +26,34 @@ def start_fold(stream: DataFrame, target: str, checkpoint: str, trigger: dict |
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _parts(spark: SparkSession, target: str) -> tuple[int, list[str]]:
+    """(last batch in the latest whole sum or -1, folders to read): that sum and the deltas after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory() and fs.exists(done(f.getPath(), "_SUCCESS"))]
+    last = max((int(n[4:]) for n in names if n.startswith("sum=")), default=-1)
+    return last, [f"{target}/{n}" for n in names if n == f"sum={last}" or n.startswith("batch=") and int(n[6:]) > last]
+
+
 def read_fold(spark: SparkSession, target: str) -> DataFrame:
     """The summaries of all rows folded so far."""
-    deltas = spark.read.parquet(target).drop("batch")
-    return sum_grams(deltas, KEYS).withColumn("d", F.size("colsum"))
+    parts = spark.read.parquet(*_parts(spark, target)[1])
+    return sum_grams(parts, KEYS).withColumn("d", F.size("colsum"))
+
+
+def compact_fold(spark: SparkSession, target: str) -> None:
+    """Add the deltas so far into one sum and remove what it replaces. Between batches only: a batch
+    that is replayed after it would count twice."""
+    last, folders = _parts(spark, target)
+    upto = max((int(f.rsplit("=", 1)[1]) for f in folders), default=-1)
+    if upto <= last:
+        return
+    read_fold(spark, target).drop("d").write.mode("overwrite").parquet(f"{target}/sum={upto}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in folders:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def windowed_rates(stream: DataFrame, time_col: str, by: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

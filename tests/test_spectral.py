@@ -235,6 +235,78 @@ def test_karcher_of_one_space(spark, mats):
     assert np.allclose(v @ v.T, b @ b.T, atol=1e-6)
 
 
+def test_mean_subspace():
+    """Two spaces: the geodesic's middle; several: tangents cancel, and any rotation of a basis is the same."""
+    r = np.random.default_rng(3)
+    a, b, c = (np.linalg.qr(r.normal(size=(9, 3)))[0] for _ in range(3))
+    angles = lambda x, y: np.linalg.norm(np.arccos(P.principal_cosines(x, y)))
+    m = P.mean_subspace(np.stack([a, b]))
+    assert np.isclose(angles(a, m), angles(b, m), atol=1e-6) and np.isclose(angles(a, m) + angles(b, m), angles(a, b), atol=1e-6)
+    assert np.allclose(P.subspace_step(a, P.subspace_tangents(a, b[None])[0]) @ P.subspace_step(a, P.subspace_tangents(a, b[None])[0]).T, b @ b.T, atol=1e-9)
+    near = np.stack([np.linalg.qr(a + 0.2 * r.normal(size=a.shape))[0] for _ in range(5)])
+    m = P.mean_subspace(near)
+    assert np.linalg.norm(P.subspace_tangents(m, near).mean(0)) < 1e-9
+    turned = P.mean_subspace(near @ np.linalg.qr(r.normal(size=(3, 3)))[0])
+    assert np.allclose(m @ m.T, turned @ turned.T, atol=1e-8)
+    lines = np.array([[[np.cos(t)], [np.sin(t)]] for t in (0.3, -0.3, np.pi)])
+    assert np.allclose(np.abs(P.mean_subspace(lines)[:, 0]), [1, 0], atol=1e-8)
+    # a right angle has a direction too
+    assert np.isclose(np.linalg.norm(P.subspace_tangents(np.eye(3)[:, :1], np.eye(3)[None, :, 1:2])), np.pi / 2)
+
+
+def test_summaries_are_read_once(spark, sf):
+    """Both halves of a hybrid, and all strategies, fold the features once."""
+    from pyspark.sql import functions as F
+
+    from gramlake.operators import select as S
+    from gramlake.plans import fixtures
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = fixtures.pools(spark, sf)
+    total = rows.count()
+    s = SP.summarise(G.pool_grams(rows.mapInArrow(count, rows.schema))).persist()
+    S.hybrid_spread_then_predict(S.Pools(s), s.select("pool_id", G.centroid().alias("centroid")), 5)
+    S.compare_strategies(spark, s, s.select("pool_id", G.centroid().alias("centroid")), spark.createDataFrame([("p0", "d")], "pool_id string, domain string"), [3], [1])
+    s.unpersist()
+    assert seen.value == total
+
+
+def test_farthest_first_near_and_far(spark, sf):
+    from gramlake.operators import select as S
+    from gramlake.plans import fixtures
+
+    c = G.pool_grams(fixtures.pools(spark, sf)).select("pool_id", G.centroid().alias("centroid"))
+    assert S.farthest_first(c, 5) == S.farthest_first(c, 5, local_bytes=0)
+
+
+def test_two_nn_in_blocks(spark, sf):
+    from gramlake.plans import fixtures
+
+    rows = fixtures.pools(spark, sf)
+    one, many = ({r["pool_id"]: (r["n"], round(r["uid"], 9)) for r in SP.two_nn(rows, block=b).collect()} for b in (2048, 7))
+    assert one == many and len(one) == 10
+
+
+def test_compaction_of_a_fold(spark, tmp_path):
+    from gramlake.streaming import fold
+
+    for i in range(3):
+        G.pool_grams(frame(spark, {"x": np.eye(4)[i : i + 2]}), fold.KEYS).drop("d").write.parquet(f"{tmp_path}/batch={i}")
+    read = lambda: [(r["pool_id"], r["n"], list(r["gram"])) for r in fold.read_fold(spark, str(tmp_path)).collect()]
+    before = read()
+    fold.compact_fold(spark, str(tmp_path))
+    fold.compact_fold(spark, str(tmp_path))
+    import os
+
+    assert read() == before and [n for n in os.listdir(tmp_path) if "=" in n] == ["sum=2"]
+
+
 def test_vectors(spark):
     r = spark.range(1).select(V.running(F.array(*map(F.lit, [1.0, 2.0, 3.0]))).alias("c"), V.unit(F.array(F.lit(0.0), F.lit(0.0))).alias("z")).first()
     assert r["c"] == [1.0, 3.0, 6.0] and r["z"] == [0.0, 0.0]
