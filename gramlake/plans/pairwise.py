@@ -10,7 +10,7 @@ from gramlake.operators import gram as G
 from gramlake.operators import pairs as P
 from gramlake.operators import spectral as SP
 from gramlake.plans.fixtures import pools, sql_pairs, sql_pools, sql_predict, sql_rho, sql_share, summaries, table
-from gramlake.plans.registry import query
+from gramlake.plans.registry import ORACLES, query
 from gramlake.plans.unary import R
 
 _BASE = f"WITH {sql_pools()}, {sql_pairs()}"
@@ -123,11 +123,14 @@ def centroid_distances(spark, sf):
     return P.pool_pairs(c).select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), R("d", V.distance("c_a", "c_b")))
 
 
-@query("ssr_pairs_d2", None)
+_UID = ORACLES["uid_twonn"].replace("round(1 / (ln(2)", "1 / (ln(2)").replace("END)), 6) AS uid", "END)) AS uid")
+
+
+@query("ssr_pairs_d2", f"{_BASE}, uq AS ({_UID}) SELECT ds_a, ds_b, CASE WHEN uid >= 1e-6 AND sa >= 1e-6 THEN round(r_b / (sa * uid * ln(3)), 4) END AS ssr FROM pr JOIN uq ON uq.pool_id = ds_b")
 def ssr_pairs_d2(spark, sf):
     uid = SP.two_nn(pools(spark, sf)).select(F.col("pool_id").alias("pool_id_b"), "uid")
     p = angled(spark, sf).withColumn("sa", P.alignment()).join(uid, "pool_id_b")
-    return p.select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), R("ssr", P.ssr(F.col("r_eff_b"), F.col("sa"), F.col("uid"), F.lit(3))))
+    return p.select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), F.round(P.ssr(F.col("r_eff_b"), F.col("sa"), F.col("uid"), F.lit(3)), 4).alias("ssr"))
 
 
 @query("pair_analysis_d64")

@@ -160,6 +160,13 @@ def error_bounds_grid(spark, sf):
     return _grid(spark).filter("alpha > 0").select("alpha", "gamma", "r_a", "r_b", F.round(tight, 2).alias("bound_tight"), F.round(worst, 6).alias("bound_worst"))
 
 
+@query("transfer_bound_grid", f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, round(0.1 + 2 * abs(1 - gamma) + (1 - alpha) + 0.5 * abs(r_a - r_b), 6) AS bound FROM grid")
+def transfer_bound_grid(spark, sf):
+    """CF15 with weights 2, 1 and 0.5."""
+    bound = CF.transfer_bound(F.lit(0.1), F.abs(1 - F.col("gamma")), 1 - F.col("alpha"), F.abs(F.col("r_a") - F.col("r_b")), 2.0, 1.0, 0.5)
+    return _grid(spark).select("alpha", "gamma", "r_a", "r_b", R("bound", bound))
+
+
 @query("binary_entropy_grid", "SELECT l_linenumber, l_orderkey, round(-p * ln(p) - (1 - p) * ln(1 - p), 6) AS h FROM (SELECT l_linenumber, l_orderkey, greatest(1e-10, least(1 - 1e-10, l_discount * 10)) AS p FROM lineitem)")
 def binary_entropy_grid(spark, sf):
     return table(spark, sf, "lineitem").select("l_linenumber", "l_orderkey", R("h", CF.binary_entropy(F.col("l_discount") * 10)))
