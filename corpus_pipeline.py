@@ -25,14 +25,16 @@ def exact_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    """Of each component of near copies the smallest id stays.
+    """A document stays if it is the first of its group by SimHash and by shingle similarity.
 
-    Fingerprints (five-word shingles) within two bits come first. They don't reach down to a
-    similarity of 0.8, where fingerprints differ in some ten bits, so documents of that Jaccard
-    similarity are then grouped over the same shingles.
+    SimHash groups fingerprints of five-word shingles within two bits. They don't reach down to a
+    similarity of 0.8, where fingerprints differ in some ten bits, so most near copies go by the
+    second grouping: MinHash bands over the same shingles, verified by exact Jaccard similarity of
+    0.8 or more. Both look at all documents of the stage.
     """
-    docs = stash(keep_rows(docs, simhash.simhash_dedup(docs).filter("kept")), "near")
-    return keep_rows(docs, paragraphs.similar_documents(docs).filter("kept"))
+    one, two = (df.filter("kept").select(F.col("doc_id").alias(f"i{k}"), F.col("h1").alias(f"a{k}"), F.col("h2").alias(f"b{k}")) for k, df in enumerate((simhash.simhash_dedup(docs), paragraphs.similar_documents(docs))))
+    both = one.join(two, F.col("i0").eqNullSafe(F.col("i1")) & (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1")), "left_semi")
+    return keep_rows(docs, both.select(F.col("i0").alias("doc_id"), F.col("a0").alias("h1"), F.col("b0").alias("h2")))
 
 
 def mixing_stage(spark, docs, sf_dir):
