@@ -435,6 +435,18 @@ def test_stages(spark, world):
     assert out.count() == mixed.count() and out.filter("not restored").count() == 0
 
 
+def test_stages_take_clashing_columns(spark, world):
+    """Columns named as operators name theirs inside come through every stage but the last as they were."""
+    import corpus_pipeline as P
+
+    docs = edges.clashing(spark.read.parquet(f"{world}/documents.parquet"))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, world)
+        assert out.count() > 5, name
+        if name != "sentencepiece":
+            assert out.columns == docs.columns and all(out.filter(f"`{c}` <> 'clash' or `{c}` is null").count() == 0 for c in edges.CLASH[:6]), name
+
+
 def test_stages_take_empty_tables(spark, world):
     import corpus_pipeline as P
 
