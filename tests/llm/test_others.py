@@ -349,6 +349,25 @@ def test_same_as_the_library(codec, sf):
         assert codec.encode(w) == sp.nbest_encode_as_ids(w, 1)[0]
 
 
+def total_score(codec, ids):
+    """Sum of scores, where the bytes of a character that no piece covers cost one penalty."""
+    total, k = 0.0, 0
+    while k < len(ids):
+        b = codec.bytes_of.get(ids[k])
+        total += codec.pieces[ids[k]][1] if b is None else codec.floor
+        k += 1 if b is None or b < 128 else 2 if b < 224 else 3 if b < 240 else 4
+    return total
+
+
+def test_whole_texts_score_as_well_as_the_library(codec, sf):
+    """The library sums in 32 bits, so on whole texts it may settle for less."""
+    sp = unigram()
+    for (t,) in connect(sf).execute("SELECT text FROM documents").fetchall():
+        ours, theirs = codec.encode(t or ""), sp.nbest_encode_as_ids(t or "", 1)[0]
+        assert codec.decode(ours) == (t or "")
+        assert total_score(codec, ours) >= total_score(codec, theirs) - 1e-6
+
+
 def brute_score(codec, text):
     known = {p: s for p, s, kind in codec.pieces if kind in (pieces.NORMAL, pieces.USER_DEFINED)}
     best = [0.0]
@@ -416,6 +435,27 @@ def world(spark, tmp_path_factory):
     return edges.write(spark, tmp_path_factory.mktemp("world"), documents=docs, labels=labels)
 
 
+def test_pipeline_against_its_parts(spark, world):
+    """run() against brute force on texts: exact copies, then near copies by shingles, then the plain mix."""
+    import re
+
+    import corpus_pipeline as P
+
+    docs = [(i, t, s) for i, t, _, s in edges.texts()]
+    left, seen = [], {}
+    for i, t, s in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+        if seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) == i and (i, t or "") not in [(a, b or "") for a, b, _ in left]:
+            left.append((i, t, s))
+    shingles = lambda t: frozenset(zip(*((t or "").lower().split()[k:] for k in range(5)), strict=False))
+    kept = [r for n, r in enumerate(left) if not any(shingles(r[1]) and len(shingles(r[1]) & shingles(q[1])) >= 0.8 * len(shingles(r[1]) | shingles(q[1])) for q in left[:n])]
+    stage = dict(P.STAGES)
+    table = spark.read.parquet(f"{world}/documents.parquet")
+    got = stage["simhash near-dedup"](spark, stage["exact dedup"](spark, table, world), world).select("doc_id", "text").collect()
+    # texts without words have one fingerprint, so one of them stays
+    words = lambda rows: {(i, t) for i, t in rows if (t or "").split()}
+    assert words(map(tuple, got)) == words((i, t) for i, t, _ in kept) and len(got) - len(words(map(tuple, got))) == 1
+
+
 def test_stages(spark, world):
     import corpus_pipeline as P
 
