@@ -28,6 +28,12 @@ def _pair(name: str, column: str, sql: str, col):
         p = angled(spark, sf).withColumn("sa", P.alignment())
         return p.select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), R(column, col()))
 
+    @query(f"{name}_d64")
+    def wide(spark, sf):
+        """At full width over 20 directions, which SQL can't express."""
+        p = P.with_angles(P.pool_pairs(summaries(spark, sf)), 20).withColumn("sa", P.alignment())
+        return p.select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), R(column, col()))
+
     return run
 
 

@@ -91,6 +91,11 @@ def _unary(name: str, column: str, sql: str):
     def run(spark, sf):
         return summaries(spark, sf, dims=2).select("pool_id", R(column))
 
+    @query(f"{name}_d64")
+    def wide(spark, sf):
+        """At full width, which SQL can't express."""
+        return summaries(spark, sf).select("pool_id", R(column))
+
     return run
 
 

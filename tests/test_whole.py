@@ -19,6 +19,29 @@ def test_cka_pairs_d64(spark, sf):
         assert abs(cka - want) < 2e-6
 
 
+def test_full_width_against_numpy(spark, sf):
+    """Ranks, energies and angles at 64 dimensions and 20 directions from the rows' own decomposition."""
+    rows = pools(spark, sf).select("pool_id", "features").toPandas()
+    x = {p: np.array(g["features"].tolist()) for p, g in rows.groupby("pool_id")}
+    s = {p: np.linalg.svd(v, compute_uv=False) for p, v in x.items()}
+    b = {p: np.linalg.svd(v, full_matrices=False)[2][:20].T for p, v in x.items()}
+    rank = lambda t: np.exp(-np.sum(t / t.sum() * np.log(t / t.sum() + 1e-12)))
+    for name, column, want in (("reff", "r_eff", lambda p: rank(s[p])), ("nuclear", "nuclear", lambda p: s[p].sum()), ("vendi", "vendi", lambda p: rank(s[p] ** 2)), ("condition", "kappa", lambda p: s[p][0] / s[p][19]), ("reff_normalised", "r_norm", lambda p: rank(s[p]) / min(x[p].shape))):
+        got = {r["pool_id"]: r[column] for r in QUERIES[f"{name}_d64"](spark, sf).collect()}
+        assert got.keys() == x.keys() and all(np.isclose(got[p], want(p), rtol=1e-4) for p in x), name
+    cos = lambda p, q: np.clip(np.linalg.svd(b[p].T @ b[q], compute_uv=False), 0, 1)
+    w1 = lambda p, q: np.abs(np.cumsum(s[p] / s[p].sum()) - np.cumsum(s[q] / s[q].sum())).sum()
+    pair = {"sa1": ("sa_k", lambda p, q: np.mean(cos(p, q) ** 2)), "grassmann": ("distance", lambda p, q: np.linalg.norm(np.arccos(cos(p, q)))), "svcca": ("svcca", lambda p, q: cos(p, q).mean()), "direction_gain": ("gain", lambda p, q: 1 - np.mean(cos(p, q) ** 2)), "pwcca": ("pwcca", lambda p, q: np.sum(s[p][:20] ** 2 * cos(p, q)) / np.sum(s[p][:20] ** 2)), "joint_score": ("score", lambda p, q: np.sqrt(rank(s[p])) * np.mean(cos(p, q) ** 2)), "energy_alignment": ("alpha_e", lambda p, q: np.sum(s[p][:20] * cos(p, q) ** 2) / s[p][:20].sum())}
+    if len({len(v) for v in s.values()}) == 1:
+        pair |= {"w1_padded": ("w1", w1), "stg_truncated": ("stg", w1)}
+    for name, (column, want) in pair.items():
+        got = {(r["ds_a"], r["ds_b"]): r[column] for r in QUERIES[f"{name}_d64"](spark, sf).collect()}
+        assert len(got) == 45 and all(np.isclose(got[p, q], want(p, q), atol=2e-5) for p, q in got), name
+    best = QUERIES["exhaustive_k2_d64"](spark, sf).collect()
+    want = {f"{p},{q}": rank(np.linalg.svd(np.vstack((x[p], x[q])), compute_uv=False)) for p in x for q in x if p < q}
+    assert all(np.isclose(r["r_eff"], want[r["subset"]], rtol=1e-4) for r in best) and len(best) == 45
+
+
 def test_joint_matrix_lookup_all(spark, tmp_path):
     """Odd nation keys have scores too; only a nation without suppliers has none."""
     spark.createDataFrame([(0, "a", 0), (1, "b", 0), (2, "c", 0), (3, "d", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
