@@ -19,13 +19,27 @@ def split_hash(column="row_id"):
     return F.when(F.substring(F.md5(F.col(column).cast("string")), 1, 1).isin("0", "1", "2", "3"), "test").otherwise("train")
 
 
-def pools(spark: SparkSession, sf: str, first: int = 1, dims: int = 64, probe: str = "emb", pool=None, label=None) -> DataFrame:
-    """embeddings as feature rows over dims dimensions from the first; pools are the labels by default."""
+def folded(dims: int, strides: bool = False):
+    """All components of the embedding as dims sums: of runs of neighbours, or of every dims-th component."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    width = 64 // dims
+    part = lambda j: F.filter(x, lambda _, i: i % dims == j) if strides else F.slice(x, j * width + 1, width)
+    return F.array(*(F.aggregate(part(j), F.lit(0.0), lambda a, v: a + v) for j in range(dims)))
+
+
+def sql_folded(j: int, dims: int = 2, strides: bool = False) -> str:
+    width = 64 // dims
+    part = f"{j + 1}:64:{dims}" if strides else f"{j * width + 1}:{(j + 1) * width}"
+    return f"list_sum([CAST(v AS DOUBLE) FOR v IN embedding[{part}]])"
+
+
+def pools(spark: SparkSession, sf: str, dims: int = 64, strides: bool = False, probe: str = "emb", pool=None, label=None) -> DataFrame:
+    """embeddings as feature rows, whole or folded to fewer dimensions; pools are the labels by default."""
     df = table(spark, sf, "embeddings")
     pool = F.concat(F.lit("p"), F.col("label").cast("string")) if pool is None else pool
     label = (F.col("vec_id") % 3).cast("int") if label is None else label
     rows = df.select(
-        F.lit(probe).alias("probe"), pool.alias("pool_id"), split_hash("vec_id").alias("split"), F.col("vec_id").alias("row_id"), label.alias("label"), F.slice("embedding", first, dims).alias("features")
+        F.lit(probe).alias("probe"), pool.alias("pool_id"), split_hash("vec_id").alias("split"), F.col("vec_id").alias("row_id"), label.alias("label"), (F.col("embedding") if dims == 64 else folded(dims, strides)).alias("features")
     )
     return normalise(rows)
 
@@ -39,10 +53,10 @@ def domains(spark: SparkSession, sf: str) -> DataFrame:
     return pools(spark, sf, dims=2).select("pool_id").distinct().filter("pool_id <> 'p9'").withColumn("domain", F.concat(F.lit("d"), (F.substring("pool_id", 2, 9).cast("int") % 3).cast("string")))
 
 
-#: embeddings, dimensions i and i + 1 as unit rows (u), and pool sums with their eigen-decomposition (e).
-def sql_pools(i: int = 1, pool: str = "'p' || label") -> str:
+#: embeddings, folded to two dimensions as unit rows (u), and pool sums with their eigen-decomposition (e).
+def sql_pools(strides: bool = False, pool: str = "'p' || label") -> str:
     return f"""
-raw AS (SELECT vec_id, label, {pool} AS pool, CAST(embedding[{i}] AS DOUBLE) AS x0, CAST(embedding[{i + 1}] AS DOUBLE) AS y0 FROM embeddings),
+raw AS (SELECT vec_id, label, {pool} AS pool, {sql_folded(0, 2, strides)} AS x0, {sql_folded(1, 2, strides)} AS y0 FROM embeddings),
 u AS (SELECT vec_id, label, pool, x0 / greatest(sqrt(x0 * x0 + y0 * y0), 1e-10) AS x, y0 / greatest(sqrt(x0 * x0 + y0 * y0), 1e-10) AS y FROM raw),
 g AS (SELECT pool, count(*) AS n, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c, sum(x) AS sx, sum(y) AS sy FROM u GROUP BY pool),
 e0 AS (SELECT *, sqrt((a - c) * (a - c) + 4 * b * b) AS disc FROM g),

@@ -18,7 +18,7 @@ _W1 = "abs(s1a / (s1a + s2a) - s1b / (s1b + s2b))"
 
 
 def angled(spark, sf, k: int = 1, **kw):
-    """Pairs with cosines; at two dimensions the leading direction alone."""
+    """Pairs with cosines; folded to two dimensions, the leading direction alone."""
     return P.with_angles(P.pool_pairs(summaries(spark, sf, dims=2, **kw)), k)
 
 
@@ -107,19 +107,16 @@ def parc_pairs(spark, sf):
 
 
 @query("cka_pairs", """
-WITH r AS (SELECT 'p' || label AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, [CAST(x AS DOUBLE) FOR x IN embedding[1:4]] AS v FROM embeddings QUALIFY pos <= 30),
-n AS (SELECT p, pos, greatest(sqrt(list_sum([x * x FOR x IN v])), 1e-10) AS len, unnest(v) AS x0, unnest(range(4)) AS i FROM r),
-c AS (SELECT p, pos, i, x0 / len - avg(x0 / len) OVER (PARTITION BY p, i) AS x FROM n),
-k AS (SELECT a.p AS pa, b.p AS pb, a.i AS i, b.i AS j, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.pos = b.pos GROUP BY ALL),
-h AS (SELECT pa, pb, sum(s * s) AS h FROM k GROUP BY ALL)
-SELECT x.pa AS ds_a, x.pb AS ds_b, round(x.h / (sqrt(a.h * b.h) + 1e-12), 6) AS cka FROM h x JOIN h a ON a.pa = x.pa AND a.pb = x.pa JOIN h b ON b.pa = x.pb AND b.pb = x.pb WHERE x.pa < x.pb""")
+WITH r AS (SELECT 'p' || label AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+n AS (SELECT p, pos, [x / greatest(sqrt(list_sum([y * y FOR y IN v])), 1e-10) FOR x IN v] AS v FROM r),
+q AS (SELECT p, count(*) AS n FROM n GROUP BY p), w AS (SELECT a.p AS ds_a, b.p AS ds_b, least(a.n, b.n) AS m FROM q a JOIN q b ON a.p < b.p),
+k AS (SELECT x.p, x.pos AS i, y.pos AS j, list_dot_product(x.v, y.v) AS k FROM n x JOIN n y ON x.p = y.p),
+c AS (SELECT p, m, i, j, k - avg(k) OVER (PARTITION BY p, m, i) - avg(k) OVER (PARTITION BY p, m, j) + avg(k) OVER (PARTITION BY p, m) AS k FROM k JOIN (SELECT DISTINCT unnest([ds_a, ds_b]) AS p, unnest([m, m]) AS m FROM w) z USING (p) WHERE i <= m AND j <= m),
+h AS (SELECT p, m, sum(k * k) AS h FROM c GROUP BY ALL),
+x AS (SELECT ds_a, ds_b, w.m, sum(a.k * b.k) AS h FROM w JOIN c a ON a.p = ds_a AND a.m = w.m JOIN c b ON b.p = ds_b AND b.m = w.m AND b.i = a.i AND b.j = a.j GROUP BY ALL)
+SELECT ds_a, ds_b, round(x.h / (sqrt(a.h * b.h) + 1e-12), 6) AS cka FROM x JOIN h a ON a.p = ds_a AND a.m = x.m JOIN h b ON b.p = ds_b AND b.m = x.m""")
 def cka_pairs(spark, sf):
-    return P.linear_cka(pools(spark, sf, dims=4), 30).select("ds_a", "ds_b", R("cka"))
-
-
-@query("cka_pairs_d64")
-def cka_pairs_d64(spark, sf):
-    """All rows up to each pair's smaller pool, at full width; cka_pairs is the cut of it that SQL expresses."""
+    """All rows up to each pair's smaller pool, at full width."""
     return P.linear_cka(pools(spark, sf)).select("ds_a", "ds_b", R("cka"))
 
 
@@ -155,13 +152,13 @@ def karcher_mean(spark, sf):
     return P.karcher_mean(summaries(spark, sf, k=10))
 
 
-@query("cross_probe_d2", f"""WITH {sql_pools(1)}, {sql_pairs()}, a AS (SELECT ds_a, ds_b, sa FROM pr),
-b AS (WITH {sql_pools(33)}, {sql_pairs()} SELECT ds_a, ds_b, sa FROM pr)
+@query("cross_probe_d2", f"""WITH {sql_pools()}, {sql_pairs()}, a AS (SELECT ds_a, ds_b, sa FROM pr),
+b AS (WITH {sql_pools(True)}, {sql_pairs()} SELECT ds_a, ds_b, sa FROM pr)
 SELECT count(*) AS n, round(corr(a.sa, b.sa), 6) AS r FROM a JOIN b USING (ds_a, ds_b)""")
 def cross_probe_d2(spark, sf):
     from gramlake.operators import statistics as ST
 
-    one = [P.symmetric(P.analyse(s, k=1), F.col("sa_k"), 1.0, "sa", s) for s in (summaries(spark, sf, dims=2), summaries(spark, sf, dims=2, first=33))]
+    one = [P.symmetric(P.analyse(s, k=1), F.col("sa_k"), 1.0, "sa", s) for s in (summaries(spark, sf, dims=2), summaries(spark, sf, dims=2, strides=True))]
     return ST.matrix_consistency(*one, "sa").select("n", R("r"))
 
 

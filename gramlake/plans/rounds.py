@@ -11,7 +11,7 @@ from gramlake.operators import select as S
 from gramlake.operators import statistics as ST
 from gramlake.operators import synthetic as SY
 from gramlake.operators import transfer as T
-from gramlake.plans.fixtures import domains, pools, sql_pairs, sql_pools, sql_predict, sql_rank, summaries
+from gramlake.plans.fixtures import domains, pools, sql_folded, sql_pairs, sql_pools, sql_predict, sql_rank, summaries
 from gramlake.plans.registry import query
 from gramlake.plans.unary import R
 
@@ -259,7 +259,7 @@ def labelled(spark, sf, dims):
     return pools(spark, sf, dims=dims, pool=F.concat(F.lit("h"), (F.col("vec_id") % 3).cast("string")), label=F.col("label"))
 
 
-_CLASSES = """raw AS (SELECT 'h' || (vec_id % 3) AS pool, label, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS y0 FROM embeddings),
+_CLASSES = f"""raw AS (SELECT 'h' || (vec_id % 3) AS pool, label, {sql_folded(0)} AS x0, {sql_folded(1)} AS y0 FROM embeddings),
 u AS (SELECT pool, label, x0 / greatest(sqrt(x0 * x0 + y0 * y0), 1e-10) AS x, y0 / greatest(sqrt(x0 * x0 + y0 * y0), 1e-10) AS y FROM raw),
 k AS (SELECT pool, label, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM u GROUP BY ALL),
 t AS (SELECT pool, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM k GROUP BY pool)"""

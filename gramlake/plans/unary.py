@@ -10,7 +10,7 @@ from gramlake.functions import vectors as V
 from gramlake.operators import gram as G
 from gramlake.operators import select as S
 from gramlake.operators import spectral as SP
-from gramlake.plans.fixtures import domains, pools, split_hash, sql_pools, sql_predict, sql_rank, sql_rho, sql_share, summaries, table
+from gramlake.plans.fixtures import domains, pools, split_hash, sql_folded, sql_pools, sql_predict, sql_rank, sql_rho, sql_share, summaries, table
 from gramlake.plans.registry import query
 from gramlake.sources import features as SRC
 
@@ -55,8 +55,8 @@ def text_features(spark, sf):
     return f.select("pool_id", "row_id", F.posexplode("features").alias("bucket", "n")).filter("n > 0")
 
 
-@query("gram_entries_d8", """
-WITH r AS (SELECT 'p' || label AS pool_id, vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:8]] AS v FROM embeddings),
+@query("gram_entries_d8", f"""
+WITH r AS (SELECT 'p' || label AS pool_id, vec_id, [{', '.join(sql_folded(j, 8) for j in range(8))}] AS v FROM embeddings),
 n AS (SELECT pool_id, vec_id, v, greatest(sqrt(list_sum([x * x FOR x IN v])), 1e-10) AS len FROM r),
 p AS (SELECT pool_id, vec_id, len, unnest(v) AS x, unnest(range(8)) AS i FROM n)
 SELECT p.pool_id, CAST(p.i AS INTEGER) AS i, CAST(q.i AS INTEGER) AS j, round(sum(p.x / p.len * q.x / q.len), 6) AS g FROM p JOIN p q ON p.vec_id = q.vec_id GROUP BY ALL""")

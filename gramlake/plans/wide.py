@@ -1,4 +1,4 @@
-"""Queries at full width: all 64 dimensions, where the narrow ones take two so that SQL can solve for
+"""Queries at full width: all 64 dimensions, which the narrow ones fold to two so that SQL can solve for
 eigenvalues. Entries, centroids and distances have SQL here too."""
 
 from __future__ import annotations

@@ -6,11 +6,11 @@ from gramlake.plans import QUERIES
 from gramlake.plans.fixtures import pools
 
 
-def test_cka_pairs_d64(spark, sf):
+def test_cka_pairs(spark, sf):
     rows = pools(spark, sf).select("pool_id", "row_id", "features").toPandas().sort_values("row_id")
     x = {p: np.array(g["features"].tolist()) for p, g in rows.groupby("pool_id")}
     assert len({len(v) for v in x.values()}) > 1 and {v.shape[1] for v in x.values()} == {64}
-    got = {(r["ds_a"], r["ds_b"]): r["cka"] for r in QUERIES["cka_pairs_d64"](spark, sf).collect()}
+    got = {(r["ds_a"], r["ds_b"]): r["cka"] for r in QUERIES["cka_pairs"](spark, sf).collect()}
     assert set(got) == {(a, b) for a in x for b in x if a < b}
     for (a, b), cka in got.items():
         n = min(len(x[a]), len(x[b]))
