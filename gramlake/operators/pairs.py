@@ -190,12 +190,57 @@ def symmetric(pairs: DataFrame, value: Column, diagonal: float, name: str, pools
 
 
 def grassmann_loss(pairs: DataFrame, clamp: float | None = None) -> DataFrame:
-    """PW7/PW8 (value only): sum of squared geodesic distances over pairs with cosines, by probe."""
+    """PW7/PW8 (its gradient: loss_gradient): sum of squared geodesic distances over pairs with cosines, by probe."""
     c = F.col("cosines") if clamp is None else F.transform("cosines", lambda x: F.greatest(F.lit(clamp), F.least(F.lit(1 - clamp), x)))
     pairs = pairs.withColumn("__c", c)
     return pairs.groupBy("probe").agg(F.sum(F.pow(grassmann("__c"), 2)).alias("loss"))
 
 
+def angle_gradient(at: np.ndarray, other: np.ndarray, clamp: float = 1e-6) -> np.ndarray:
+    """(d, k) gradient of the sum of squared principal angles by the first basis.
+
+    A cosine changes with its left vector times the other space's matching direction; cosines beyond
+    the clamp are constant there and add nothing.
+    """
+    p, cos, qt = np.linalg.svd(at.T @ other, full_matrices=False)
+    inside = (cos > clamp) & (cos < 1 - clamp)
+    c = np.clip(cos, clamp, 1 - clamp)
+    slope = np.where(inside, -2 * np.arccos(c) / np.sqrt(1 - c * c), 0.0)
+    return (other @ qt.T * slope) @ p.T
+
+
+def loss_gradient(pairs: DataFrame, k: int | None = None, clamp: float = 1e-6) -> DataFrame:
+    """PW8: (probe, pool_id, d, k, gradient), the clamped loss by each pool's basis, d x k row-major.
+
+    Bases are cut to the smaller k of each pair; directions that a pair leaves out get zeros from it.
+    Both members of a pair get their share, summed within batches and then by pool.
+    """
+    kinds = "probe string, pool_id string, d int, k int, gradient array<double>"
+    many = pa.list_(pa.float64())
+
+    def table(sums: dict) -> dict:
+        return {"probe": [p for p, _ in sums], "pool_id": [n for _, n in sums], "d": pa.array([g.shape[0] for g in sums.values()], pa.int32()), "k": pa.array([g.shape[1] for g in sums.values()], pa.int32()), "gradient": pa.array([g.ravel() for g in sums.values()], many)}
+
+    def run(batches):
+        for batch in batches:
+            sums = {}
+            for probe, na, ba, ka, nb, bb, kb in zip(*(batch.column(c).to_pylist() for c in ("probe", "pool_id_a", "basis_a", "k_a", "pool_id_b", "basis_b", "k_b")), strict=True):
+                top = min(x for x in (k, ka, kb) if x is not None)
+                a, b = (np.array(v).reshape(-1, w) for v, w in ((ba, ka), (bb, kb)))
+                for name, own, other in ((na, a, b), (nb, b, a)):
+                    total = sums.setdefault((probe, name), np.zeros((len(own), own.shape[1] if k is None else min(k, own.shape[1]))))
+                    total[:, :top] += angle_gradient(own[:, :top], other[:, :top], clamp)
+            if sums:
+                yield pa.RecordBatch.from_pydict(table(sums))
+
+    def add(rows: pa.Table) -> pa.Table:
+        first = rows.slice(0, 1).to_pylist()[0]
+        total = np.sum([np.array(g) for g in rows.column("gradient").to_pylist()], axis=0)
+        return pa.table(table({(first["probe"], first["pool_id"]): total.reshape(first["d"], first["k"])}))
+
+    return pairs.mapInArrow(run, kinds).groupBy("probe", "pool_id").applyInArrow(add, kinds)
+
+
 def subspace_tangents(at: np.ndarray, bases: np.ndarray) -> np.ndarray:
     """Logarithm map on the Grassmann manifold: (m, d, k) tangents at one basis (d, k) towards m others.
 

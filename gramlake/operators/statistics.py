@@ -36,6 +36,19 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int
     return pearson(d, "__x", "__y", by, least).withColumnRenamed("r", "rho")
 
 
+def evaluator_correlations(results: DataFrame, metrics: list[str], by: str = "dataset", least: int = 4) -> DataFrame:
+    """ST20: (scope, x, y, n, r, rho) for each two metrics, over all rows (scope "all") and by dataset.
+
+    Groups under least rows with both metrics are left out. One long table serves all pairs.
+    """
+    pairs = [(x, y) for i, x in enumerate(metrics) for y in metrics[i + 1 :]]
+    pair = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")) for x, y in pairs)))
+    long = results.select(F.explode(F.array(F.lit("all"), F.concat(F.lit("="), F.col(by).cast("string")))).alias("scope"), *metrics).select("scope", pair.alias("m")).select("scope", "m.*")
+    keys = ("scope", "x", "y")
+    both = pearson(long, "vx", "vy", keys).join(spearman(long, "vx", "vy", keys).drop("n"), list(keys))
+    return both.filter(F.col("n") >= least).withColumn("scope", F.regexp_replace("scope", "^=", ""))
+
+
 def _continued_fraction(a: float, b: float, x: float) -> float:
     """Lentz's method for the incomplete beta function's continued fraction."""
     tiny = 1e-300

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from gramlake.operators import downstream as D
 from gramlake.operators import gram as G
 from gramlake.operators import pairs as P
 from gramlake.operators import select as S
+from gramlake.operators import spectral as SP
 from gramlake.operators import statistics as ST
 from gramlake.operators import synthetic as SY
 from gramlake.operators import transfer as T
@@ -251,6 +255,39 @@ def classical_mds(spark, sf):
     return D.classical_mds(m)
 
 
+@query("stress_mds")
+def stress_mds(spark, sf):
+    s = summaries(spark, sf)
+    return D.stress_mds(P.symmetric(P.analyse(s, k=20), 1 - F.col("sa_k"), 0.0, "distance", s))
+
+
+#: Views of the vectors that stand for encoders: whole, and sums of runs or of every n-th component.
+VIEWS = {"whole": {}, "runs16": {"dims": 16}, "strides16": {"dims": 16, "strides": True}, "runs8": {"dims": 8}}
+
+
+def evaluated(spark, sf, view: str, dataset: str) -> tuple:
+    """(view, dataset, rank, linear probe, kNN of 5, kNN of 20)."""
+    label = F.col("label") % 4 if dataset == "label_mod4" else F.col("label") >= 5
+    f = pools(spark, sf, label=label.cast("int"), pool=F.lit(dataset), **VIEWS[view]).persist()
+    train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
+    st = D.scaling(train)
+    near = [D.accuracy(D.knn_predict(D.scale(train, st), D.scale(test, st), k)).first()["accuracy"] for k in (5, 20)]
+    probe = D.accuracy(D.linear_probe(train, test)).first()["accuracy"]
+    rank = SP.summarise(G.pool_grams(f)).first()["r_eff"]
+    f.unpersist()
+    return (view, dataset, rank, probe, *near)
+
+
+@query("evaluator_correlations")
+def evaluator_correlations(spark, sf):
+    """ST20 over real evaluators: rank, linear probe and two kNN of four views on two sets of classes.
+    The fits don't depend on each other, so their jobs run side by side."""
+    with ThreadPool(len(VIEWS)) as pool:
+        rows = pool.starmap(inheritable_thread_target(spark)(evaluated), [(spark, sf, view, dataset) for view in VIEWS for dataset in ("label_mod4", "label_half")])
+    results = spark.createDataFrame(rows, "probe string, dataset string, r_eff double, lp double, knn5 double, knn20 double")
+    return ST.evaluator_correlations(results, ["r_eff", "lp", "knn5", "knn20"])
+
+
 # ---- transferability ------------------------------------------------------------------------
 
 

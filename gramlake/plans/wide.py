@@ -86,6 +86,12 @@ def grassmann_loss_d64(spark, sf):
     return P.grassmann_loss(P.with_angles(P.pool_pairs(summaries(spark, sf)), 20)).select(R("loss"))
 
 
+@query("grassmann_gradient_d64")
+def grassmann_gradient_d64(spark, sf):
+    g = P.loss_gradient(P.pool_pairs(summaries(spark, sf)), 20)
+    return g.select("pool_id", "d", "k", R("norm", V.norm("gradient")), "gradient")
+
+
 @query("exhaustive_k2_d64")
 def exhaustive_k2_d64(spark, sf):
     return S.exhaustive(G.pool_grams(pools(spark, sf)), 2).select(F.concat_ws(",", "subset").alias("subset"), R("r_eff"))

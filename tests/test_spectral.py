@@ -314,3 +314,48 @@ def test_vectors(spark):
 
 def test_summaries_fixture(spark, sf):
     assert X.summaries(spark, sf, dims=2).count() == 10
+
+
+def test_loss_gradient(spark):
+    rng = np.random.default_rng(5)
+    bases = [np.linalg.qr(rng.normal(size=(9, k)))[0] for k in (3, 3, 2)]
+    loss = lambda bs, k: sum((np.arccos(np.clip(np.linalg.svd(a[:, : min(k, a.shape[1], b.shape[1])].T @ b[:, : min(k, a.shape[1], b.shape[1])], compute_uv=False), 1e-6, 1 - 1e-6)) ** 2).sum() for i, a in enumerate(bs) for b in bs[i + 1 :])
+    pools = spark.createDataFrame([("e", f"p{i}", b.ravel().tolist(), b.shape[1]) for i, b in enumerate(bases)], "probe string, pool_id string, basis array<double>, k int")
+    got = {r["pool_id"]: np.array(r["gradient"]).reshape(r["d"], r["k"]) for r in P.loss_gradient(P.pool_pairs(pools)).collect()}
+    for i, b in enumerate(bases):
+        want = np.zeros_like(b)
+        for at in np.ndindex(b.shape):
+            step = np.zeros_like(b)
+            step[at] = 1e-6
+            up, down = ([*bases[:i], b + sign * step, *bases[i + 1 :]] for sign in (1, -1))
+            want[at] = (loss(up, 3) - loss(down, 3)) / 2e-6
+        assert np.allclose(got[f"p{i}"], want, atol=1e-5)
+    # equal spaces lie beyond the clamp: nothing pulls
+    assert not P.angle_gradient(bases[0], bases[0]).any()
+
+
+def test_stress_mds(spark):
+    rng = np.random.default_rng(3)
+    names = [f"p{i}" for i in range(8)]
+    frame = lambda d: spark.createDataFrame([(a, b, float(d[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "ds_i string, ds_j string, distance double")
+    flat = D.point_distances(rng.normal(size=(8, 2)))
+    rows = sorted(D.stress_mds(frame(flat)).collect())
+    assert rows[0]["stress"] < 1e-9 and np.allclose(D.point_distances(np.array([r["x"] for r in rows])), flat, atol=1e-5)
+    # distances that no plane holds: no worse than the classical points, and stationary
+    d = rng.uniform(0.2, 1, size=(8, 8))
+    d = (d + d.T) / 2 * (1 - np.eye(8))
+    x = np.array([r["x"] for r in sorted(D.stress_mds(frame(d)).collect())])
+    classical = np.array([r["x"] for r in sorted(D.classical_mds(frame(d)).collect())])
+    assert D.stress(d, x) < D.stress(d, classical)
+    assert all(D.stress(d, x + rng.normal(scale=1e-3, size=x.shape)) > D.stress(d, x) - 1e-6 for _ in range(50))
+
+
+def test_evaluator_correlations(spark):
+    rows = [("a", i, float(i), float(i * i), None if i == 3 else float(-i)) for i in range(5)] + [("b", i, float(i), 2.0, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "dataset string, probe int, lp double, knn double, r_eff double")
+    got = {(r["scope"], r["x"], r["y"]): (r["n"], r["r"], r["rho"]) for r in ST.evaluator_correlations(df, ["lp", "knn", "r_eff"]).collect()}
+    assert {k[0] for k in got} == {"all", "a"}
+    assert got["a", "lp", "knn"][0] == 5 and abs(got["a", "lp", "knn"][1] - np.corrcoef(range(5), np.arange(5) ** 2)[0, 1]) < 1e-9 and abs(got["a", "lp", "knn"][2] - 1) < 1e-9
+    assert got["a", "lp", "r_eff"][0] == 4 and abs(got["a", "lp", "r_eff"][1] + 1) < 1e-9
+    x, y = zip(*((r[2], r[3]) for r in rows))
+    assert got["all", "lp", "knn"][0] == 8 and abs(got["all", "lp", "knn"][1] - np.corrcoef(x, y)[0, 1]) < 1e-9
