@@ -1,6 +1,6 @@
 """Comparing pools pairwise over their summaries (PW1-PW22, CF6-CF8).
 
-Pairs are an equi-join on the probe with an order on the pool; a row for each pool, never rows of
+Pairs are an equi-join on the probe and blocks of pools, with an order on the pool; a row for each pool, never rows of
 features. Angles between bases and spectra of summed Grams run in Arrow batches over pairs.
 """
 
@@ -17,12 +17,23 @@ from gramlake.operators.gram import add_columns
 from gramlake.operators.spectral import effective_rank
 
 
-def pool_pairs(pools: DataFrame, by: str = "probe", name: str = "pool_id") -> DataFrame:
-    """Every pair (a, b) of one probe with a before b; columns get the suffixes _a and _b."""
+#: Blocks that the pools of a probe are dealt to on each side of the join.
+BLOCKS = 8
+
+
+def pool_pairs(pools: DataFrame, by: str = "probe", name: str = "pool_id", blocks: int = BLOCKS) -> DataFrame:
+    """Every pair (a, b) of one probe with a before b; columns get the suffixes _a and _b.
+
+    Pools are dealt to blocks by name and a pair of blocks is a key of the join, so that a probe's
+    pairs, each with two Grams, are spread over blocks x blocks tasks instead of one.
+    """
     rest = [c for c in pools.columns if c != by]
-    a = pools.select(F.col(by), *(F.col(c).alias(f"{c}_a") for c in rest))
-    b = pools.select(F.col(by), *(F.col(c).alias(f"{c}_b") for c in rest))
-    return a.join(b, by).filter(F.col(f"{name}_a") < F.col(f"{name}_b"))
+    own = F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = pools.select(F.col(by), own.alias("__block_a"), every.alias("__block_b"), *(F.col(c).alias(f"{c}_a") for c in rest))
+    b = pools.select(F.col(by), every.alias("__block_a"), own.alias("__block_b"), *(F.col(c).alias(f"{c}_b") for c in rest))
+    pairs = a.join(b, [by, "__block_a", "__block_b"]).filter(F.col(f"{name}_a") < F.col(f"{name}_b"))
+    return pairs.drop("__block_a", "__block_b")
 
 
 def principal_cosines(basis_a: np.ndarray, basis_b: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 
 def write_features(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SNK1: Parquet, partitioned by probe and pool, so that later scans read the pools asked for."""
-    df.repartition("probe", "pool_id").write.mode(mode).partitionBy("probe", "pool_id").parquet(path)
+    """SNK1: Parquet, partitioned by probe and pool, so that later scans read the pools asked for.
+    Rows are brought together by pool, but adaptive execution splits a pool too large for a task."""
+    df.hint("rebalance", "probe", "pool_id").write.mode(mode).partitionBy("probe", "pool_id").parquet(path)
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -359,3 +359,13 @@ def test_evaluator_correlations(spark):
     assert got["a", "lp", "r_eff"][0] == 4 and abs(got["a", "lp", "r_eff"][1] + 1) < 1e-9
     x, y = zip(*((r[2], r[3]) for r in rows))
     assert got["all", "lp", "knn"][0] == 8 and abs(got["all", "lp", "knn"][1] - np.corrcoef(x, y)[0, 1]) < 1e-9
+
+
+def test_pool_pairs_over_blocks(spark):
+    names = [f"p{i}" for i in range(12)]
+    pools = spark.createDataFrame([(probe, n, i) for probe in ("e", "f") for i, n in enumerate(names)], "probe string, pool_id string, v int")
+    want = sorted((probe, a, b) for probe in ("e", "f") for a in names for b in names if a < b)
+    for blocks in (1, 3, 8):
+        pairs = P.pool_pairs(pools, blocks=blocks)
+        assert pairs.columns == ["probe", "pool_id_a", "v_a", "pool_id_b", "v_b"]
+        assert sorted((r["probe"], r["pool_id_a"], r["pool_id_b"]) for r in pairs.collect()) == want
