@@ -1,11 +1,14 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from gramlake.llm.chat import OP9_SQL, op9_query
+from gramlake.llm.divergence import OP11_SQL, op11_query
 from gramlake.llm.exact_dedup import OP3_SQL, op3_query
 from gramlake.llm.mixing import op6_query
 from gramlake.llm.paragraphs import op8_query
+from gramlake.llm.periodic import OP12_SQL, op12_query
 from gramlake.llm.pieces import op7_query
 from gramlake.llm.quality import op5_query
+from gramlake.llm.rules import OP13_SQL, op13_query
 from gramlake.llm.simhash import op4_query
 from gramlake.llm.substring import op10_query
 from gramlake.llm.topk import OP1_SQL, op1_query
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_paragraphs": op8_query,
     "op9_chat": op9_query,
     "op10_substring": op10_query,
+    "op11_divergence": op11_query,
+    "op12_periodic": op12_query,
+    "op13_rules": op13_query,
 }
-ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op9_chat": OP9_SQL, "op11_divergence": OP11_SQL, "op12_periodic": OP12_SQL, "op13_rules": OP13_SQL}
