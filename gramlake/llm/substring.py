@@ -4,7 +4,8 @@ A repeat of at least ``length`` bytes makes every window of that length in it oc
 window is assigned to its minimizer, the smallest-hashed k-mer in it (the leftmost of equals), so
 equal windows carry equal minimizers at equal offsets wherever they are. Runs of windows with one
 minimizer are segments; only segments whose minimizer occurs more than once in the corpus can hold
-repeats, and segments equal as a whole (minimizer, offset, length and 128 bits of hash) are repeats throughout. What
+repeats, and segments equal as a whole are repeats throughout; they are named by 128 bits of BLAKE2 over their
+bytes and the minimizer's offset, for which no two different strings with one name are known, made on purpose or not. What
 is left, the distinct segments around the edges of repeats, is gathered by minimizer.
 
 There the segments are laid over each other with their minimizers in one column, as windows that
@@ -16,7 +17,7 @@ of the full length, tell whether a window has an earlier match, and the larger o
 later one: the longest-previous-factor array, cut at ``length``, and its mirror.
 
 Minimizers with more text than a task should hold go another way: each of their windows is counted
-by a 128-bit hash in a shuffled aggregation.
+by 128 bits of BLAKE2 in a shuffled aggregation.
 """
 
 from __future__ import annotations
@@ -72,15 +73,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(down[:n], up[w - 1 : w - 1 + n])
 
 
+def names(pieces) -> np.ndarray:
+    """(pieces, 2) whole numbers: 128 bits of BLAKE2 of each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), "<i8").reshape(-1, 2)
+
+
 def segments(data: np.ndarray, ends: np.ndarray, length: int, k: int, rolling: Rolling):
-    """Segments of concatenated texts: (text, first window, bytes, minimizer hash, segment hash, minimizer's offset).
+    """Segments of concatenated texts: (text, first window, bytes, minimizer hash, minimizer's offset).
 
-    ends: where each text stops in data. Texts shorter than length have none.
+    ends: where each text stops in data. Texts shorter than length have none. Minimizers of one hash share a
+    task; whether they are equal is for their bytes to say.
     """
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
-    a, b = rolling.sums(data, 0), rolling.sums(data, 1)
+        return empty, empty, empty, empty.astype(np.uint64), empty
+    a = rolling.sums(data, 0)
     at = np.arange(len(data) - k + 1)
     h = _mix(rolling.of(a, 0, at, at + k))
     low = sliding_min((h & ~np.uint64((1 << 20) - 1)) | at.astype(np.uint64), length - k + 1)
@@ -90,9 +97,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, k: int, rolling: R
     valid = s + length <= ends[np.minimum(text, len(ends) - 1)]
     first = np.flatnonzero(valid & np.concatenate(([True], (pos[1:] != pos[:-1]) | ~valid[:-1])))
     last = np.flatnonzero(valid & np.concatenate(((pos[1:] != pos[:-1]) | ~valid[1:], [True])))
-    stop = last + length
-    whole = _mix(rolling.of(b, 1, first, stop) + _mix(((pos[first] - first) << 32 | (stop - first)).astype(np.uint64)))
-    return text[first], first, stop - first, h[pos[first]], whole, pos[first] - first
+    return text[first], first, last + length - first, h[pos[first]], pos[first] - first
 
 
 def _batches(keys, texts, size: int, overlap: int):
@@ -112,22 +117,24 @@ def _batches(keys, texts, size: int, overlap: int):
 
 
 def find_segments(docs: DataFrame, length: int, k: int, text_col: str) -> DataFrame:
-    """(ah, sh, h1, h2, s0, len, off): minimizer, segment hash, text key, first byte, bytes, minimizer's offset."""
+    """(ah, x, y, h1, h2, s0, len, off): minimizer, the segment's name, text key, first byte, bytes, minimizer's offset."""
 
     def run(batches):
         rolling = Rolling(CHUNK + 2 * length)
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, ends, rows in _batches(None, (t.as_py() for t in batch.column(2)), CHUNK, length - 1):
-                text, first, size, ah, sh, off = segments(data, ends, length, k, rolling)
+                text, first, size, ah, off = segments(data, ends, length, k, rolling)
+                whole = data.tobytes()
+                name = names(whole[a : a + n] + bytes((o & 255, o >> 8)) for a, n, o in zip(first.tolist(), size.tolist(), off.tolist(), strict=True))
                 rows = np.array(rows, np.int64).reshape(-1, 2)
                 starts = np.concatenate(([0], ends[:-1]))
                 row = rows[text, 0]
                 s0 = first - starts[text] + rows[text, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array(s0), pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32))], names=["ah", "sh", "h1", "h2", "s0", "len", "off"])
+                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(h1[row]), pa.array(h2[row]), pa.array(s0), pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32))], names=["ah", "x", "y", "h1", "h2", "s0", "len", "off"])
 
     table = docs.select(*text_key(text_col), text_or_empty(text_col).cast("binary").alias("b")).filter(F.octet_length("b") >= length)
-    return table.mapInArrow(run, "ah bigint, sh bigint, h1 bigint, h2 bigint, s0 bigint, len int, off int")
+    return table.mapInArrow(run, "ah bigint, x bigint, y bigint, h1 bigint, h2 bigint, s0 bigint, len int, off int")
 
 
 def laid_over(data: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int, k: int) -> np.ndarray:
@@ -219,14 +226,12 @@ def _match_bucket(length: int, k: int, keep_first: bool):
 
 def _hash_windows(length: int):
     def run(batches):
-        rolling = Rolling(CHUNK + 2 * length)
         for batch in batches:
             for h1, h2, s0, piece in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "s0", "bytes")), strict=True):
-                for at in range(0, len(piece) - length + 1, CHUNK):
-                    data = np.frombuffer(piece[at : at + CHUNK + length - 1], np.uint8)
-                    i = np.arange(len(data) - length + 1)
-                    x, y = (_mix(rolling.of(rolling.sums(data, w), w, i, i + length)).view(np.int64) for w in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(i), h1)), pa.array(np.full(len(i), h2)), pa.array(s0 + at + i)], names=["x", "y", "h1", "h2", "s"])
+                n = len(piece) - length + 1
+                name = names(piece[i : i + length] for i in range(n))
+                columns = [name[:, 0], name[:, 1], np.full(n, h1), np.full(n, h2), s0 + np.arange(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "h1", "h2", "s"])
 
     return run
 
@@ -288,18 +293,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = stash(docs.select(F.col(id_col).alias("id"), *text_key(text_col), F.octet_length(text_or_empty(text_col).cast("binary")).cast("long").alias("n_bytes"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha")), "light")
     copies = stash(light.filter(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "copies")
     segs = stash(find_segments(docs, length, k, text_col), "segments")
-    kinds = stash(segs.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min("h1").alias("r1")), "kinds")
+    kinds = stash(segs.groupBy("ah", "x", "y").agg(F.count("*").alias("n"), F.min("h1").alias("r1")), "kinds")
     anchors = stash(kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("int")).alias("single"), F.count("*").alias("kinds")).filter("total > 1").select("ah", F.col("single").cast("int").alias("single"), F.col("kinds").cast("int").alias("kinds")), "anchors")
-    known = stash(kinds.join(anchors, "ah").select("ah", "sh", "r1", (F.col("n") > 1).alias("full"), ((F.col("single") > 0) if not keep_first else (F.col("kinds") > 1)).alias("open")), "known")
+    known = stash(kinds.join(anchors, "ah").select("ah", "x", "y", "r1", (F.col("n") > 1).alias("full"), ((F.col("single") > 0) if not keep_first else (F.col("kinds") > 1)).alias("open")), "known")
     discard(kinds, anchors)
-    seen = segs.join(known, ["ah", "sh"]).select("ah", "sh", "h1", "h2", "s0", "len", "off", "full", (F.col("open") & (~F.col("full") | (F.col("h1") == F.col("r1")))).alias("need"), (F.col("h1") == F.col("r1")).alias("first"))
+    named = ["x", "y"] if keep_first else []
+    seen = segs.join(known, ["ah", "x", "y"]).select("ah", *named, "h1", "h2", "s0", "len", "off", "full", (F.col("open") & (~F.col("full") | (F.col("h1") == F.col("r1")))).alias("need"), (F.col("h1") == F.col("r1")).alias("first"))
     # stored first: an aggregation on top would keep adaptive execution from splitting a hot segment
     kept = stash(seen, "seen")
     discard(segs, known)
     seen = kept.distinct()  # rows of equal texts are one text from here on
     full = seen.filter("full")
     if keep_first:
-        nth = F.row_number().over(Window.partitionBy("ah", "sh", "h1").orderBy("h2", "s0"))
+        nth = F.row_number().over(Window.partitionBy("ah", "x", "y", "h1").orderBy("h2", "s0"))
         full = full.filter("not first").unionByName(full.filter("first").withColumn("nth", nth).filter("nth > 1").drop("nth"))
     spans = full.select("h1", "h2", F.col("s0").alias("start"), (F.col("s0") + F.col("len")).alias("stop"))
     # one row of each text that has any repeated minimizer, with the text

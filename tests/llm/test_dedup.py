@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import edges
@@ -253,6 +254,37 @@ def test_substring_keeps_the_first(spark, heavy):
     assert len(texts) == 5
 
 
+@pytest.mark.parametrize("heavy", [8 << 20, 100])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_substring_equates_nothing_that_differs(spark, heavy, keep_first):
+    """Thue-Morse blocks around one passage: sums of powers modulo 2^64 are equal for many of these pairs."""
+    flip = [0]
+    while len(flip) < 128:
+        flip += [1 - b for b in flip]
+    symbols = substring.Rolling(16).symbols
+    pairs = sorted(itertools.combinations(range(33, 127), 2), key=lambda p: -max(int((s[p[0]] - s[p[1]]) & -(s[p[0]] - s[p[1]])) for s in symbols))
+    rows = []
+    for i, (a, b) in enumerate([(93, 86), *pairs[:14]]):
+        middle = edges.words(700 + i, 30)[:72]
+        for one, two in ((a, b), (b, a)):
+            block = "".join(chr((one, two)[x]) for x in flip)
+            rows.append((len(rows), block + middle + block))
+    rows += [(100, rows[0][1] + "!"), (101, "?" + rows[0][1])]
+    got = substring.substring_dedup(edges.documents(spark, [(*r, "en", "s") for r in rows]), keep_first=keep_first, heavy_bytes=heavy).collect()
+    want = brute_substring(rows, 200)
+    if keep_first:
+        assert sum(r["n_removed"] > 0 for r in got) == 2 and all(r["n_removed"] == 0 for r in got if 0 < r["doc_id"] < 100)
+    else:
+        assert sorted((key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
+def test_substring_query(spark, sf):
+    """The whole query against every 200-byte string of the table."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = substring.op10_query(spark, sf).collect()
+    assert sorted((key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_substring(rows, 200)
+
+
 def test_segments_of_long_texts():
     """A text cut into pieces gives windows that are covered once each."""
     roll = substring.Rolling(1 << 12)
