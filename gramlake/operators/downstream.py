@@ -2,24 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.functions import vectors as V
-from gramlake.operators.gram import pool_grams
+from gramlake.operators.gram import FAN, _matrix, in_levels, levels, pool_grams, sum_grams
 from gramlake.operators.spectral import effective_rank, eigen
 
 
+def moments(features: DataFrame, fan: int = FAN) -> DataFrame:
+    """One row (n, mean, m2): count, mean and sum of squared deviations by dimension.
+
+    Deviations are taken from a partition's first row, so nothing is lost to a large common offset and
+    a constant gives exactly 0; partitions are merged pairwise by the difference of their means.
+    """
+    rows = features.filter(F.col("features").isNotNull()).select("features")
+    schema = pa.schema([("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("m2", pa.list_(pa.float64()))])
+
+    def merged(a, b):
+        if a is None:
+            return b
+        n, step = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + step * (b[0] / n), a[2] + b[2] + step * step * (a[0] * b[0] / n)
+
+    def row(own, names, state):
+        return pa.RecordBatch.from_arrays([*own, *(pa.array([v], f.type) for v, f in zip(state, schema, strict=True))], names=[*names, *schema.names])
+
+    def run(batches):
+        state = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("features"))
+                off = x - x[0]
+                mean = off.mean(0)
+                state = merged(state, (len(x), x[0] + mean, ((off - mean) ** 2).sum(0)))
+        if state is not None:
+            yield row([], [], state)
+
+    def add(names):
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, first = None, None
+            for batch in batches:
+                first = batch.slice(0, 1) if first is None else first
+                for n, mean, m2 in zip(*(batch.column(c) for c in schema.names), strict=True):
+                    state = merged(state, (n.as_py(), *(v.values.to_numpy(zero_copy_only=False) for v in (mean, m2))))
+            yield row([first.column(k) for k in names], names, state)
+
+        return together
+
+    text = "n bigint, mean array<double>, m2 array<double>"
+    return in_levels(rows.mapInArrow(run, text), [], add, text, levels(rows, fan), fan)
+
+
 def scaling(train: DataFrame) -> DataFrame:
-    """EV1: one row (mean, std, n): population statistics by dimension; no variance gives std 1. They are
-    the column sums and the Gram's diagonal of one pass, in which rows fold where they lie."""
-    sums = pool_grams(train.select("features"), [])
-    mean = F.transform("colsum", lambda c: c / F.col("n"))
-    square = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: F.element_at("gram", (i * (F.col("d") + 1) + 1).cast("int")) / F.col("n"))
-    std = F.transform(F.zip_with(square, mean, lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0)))), lambda s: F.when(s > 1e-12, s).otherwise(F.lit(1.0)))
-    return sums.select(mean.alias("mean"), std.alias("std"), "n")
+    """EV1: one row (mean, std, n): population statistics by dimension; no variance gives std 1."""
+    std = F.transform("m2", lambda s: F.sqrt(s / F.col("n")))
+    return moments(train).select("mean", F.transform(std, lambda s: F.when(s > 1e-12, s).otherwise(F.lit(1.0))).alias("std"), "n")
 
 
 def scale(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -112,12 +154,9 @@ def augmented(features: DataFrame, target: str, pools: list[str]) -> DataFrame:
 
 def projector(grams: DataFrame) -> tuple[np.ndarray, int]:
     """V_r V_r' of the stacked pools, r their rounded effective rank (at least 1). d x d numbers."""
-    rows = grams.agg(F.sum("n").alias("n")).first()
-    gram = None
-    for r in grams.select("gram", "d").toLocalIterator():
-        g = np.array(r["gram"]).reshape(r["d"], r["d"])
-        gram = g if gram is None else gram + g
-    r = max(int(round(effective_rank(gram, rows["n"]))), 1)
+    total = sum_grams(grams, []).first()
+    gram = np.array(total["gram"]).reshape(len(total["colsum"]), -1)
+    r = max(int(round(effective_rank(gram, total["n"]))), 1)
     v = eigen(gram)[1][:, :r]
     return v @ v.T, r
 

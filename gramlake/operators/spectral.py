@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.functions import vectors as V
+from gramlake.operators.gram import NAMES, pool_grams, r_factors, row_kernels
 
 FLOOR = 1e-10
 
@@ -31,7 +32,7 @@ def effective_rank(gram: np.ndarray, n: int, squared: bool = False, sigma_floor:
 
     By default eigenvalues of gram / n up to 1e-10 don't count. The sigma_floor dialect takes
     singular values of the rows themselves above 1e-10; from a Gram those are only known to about
-    1e-8 of the largest, so it is approximate there.
+    1e-8 of the largest, so it is approximate there. sigma_ranks() is exact.
     """
     w = np.linalg.eigvalsh(gram)[::-1]
     if sigma_floor:
@@ -75,6 +76,60 @@ def summarise(grams: DataFrame, k: int = 20) -> DataFrame:
     return out.withColumn("kappa", F.element_at("sigma", 1) / last)  # SP11
 
 
+def _ranked(frame: DataFrame, columns: list[str], extra: str, of) -> DataFrame:
+    """frame's columns plus what of(n, d, numbers) gives for each row, numbers being its last column."""
+    *kept, packed = columns
+    schema = ", ".join(f"`{n}` {t}" for n, t in frame.select(*kept).dtypes) + ", " + extra
+
+    def run(batches):
+        for batch in batches:
+            rows = [of(n, d, x.values.to_numpy(zero_copy_only=False)) for n, d, x in zip(batch.column("n").to_pylist(), batch.column("d").to_pylist(), batch.column(packed), strict=True)]
+            out = list(zip(*rows, strict=True)) or [[] for _ in extra.split(",")]
+            kinds = [pa.list_(pa.float64()) if "array" in e else pa.float64() for e in extra.split(",")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*kept, *(e.split()[0] for e in extra.split(","))])
+
+    return frame.select(*columns).mapInArrow(run, schema)
+
+
+def side_ranks(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """SP2, SP4 and SP6 from the smaller side of each pool: (keys, n, d, side, sigma, nuclear, r_eff, vendi).
+
+    Pools with no more rows than dimensions (side "rows") go by the n x n products of their rows, the
+    others (side "columns") by the d x d Gram; the ranks are the same, as both have the same
+    eigenvalues but for zeros. features also has row_id, which is unique in a pool.
+    """
+    keys = NAMES if keys is None else keys
+    own = [F.col(k).alias(f"__{k}") for k in keys]
+    sizes = features.filter(F.col("features").isNotNull()).groupBy(*keys).agg((F.count("*") <= F.max(F.size("features"))).alias("__few"))
+    sided = features.join(sizes.select(*own, "__few"), [features[k].eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*(f"__{k}" for k in keys))
+    kernels = row_kernels(sided.filter("__few"), keys).withColumn("side", F.lit("rows"))
+    grams = pool_grams(sided.filter("not __few"), keys).withColumn("side", F.lit("columns"))
+
+    def of(n, d, packed):
+        gram = packed.reshape(min(n, d), -1)
+        sigma = np.sqrt(np.maximum(eigen(gram)[0], 0))[: min(n, d)]
+        return sigma, float(sigma.sum()), effective_rank(gram, n), effective_rank(gram, n, squared=True)
+
+    both = kernels.unionByName(grams)
+    return _ranked(both, [*keys, "n", "d", "side", "gram"], "sigma array<double>, nuclear double, r_eff double, vendi double", of)
+
+
+def sigma_ranks(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """SP2b: (keys, n, d, sigma, r_eff_sigma), from the rows' own singular values by triangular factors.
+
+    A Gram matrix knows singular values to about 1e-8 of the largest; these are good to about 1e-15
+    of it, so that the floor of 1e-10 is met.
+    """
+    keys = NAMES if keys is None else keys
+
+    def of(n, d, packed):
+        sigma = np.linalg.svd(packed.reshape(-1, d), compute_uv=False)
+        s = sigma[sigma > FLOOR]
+        return sigma, entropy_rank(s / s.sum(), 1e-30) if len(s) else 1.0
+
+    return _ranked(r_factors(features, keys), [*keys, "n", "d", "r"], "sigma array<double>, r_eff_sigma double", of)
+
+
 def spectral_cdf(spectrum: str = "spectrum") -> Column:
     """SP8."""
     return V.running(spectrum)

@@ -135,25 +135,23 @@ def grid_summary_d2(spark, sf):
     return ST.grid_summary(P.analyse(summaries(spark, sf, dims=2), k=1), "r_merged", "r_pred_library", "is_superadditive").select("n", R("max_err"), R("superadditive"))
 
 
-@query("joint_matrix_lookup", """WITH p AS (SELECT a.n_name AS ds_a, b.n_name AS ds_b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name),
-s AS (SELECT n_name AS pool_id, s_acctbal AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) = 1)
-SELECT ds_a, ds_b, round(coalesce(y.score, x.score), 6) AS score FROM p LEFT JOIN s x ON x.pool_id = ds_a LEFT JOIN s y ON y.pool_id = ds_b""")
+_JOINT = """WITH p AS (SELECT a.n_name AS ds_a, b.n_name AS ds_b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name),
+s AS (SELECT n_name AS pool_id, s_acctbal AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) = 1)
+SELECT ds_a, ds_b, round(coalesce(y.score, x.score), 6) AS score FROM p LEFT JOIN s x ON x.pool_id = ds_a LEFT JOIN s y ON y.pool_id = ds_b"""
+
+
+@query("joint_matrix_lookup", _JOINT)
 def joint_matrix_lookup(spark, sf):
     n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
     a = n.select(F.col("n_name").alias("ds_a"), "n_regionkey")
     pairs = a.join(n.select(F.col("n_name").alias("ds_b"), "n_regionkey"), "n_regionkey").filter("ds_a < ds_b").select("ds_a", "ds_b")
-    scores = s.join(n, s["s_nationkey"] == n["n_nationkey"]).filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("pool_id"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("seq"))
+    scores = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("pool_id"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("seq"))
     return ST.joint_lookup(pairs, scores).select("ds_a", "ds_b", R("score"))
 
 
-@query("joint_matrix_lookup_all")
+@query("joint_matrix_lookup_all", _JOINT)
 def joint_matrix_lookup_all(spark, sf):
-    """With the suppliers of every nation; joint_matrix_lookup leaves out those of every second one, as its SQL does."""
-    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    a = n.select(F.col("n_name").alias("ds_a"), "n_regionkey")
-    pairs = a.join(n.select(F.col("n_name").alias("ds_b"), "n_regionkey"), "n_regionkey").filter("ds_a < ds_b").select("ds_a", "ds_b")
-    scores = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("pool_id"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("seq"))
-    return ST.joint_lookup(pairs, scores).select("ds_a", "ds_b", R("score"))
+    return joint_matrix_lookup(spark, sf)
 
 
 @query("dedup_keep_first", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1")

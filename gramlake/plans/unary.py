@@ -94,6 +94,8 @@ def _unary(name: str, column: str, sql: str):
     @query(f"{name}_d64")
     def wide(spark, sf):
         """At full width, which SQL can't express."""
+        if name == "reff_sigma":
+            return SP.sigma_ranks(pools(spark, sf)).select("pool_id", R(column))
         return summaries(spark, sf).select("pool_id", R(column))
 
     return run
@@ -107,6 +109,14 @@ _unary("reff_normalised", "r_norm", "r_eff / least(n, 2)")
 _unary("condition", "kappa", "s1 / s2")
 
 
+@query("reff_sides_d64")
+def reff_sides_d64(spark, sf):
+    """SP2 of small pools (a pool for each tenth id and label) and of the labels' pools, each from its smaller side."""
+    some = pools(spark, sf, probe="tenths", pool=F.concat(F.lit("t"), F.floor(F.col("vec_id") / 10).cast("string")))
+    found = SP.side_ranks(pools(spark, sf).unionByName(some))
+    return found.select("probe", "pool_id", "side", "n", R("r_eff"), R("vendi"))
+
+
 @query("spectral_cdf_d2", f"WITH {sql_pools()} SELECT pool AS pool_id, round(s1 / (s1 + s2), 6) AS c1, round(1.0, 6) AS c2 FROM e")
 def spectral_cdf_d2(spark, sf):
     c = summaries(spark, sf, dims=2).select("pool_id", SP.spectral_cdf().alias("c"))

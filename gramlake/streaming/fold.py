@@ -21,11 +21,21 @@ def start_fold(stream: DataFrame, target: str, checkpoint: str, trigger: dict |
     """Start folding a stream of feature rows into deltas below target; returns the query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # a batch that is replayed after a compaction is in the sum already
+        if batch_id <= _last_sum(batch.sparkSession, target):
+            return
         pool_grams(batch, KEYS).drop("d").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _last_sum(spark: SparkSession, target: str) -> int:
+    """The last batch that a compaction has added up; -1 before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return _parts(spark, target)[0] if exists else -1
+
+
 def _parts(spark: SparkSession, target: str) -> tuple[int, list[str]]:
     """(last batch in the latest whole sum or -1, folders to read): that sum and the deltas after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
@@ -43,8 +53,8 @@ def read_fold(spark: SparkSession, target: str) -> DataFrame:
 
 
 def compact_fold(spark: SparkSession, target: str) -> None:
-    """Add the deltas so far into one sum and remove what it replaces. Between batches only: a batch
-    that is replayed after it would count twice."""
+    """Add the deltas so far into one sum and remove what it replaces. The sum is named after the last
+    batch in it, and batches up to that one are not written again."""
     last, folders = _parts(spark, target)
     upto = max((int(f.rsplit("=", 1)[1]) for f in folders), default=-1)
     if upto <= last:
