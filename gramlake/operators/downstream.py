@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.functions import vectors as V
+from gramlake.operators.blocks import BLOCK_BYTES, BlockRows
 from gramlake.operators.gram import FAN, _matrix, in_levels, levels, pool_grams, sum_grams
 from gramlake.operators.spectral import effective_rank, eigen
 
@@ -188,14 +189,84 @@ def mean_over_targets(results: DataFrame, value: str = "accuracy", by: tuple[str
     return results.groupBy(*by).agg(F.avg(value).alias(f"{value}_mean"), F.count(value).alias("n_targets"))
 
 
-def scaled_points(d: np.ndarray, dims: int) -> np.ndarray:
+def leading_vectors(times: Callable, m: int, count: int, steps: int = 200, tolerance: float = 1e-12, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors) of the count algebraically largest eigenvalues of a symmetric m x m matrix that is
+    only known by its products with vectors: Lanczos, each vector made orthogonal to all before."""
+    rng = np.random.default_rng(seed)
+    basis, diagonal, beside = [], [], []
+
+    def fresh():
+        v = rng.standard_normal(m)
+        for _ in range(2):
+            for b in basis:
+                v -= (b @ v) * b
+        return v / np.linalg.norm(v)
+
+    basis.append(fresh())
+    while True:
+        w = times(basis[-1])
+        diagonal.append(basis[-1] @ w)
+        for _ in range(2):
+            for b in basis:
+                w -= (b @ w) * b
+        size, scale = np.linalg.norm(w), max(1e-300, max(map(abs, diagonal + beside)))
+        values, inner = eigen(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+        top = min(count, len(values))
+        done = len(basis) >= count and size * np.abs(inner[-1, :top]).max() <= tolerance * scale
+        if len(basis) == m or len(basis) >= steps or done and size > tolerance * scale:
+            return values[:top], np.stack(basis, 1) @ inner[:, :top]
+        # a space that is closed before all vectors are found goes on from another vector
+        beside.append(size if size > tolerance * scale else 0.0)
+        basis.append(w / size if size > tolerance * scale else fresh())
+
+
+def centred_square(times_square: Callable) -> Callable:
+    """Products with the doubly centred matrix -1/2 J D^2 J, from products with D^2."""
+
+    def times(x):
+        y = -0.5 * times_square(x - x.mean())
+        return y - y.mean()
+
+    return times
+
+
+def scaled_points(times_square: Callable, m: int, dims: int) -> np.ndarray:
     """Classical scaling: coordinates from the doubly centred squares of the distances."""
-    c = np.eye(len(d)) - 1 / len(d)
-    w, v = eigen(-0.5 * c @ (d**2) @ c)
-    x = v[:, :dims] * np.sqrt(np.maximum(w[:dims], 0))
+    w, v = leading_vectors(centred_square(times_square), m, min(dims, m))
+    x = v * np.sqrt(np.maximum(w, 0))
     return np.pad(x, ((0, 0), (0, dims - x.shape[1])))
 
 
+def majorising_step(d: np.ndarray, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of rows d of the distances between points own and all points x: where majorisation moves own, and
+    their part of the stress (each pair counts a half on either side).
+
+    The step goes to the minimum of a quadratic that lies above the stress and touches it at the points
+    at hand, so the stress never grows.
+    """
+    drawn = np.sqrt(np.maximum(((own[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
+    pull = np.divide(d, drawn, out=np.zeros_like(d), where=drawn > 1e-12)
+    return (own * pull.sum(1)[:, None] - pull @ x) / len(x), float(((d - drawn) ** 2).sum() / 2)
+
+
+def majorised(step: Callable, starts: list[np.ndarray], rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """(points, stress), the best of several starts. step takes a list of layouts and gives a list of
+    (moved points, stress at the layout), so that one visit of the distances serves all starts."""
+    layouts = [x - x.mean(0) for x in starts]
+    last = [np.inf] * len(layouts)
+    ended: dict[int, tuple[np.ndarray, float]] = {}
+    for turn in range(rounds + 1):
+        going = [i for i in range(len(layouts)) if i not in ended]
+        for i, (moved, now) in zip(going, step([layouts[i] for i in going]), strict=True):
+            if turn == rounds or turn and last[i] - now <= tolerance * max(last[i], 1e-300):
+                ended[i] = (layouts[i], now)
+            else:
+                layouts[i], last[i] = moved, now
+        if len(ended) == len(layouts):
+            break
+    return min(ended.values(), key=lambda r: r[1])
+
+
 def point_distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
 
@@ -205,59 +276,70 @@ def stress(d: np.ndarray, x: np.ndarray) -> float:
     return float(((d - point_distances(x)) ** 2).sum() / 2)
 
 
-def majorised(d: np.ndarray, x: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
-    """Stress majorisation from one start: each step goes to the minimum of a quadratic that lies above
-    the stress and touches it at the points at hand, so the stress never grows."""
-    x, now = x - x.mean(0), stress(d, x)
-    for _ in range(rounds):
-        drawn = point_distances(x)
-        pull = np.divide(d, drawn, out=np.zeros_like(d), where=drawn > 1e-12)
-        moved = (x * pull.sum(1)[:, None] - pull @ x) / len(d)
-        after = stress(d, moved)
-        done = now - after <= tolerance * max(now, 1e-300)
-        x, now = moved, after
-        if done:
-            break
-    return x, now
+def turned(x: np.ndarray) -> np.ndarray:
+    """Points turned to their principal axes, the largest coordinate of each axis positive."""
+    x = x - x.mean(0)
+    x = x @ eigen(x.T @ x)[1]
+    return x * np.where(x[np.abs(x).argmax(0), range(x.shape[1])] < 0, -1, 1)
 
 
-def _embedded(distances: DataFrame, place) -> DataFrame:
-    """(ds_i, x, stress) of a long symmetric matrix that meets in one task; place: matrix -> points.
+def _distances(distances: DataFrame, block_bytes: int) -> BlockRows:
+    return BlockRows(distances, value="distance", block_bytes=block_bytes)
 
-    Points are turned to their principal axes, and the largest coordinate of each axis is positive.
+
+def _placed(matrix: BlockRows, place: Callable) -> DataFrame:
+    """(ds_i, x, stress) of place(products with D^2, steps of majorisation, m).
+
+    A matrix of one block is placed by the task that holds it; larger ones by rounds over their blocks,
+    for which the driver holds the points.
     """
+    m = len(matrix.names)
+    if m == 0:
+        found = np.zeros(0)
+    elif matrix.blocks == 1:
 
-    def run(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas()
-        wide = pdf.pivot(index="ds_i", columns="ds_j", values="distance").fillna(0.0)
-        d = wide.to_numpy()
-        x = place(d)
-        x = (x - x.mean(0)) @ np.linalg.svd(x - x.mean(0), full_matrices=False)[2].T
-        x = x * np.where(x[np.abs(x).argmax(0), range(x.shape[1])] < 0, -1, 1)
-        return pa.table({"ds_i": list(wide.index), "x": pa.array(list(x), pa.list_(pa.float64())), "stress": [stress(d, x)] * len(d)})
+        def alone(_, d, __):
+            steps = lambda layouts: [majorising_step(d, x, x) for x in layouts]
+            x = turned(place(lambda v: (d * d) @ v, steps, m))
+            return np.append(x.ravel(), steps([x])[0][1])
 
-    long = distances.select("ds_i", "ds_j", F.col("distance").cast("double").alias("distance"), F.lit(1).alias("g"))
-    return long.groupBy("g").applyInArrow(lambda t: run(t.drop_columns(["g"])), "ds_i string, x array<double>, stress double")
+        found = matrix.rows(alone, None)[0][1]
+    else:
 
+        def moved(first, d, layouts):
+            rows = [majorising_step(d, x[first : first + len(d)], x) for x in layouts]
+            return np.concatenate([np.append(x.ravel(), s) for x, s in rows])
 
-def classical_mds(distances: DataFrame, dims: int = 2) -> DataFrame:
-    """EV7: (ds_i, x ARRAY<DOUBLE>) from a long symmetric matrix (ds_i, ds_j, distance), by double
-    centring and eigenvectors. The M x M matrix of pools meets in one task.
-    """
-    return _embedded(distances, lambda d: scaled_points(d, dims)).drop("stress")
+        def steps(layouts):
+            count, width = len(layouts), layouts[0].shape[1]
+            parts = [v.reshape(count, -1) for _, v in matrix.rows(moved, layouts)]
+            return [(np.concatenate([p[i, :-1].reshape(-1, width) for p in parts]), float(sum(p[i, -1] for p in parts))) for i in range(count)]
+
+        x = turned(place(lambda v: matrix.times(v, np.square), steps, m))
+        found = np.append(x.ravel(), steps([x])[0][1])
+    matrix.release()
+    points = found[:-1].reshape(m, -1).tolist() if m else []
+    rows = [(n, x, float(found[-1])) for n, x in zip(matrix.names, points, strict=True)]
+    return matrix.spark.createDataFrame(rows, "ds_i string, x array<double>, stress double")
+
+
+def classical_mds(distances: DataFrame, dims: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """EV7: (ds_i, x ARRAY<DOUBLE>) from a long symmetric matrix (ds_i, ds_j, distance), by double centring
+    and its leading eigenvectors."""
+    return _placed(_distances(distances, block_bytes), lambda square, _, m: scaled_points(square, m, dims)).drop("stress")
 
 
-def stress_mds(distances: DataFrame, dims: int = 2, starts: int = 4, seed: int = 42, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
+def stress_mds(distances: DataFrame, dims: int = 2, starts: int = 4, seed: int = 42, rounds: int = 300, tolerance: float = 1e-9, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """EV7: (ds_i, x ARRAY<DOUBLE>, stress) by stress majorisation, the best of the classical solution and
     of starts seeded random ones. Its stress is at most that of classical_mds.
     """
 
-    def place(d: np.ndarray) -> np.ndarray:
+    def place(square, steps, m):
         rng = np.random.default_rng(seed)
-        first = [scaled_points(d, dims), *(rng.uniform(size=(len(d), dims)) for _ in range(starts))]
-        return min((majorised(d, x, rounds, tolerance) for x in first), key=lambda r: r[1])[0]
+        first = [scaled_points(square, m, dims), *(rng.uniform(size=(m, dims)) for _ in range(starts))]
+        return majorised(steps, first, rounds, tolerance)[0]
 
-    return _embedded(distances, place)
+    return _placed(_distances(distances, block_bytes), place)
 
 
 def trend(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ features. Angles between bases and spectra of summed Grams run in Arrow batches
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gramlake.functions import closed_form as CF
 from gramlake.functions import vectors as V
-from gramlake.operators.gram import add_columns
+from gramlake.operators.blocks import BLOCK_BYTES
+from gramlake.operators.gram import FAN, add_columns, in_levels, levels
 from gramlake.operators.spectral import effective_rank
 
 
@@ -285,20 +288,74 @@ def mean_subspace(bases: np.ndarray, rounds: int = 50, tolerance: float = 1e-10)
     return mean
 
 
-def karcher_mean(summaries: DataFrame, rounds: int = 50) -> DataFrame:
+def karcher_mean(summaries: DataFrame, rounds: int = 50, tolerance: float = 1e-10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """PW6: (probe, d, k, basis), the Karcher mean of each probe's bases, in order of name.
 
-    Bases are cut to the smallest k of the probe. One row for each pool meets in a task, d x k
-    numbers each.
+    Bases are cut to the smallest k of the probe. Bases of a probe that fit into a block meet in a task;
+    those of larger probes stay where they are: each round sends the means out, sums the tangents
+    towards the bases in levels and brings back one sum for each probe, until the tangents cancel.
     """
+    light = summaries.select("probe", "pool_id", "k", "basis").persist()
+    sizes = light.groupBy("probe").agg(F.min("k").alias("k"), F.sum(8 * F.size("basis").cast("long")).alias("bytes"), F.min(F.struct("pool_id", "k", "basis")).alias("first")).persist()
+    small = light.join(sizes.filter(F.col("bytes") <= block_bytes).select("probe"), "probe", "left_semi")
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["pool_id"])
         k = min(r["k"] for r in rows)
-        mean = mean_subspace(np.stack([np.array(r["basis"]).reshape(-1, r["k"])[:, :k] for r in rows]), rounds)
+        mean = mean_subspace(np.stack([np.array(r["basis"]).reshape(-1, r["k"])[:, :k] for r in rows]), rounds, tolerance)
         return pa.table({"probe": [rows[0]["probe"]], "d": pa.array([mean.shape[0]], pa.int32()), "k": pa.array([k], pa.int32()), "basis": pa.array([mean.ravel()], pa.list_(pa.float64()))})
 
-    return summaries.select("probe", "pool_id", "k", "basis").groupBy("probe").applyInArrow(run, "probe string, d int, k int, basis array<double>")
+    schema = "probe string, d int, k int, basis array<double>"
+    out = small.groupBy("probe").applyInArrow(run, schema)
+    means = {r["probe"]: np.array(r["first"]["basis"]).reshape(-1, r["first"]["k"])[:, : r["k"]] for r in sizes.filter(F.col("bytes") > block_bytes).collect()}
+    sizes.unpersist()
+    if not means:
+        return out
+    going = set(means)
+    for _ in range(rounds):
+        pulls = _tangents(light.filter(F.col("probe").isin(list(going))), {p: means[p] for p in going})
+        for probe, pull in pulls.items():
+            if np.linalg.norm(pull) < tolerance:
+                going.discard(probe)
+            else:
+                means[probe] = subspace_step(means[probe], pull)
+        if not going:
+            break
+    rows = [(p, m.shape[0], m.shape[1], m.ravel().tolist()) for p, m in means.items()]
+    return out.unionByName(summaries.sparkSession.createDataFrame(rows, schema))
+
+
+def _tangents(bases: DataFrame, means: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mean tangent of each probe from its mean towards its bases; a task holds one sum for each probe."""
+    shared = bases.sparkSession.sparkContext.broadcast(means)
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for probe, k, basis in zip(*(batch.column(c) for c in ("probe", "k", "basis")), strict=True):
+                probe, at = probe.as_py(), shared.value[probe.as_py()]
+                other = basis.values.to_numpy(zero_copy_only=False).reshape(-1, k.as_py())[:, : at.shape[1]]
+                n, total = sums.get(probe, (0, 0.0))
+                sums[probe] = (n + 1, total + subspace_tangents(at, other[None])[0])
+        for probe, (n, total) in sums.items():
+            yield pa.RecordBatch.from_pydict({"probe": [probe], "n": pa.array([n], pa.int64()), "total": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    def add(names):
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, first = 0, None, None
+            for batch in batches:
+                first = batch.slice(0, 1) if first is None else first
+                n += sum(batch.column("n").to_pylist())
+                for part in batch.column("total"):
+                    part = part.values.to_numpy(zero_copy_only=False)
+                    total = part if total is None else total + part
+            yield pa.RecordBatch.from_arrays([*(first.column(c) for c in names), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=[*names, "n", "total"])
+
+        return together
+
+    schema = "n bigint, total array<double>"
+    rows = in_levels(bases.mapInArrow(run, f"probe string, {schema}"), ["probe"], add, schema, levels(bases, FAN)).collect()
+    return {r["probe"]: np.array(r["total"]).reshape(means[r["probe"]].shape) / r["n"] for r in rows}
 
 
 def parc(grams: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ was chosen coming back. Ties go to the smallest pool id, after scores are rounde
 
 from __future__ import annotations
 
+import heapq
 import math
-from itertools import combinations
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from gramlake.functions import vectors as V
 from gramlake.functions.closed_form import SELECTION, merged_rank
-from gramlake.operators.spectral import effective_rank, eigen
+from gramlake.operators.blocks import BlockRows
+from gramlake.operators.gram import sum_grams
+from gramlake.operators.spectral import effective_rank, eigen, singular_values, spectrum_rank
 
 LOCAL_BYTES = 256 << 20
 
@@ -58,7 +61,8 @@ def domain_diverse(summaries: DataFrame, domains: DataFrame, k: int, taken: dict
 
 
 class State:
-    """Gram and count of what is chosen so far, with its rank, nuclear norm and basis when asked."""
+    """Gram and count of what is chosen so far. Rank, nuclear norm and basis come from one decomposition,
+    which is made when the first of them is asked for."""
 
     def __init__(self, gram: np.ndarray, n: int):
         self.gram, self.n = gram, n
@@ -66,20 +70,41 @@ class State:
     def plus(self, other: State) -> State:
         return State(self.gram + other.gram, self.n + other.n)
 
+    @cached_property
+    def _eigen(self) -> tuple[np.ndarray, np.ndarray]:
+        return eigen(self.gram)
+
     @property
     def rank(self) -> float:
-        return effective_rank(self.gram, self.n)
+        return spectrum_rank(self._eigen[0], self.n)
 
     @property
     def vendi(self) -> float:
-        return effective_rank(self.gram, self.n, squared=True)
+        return spectrum_rank(self._eigen[0], self.n, squared=True)
 
     @property
     def nuclear(self) -> float:
-        return float(np.sqrt(np.maximum(np.linalg.eigvalsh(self.gram), 0)).sum())
+        return float(singular_values(self._eigen[0]).sum())
+
+    def basis(self, k: int) -> np.ndarray:
+        return self._eigen[1][:, : max(1, min(k, self.n, len(self.gram)))]
+
+
+class Member:
+    """A candidate: what its summary knows of its decomposition (SEL1b), so that scoring makes none."""
+
+    def __init__(self, state: State, r_eff: float, nuclear: float, basis: np.ndarray):
+        self.state, self.r_eff, self.nuclear, self.top = state, r_eff, nuclear, basis
+
+    @classmethod
+    def of(cls, n, d, gram, r_eff, nuclear, basis, k) -> Member:
+        return cls(State(np.asarray(gram).reshape(d, d), n), r_eff, nuclear, np.asarray(basis).reshape(d, k))
 
     def basis(self, k: int) -> np.ndarray:
-        return eigen(self.gram)[1][:, : max(1, min(k, self.n, len(self.gram)))]
+        """The k leading directions; a summary that holds fewer is too short for this k."""
+        if self.top.shape[1] < min(k, self.state.n, len(self.state.gram)):
+            return self.state.basis(k)
+        return self.top[:, :k]
 
 
 def predicted_rank(r_a: float, r_b: float, gamma: float, alpha: float) -> float:
@@ -96,17 +121,17 @@ def _alignment(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sum((a[:, :k].T @ b[:, :k]) ** 2) / k)
 
 
-def score_prediction(current: State, other: State, r_other: float, k_basis: int) -> float:
+def score_prediction(current: State, other: Member, k_basis: int) -> float:
     """SEL1: predicted rank of the current stack with another pool."""
-    return predicted_rank(current.rank, r_other, other.nuclear / (current.nuclear + 1e-8), _alignment(current.basis(k_basis), other.basis(k_basis)))
+    return predicted_rank(current.rank, other.r_eff, other.nuclear / (current.nuclear + 1e-8), _alignment(current.basis(k_basis), other.basis(k_basis)))
 
 
-def score_vendi(current: State, other: State, r_other: float, k_basis: int) -> float:
-    """SEL5."""
-    return current.plus(other).vendi
+def score_vendi(current: State, other: Member, k_basis: int) -> float:
+    """SEL5: the score is that of the stack with the candidate, which has to be decomposed."""
+    return effective_rank(current.gram + other.state.gram, current.n + other.state.n, squared=True)
 
 
-def score_direction(current: State, other: State, r_other: float, k_basis: int) -> float:
+def score_direction(current: State, other: Member, k_basis: int) -> float:
     """SEL11."""
     return 1 - _alignment(other.basis(k_basis), current.basis(k_basis))
 
@@ -115,38 +140,38 @@ SCORES = {"prediction": score_prediction, "vendi": score_vendi, "direction": sco
 
 
 class Pools:
-    """Summaries (pool_id, n, d, gram, r_eff, vendi) for sequential strategies.
+    """Summaries (pool_id, n, d, gram, r_eff, vendi, nuclear, basis, k) for sequential strategies.
 
     Small frames come to the driver once; larger ones stay persisted, and rounds are jobs. Either way
-    the features behind the summaries are read once; release() gives a large frame back.
+    the features behind the summaries are read once, and the candidates' decompositions are those of
+    the summaries; release() gives a large frame back.
     """
 
+    OWN = ["n", "d", "gram", "r_eff", "nuclear", "basis", "k"]
+
     def __init__(self, summaries: DataFrame, local_bytes: int = LOCAL_BYTES):
-        self.frame = summaries.select("pool_id", "n", "d", "gram", "r_eff", "vendi", "colsum").persist()
-        size = self.frame.agg(F.sum(8 * (F.size("gram").cast("long") + F.col("d")))).first()[0] or 0
+        self.frame = summaries.select("pool_id", *self.OWN, "vendi").persist()
+        size = self.frame.agg(F.sum(8 * (F.size("gram").cast("long") + F.size("basis")))).first()[0] or 0
         self.local = size <= local_bytes
-        self.ids: dict[str, dict] = {}
+        self.ids: dict[str, Member] = {}
+        light = self.frame.select("pool_id", "r_eff", "vendi")
         if self.local:
-            self.ids = {r["pool_id"]: r for r in map(self._unpack, self.frame.collect())}
-            light = self.ids.values()
+            rows = self.frame.collect()
+            self.ids = {r["pool_id"]: Member.of(*(r[c] for c in self.OWN)) for r in rows}
             self.frame.unpersist()
         else:
-            light = [r.asDict() for r in self.frame.select("pool_id", "n", "d", "r_eff", "vendi").collect()]
-        self.light = {r["pool_id"]: {k: r[k] for k in ("r_eff", "vendi")} for r in light}
+            rows = light.collect()
+        self.light = {r["pool_id"]: {"r_eff": r["r_eff"], "vendi": r["vendi"]} for r in rows}
         self.names = sorted(self.light)
 
     def release(self) -> None:
         self.frame.unpersist()
 
-    @staticmethod
-    def _unpack(row) -> dict:
-        d = row["d"]
-        return {"pool_id": row["pool_id"], "r_eff": row["r_eff"], "vendi": row["vendi"], "state": State(np.array(row["gram"]).reshape(d, d), row["n"]), "colsum": np.array(row["colsum"])}
-
     def state(self, name: str) -> State:
         if self.local:
-            return self.ids[name]["state"]
-        return self._unpack(self.frame.filter(F.col("pool_id") == name).first())["state"]
+            return self.ids[name].state
+        row = self.frame.filter(F.col("pool_id") == name).first()
+        return Member.of(*(row[c] for c in self.OWN)).state
 
     def stack(self, names) -> State:
         out = None
@@ -155,19 +180,20 @@ class Pools:
         return out
 
     def scores(self, current: State, names: list[str], score: str, k_basis: int) -> dict[str, float]:
-        """Score of each candidate against the current stack."""
+        """Score of each candidate against the current stack, which is decomposed once."""
         fn = SCORES[score]
         if self.local:
-            return {n: fn(current, self.ids[n]["state"], self.ids[n]["r_eff"], k_basis) for n in names}
-        shared = self.frame.sparkSession.sparkContext.broadcast((current.gram, current.n))
+            return {n: fn(current, self.ids[n], k_basis) for n in names}
+        if score != "vendi":
+            current.rank  # noqa: B018  decomposed here, not in every task
+        shared = self.frame.sparkSession.sparkContext.broadcast(current)
 
         def run(frames):
-            now = State(*shared.value)
             for pdf in frames:
-                vals = [fn(now, State(np.array(g).reshape(d, d), n), r, k_basis) for g, d, n, r in zip(pdf["gram"], pdf["d"], pdf["n"], pdf["r_eff"], strict=True)]
+                vals = [fn(shared.value, Member.of(*row), k_basis) for row in zip(*(pdf[c] for c in Pools.OWN), strict=True)]
                 yield pd.DataFrame({"pool_id": pdf["pool_id"], "score": vals})
 
-        rows = self.frame.filter(F.col("pool_id").isin(names)).select("pool_id", "n", "d", "gram", "r_eff").mapInPandas(run, "pool_id string, score double").collect()
+        rows = self.frame.filter(F.col("pool_id").isin(names)).select("pool_id", *self.OWN).mapInPandas(run, "pool_id string, score double").collect()
         return {r["pool_id"]: r["score"] for r in rows}
 
     def first(self, by: str) -> str:
@@ -282,62 +308,165 @@ def rank_order(summaries: DataFrame, k: int) -> DataFrame:
     return top_pools(summaries, k)
 
 
-#: Pools whose full similarity matrix the driver may hold (a hundred million numbers).
-MATRIX_POOLS = 10_000
-
-
-def _fits_driver(names: list[str]) -> None:
-    if len(names) > MATRIX_POOLS:
-        raise ValueError(f"{len(names)} pools: their similarity matrix is too large for the driver (MATRIX_POOLS = {MATRIX_POOLS})")
-
-
-def facility_location(similarity: dict[tuple[str, str], float], names: list[str], k: int) -> list[str]:
-    """SEL13: greedy maximum of the sum over pools of their best similarity to a chosen one."""
-    _fits_driver(names)
-    best, chosen = dict.fromkeys(names, 0.0), []
-    while len(chosen) < min(k, len(names)):
-        gain = {c: round(sum(max(best[n], similarity[n, c]) for n in names), 9) for c in names if c not in chosen}
-        pick = min(gain, key=lambda c: (-gain[c], c))
-        chosen.append(pick)
-        best = {n: max(best[n], similarity[n, pick]) for n in names}
-    return chosen
-
+def facility_location(similarity: BlockRows, k: int) -> list[str]:
+    """SEL13: greedy maximum of the sum over pools of their best similarity to a chosen one.
 
-def k_medoids(similarity: dict[tuple[str, str], float], names: list[str], k: int) -> list[str]:
-    """SEL14: swaps of one medoid as long as the sum of distances 1 - similarity falls."""
-
-    def cost(medoids):
-        return round(sum(min(1 - similarity[n, m] for m in medoids) for n in names), 9)
+    What a pool adds never grows as others are chosen, so its gain of an earlier round bounds that of
+    later ones. Candidates wait in a queue by their bounds; only those that may still be best are
+    measured anew, some at a time, on the blocks. similarity.evaluations counts them.
+    """
+    m, chosen = len(similarity.names), []
+    bound = np.full(m, np.inf)
+
+    def measure(_, block, shared):
+        taken, asked = shared
+        best = np.maximum(block[:, taken].max(1), 0.0) if taken else np.zeros(len(block))
+        return np.append(np.maximum(best[:, None], block[:, asked]).sum(0), best.sum())
+
+    while len(chosen) < min(k, m):
+        queue = [(-bound[c], c) for c in range(m) if c not in chosen]
+        heapq.heapify(queue)
+        best, base = None, 0.0
+        while queue:
+            asked = []
+            # rounded values decide, so a bound within the rounding may still win
+            while queue and (best is None or base - queue[0][0] + 1e-8 >= -best[0]) and (len(asked) < 64 or np.isinf(queue[0][0])):
+                asked.append(heapq.heappop(queue)[1])
+            if not asked:
+                break
+            *values, base = similarity.total(measure, (chosen, asked))
+            similarity.evaluations += len(asked)
+            for c, v in zip(asked, values, strict=True):
+                bound[c] = v - base
+                best = min(best or (np.inf, m), (-round(float(v), 9), c))
+        chosen.append(best[1])
+    return [similarity.names[c] for c in chosen]
+
+
+def k_medoids(similarity: BlockRows, k: int) -> list[str]:
+    """SEL14: swaps of one medoid as long as the sum of distances 1 - similarity falls.
+
+    A swap's cost follows from each pool's nearest and second-nearest medoid, so one visit of the blocks
+    gives the costs of all swaps: k sums over pools.
+    """
+    names, m = similarity.names, len(similarity.names)
+    medoids = sorted(names.index(n) for n in facility_location(similarity, k))
+
+    def cost(_, block, chosen):
+        return np.array([(1 - block[:, chosen]).min(1).sum()])
+
+    def swaps(_, block, chosen):
+        d = 1 - block
+        near = d[:, chosen]
+        own = near.argmin(1)
+        rows = np.arange(len(d))
+        first = near[rows, own]
+        near[rows, own] = np.inf
+        second = near.min(1)
+        kept = np.minimum(d, first[:, None])
+        out = np.tile(kept.sum(0), (len(chosen), 1))
+        # who loses their medoid goes to the second nearest or to the new one
+        np.add.at(out, own, np.minimum(d, second[:, None]) - kept)
+        return out
 
-    medoids = sorted(facility_location(similarity, names, k))
-    now = cost(medoids)
+    now = round(float(similarity.total(cost, medoids)[0]), 9)
     while True:
-        swaps = [(cost(sorted([*(m for m in medoids if m != out), new])), sorted([*(m for m in medoids if m != out), new])) for out in medoids for new in names if new not in medoids]
-        if not swaps or min(swaps)[0] >= now:
-            return medoids
-        now, medoids = min(swaps)
+        found = similarity.total(swaps, medoids).reshape(len(medoids), m)
+        options = []
+        for out, values in enumerate(found):
+            rest = [c for i, c in enumerate(medoids) if i != out]
+            free = np.setdiff1d(np.arange(m), medoids)
+            if len(free):
+                new = min(free.tolist(), key=lambda c: (round(float(values[c]), 9), c))
+                options.append((round(float(values[new]), 9), sorted([*rest, new])))
+        if not options or min(options)[0] >= now:
+            return [names[c] for c in medoids]
+        now, medoids = min(options)
+
+
+def unranked(rank: int, m: int, k: int) -> list[int]:
+    """The subset of k of m with this place in lexicographic order."""
+    out, at = [], 0
+    while len(out) < k:
+        count = math.comb(m - at - 1, k - len(out) - 1)
+        if rank < count:
+            out.append(at)
+        else:
+            rank -= count
+        at += 1
+    return out
+
+
+def _following(subset: list[int], m: int) -> int:
+    """Turn subset into the next one in lexicographic order; returns the first place that changed."""
+    k = len(subset)
+    i = k - 1
+    while i >= 0 and subset[i] == m - k + i:
+        i -= 1
+    if i >= 0:
+        subset[i] += 1
+        subset[i + 1 :] = range(subset[i] + 1, subset[i] + k - i)
+    return i
+
+
+def exhaustive(grams: DataFrame, k: int, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """SEL15: (subset ARRAY<STRING>, r_eff) of every subset of k pools, best first.
+
+    Subsets are a range of numbers, each task takes a stretch of it and goes from one subset to the next
+    in lexicographic order, where the sums of the members before the first that changes are still at
+    hand. Grams of up to local_bytes together are sent to all tasks; larger ones are joined to the
+    subsets and added up by them.
+    """
+    spark = grams.sparkSession
+    grams = grams.select("pool_id", "n", "gram", "colsum").persist()
+    size = grams.agg(F.sum(8 * F.size("gram").cast("long"))).first()[0] or 0
+    names = sorted(r["pool_id"] for r in grams.select("pool_id").collect())
+    m = len(names)
+    # a set of no pools has no rank
+    ranks = spark.range(math.comb(m, k) if k else 0).withColumnRenamed("id", "subset_id")
+    sent = spark.sparkContext.broadcast(names)
+    if size <= local_bytes:
+        rows = {r["pool_id"]: r for r in grams.collect()}
+        table = spark.sparkContext.broadcast(([rows[n]["n"] for n in names], [np.array(rows[n]["gram"]).reshape(len(rows[n]["colsum"]), -1) for n in names]))
+        grams.unpersist()
 
+        def run(frames):
+            counts, mats = table.value
+            subset, sums, at = [], [], None
+            for pdf in frames:
+                out = []
+                for number in pdf["subset_id"].tolist():
+                    if at is None or number != at + 1:
+                        subset, changed = unranked(number, m, k), 0
+                    else:
+                        changed = _following(subset, m)
+                    at = number
+                    del sums[changed:]
+                    for c in subset[changed:]:
+                        sums.append(mats[c] if not sums else sums[-1] + mats[c])
+                    out.append(effective_rank(sums[-1], sum(counts[c] for c in subset)))
+                yield pd.DataFrame({"subset_id": pdf["subset_id"], "r_eff": out})
+
+        ranked = ranks.mapInPandas(run, "subset_id bigint, r_eff double")
+    else:
 
-def exhaustive(grams: DataFrame, k: int) -> DataFrame:
-    """SEL15: (subset ARRAY<STRING>, r_eff) of every subset of k pools, best first (for small M).
+        def expand(frames):
+            for pdf in frames:
+                members = [unranked(i, m, k) for i in pdf["subset_id"].tolist()]
+                yield pd.DataFrame({"subset_id": np.repeat(pdf["subset_id"].to_numpy(), k), "pool_id": [sent.value[c] for s in members for c in s]})
 
-    Subsets of names are enumerated; each one's Gram is a distributed sum of its members'.
-    """
-    from gramlake.operators.gram import sum_grams
+        def rank(frames):
+            for pdf in frames:
+                yield pd.DataFrame({"subset_id": pdf["subset_id"], "r_eff": [effective_rank(np.array(g).reshape(len(c), -1), n) for g, n, c in zip(pdf["gram"], pdf["n"], pdf["colsum"], strict=True)]})
 
-    names = [r[0] for r in grams.select("pool_id").orderBy("pool_id").collect()]
-    if math.comb(len(names), k) > MATRIX_POOLS**2 // 100:
-        raise ValueError(f"{math.comb(len(names), k)} subsets are too many to enumerate")
-    subsets = grams.sparkSession.createDataFrame([(i, list(s)) for i, s in enumerate(combinations(names, k))], "subset_id int, subset array<string>")
-    members = subsets.select("subset_id", F.explode("subset").alias("pool_id")).join(grams, "pool_id").select("subset_id", "n", "gram", "colsum")
+        members = ranks.mapInPandas(expand, "subset_id bigint, pool_id string").join(grams, "pool_id").select("subset_id", "n", "gram", "colsum")
+        ranked = sum_grams(members, ["subset_id"]).mapInPandas(rank, "subset_id bigint, r_eff double")
 
-    def run(frames):
+    def named(frames):
         for pdf in frames:
-            ranks = [effective_rank(np.array(g).reshape(len(c), -1), n) for g, n, c in zip(pdf["gram"], pdf["n"], pdf["colsum"], strict=True)]
-            yield pd.DataFrame({"subset_id": pdf["subset_id"], "r_eff": ranks})
+            yield pd.DataFrame({"subset": [[sent.value[c] for c in unranked(i, m, k)] for i in pdf["subset_id"].tolist()], "r_eff": pdf["r_eff"]})
 
-    ranked = sum_grams(members, ["subset_id"]).mapInPandas(run, "subset_id int, r_eff double")
-    return ranked.join(subsets, "subset_id").select("subset", "r_eff").orderBy(F.round("r_eff", 9).desc(), "subset")
+    return ranked.mapInPandas(named, "subset array<string>, r_eff double").orderBy(F.round("r_eff", 9).desc(), "subset")
 
 
 def regret(best: float, chosen: float) -> float:

@@ -23,6 +23,12 @@ def eigen(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[::-1], v[:, ::-1]
 
 
+def singular_values(w: np.ndarray) -> np.ndarray:
+    """Roots of a Gram matrix's eigenvalues, largest first; what rounding can't tell from 0 is 0."""
+    unknown = len(w) * np.finfo(float).eps * max(w[0], 0.0) if len(w) else 0.0
+    return np.sqrt(np.where(w > unknown, w, 0.0))
+
+
 def entropy_rank(p: np.ndarray, eps: float) -> float:
     return float(np.exp(-np.sum(p * np.log(p + eps)))) if len(p) else 1.0
 
@@ -39,6 +45,11 @@ def effective_rank(gram: np.ndarray, n: int, squared: bool = False, sigma_floor:
         s = np.sqrt(np.maximum(w, 0))[: min(n, len(w))]
         s = s[s > FLOOR]
         return entropy_rank(s / s.sum(), 1e-30) if len(s) else 1.0
+    return spectrum_rank(w, n, squared)
+
+
+def spectrum_rank(w: np.ndarray, n: int, squared: bool = False) -> float:
+    """SP2 or SP6 from the eigenvalues of a Gram matrix of n rows."""
     w = w / max(n, 1)
     w = w[w > FLOOR]
     x = w if squared else np.sqrt(w)
@@ -60,7 +71,7 @@ def summarise(grams: DataFrame, k: int = 20) -> DataFrame:
             for n, d, packed in zip(*(batch.column(c).to_pylist() for c in ("n", "d", "gram")), strict=True):
                 gram = np.array(packed).reshape(d, d)
                 w, v = eigen(gram)
-                sigma = np.sqrt(np.maximum(w, 0))[: min(n, d)]
+                sigma = singular_values(w)[: min(n, d)]
                 counted = np.sqrt(w[w / max(n, 1) > FLOOR] / max(n, 1))
                 top = max(1, min(k, n, d))
                 row = (sigma, counted / counted.sum() if len(counted) else counted, float(sigma.sum()), effective_rank(gram, n), effective_rank(gram, n, sigma_floor=True), effective_rank(gram, n, squared=True), v[:, :top].ravel(), top)
@@ -107,7 +118,7 @@ def side_ranks(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     def of(n, d, packed):
         gram = packed.reshape(min(n, d), -1)
-        sigma = np.sqrt(np.maximum(eigen(gram)[0], 0))[: min(n, d)]
+        sigma = singular_values(eigen(gram)[0])[: min(n, d)]
         return sigma, float(sigma.sum()), effective_rank(gram, n), effective_rank(gram, n, squared=True)
 
     both = kernels.unionByName(grams)

@@ -15,6 +15,7 @@ from gramlake.operators import spectral as SP
 from gramlake.operators import statistics as ST
 from gramlake.operators import synthetic as SY
 from gramlake.operators import transfer as T
+from gramlake.operators.blocks import BLOCK_BYTES, BlockRows
 from gramlake.plans.fixtures import domains, pools, sql_folded, sql_pairs, sql_pools, sql_predict, sql_rank, summaries
 from gramlake.plans.registry import query
 from gramlake.plans.unary import R
@@ -66,6 +67,21 @@ def exhaustive_k2_d2(spark, sf):
     return S.exhaustive(G.pool_grams(pools(spark, sf, dims=2)), 2).select(F.concat_ws(",", "subset").alias("subset"), R("r_eff"))
 
 
+@query("best_subset_regret_d2", f"""{_D2}, three AS (SELECT x.pool AS p, y.pool AS q, z.pool AS r, x.a + y.a + z.a AS a, x.b + y.b + z.b AS b, x.c + y.c + z.c AS c FROM e x JOIN e y ON x.pool < y.pool JOIN e z ON y.pool < z.pool),
+w AS (SELECT *, sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s1, sqrt(greatest((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0)) AS s2 FROM three),
+v AS (SELECT p || ',' || q || ',' || r AS subset, {sql_rank('s1', 's2')} AS r_eff FROM w),
+top AS (SELECT string_agg(pool, ',' ORDER BY pool) AS subset FROM (SELECT pool FROM e ORDER BY round(r_eff, 9) DESC, pool LIMIT 3))
+SELECT round(max(v.r_eff), 6) AS best, round(max(CASE WHEN v.subset = top.subset THEN v.r_eff END), 6) AS chosen, round((max(v.r_eff) - max(CASE WHEN v.subset = top.subset THEN v.r_eff END)) / max(v.r_eff) * 100, 4) AS regret_pct FROM v, top""")
+def best_subset_regret_d2(spark, sf):
+    """SEL15: what the three pools of the largest ranks lose against the best of all subsets of three."""
+    s = summaries(spark, sf, dims=2).persist()
+    chosen = [r["pool_id"] for r in S.top_pools(s, 3).collect()]
+    best = S.exhaustive(s, 3).first()["r_eff"]
+    own = S.Pools(s).stack(chosen).rank
+    s.unpersist()
+    return spark.createDataFrame([(round(best, 6), round(own, 6), round(S.regret(best, own), 4))], "best double, chosen double, regret_pct double")
+
+
 @query("retention_d2", f"""WITH {sql_pools()}, t AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c FROM g), f AS (SELECT *, sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s1, sqrt((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s2 FROM t),
 p AS (SELECT sum(g.a) AS a, sum(g.b) AS b, sum(g.c) AS c FROM g WHERE pool IN ('p0', 'p1', 'p2')), q AS (SELECT *, sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s1, sqrt((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s2 FROM p)
 SELECT round({sql_rank('q.s1', 'q.s2')} / {sql_rank('f.s1', 'f.s2')} * 100, 4) AS retention_pct FROM q, f""")
@@ -120,20 +136,28 @@ def hybrid_col_dom(spark, sf):
     return names_frame(spark, S.hybrid_predict_then_domains(S.Pools(s), s, domains(spark, sf), 5))
 
 
-def _similarity(spark, sf):
-    s = summaries(spark, sf)
-    rows = P.symmetric(P.analyse(s, k=20), F.col("sa_k"), 1.0, "sa", s).collect()
-    return {(r["ds_i"], r["ds_j"]): r["sa"] for r in rows}, sorted({r["ds_i"] for r in rows})
+def _similarity(spark, sf, block_bytes=BLOCK_BYTES):
+    s = summaries(spark, sf).persist()
+    matrix = BlockRows(P.symmetric(P.analyse(s, k=20), F.col("sa_k"), 1.0, "sa", s), value="sa", block_bytes=block_bytes)
+    s.unpersist()
+    return matrix
+
+
+def _chosen(spark, sf, choose, block_bytes=BLOCK_BYTES):
+    matrix = _similarity(spark, sf, block_bytes)
+    names = choose(matrix)
+    matrix.release()
+    return names_frame(spark, names)
 
 
 @query("facility_location")
 def facility_location(spark, sf):
-    return names_frame(spark, S.facility_location(*_similarity(spark, sf), 3))
+    return _chosen(spark, sf, lambda m: S.facility_location(m, 3))
 
 
 @query("k_medoids")
 def k_medoids(spark, sf):
-    return names_frame(spark, S.k_medoids(*_similarity(spark, sf), 3))
+    return _chosen(spark, sf, lambda m: S.k_medoids(m, 3))
 
 
 @query("clone_attack")
