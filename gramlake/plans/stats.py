@@ -62,11 +62,11 @@ def boolean_rates(spark, sf):
 
 
 @query("bootstrap_ci", f"""WITH {_NATION}, num AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS i FROM nat), m AS (SELECT count(*) AS m FROM nat),
-picks AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % m AS i FROM (SELECT unnest(range(500)) AS b), m, (SELECT unnest(range((SELECT m FROM m))) AS j)),
+picks AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % m AS i FROM (SELECT unnest(range(10000)) AS b), m, (SELECT unnest(range((SELECT m FROM m))) AS j)),
 s AS (SELECT b, corr(truth, pred) AS v FROM picks JOIN num USING (i) GROUP BY b)
 SELECT 'pearson' AS metric, round((SELECT corr(truth, pred) FROM nat), 6) AS point, round(quantile_cont(v, 0.025), 6) AS ci_lo, round(quantile_cont(v, 0.975), 6) AS ci_hi, round(stddev_pop(v), 6) AS se FROM s""")
 def bootstrap_ci(spark, sf):
-    return ST.bootstrap(nations(spark, sf), "nation", {"pearson": F.corr("truth", "pred")}, 500).select("metric", R("point"), R("ci_lo"), R("ci_hi"), R("se"))
+    return ST.bootstrap(nations(spark, sf), "nation", {"pearson": ST.pearson_statistic("truth", "pred")}).select("metric", R("point"), R("ci_lo"), R("ci_hi"), R("se"))
 
 
 @query("overlapping_group_summary", "SELECT g AS \"group\", count(*) AS n, round(avg(l_extendedprice), 4) AS v FROM (SELECT *, unnest(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN l_discount > 0.05 THEN 'discounted' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL)) AS g FROM lineitem) GROUP BY 1")
@@ -88,7 +88,7 @@ def quartile_buckets(spark, sf):
 
 @query("medians", "SELECT p_brand, round(median(p_retailprice), 6) AS m FROM part GROUP BY 1")
 def medians(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.round(ST.median("p_retailprice"), 6).alias("m"))
+    return ST.medians(table(spark, sf, "part"), "p_retailprice", ("p_brand",)).select("p_brand", F.round("median", 6).alias("m"))
 
 
 @query("value_counts", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
