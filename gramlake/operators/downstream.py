@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gramlake.functions import vectors as V
 from gramlake.operators.blocks import BLOCK_BYTES, BlockRows
 from gramlake.operators.gram import FAN, _matrix, in_levels, levels, pool_grams, sum_grams
+from gramlake.operators.neighbours import nearest
 from gramlake.operators.spectral import effective_rank, eigen
 
 
@@ -60,9 +61,11 @@ def moments(features: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def scaling(train: DataFrame) -> DataFrame:
-    """EV1: one row (mean, std, n): population statistics by dimension; no variance gives std 1."""
+    """EV1: one row (mean, std, n): population statistics by dimension; no variance gives std 1. The row
+    is computed here, once for all that is scaled by it."""
     std = F.transform("m2", lambda s: F.sqrt(s / F.col("n")))
-    return moments(train).select("mean", F.transform(std, lambda s: F.when(s > 1e-12, s).otherwise(F.lit(1.0))).alias("std"), "n")
+    stats = moments(train).select("mean", F.transform(std, lambda s: F.when(s > 1e-12, s).otherwise(F.lit(1.0))).alias("std"), "n")
+    return train.sparkSession.createDataFrame(stats.collect(), stats.schema)
 
 
 def scale(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -75,35 +78,10 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int = 2048
     """EV3: (row_id, label, predicted) of test rows: majority of the k nearest train rows.
 
     Distance ties go to the smaller train row_id, vote ties to the smaller label. The test set is a
-    stated query set: it meets the train rows in pairs of blocks, each block's k nearest are kept,
-    and the blocks' lists are ranked once more.
+    stated query set; neighbours.nearest() meets it with the train rows in pairs of blocks.
     """
-    n_train, n_test = max(1, -(-train.count() // block)), max(1, -(-test.count() // block))
-    kinds = dict(train.dtypes)
-    left = train.select(F.col("row_id").alias("train_id"), F.col("label").alias("train_label"), F.col("features").alias("t"), F.pmod(F.xxhash64("row_id"), F.lit(n_train)).alias("tb")).withColumn("qb", F.explode(F.expr(f"sequence(0, {n_test - 1})")))
-    right = test.select("row_id", "features", F.pmod(F.xxhash64("row_id"), F.lit(n_test)).cast("int").alias("qb")).withColumn("tb", F.explode(F.expr(f"sequence(0L, {n_train - 1}L)")))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {"row_id": [], "d": [], "train_id": [], "train_label": []}
-        if a.num_rows and b.num_rows:
-            x, q = (np.stack(c.to_pylist()).astype(float) for c in (a.column("t"), b.column("features")))
-            ids, labels = a.column("train_id").to_numpy(), a.column("train_label").to_numpy()
-            # squared distances by a product of the blocks; those that may be nearest are measured anew
-            rough = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-            at = min(k, len(x)) - 1
-            near = rough <= np.partition(rough, at, 1)[:, at, None] + 1e-9 * (1 + np.abs(rough).max())
-            for i, row in enumerate(b.column("row_id").to_pylist()):
-                own = np.flatnonzero(near[i])
-                d = np.sqrt(((x[own] - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids[own], d))[:k]
-                out["row_id"] += [row] * len(best)
-                out["d"] += d[best].tolist()
-                out["train_id"] += ids[own[best]].tolist()
-                out["train_label"] += labels[own[best]].tolist()
-        return pa.table({"row_id": pa.array(out["row_id"], pa.int64()), "d": pa.array(out["d"], pa.float64()), "train_id": pa.array(out["train_id"], pa.int64()), "train_label": pa.array(out["train_label"], pa.int32())})
-
-    near = left.withColumn("tb", F.col("tb").cast("bigint")).groupBy("tb", "qb").cogroup(right.groupBy("tb", "qb")).applyInArrow(run, "row_id bigint, d double, train_id bigint, train_label int")
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("row_id").orderBy(F.round("d", 9), "train_id"))).filter(F.col("rn") <= k)
+    rows = train.select(F.col("row_id").alias("other_id"), F.col("label").alias("train_label"), F.col("features").alias("x"))
+    near = nearest(rows, test.select("row_id", F.col("features").alias("x")), k, carry=["train_label"], block=block)
     votes = near.groupBy("row_id", "train_label").agg(F.count("*").alias("votes"))
     best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("train_label").alias("label"))).alias("b"))
     return test.select("row_id", "label").join(best.select("row_id", F.col("b.label").alias("predicted")), "row_id")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.functions import vectors as V
 from gramlake.operators.gram import NAMES, pool_grams, r_factors, row_kernels
+from gramlake.operators.neighbours import nearest
 
 FLOOR = 1e-10
 
@@ -146,46 +147,24 @@ def spectral_cdf(spectrum: str = "spectrum") -> Column:
     return V.running(spectrum)
 
 
+def _chord(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of unit rows, from products summed in order of dimension, as a plain loop would."""
+    dot = np.zeros(len(q))
+    for j in range(x.shape[1] if len(x) else 0):
+        dot += q[:, j] * x[:, j]
+    return np.sqrt(np.maximum(2 - 2 * np.clip(dot, -1, 1), 0))
+
+
 def two_nn(features: DataFrame, keys: list[str] | None = None, block: int = 2048) -> DataFrame:
     """SP7: (keys, n, uid), the TwoNN estimate of intrinsic dimension of each pool.
 
-    Null for pools of under 10 rows or with under 5 usable ones. The estimate is defined on all pairs
-    within a pool: its rows are dealt to blocks, each pair of blocks is one product, and a row's two
-    nearest of each block are ranked once more. So no task holds more than two blocks.
+    Null for pools of under 10 rows or with under 5 usable ones. The estimate needs each row's two
+    nearest within its pool, which neighbours.nearest() finds by pairs of blocks.
     """
-    keys = ["probe", "pool_id"] if keys is None else keys
-    rows = features.select(*keys, "row_id", V.unit("features", 1e-12).alias("u"))
-    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    blocks = -(-most // block)
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-    right = dealt.withColumnRenamed("own", "other").withColumn("own", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-    kinds = dict(rows.dtypes)
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "row_id bigint, d double, other_id bigint"
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = pa.table({**{k: a.column(k).slice(0, 0) for k in keys}, "row_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "other_id": pa.array([], pa.int64())})
-        if not a.num_rows or not b.num_rows:
-            return empty
-        x, y = (np.stack(t.column("u").to_pylist()).astype(float) for t in (a, b))
-        ids, others = (t.column("row_id").to_numpy() for t in (a, b))
-        rough = x @ y.T
-        rough[ids[:, None] == others[None]] = -np.inf
-        at = max(rough.shape[1] - 2, 0)
-        row, col = np.nonzero((rough >= np.partition(rough, at, 1)[:, at, None] - 1e-12) & np.isfinite(rough))
-        dot = np.zeros(len(row))
-        for j in range(x.shape[1]):  # summed in order of dimension, as a plain loop would
-            dot += x[row, j] * y[col, j]
-        d = np.sqrt(np.maximum(2 - 2 * np.clip(dot, -1, 1), 0))
-        order = np.lexsort((others[col], d, row))
-        row, col, d = row[order], col[order], d[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < 2
-        return pa.table({**{k: a.column(k).take(pa.array(row[keep])) for k in keys}, "row_id": ids[row[keep]], "d": d[keep], "other_id": others[col[keep]]})
-
-    near = left.groupBy(*keys, "own", "other").cogroup(right.groupBy(*keys, "own", "other")).applyInArrow(run, schema)
-    w = Window.partitionBy(*keys, "row_id").orderBy("d", "other_id")
-    near = near.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
+    keys = NAMES if keys is None else keys
+    rows = features.select(*keys, "row_id", V.unit("features", 1e-12).alias("x"))
+    near = nearest(rows.withColumnRenamed("row_id", "other_id"), rows, 2, keys, same=True, measure=_chord, block=block)
     two = near.groupBy(*keys, "row_id").agg(F.min("d").alias("m1"), F.max("d").alias("m2"))
-    fit = two.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when((F.col("m1") > 1e-10) & (F.col("m2") > 1e-10), 1)).alias("ok"), F.avg(F.when((F.col("m1") > 1e-10) & (F.col("m2") > 1e-10), F.log(F.col("m2") / F.col("m1")))).alias("mean"))
+    ok = (F.col("m1") > 1e-10) & (F.col("m2") > 1e-10)
+    fit = two.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("ok"), F.avg(F.when(ok, F.log(F.col("m2") / F.col("m1")))).alias("mean"))
     return fit.select(*keys, "n", F.when((F.col("n") >= 10) & (F.col("ok") >= 5), 1 / (F.log(F.lit(2.0)) * F.col("mean"))).alias("uid"))
