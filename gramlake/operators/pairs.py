@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gramlake.functions import closed_form as CF
 from gramlake.functions import vectors as V
 from gramlake.operators.blocks import BLOCK_BYTES
-from gramlake.operators.gram import FAN, add_columns, in_levels, levels
+from gramlake.operators.gram import FAN, add_columns, in_levels, levels, sum_grams
 from gramlake.operators.spectral import effective_rank
 
 
@@ -366,22 +366,38 @@ def parc(grams: DataFrame) -> DataFrame:
     return both.groupBy("probe", "ds_a", "ds_b").agg(F.corr("v", "w").alias("parc"))
 
 
-def linear_cka(features: DataFrame, rows: int | None = None) -> DataFrame:
+def linear_cka(features: DataFrame, rows: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """PW17: (probe, ds_a, ds_b, cka) of pools whose first rows rows (by row_id) correspond; without
     rows, all of them up to the smaller pool of each pair.
 
-    Cross-products are sums over positions: each position's rows of both pools meet in an equi-join,
-    are stacked, and one Gram of the stacked, centred vectors gives all three norms.
+    Cross-products are sums over positions. A stretch of positions brings the rows of all pools of a probe
+    together once, block_bytes of them; each pair of pools that both reach into it gives the Gram of
+    their stacked rows there, and these add up to what all three norms follow from.
     """
     w = Window.partitionBy("probe", "pool_id").orderBy("row_id")
-    ranked = features.withColumn("pos", F.row_number().over(w)).select("probe", "pool_id", "pos", "features")
-    ranked = ranked if rows is None else ranked.filter(F.col("pos") <= rows)
-    a = ranked.select("probe", "pos", F.col("pool_id").alias("ds_a"), F.col("features").alias("fa"))
-    b = ranked.select("probe", "pos", F.col("pool_id").alias("ds_b"), F.col("features").alias("fb"))
-    from gramlake.operators.gram import pool_grams
+    ranked = features.withColumn("pos", F.row_number().over(w) - 1).select("probe", "pool_id", "pos", "features")
+    ranked = ranked if rows is None else ranked.filter(F.col("pos") < rows)
+    most = features.groupBy("probe").agg((F.countDistinct("pool_id") * F.max(F.size("features")) * 8).alias("bytes")).agg(F.max("bytes")).first()[0] or 1
+    per = max(1, block_bytes // most)
+    kinds = dict(features.dtypes)
+    schema = f"probe {kinds['probe']}, ds_a {kinds['pool_id']}, ds_b {kinds['pool_id']}, n bigint, gram array<double>, colsum array<double>"
+    many = pa.list_(pa.float64())
 
-    both = a.join(b, ["probe", "pos"]).filter("ds_a < ds_b").select("probe", "ds_a", "ds_b", F.concat("fa", "fb").alias("features"))
-    grams = pool_grams(both, ["probe", "ds_a", "ds_b"])
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        names, at = np.array(table.column("pool_id").to_pylist(), object), table.column("pos").to_numpy()
+        flat = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1)
+        own = {n: flat[pick[np.argsort(at[pick])]] for n in sorted(set(names)) for pick in [np.flatnonzero(names == n)]}
+        probe = table.column("probe").combine_chunks().slice(0, 1)
+        for a, x in own.items():
+            for b, y in own.items():
+                if a < b:
+                    n = min(len(x), len(y))
+                    both = np.hstack((x[:n], y[:n]))
+                    yield pa.RecordBatch.from_arrays([probe, *(pa.array([v], table.schema.field("pool_id").type) for v in (a, b)), pa.array([n], pa.int64()), pa.array([(both.T @ both).ravel()], many), pa.array([both.sum(0)], many)], names=["probe", "ds_a", "ds_b", "n", "gram", "colsum"])
+
+    parts = ranked.withColumn("stretch", F.floor(F.col("pos") / per)).groupBy("probe", "stretch").applyInArrow(cross, schema)
+    grams = sum_grams(parts, ["probe", "ds_a", "ds_b"])
 
     def run(batches):
         for batch in batches:
@@ -393,4 +409,4 @@ def linear_cka(features: DataFrame, rows: int | None = None) -> DataFrame:
                 out.append(float(np.sum(g[:h, h:] ** 2) / (np.sqrt(np.sum(g[:h, :h] ** 2) * np.sum(g[h:, h:] ** 2)) + 1e-12)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("probe", "ds_a", "ds_b")), pa.array(out, pa.float64())], names=["probe", "ds_a", "ds_b", "cka"])
 
-    return grams.mapInArrow(run, "probe string, ds_a string, ds_b string, cka double")
+    return grams.mapInArrow(run, f"probe {kinds['probe']}, ds_a {kinds['pool_id']}, ds_b {kinds['pool_id']}, cka double")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import time
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
@@ -495,8 +497,11 @@ def retention(pools: Pools, names: list[str]) -> float:
     return pools.stack(names).rank / pools.stack(pools.names).rank * 100
 
 
-def compare_strategies(spark, summaries: DataFrame, centroids: DataFrame, domains: DataFrame, budgets: list[int], seeds: list[int]) -> DataFrame:
-    """SEL19: a row for each budget, strategy and seed: chosen pools, rank, Vendi score and retention."""
+def compare_strategies(spark, summaries: DataFrame, centroids: DataFrame, domains: DataFrame, budgets: list[int], seeds: list[int], evaluate: Callable[[list[str]], tuple[float, float]] | None = None) -> DataFrame:
+    """SEL19: a row for each budget, strategy and seed: chosen pools, rank, Vendi score, retention and the
+    seconds that the choice took. With evaluate, also the accuracies of a linear probe and of kNN that it
+    gives for the chosen pools; equal choices are evaluated once.
+    """
     pools = Pools(summaries)
     full, m, rows = pools.stack(pools.names).rank, len(pools.names), []
     if pools.local:
@@ -519,13 +524,19 @@ def compare_strategies(spark, summaries: DataFrame, centroids: DataFrame, domain
             "predict_then_domains": lambda k=k: hybrid_predict_then_domains(pools, summaries, domains, k),
         }
         for name, plan in plans.items():
-            rows.append((k, m / k, name, None, plan()))
-        rows += [(k, m / k, "random", s, [drawn[s, i + 1] for i in range(min(k, m))]) for s in seeds]
-    out = []
-    for k, ratio, name, seed, chosen in rows:
+            began = time.perf_counter()
+            chosen = plan()
+            rows.append((k, m / k, name, None, chosen, time.perf_counter() - began))
+        rows += [(k, m / k, "random", s, [drawn[s, i + 1] for i in range(min(k, m))], 0.0) for s in seeds]
+    out, judged = [], {}
+    for k, ratio, name, seed, chosen, seconds in rows:
         s = pools.stack(chosen)
-        out.append((k, float(ratio), name, seed, chosen, s.rank, s.vendi, s.rank / full * 100))
-    return spark.createDataFrame(out, "k int, ratio double, strategy string, seed int, selected array<string>, r_sel double, vendi_sel double, retention_pct double")
+        at = tuple(sorted(chosen))
+        if at not in judged:
+            judged[at] = evaluate(list(at)) if evaluate else ()
+        out.append((k, float(ratio), name, seed, chosen, s.rank, s.vendi, s.rank / full * 100, seconds, *judged[at]))
+    extra = ", lp double, knn double" if evaluate else ""
+    return spark.createDataFrame(out, f"k int, ratio double, strategy string, seed int, selected array<string>, r_sel double, vendi_sel double, retention_pct double, seconds double{extra}")
 
 
 def predicted_round(current: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -55,6 +55,37 @@ def grassmann_loss_d2(spark, sf):
     return P.grassmann_loss(angled(spark, sf)).select(R("loss"))
 
 
+def _closed(name: str, sql: str, columns):
+    """A closed form (CF5, CF13-CF16, OR6) over the measured pairs of pools."""
+
+    @query(f"pair_{name}_d2", f"{_BASE} SELECT ds_a, ds_b, {sql} FROM pr")
+    def run(spark, sf):
+        p = angled(spark, sf).withColumn("sa", P.alignment()).withColumn("gamma", F.col("nuclear_b") / (F.col("nuclear_a") + 1e-8))
+        return p.select(F.col("pool_id_a").alias("ds_a"), F.col("pool_id_b").alias("ds_b"), *columns())
+
+    return run
+
+
+_KAPPA = "greatest(s1a / s2a, s1b / s2b)"
+_closed("bounds", "round(least(r_a, r_b), 6) AS lower, round(r_a + r_b, 6) AS upper, round(greatest(r_a, r_b), 6) AS larger", lambda: [R(n, c) for n, c in zip(("lower", "upper", "larger"), CF.bounds("r_eff_a", "r_eff_b"), strict=True)])
+_closed("universal_c", "round(0.946 - 0.175 * ln(mn / (r_a + r_b)), 6) AS c", lambda: [R("c", CF.universal_constant(F.col("n_a") + F.col("n_b"), F.col("r_eff_a") + F.col("r_eff_b")))])
+_closed(
+    "error_bounds", f"round(4 * gamma * gamma / greatest((1 - gamma * gamma) * (1 - gamma * gamma) + 4 * gamma * gamma * sa, 1e-12) * sa * (1 - sa) * ln({_KAPPA}), 5) AS bound_tight, round(ln({_KAPPA}), 6) AS bound_worst",
+    lambda: [F.round(CF.error_bounds("gamma", "sa", F.col("sa") * (1 - F.col("sa")), F.greatest("kappa_a", "kappa_b"))[0], 5).alias("bound_tight"), R("bound_worst", CF.error_bounds("gamma", "sa", F.lit(0.0), F.greatest("kappa_a", "kappa_b"))[1])],
+)
+_closed("transfer_bound", f"round(0.1 + 2 * {_W1} + (1 - sa) + 0.5 * abs(r_a - r_b), 6) AS bound", lambda: [R("bound", CF.transfer_bound(F.lit(0.1), P.spectral_w1(), P.direction_gain(F.col("sa")), F.abs(F.col("r_eff_a") - F.col("r_eff_b")), 2.0, 1.0, 0.5))])
+_closed("naive_gain", "round(sqrt(1 + sa * gamma * gamma), 6) AS gain", lambda: [R("gain", CF.naive_gain("gamma", "sa"))])
+
+
+@query("pair_sql_functions_d2", f"{_BASE} SELECT ds_a, ds_b, round({sql_predict('r_a', 'r_b', 'gamma', 'sa')}, 6) AS lib, round({sql_predict('r_a', 'r_b', 'gamma', 'sa', 'selection')}, 5) AS sel, round(-sa * ln(sa) - (1 - sa) * ln(1 - sa), 6) AS h FROM (SELECT * REPLACE (greatest(1e-10, least(1 - 1e-10, sa)) AS sa) FROM pr)")
+def pair_sql_functions_d2(spark, sf):
+    """OR6: the predictors as SQL functions, over the measured pairs."""
+    CF.register_sql(spark)
+    clipped = F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), P.alignment()))
+    angled(spark, sf).withColumn("sa", clipped).withColumn("gamma", F.col("nuclear_b") / (F.col("nuclear_a") + 1e-8)).createOrReplaceTempView("measured_pairs")
+    return spark.sql("SELECT pool_id_a AS ds_a, pool_id_b AS ds_b, round(predict_library(r_eff_a, r_eff_b, gamma, sa), 6) AS lib, round(predict_selection(r_eff_a, r_eff_b, gamma, sa), 5) AS sel, round(binary_entropy(sa), 6) AS h FROM measured_pairs")
+
+
 _DELTA = "(r_merged - greatest(r_a, r_b))"
 _PAIR_SQL = f"""{_BASE} SELECT ds_a, ds_b, round(r_a, 6) AS r_a, round(r_b, 6) AS r_b, round(r_merged, 6) AS r_merged, round(r_a + r_b, 6) AS r_ideal,
   round(greatest(0, (r_a + r_b - r_merged) / (r_a + r_b)), 6) AS collapse_ratio, round(sa, 6) AS sa_k, round(gamma, 6) AS gamma, round(na / (na + nb + 1e-8), 6) AS r_star_energy,

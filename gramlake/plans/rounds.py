@@ -90,6 +90,63 @@ def retention_d2(spark, sf):
     return spark.createDataFrame([(round(r, 4),)], "retention_pct double")
 
 
+def _greedy_sql(score: str, rounds: int, start: str) -> str:
+    """Rounds of a greedy at two dimensions and one direction, a chain of states (a, b, c, chosen pools)."""
+    formula = {
+        "prediction": sql_predict("s.r_eff", "e.r_eff", "(e.nuclear / (s.nuclear + 1e-8))", "(cos(e.th - s.th) * cos(e.th - s.th))", "selection"),
+        "vendi": sql_rank("(e.a + s.a + e.c + s.c + sqrt(pow(e.a + s.a - e.c - s.c, 2) + 4 * pow(e.b + s.b, 2))) / 2", "(e.a + s.a + e.c + s.c - sqrt(pow(e.a + s.a - e.c - s.c, 2) + 4 * pow(e.b + s.b, 2))) / 2"),
+        "direction": "1 - cos(e.th - s.th) * cos(e.th - s.th)",
+    }[score]
+    parts = [f"WITH {sql_pools()}", f"w1 AS ({start})"]
+    for r in range(1, rounds + 1):
+        parts.append(f"d{r} AS (SELECT *, sqrt((a - c) * (a - c) + 4 * b * b) AS dd FROM w{r})")
+        parts.append(f"v{r} AS (SELECT *, sqrt((a + c + dd) / 2) AS s1, sqrt(greatest((a + c - dd) / 2, 0)) AS s2, 0.5 * atan2(2 * b, a - c) AS th FROM d{r})")
+        parts.append(f"s{r} AS (SELECT *, s1 + s2 AS nuclear, {sql_rank('s1', 's2')} AS r_eff FROM v{r})")
+        parts.append(f"p{r} AS (SELECT e.pool, e.a, e.b, e.c, {formula} AS score FROM e, s{r} s WHERE NOT list_contains(s.chosen, e.pool) ORDER BY round(score, 9) DESC, e.pool LIMIT 1)")
+        parts.append(f"w{r + 1} AS (SELECT w.a + p.a AS a, w.b + p.b AS b, w.c + p.c AS c, list_append(w.chosen, p.pool) AS chosen FROM w{r} w, p{r} p)")
+    return ", ".join(parts)
+
+
+def _greedy_rounds(score: str, rounds: int, start: str, seeded: bool) -> str:
+    sql = _greedy_sql(score, rounds, start)
+    first = ["SELECT CAST(1 AS INTEGER) AS round, chosen[1] AS selected, CAST(NULL AS DOUBLE) AS score FROM w1"] if seeded else []
+    return f"{sql} " + " UNION ALL ".join([*first, *(f"SELECT CAST({r + seeded} AS INTEGER) AS round, pool AS selected, round(score, 6) AS score FROM p{r}" for r in range(1, rounds + 1))])
+
+
+def _scored(spark, rounds):
+    """Rounds as (round, selected, score), without the scores of those that were not selected."""
+    return S.rounds_frame(spark, rounds).select("round", "selected", F.round("score", 6).alias("score"))
+
+
+_BEST = "SELECT a, b, c, [pool] AS chosen FROM e ORDER BY round({}, 9) DESC, pool LIMIT 1"
+
+
+@query("merge_greedy_d2", _greedy_rounds("prediction", 4, _BEST.format("r_eff"), True))
+def merge_greedy_d2(spark, sf):
+    """SEL1 over all rounds at two dimensions."""
+    return _scored(spark, S.greedy(S.Pools(summaries(spark, sf, dims=2)), 5, k_basis=1))
+
+
+@query("vendi_greedy_d2", _greedy_rounds("vendi", 4, _BEST.format("vendi"), True))
+def vendi_greedy_d2(spark, sf):
+    return _scored(spark, S.greedy(S.Pools(summaries(spark, sf, dims=2)), 5, "vendi"))
+
+
+@query("delta_dir_greedy_d2", _greedy_rounds("direction", 3, "SELECT a, b, c, [pool] AS chosen FROM e WHERE pool = 'p0'", True))
+def delta_dir_greedy_d2(spark, sf):
+    return _scored(spark, S.greedy(S.Pools(summaries(spark, sf, dims=2)), 4, "direction", 1, start=["p0"]))
+
+
+@query("target_greedy_d2", _greedy_rounds("prediction", 3, "SELECT a, b, c, [pool] AS chosen FROM e WHERE pool = 'p0'", False))
+def target_greedy_d2(spark, sf):
+    """SEL1c: p0 is the target, not a candidate."""
+    s = summaries(spark, sf, dims=2).persist()
+    target = S.Pools(s.filter("pool_id = 'p0'")).state("p0")
+    out = _scored(spark, S.greedy(S.Pools(s.filter("pool_id <> 'p0'")), 3, k_basis=1, anchor=target))
+    s.unpersist()
+    return out
+
+
 @query("merge_greedy")
 def merge_greedy(spark, sf):
     """SEL1 at full width: rounds with all scores."""
@@ -188,6 +245,27 @@ def strategy_grid(spark, sf):
     return out
 
 
+@query("strategy_targets")
+def strategy_targets(spark, sf):
+    """SEL19 with evaluators: what the linear probe and kNN of 5 learn about pool p3's classes from each
+    strategy's three pools, and the seconds that the choice took."""
+    f = pools(spark, sf).persist()
+    test = f.filter("split = 'test' and pool_id = 'p3'")
+    rest = f.filter("pool_id <> 'p3'")
+    s = SP.summarise(G.pool_grams(rest)).persist()
+
+    def evaluate(chosen):
+        train = D.augmented(f.filter("split = 'train'"), "p3", chosen)
+        st = D.scaling(train)
+        probe, near = D.linear_probe(train, test, 100), D.knn_predict(D.scale(train, st), D.scale(test, st), 5)
+        return D.accuracy(probe).first()["accuracy"], D.accuracy(near).first()["accuracy"]
+
+    out = S.compare_strategies(spark, s, s.select("pool_id", G.centroid().alias("centroid")), domains(spark, sf), [3], [1, 2], evaluate)
+    s.unpersist()
+    f.unpersist()
+    return out
+
+
 def _hybrid(spark, sf, choose):
     """The choice of a hybrid strategy over summaries and the centroids that they hold."""
     s = summaries(spark, sf).persist()
@@ -378,10 +456,14 @@ def best_subset_regret(spark, sf):
     return spark.createDataFrame(rows, "strategy string, selected array<string>, regret_pct double, recall double")
 
 
-@query("regime_guide", "SELECT CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, CASE WHEN m = 0 THEN 'hybrid_spread_then_predict' WHEN k <= 0.2 * m THEN 'prediction' ELSE 'farthest_first' END AS strategy FROM range(1, 11) a(k), (VALUES (0), (5), (10), (50)) b(m)")
+@query("regime_guide", """WITH m AS (SELECT 'labels' AS pools, count(DISTINCT label) AS m FROM embeddings UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents UNION ALL SELECT 'unknown', 0)
+SELECT pools, CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, CASE WHEN m = 0 THEN 'hybrid_spread_then_predict' WHEN k <= 0.2 * m THEN 'prediction' ELSE 'farthest_first' END AS strategy FROM m, range(1, 11) a(k)""")
 def regime_guide(spark, sf):
-    """SEL17 over budgets k of m pools; m = 0 stands for an unknown number."""
-    return spark.createDataFrame([(k, m, S.recommend(k, m or None)) for k in range(1, 11) for m in (0, 5, 10, 50)], "k int, m int, strategy string")
+    """SEL17 for budgets up to ten of the pools that labels or sources make; 0 stands for an unknown number."""
+    from gramlake.plans.fixtures import table
+
+    counts = {"labels": table(spark, sf, "embeddings").select("label").distinct().count(), "sources": table(spark, sf, "documents").select("source").distinct().count(), "unknown": 0}
+    return spark.createDataFrame([(name, k, m, S.recommend(k, m or None)) for name, m in counts.items() for k in range(1, 11)], "pools string, k int, m int, strategy string")
 
 
 @query("synthetic_generators")

@@ -133,23 +133,23 @@ def spectral_invariants_d64(spark, sf):
     return summaries(spark, sf).select("pool_id", R("trace", V.total(sq)), R("frob", V.total(F.transform(sq, lambda x: x * x))))
 
 
-# ---- closed forms on grids --------------------------------------------------------------------
+# ---- closed forms over line items ---------------------------------------------------------------
 
-_ALPHA, _GAMMA = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), (0.2, 0.33, 0.5, 1.0, 2.0, 3.0, 5.0)
-_RANKS = ((10.0, 20.0), (40.0, 300.0), (35.0, 35.0))
-_GRID_SQL = f"grid AS (SELECT a AS alpha, g AS gamma, r[1] AS r_a, r[2] AS r_b FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in _ALPHA)}]) AS a), (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in _GAMMA)}]) AS g), (SELECT unnest([{', '.join(f'[{a}::DOUBLE, {b}::DOUBLE]' for a, b in _RANKS)}]) AS r))"
+#: A row's discount, quantity, number and tax as alignment (0 to 1), ratio of energies (0.1 to 5) and two ranks.
+_GRID_SQL = """grid AS (SELECT DISTINCT round(CAST(l_discount AS DOUBLE) * 10, 2) AS alpha, round(CAST(l_quantity AS DOUBLE) / 10, 2) AS gamma,
+  CAST(10 * l_linenumber AS DOUBLE) AS r_a, round(5 + 500 * CAST(l_tax AS DOUBLE), 2) AS r_b FROM lineitem)"""
 
 
-def _grid(spark):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, _ALPHA))).alias("alpha"))
-    one = one.withColumn("gamma", F.explode(F.array(*map(F.lit, _GAMMA))))
-    return one.withColumn("r", F.explode(F.array(*(F.struct(F.lit(a).alias("r_a"), F.lit(b).alias("r_b")) for a, b in _RANKS)))).select("alpha", "gamma", "r.r_a", "r.r_b")
+def _grid(spark, sf):
+    li = table(spark, sf, "lineitem")
+    one = [F.round(F.col("l_discount").cast("double") * 10, 2).alias("alpha"), F.round(F.col("l_quantity").cast("double") / 10, 2).alias("gamma")]
+    return li.select(*one, (F.col("l_linenumber") * 10).cast("double").alias("r_a"), F.round(5 + 500 * F.col("l_tax").cast("double"), 2).alias("r_b")).distinct()
 
 
 def _grid_query(name: str, column: str, sql: str, col):
     @query(name, f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, {sql} AS {column} FROM grid")
     def run(spark, sf):
-        return _grid(spark).select("alpha", "gamma", "r_a", "r_b", col().alias(column))
+        return _grid(spark, sf).select("alpha", "gamma", "r_a", "r_b", col().alias(column))
 
     return run
 
@@ -166,20 +166,20 @@ _grid_query("universal_c_grid", "c", "round(0.946 - 0.175 * ln(r_b / r_a), 6)",
 
 @query("bounds_grid", f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, least(r_a, r_b) AS lower, r_a + r_b AS upper, greatest(r_a, r_b) AS larger FROM grid")
 def bounds_grid(spark, sf):
-    return _grid(spark).select("alpha", "gamma", "r_a", "r_b", *CF.bounds("r_a", "r_b"))
+    return _grid(spark, sf).select("alpha", "gamma", "r_a", "r_b", *CF.bounds("r_a", "r_b"))
 
 
 @query("error_bounds_grid", f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, round(4 * gamma * gamma / greatest((1 - gamma * gamma) * (1 - gamma * gamma) + 4 * gamma * gamma * alpha, 1e-12) * 0.05 * ln(greatest(r_a, r_b)), 2) AS bound_tight, round(ln(greatest(r_a, r_b)), 6) AS bound_worst FROM grid WHERE alpha > 0")
 def error_bounds_grid(spark, sf):
     tight, worst = CF.error_bounds("gamma", "alpha", F.lit(0.05), F.greatest("r_a", "r_b"))
-    return _grid(spark).filter("alpha > 0").select("alpha", "gamma", "r_a", "r_b", F.round(tight, 2).alias("bound_tight"), F.round(worst, 6).alias("bound_worst"))
+    return _grid(spark, sf).filter("alpha > 0").select("alpha", "gamma", "r_a", "r_b", F.round(tight, 2).alias("bound_tight"), F.round(worst, 6).alias("bound_worst"))
 
 
 @query("transfer_bound_grid", f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, round(0.1 + 2 * abs(1 - gamma) + (1 - alpha) + 0.5 * abs(r_a - r_b), 6) AS bound FROM grid")
 def transfer_bound_grid(spark, sf):
     """CF15 with weights 2, 1 and 0.5."""
     bound = CF.transfer_bound(F.lit(0.1), F.abs(1 - F.col("gamma")), 1 - F.col("alpha"), F.abs(F.col("r_a") - F.col("r_b")), 2.0, 1.0, 0.5)
-    return _grid(spark).select("alpha", "gamma", "r_a", "r_b", R("bound", bound))
+    return _grid(spark, sf).select("alpha", "gamma", "r_a", "r_b", R("bound", bound))
 
 
 @query("binary_entropy_grid", "SELECT l_linenumber, l_orderkey, round(-p * ln(p) - (1 - p) * ln(1 - p), 6) AS h FROM (SELECT l_linenumber, l_orderkey, greatest(1e-10, least(1 - 1e-10, l_discount * 10)) AS p FROM lineitem)")
@@ -190,7 +190,7 @@ def binary_entropy_grid(spark, sf):
 @query("sql_functions_grid", f"WITH {_GRID_SQL} SELECT alpha, gamma, r_a, r_b, round({sql_predict('r_a', 'r_b', 'gamma', 'alpha')}, 6) AS lib, round({sql_predict('r_a', 'r_b', 'gamma', 'alpha', 'selection')}, 5) AS sel FROM grid")
 def sql_functions_grid(spark, sf):
     CF.register_sql(spark)
-    _grid(spark).createOrReplaceTempView("closed_form_grid")
+    _grid(spark, sf).createOrReplaceTempView("closed_form_grid")
     return spark.sql("SELECT alpha, gamma, r_a, r_b, round(predict_library(r_a, r_b, gamma, alpha), 6) AS lib, round(predict_selection(r_a, r_b, gamma, alpha), 5) AS sel FROM closed_form_grid")
 
 

@@ -48,3 +48,27 @@ def test_joint_matrix_lookup_all(spark, tmp_path):
     spark.createDataFrame([(5, 1, 10.0), (2, 1, 20.0), (3, 0, 30.0)], "s_suppkey int, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r["ds_a"], r["ds_b"]): r["score"] for r in QUERIES["joint_matrix_lookup_all"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"): 20.0, ("a", "c"): 30.0, ("a", "d"): 30.0, ("b", "c"): 20.0, ("b", "d"): 20.0, ("c", "d"): None}
+
+
+def test_cka_by_stretches(spark):
+    """Stretches of a few positions, pools of several lengths, two probes."""
+    from gramlake.operators import pairs as P
+
+    r = np.random.default_rng(9)
+    x = {(probe, n): r.standard_normal((m, 4)) for probe, sizes in (("e", (30, 17, 23)), ("f", (9, 40))) for n, m in zip("abc", sizes, strict=False)}
+    df = spark.createDataFrame([(p, n, i, v.tolist()) for (p, n), m in x.items() for i, v in enumerate(m)], "probe string, pool_id string, row_id bigint, features array<double>").repartition(3)
+    for block, first in ((8 * 4 * 3 * 5, None), (1 << 24, None), (1, 12)):
+        got = {(q["probe"], q["ds_a"], q["ds_b"]): q["cka"] for q in P.linear_cka(df, first, block).collect()}
+        assert set(got) == {("e", "a", "b"), ("e", "a", "c"), ("e", "b", "c"), ("f", "a", "b")}
+        for (p, a, b), cka in got.items():
+            n = min(len(x[p, a]), len(x[p, b]), first or 99)
+            ca, cb = (v[:n] - v[:n].mean(0) for v in (x[p, a], x[p, b]))
+            assert np.isclose(cka, np.sum((ca.T @ cb) ** 2) / np.sqrt(np.sum((ca.T @ ca) ** 2) * np.sum((cb.T @ cb) ** 2)))
+
+
+def test_strategies_are_evaluated(spark, sf):
+    rows = QUERIES["strategy_targets"](spark, sf).collect()
+    assert {r["strategy"] for r in rows} == {"prediction", "vendi", "max_rank", "domain_diverse", "farthest_first", "spread_then_predict", "predict_then_spread", "predict_then_domains", "random"}
+    assert all(0 <= r["lp"] <= 1 and 0 <= r["knn"] <= 1 and r["seconds"] >= 0 and "p3" not in r["selected"] for r in rows)
+    by = {}
+    assert all(by.setdefault(tuple(sorted(r["selected"])), (r["lp"], r["knn"])) == (r["lp"], r["knn"]) for r in rows)
