@@ -174,6 +174,28 @@ def test_slabs_give_the_same_features(monkeypatch):
     assert np.allclose(whole, quality.passage_features(t))
 
 
+def test_gradient_against_differences():
+    """Every parameter's gradient against finite differences of the loss, over bags of several sizes."""
+    r = np.random.default_rng(1)
+    sizes = [1, 4, 2, 7]
+    x, bag, y = r.normal(size=(14, quality.WIDTH)), np.repeat(np.arange(4), sizes), np.array([1.0, 0.0, 1.0, 0.0])
+    m = {"W": r.normal(0, 0.2, (quality.WIDTH, 5)), "b": r.normal(size=5), "V": r.normal(size=(5, 3)), "U": r.normal(size=(5, 3)), "w": r.normal(size=3), "c": r.normal(size=5), "c0": r.normal(size=1)}
+    m |= {"mean": x.mean(0), "std": x.std(0) + 0.1}
+
+    def loss(model):
+        p = quality.forward(model, x, bag, 4)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    found = quality.gradient(m, x, bag, y)
+    for name, g in found.items():
+        assert g.shape == m[name].shape
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 12)]:
+            up, down = ({**m, name: m[name].copy()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+
+
 def test_gradient_of_the_bag_model():
     """Training separates bags by a rare passage, which plain averaging of labels could not."""
     r = np.random.default_rng(0)
@@ -500,3 +522,29 @@ def test_run(spark, world):
 
     out = P.run(spark, world)
     assert out.count() > 5 and out.filter("not restored").count() == 0
+
+
+def test_quality_and_mixing_stages_by_score(spark, sf):
+    """What stays is what the classifier scores 0.7 or more; what is mixed draws by that score, near each target."""
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    score = {r["doc_id"]: r["score"] for r in quality.op5_query(spark, sf).collect()}
+    kept = stage["quality classifier"](spark, docs, sf).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, s in score.items() if s >= 0.7)
+    some = docs.join(spark.createDataFrame(kept), "doc_id", "left_semi").select(docs.columns)
+    taken = collections.Counter(r["doc_id"] for r in stage["mixing"](spark, some, sf).select("doc_id").collect())
+    rows = {r["doc_id"]: (r["source"], len([w for w in (r["text"] or "").split() if w])) for r in some.select("doc_id", "source", "text").collect()}
+    size, got = collections.Counter(), collections.Counter()
+    for i, (source, n) in rows.items():
+        size[source] += n
+        got[source] += n * taken[i]
+    sources = sorted(size)
+    target = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size bigint")).collect()}
+    assert set(target) == set(sources) and all(abs(got[s] - target[s]) <= max(n for t, n in rows.values() if t == s) for s in sources)
+    assert max(taken.values()) <= 3
+    # the score is the weight: the same draw by mix() itself
+    weighed = some.join(spark.createDataFrame(list(score.items()), "doc_id bigint, s double"), "doc_id").select(*docs.columns, "s")
+    mixed = mixing.mix(weighed, weight=weighed["s"]).filter("taken > 0").collect()
+    assert {r["doc_id"]: r["taken"] // r["size"] for r in mixed} == dict(taken)
