@@ -7,12 +7,19 @@ chooses the same rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramlake.functions import vectors as V
 
+#: Words whose buckets a task remembers.
+KNOWN_WORDS = 1 << 18
 SCHEMA = T.StructType(
     [T.StructField("probe", T.StringType()), T.StructField("pool_id", T.StringType()), T.StructField("split", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))]
 )
@@ -93,15 +100,31 @@ def dimension_check(features: DataFrame) -> DataFrame:
 
 
 def text_features(docs: DataFrame, buckets: int = 32, id_col: str = "doc_id", text_col: str = "text", pool_col: str = "source") -> DataFrame:
-    """SRC11's stand-in for an encoder: counts of words by md5 bucket, one row for each document.
+    """SRC11's stand-in for an encoder: counts of words by md5 bucket, one row for each document with words.
 
-    buckets must divide 16 or be a power of 16 or of 2 up to 256.
+    A row holds all that its counts need, so they are made where it lies. buckets is at most 256.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % buckets
-    # one pass over the words: counts by bucket come from a map-side combined aggregation
-    long = docs.select(F.col(id_col).alias("row_id"), F.col(pool_col).alias("pool_id"), F.explode(words).alias("w"))
-    counts = long.groupBy("pool_id", "row_id", bucket(F.col("w")).alias("b")).count()
-    packed = counts.groupBy("pool_id", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"))
-    zeros = F.sequence(F.lit(0), F.lit(buckets - 1))
-    return packed.select("pool_id", "row_id", F.transform(zeros, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")).alias("features"))
+    kinds = dict(docs.dtypes)
+    lowered = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")
+    table = docs.select(F.col(pool_col).alias("pool_id"), F.col(id_col).alias("row_id"), lowered.alias("b"))
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            out, keep = [], []
+            for at, text in enumerate(batch.column("b")):
+                counts = np.zeros(buckets)
+                for w, n in Counter(text.as_py().split()).items():  # splits at \x20 and \x09-\x0D
+                    b = known.get(w)
+                    if b is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        b = known[w] = hashlib.md5(w).digest()[0] % buckets
+                    counts[b] += n
+                if counts.any():
+                    out.append(counts)
+                    keep.append(at)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("pool_id"), rows.column("row_id"), pa.array(out, pa.list_(pa.float64()))], names=["pool_id", "row_id", "features"])
+
+    return table.mapInArrow(run, f"pool_id {kinds[pool_col]}, row_id {kinds[id_col]}, features array<double>")
