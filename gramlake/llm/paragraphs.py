@@ -5,12 +5,13 @@ window of ``PASSAGE`` words of a text is looked for as well, across its line bre
 segment (winnowing): equal windows have equal seeds, wherever they lie. Equal segments repeat each
 other as a whole; of seeds with several distinct segments the first copy of each is opened, and its
 windows meet one by one. So every passage of ``PASSAGE`` words or more that is copied word by word
-is found, in full length. Lines of a few words are matched as they are, longer ones by similarity:
+is found, in full length. Lines of fewer than ``BANDED`` words are matched as they are, since none of them is
+similar to another without being equal, longer ones by similarity:
 
 Each distinct line of enough words gets a MinHash signature over its
 five-word shingles, cut into bands tuned for a recall; lines that collide in a band are
 candidates. In a bucket of up to ``small`` distinct lines all pairs are verified. Those of up to
-``TASK_MEMBERS`` are connected within a task, over an inverted index of their shingles. In still
+``TASK_SHINGLES`` together are connected within a task, over an inverted index of their shingles. In still
 larger ones members are verified against leaders for a few rounds, in which those that match none
 choose the next; then members that are still apart from the largest connected part of their bucket
 meet all its other parts. So no bucket is paired with itself, and no connection is lost. Verification is the
@@ -41,8 +42,11 @@ PASSAGE, SEED = 50, 12
 LEADER_ROUNDS = 3
 #: Numbers (of texts, of buckets) that may be broadcast, 16 MB; more of them are joined by a shuffle.
 FEW = 1 << 21
-#: Distinct lines of a bucket that may meet in one task.
-TASK_MEMBERS = 20_000
+#: Shingles of a bucket's distinct lines that may meet in one task, 8 bytes each and some more for the index.
+TASK_SHINGLES = 2_000_000
+#: Words from which a line of five-word shingles can be similar without being equal: one word changed at
+#: an end leaves n - 5 of n - 3 shingles, which is 0.8 or more from 13 words on.
+BANDED = 13
 
 
 def tune(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
@@ -368,7 +372,7 @@ def _connect(threshold: float):
     return run
 
 
-def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small: int, task_members: int = TASK_MEMBERS) -> DataFrame:
+def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """(u, v) verified links among the members (bucket, pid) of buckets, enough to connect what all
     pairs within buckets would connect."""
 
@@ -379,16 +383,18 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
         common = F.size(F.array_intersect("su", "sv"))
         return both.filter(common >= F.lit(threshold) * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
-    sizes = stash(members.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
+    weights = sets.select(F.col("pid").alias("of"), F.size("set").cast("long").alias("shingles"))
+    weighed = members.join(weights, F.col("pid") == F.col("of"), "left")
+    sizes = stash(weighed.groupBy("bucket").agg(F.count("*").alias("n"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles")), "sizes")
     sized = members.join(sizes, "bucket")
     few = sized.filter(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("pid").alias("p"))
     few = few.select(F.explode(F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(b.alias("u"), a.alias("v")))))).alias("e")).select("e.u", "e.v")
     links = verify(few.distinct())
     # middling buckets: the members' sets meet in a task, which gives back one link for each member at most
-    some = sized.filter((F.col("n") > small) & (F.col("n") <= F.lit(task_members))).select("bucket", "pid").join(sets, "pid").select("bucket", "pid", "set")
+    some = sized.filter((F.col("n") > small) & (F.col("shingles") <= task_shingles)).select("bucket", "pid").join(sets, "pid").select("bucket", "pid", "set")
     links = stash(links.unionByName(some.groupBy("bucket").applyInArrow(_connect(threshold), "u bigint, v bigint")).distinct(), "links")
     # larger ones never meet in a task
-    large = stash(sized.filter(F.col("n") > F.greatest(F.lit(small), F.lit(task_members))).select("bucket", "pid"), "large")
+    large = stash(sized.filter((F.col("n") > small) & (F.col("shingles") > task_shingles)).select("bucket", "pid"), "large")
     if is_empty(large):
         return links
     rest = large
@@ -418,7 +424,7 @@ def similar_links(members: DataFrame, sets: DataFrame, threshold: float, small:
     return links.unionByName(verify(_pairs(across.select("u", "v"))))
 
 
-def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = 20, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS, short: int = 5) -> DataFrame:
+def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, least: int = BANDED, recall: float = 0.999, small: int = 32, task_shingles: int = TASK_SHINGLES, short: int = 5) -> DataFrame:
     """One row per row of docs: id, n_units (lines and segments looked at), n_removed (spans), spans
     (removed bytes [start, stop) of the text, one for each line and each passage; they may overlap),
     keep_ids (for each the id of the row that keeps it), h1, h2.
@@ -428,8 +434,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input, each for itself. Null and empty texts have no units. The first occurrence of
     a component stays: smallest id (null last), then text key, then position. Repeated rows are one
     text, whose units are judged once. Other columns are not read. An empty table gives an empty
-    result. Segments and windows are named by 128 bits of hash (their seed's and their own), lines by
-    64 bits; similar lines are compared over 64-bit hashes of their shingles.
+    result. Segments, windows and lines are named by 64 bits of hash each, segments and windows within those of one seed; similar lines are compared over 64-bit hashes of their shingles.
     """
     bands, rows = tune(threshold, recall)
     units = stash(find_units(docs, id_col, text_col, n, least, bands, rows, short), "units")
@@ -446,7 +451,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the first copy of a segment loses, all its copies lose too: they are removed whole already
     windows = again.select("doc", F.inline("windows"))
     later = stash(_later(windows, _firsts(windows, "seed", "wid"), "seed", "wid"), "later")
-    links = similar_links(members, again.select(F.inline("sets")), threshold, small, task_members)
+    links = similar_links(members, again.select(F.inline("sets")), threshold, small, task_shingles)
     roots = stash(components(links), "roots")
     discard(members, again)
     # lines that occur once and are similar to none are through
@@ -467,7 +472,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 32, task_members: int = TASK_MEMBERS) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 32, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per row of docs: id, component_id, kept, h1, h2, where whole documents are compared.
 
     The same banding, verification and components with each text as one line. component_id is the
@@ -480,7 +485,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = units.select("doc", F.inline("lines"))
     members, asked = _shared_bands(lines)
     again = stash(reread(units, None, asked, n, n, whole=True), "again")
-    roots = components(similar_links(members, again.select(F.inline("sets")), threshold, small, task_members))
+    roots = components(similar_links(members, again.select(F.inline("sets")), threshold, small, task_shingles))
     discard(members, again)
     named = units.select("doc", "id", "h1", "h2", F.get("lines", F.lit(0))["pid"].alias("pid"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
     placed = stash(named.join(roots, named["pid"] == roots["node"], "left").select("doc", "id", "h1", "h2", F.coalesce("root", "pid").alias("root")), "placed")

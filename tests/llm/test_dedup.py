@@ -107,15 +107,15 @@ def test_simhash_empty(spark):
     assert simhash.simhash_dedup(edges.documents(spark, [])).count() == 0
 
 
-def line_sets(text, n=5, least=20):
+def line_sets(text, n=5, least=13):
     for line in (text or "").split("\n"):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line).split()
         if len(w) >= least:
             yield line, frozenset(zip(*(w[i:] for i in range(n)), strict=False))
 
 
-@pytest.mark.parametrize("small,task_members", [(32, 1000), (1, 1000), (1, 1)])
-def test_paragraphs(spark, small, task_members):
+@pytest.mark.parametrize("small,task_shingles", [(32, 10**6), (1, 10**6), (1, 1), (1, 300)])
+def test_paragraphs(spark, small, task_shingles):
     """Buckets compared whole, connected in tasks, and sent through leader rounds."""
     base = edges.words(20, 60).split()
     rows = [r for r in edges.texts() if r[0] is not None]
@@ -123,7 +123,7 @@ def test_paragraphs(spark, small, task_members):
         w = list(base)
         w[5 * i % 60] = f"edit{i}"
         rows.append((50 + i, " ".join(w), "en", "s9"))
-    got = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(edges.clashing(edges.documents(spark, rows)), small=small, task_members=task_members).collect()}
+    got = {r["doc_id"]: r for r in paragraphs.paragraph_dedup(edges.clashing(edges.documents(spark, rows)), small=small, task_shingles=task_shingles).collect()}
     seen = sorted({(i, t) for i, t, *_ in rows if t})
     items = [(i, line, s) for i, t in seen for line, s in line_sets(t)]
     at = roots([s for _, _, s in items], lambda a, b: len(a & b) >= 0.8 * len(a | b))
@@ -165,7 +165,7 @@ def test_passages_inside_lines_of_sixty_words(spark):
         passages |= {10 * i + 1: p, 1001 + 10 * i: p.replace("1", "7")}
     gone = removed_words(spark, rows)
     for first in (1, 1001):
-        assert sum(bool(gone[i] & set(passages[i].split())) for i in range(first, first + 200, 10)) >= 12
+        assert sum(bool(gone[i] & set(passages[i].split())) for i in range(first, first + 200, 10)) == 20
 
 
 def test_passages_are_found_in_full(spark):
@@ -193,6 +193,31 @@ def test_wrapped_passages_and_short_lines(spark):
     assert removed_words(spark, rows) == {1: set(), 2: set(p.split()), 3: set(), 4: set(" ".join(lines[1:]).split())}
 
 
+def test_lines_of_few_words(spark):
+    """From 13 words on a line whose last word is changed is as similar as 0.8; shorter ones repeat only as they are."""
+    rows, want = [], {}
+    for i, n in enumerate([5, 8, 12, *range(13, 20), *range(13, 20), 19, 19, 19]):
+        line = planted(6000 + i, n).split()
+        other = [*line[:-1], f"else{i}"]
+        rows += [(10 * i, "\n".join((planted(6100 + i, 4), " ".join(line)))), (10 * i + 1, "\n".join((" ".join(other), planted(6200 + i, 4))))]
+        want |= {10 * i: set(), 10 * i + 1: set(other) if n >= 13 else set()}
+    assert removed_words(spark, rows) == want
+
+
+def test_buckets_are_bounded_by_their_shingles(spark):
+    """Few members with many shingles don't meet in a task, and give the same components."""
+    base = edges.words(31, 900).split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in range(i % 6):
+            w[(97 * i + 131 * j) % 900] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w), "en", "s"))
+    docs = edges.documents(spark, rows)
+    one, two = ({(r["doc_id"], r["component_id"]) for r in paragraphs.similar_documents(docs, small=2, task_shingles=t).collect()} for t in (10**6, 2000))
+    assert one == two and len({c for _, c in one}) == 1
+
+
 def test_paragraphs_empty_and_nulls(spark):
     assert paragraphs.paragraph_dedup(edges.documents(spark, [])).count() == 0
     assert paragraphs.paragraph_dedup(edges.documents(spark)).count() == len(edges.texts())
