@@ -58,12 +58,12 @@ def terms(text: bytes, slab: int = 1 << 22):
 
 
 def cells(lang: bytes, words: list[bytes], width: int, depth: int) -> np.ndarray:
-    """(depth, words) cells of a language's terms, numbered through all rows of the sketch."""
+    """(depth, words) cells of a language's terms, numbered through all rows of the sketch; width is a power of two."""
     seed = zlib.crc32(lang)
     h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
     step = (h >> np.uint64(32)) | np.uint64(1)
     rows = np.arange(depth, dtype=np.uint64)[:, None]
-    return ((h + rows * step) % np.uint64(width) + rows * np.uint64(width)).astype(np.int64)
+    return ((h + rows * step) & np.uint64(width - 1)) + rows * np.uint64(width)
 
 
 class Frequencies:
@@ -77,13 +77,14 @@ class Frequencies:
         if not found:
             return
         at = cells(lang, list(found), self.width, self.depth)
-        n = np.minimum(np.fromiter(found.values(), np.int64, len(found)), self.most)
+        n = np.minimum(np.fromiter(found.values(), np.uint64, len(found)), np.uint64(self.most))
         for row in at:
-            order = np.argsort(row)
-            row, some = row[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            to = row[first]
-            self.table[to] = np.minimum(self.table[to] + np.add.reduceat(some, first), self.most)
+            # cell and count in one number: plain numbers sort much faster than places do
+            both = np.sort(row << np.uint64(8) | n)
+            cell = (both >> np.uint64(8)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            to = cell[first]
+            self.table[to] = np.minimum(self.table[to] + np.add.reduceat(both & np.uint64(255), first), np.uint64(self.most))
 
     def slabs(self):
         """(number, cells) of the slabs that hold anything."""
@@ -156,7 +157,8 @@ def sketched(docs: DataFrame, width: int, depth: int, least: int) -> bytes:
 def possible(bits: np.ndarray, lang: bytes, words: list[bytes], width: int, depth: int) -> np.ndarray:
     """Which terms may be frequent enough: all their cells are."""
     at = cells(lang, words, width, depth)
-    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+    flags = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+    return flags.all(axis=0)
 
 
 def surviving(docs: DataFrame, bits: bytes, width: int, depth: int) -> DataFrame:
@@ -164,6 +166,8 @@ def surviving(docs: DataFrame, bits: bytes, width: int, depth: int) -> DataFrame
 
     Every occurring language and source has a row with the empty term as well.
     """
+    if width & (width - 1):
+        raise ValueError("width must be a power of two")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -174,13 +178,13 @@ def surviving(docs: DataFrame, bits: bytes, width: int, depth: int) -> DataFrame
         def passed_on():
             for (lang, source), (n, d) in held.items():
                 words = list(d)
-                keep = np.flatnonzero(possible(table, lang, words, width, depth)).tolist() if words else []
-                words = [words[i] for i in keep]
-                for at in range(0, len(words) + 1, 1 << 16):
-                    some = words[at : at + (1 << 16)] + [b""] * (at == 0)
-                    k = len(some)
-                    columns = [[lang] * k, [source] * k, some, [n[w] for w in some], [d[w] for w in some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                keep = pa.array(possible(table, lang, words, width, depth)) if words else pa.array([], pa.bool_())
+                counts = [pa.array([n[w] for w in words], pa.int64()), pa.array(d.values(), pa.int64())]
+                kept = [c.filter(keep) for c in (pa.array(words, pa.binary()), *counts)]
+                some = pa.Table.from_arrays([pa.chunked_array([c, pa.array([v], c.type)]) for c, v in zip(kept, (b"", 0, 0), strict=True)], names=["term", "n", "docs"])
+                for part in some.to_batches(1 << 16):
+                    own = [pa.repeat(pa.scalar(v, pa.binary()), len(part)) for v in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*own, *part.columns], schema=schema)
 
         for batch in batches:
             for lang, source, text in zip(*batch.columns, strict=True):
@@ -202,7 +206,8 @@ def surviving(docs: DataFrame, bits: bytes, width: int, depth: int) -> DataFrame
 
 def share(n: str, total: str, scale: int) -> Column:
     """1 + floor(scale * (n + 1) / total), exact; null where total is 0."""
-    return F.expr(f"1 + (cast({scale} as decimal(18, 0)) * cast({n} + 1 as decimal(20, 0))) div nullif(cast({total} as decimal(20, 0)), 0)")
+    wide = f"(cast({scale} as decimal(18, 0)) * cast({n} + 1 as decimal(20, 0))) div nullif(cast({total} as decimal(20, 0)), 0)"
+    return F.expr(f"1 + if({n} < {2**62 // scale}, ({scale} * (cast({n} as bigint) + 1)) div nullif({total}, 0), {wide})")
 
 
 def excess(p: str, q: str) -> Column:
