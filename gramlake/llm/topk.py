@@ -3,10 +3,14 @@
 Each dimension of a block of candidates is a list of its components, sorted once for all queries. A
 query's score sums its products with one entry of each list, so it reads a list from the top where
 its own component is positive and from the bottom where it is negative: the products fall as it
-goes. All lists are read to the same depth. What a candidate has shown so far plus each unread
-list's least product is its lower bound, plus each unread list's last product its upper bound.
-Reading stops when no unseen candidate and few seen ones could still reach the k-th lower bound;
-those few are resolved to final scores.
+goes; dimensions in which it is 0 are not read. All lists are read to the same depth, some entries at a time,
+which are added to running sums. What a candidate has shown so far plus each unread list's least
+product is its lower bound, plus each unread list's last product its upper bound. Reading stops when
+a candidate that has not been seen at all, whose bound is the sum of the last products, cannot
+reach the k-th best score, and few seen ones could; those few are resolved to final scores.
+
+The k-th best score is at least the k-th lower bound of the block, and at least the query's k-th
+best among ``SEEDS`` candidates that are scored beforehand, so a block far from the query is left early.
 
 Candidates and queries are dealt into blocks of bounded bytes by a hash of the id; each pair of
 blocks is one task's work, and the k best of each block pair meet in a ranked aggregation.
@@ -22,7 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of vectors (8 for each component) in a block of candidates, and of queries.
-CANDIDATE_BYTES, QUERY_BYTES = 4 << 20, 1 << 19
+CANDIDATE_BYTES, QUERY_BYTES = 2 << 20, 32 << 20
+#: Candidates of each length that all queries are scored against first, and their bytes at most.
+SEEDS, SEED_BYTES = 1024, 4 << 20
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -50,41 +56,71 @@ class Lists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(len(vectors))[:, None], 0)
-        self.sorted = np.take_along_axis(vectors, order, 0)
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, 0)
+        #: Entries read so far, of all queries.
+        self.entries = 0
 
-    def candidates(self, queries: np.ndarray, k: int, first: int = 8) -> list[np.ndarray]:
-        """For each query the candidates that can be among its k best, all that tie with the k-th
-        included: indices, k at least if there are so many.
+    def candidates(self, query: np.ndarray, k: int, floor=None, first: int = 64) -> np.ndarray:
+        """The candidates that can be among the query's k best, all that tie with the k-th included.
 
-        The first 1 / first of each list is read, then twice as much, and so on. Each list is there
-        twice, for queries that read it from the top and from the bottom; the other has a factor of 0.
+        floor: a score that the k-th best is known to reach. The first 1 / first of each list is read,
+        then as much again, and so on, each time to twice the depth.
         """
         n, d = self.vectors.shape
-        out = [np.arange(n)] * len(queries)
-        factors = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0)))
-        least = np.concatenate((self.sorted[0], self.sorted[-1])) if n else factors[:0]
-        open_, depth = np.arange(len(queries)), max(k, -(-n // first))
-        while depth < n and d and len(open_):
-            q = factors[open_]
-            read = np.hstack((self.rank >= n - depth, self.rank < depth))
-            known = q @ (np.hstack((self.vectors, self.vectors)) * read).T
-            unread = (~read).astype(q.dtype).T
-            last = np.concatenate((self.sorted[n - depth], self.sorted[depth - 1]))
-            lower, upper = known + (q * least) @ unread, known + (q * last) @ unread
-            kth = np.sort(lower, 1)[:, n - k] if q.dtype == object else np.partition(lower, n - k, 1)[:, n - k]
-            # unseen candidates have the upper bound of all last products
-            left = upper >= kth[:, None]
-            few = left.sum(1) <= max(4 * k, n // 32)
-            for at in np.flatnonzero(few):
-                out[open_[at]] = np.flatnonzero(left[at])
-            open_, depth = open_[~few], 2 * depth
-        return out
-
-
-def _search_block(k: int, scale: int, sheet: int = 128):
+        dims = np.flatnonzero(query != 0)
+        if n <= k or not len(dims):
+            return np.arange(n)
+        w = query[dims]
+        up = np.array([v > 0 for v in w])
+        # lists from their best entry on: the place of an entry, seen from the query
+        at = lambda depth: np.where(up, n - 1 - depth, depth)
+        least = w * self.sorted[at(n - 1), dims]
+        low_all = least.sum()
+        known = np.zeros(n, self.vectors.dtype)
+        above = np.zeros(n, self.vectors.dtype)  # what has shown beyond the least products
+        read = np.zeros((n, len(dims)), bool)
+        done, depth = 0, max(1, -(-n // first))
+        while True:
+            depth = min(depth, n)
+            for c, j in enumerate(dims):
+                rows = slice(n - depth, n - done) if up[c] else slice(done, depth)
+                who = self.order[rows, j]
+                shown = w[c] * self.sorted[rows, j]
+                known[who] += shown
+                above[who] += shown - least[c]
+                read[who, c] = True
+            self.entries += (depth - done) * len(dims)
+            done = depth
+            if done == n:
+                kth = _largest(known, k, floor)
+                return np.flatnonzero(known >= kth)
+            last = w * self.sorted[at(done - 1), dims]
+            kth = _largest(low_all + above, k, floor)
+            if last.sum() < kth:
+                # a candidate that nobody has seen is out; a seen one's bound is by what it has not shown
+                seen = np.flatnonzero(read.any(1))
+                upper = known[seen] + np.where(read[seen], np.zeros_like(last), last).sum(1)
+                left = seen[upper >= kth]
+                if len(left) <= max(4 * k, n // 32):
+                    return left
+            depth = 2 * done
+
+
+def _largest(values: np.ndarray, k: int, floor):
+    """The k-th largest value, or floor if that is more."""
+    kth = sorted(values.tolist())[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
+    return kth if floor is None or floor < kth else floor
+
+
+def _fitting(c: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products stay exact in floating point, or else Python's numbers are taken."""
+    if int(abs(c).max(initial=0)) * int(abs(q).max(initial=0)) * max(1, c.shape[1]) >= 2**52:
+        return whole_numbers(c), whole_numbers(q)
+    return c, q
+
+
+def _search_block(k: int, scale: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -93,24 +129,50 @@ def _search_block(k: int, scale: int, sheet: int = 128):
             by_id = np.argsort(ids, kind="stable")
             ids = ids[by_id]
             c, q = (quantise(np.stack(x.to_numpy()).reshape(len(x), d), scale) for x in (left["v"], right["v"]))
-            c = c[by_id]
-            # sums of products stay exact in floating point, or else Python's numbers are taken
-            if int(abs(c).max(initial=0)) * int(abs(q).max(initial=0)) * d >= 2**52:
-                c, q = whole_numbers(c), whole_numbers(q)
+            c, q = _fitting(c[by_id], q)
             lists = Lists(c)
-            for at in range(0, len(q), sheet):
+            for own, query, floor in zip(right["id"].to_numpy(), q, right["floor"].to_numpy(), strict=True):
                 # the query's own row may take a place, so one more is looked for
-                found = lists.candidates(q[at : at + sheet], min(k + 1, len(ids)))
-                for own, query, could in zip(right["id"].to_numpy()[at : at + sheet], q[at : at + sheet], found, strict=True):
-                    could = could[ids[could] != own]
-                    score = c[could] @ query if d else np.zeros(len(could))
-                    best = sorted(range(len(could)), key=lambda i: (-score[i], could[i]))[:k] if score.dtype == object else np.lexsort((could, -score))[:k]
-                    out += [(own, ids[could[b]], min(max(int(score[b]), LONG_MIN), LONG_MAX)) for b in best]
+                could = lists.candidates(query, min(k + 1, len(ids)), None if np.isnan(floor) else floor)
+                could = could[ids[could] != own]
+                score = c[could] @ query if d else np.zeros(len(could))
+                best = sorted(range(len(could)), key=lambda i: (-score[i], could[i]))[:k] if score.dtype == object else np.lexsort((could, -score))[:k]
+                out += [(own, ids[could[b]], min(max(int(score[b]), LONG_MIN), LONG_MAX)) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
+def with_floor(asked: DataFrame, candidates: DataFrame, k: int, scale: int) -> DataFrame:
+    """asked plus floor: each query's k-th best score among some candidates of its length, the first by
+    hash of id. Not a number if there are fewer than k."""
+    lengths = [r["d"] for r in asked.select("d").distinct().collect()]
+    seeds = {}
+    for d in lengths:
+        most = min(SEEDS, max(1, SEED_BYTES // (8 * max(d, 1))))
+        rows = candidates.filter(F.col("d") == d).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+        seeds[d] = (np.array([r["id"] for r in rows], np.int64), [r["v"] for r in rows])
+    shared = asked.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(frames):
+        for pdf in frames:
+            floors = []
+            for own, v, d in zip(pdf["id"], pdf["v"], pdf["d"], strict=True):
+                ids, vectors = shared.value[d]
+                others = [x for i, x in zip(ids.tolist(), vectors, strict=True) if i != own] if own in ids else vectors
+                if len(others) < k or not d:
+                    floors.append(np.nan)
+                    continue
+                c, q = _fitting(quantise(np.array(others, float).reshape(-1, d), scale), quantise(np.array(v, float).reshape(1, d), scale))
+                score = sorted((c @ q[0]).tolist())[-k]
+                # scores beyond 64 bits rank as the nearest long; a number that no double holds is rounded down
+                score = min(max(score, LONG_MIN), LONG_MAX)
+                floors.append(np.nextafter(float(score), -np.inf) if abs(score) >= 2**52 else float(score))
+            yield pdf.assign(floor=floors)
+
+    return asked.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in asked.dtypes) + ", floor double")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of vectors by inner product of quantised
     components; ties go to smaller ids. Fewer candidates give fewer rows.
@@ -132,8 +194,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return max(1, -(-(row["bytes"] or 0) // size))
 
     blocks, sheets = parts(vectors, CANDIDATE_BYTES), parts(queries, QUERY_BYTES)
-    dealt = clean(vectors).withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {sheets - 1}L)")))
-    asked = clean(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(sheets).cast("long"))).withColumn("cb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    candidates = clean(vectors)
+    dealt = candidates.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {sheets - 1}L)")))
+    asked = with_floor(clean(queries), candidates, k, scale).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(sheets).cast("long"))).withColumn("cb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     found = dealt.groupBy("d", "cb", "qb").cogroup(asked.groupBy("d", "cb", "qb")).applyInPandas(_search_block(k, scale), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

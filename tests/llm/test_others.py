@@ -24,14 +24,46 @@ def test_no_random_access_keeps_ties():
     for k, kind in ((1, float), (6, float), (6, object)):
         c = r.integers(-20, 20, (1500, 5)).astype(kind)
         c[:, 0] *= 10**25 if kind is object else 30
-        for q in (r.integers(-9, 9, 5).astype(kind), np.zeros(5, int).astype(kind), np.array([7, 0, 0, 0, 0]).astype(kind)):
+        for q in (r.integers(-9, 9, 5).astype(kind), np.zeros(5, int).astype(kind), np.array([7, 0, 0, 0, 0]).astype(kind), np.array([-3, 0, 2, 0, 0]).astype(kind)):
             score = c @ q
             best = sorted(score)[-k]
-            (found,) = topk.Lists(c).candidates(q[None], k, first=100)
-            assert set(np.flatnonzero(score >= best)) <= set(found.tolist())
-    # a list that decides is not read to its end
-    (few,) = topk.Lists(c.astype(float)).candidates(np.array([[7.0, 0.1, 0, 0, 0]]), 6, first=100)
-    assert len(few) < 1500
+            for floor in (None, float(best) if kind is float else None, float(sorted(score)[-4 * k]) if kind is float else None):
+                found = topk.Lists(c).candidates(q, k, floor)
+                assert set(np.flatnonzero(score >= best)) <= set(found.tolist())
+    assert topk.Lists(c).candidates(q, 2000).tolist() == list(range(1500))
+
+
+def test_reading_stops():
+    """A few candidates stand out, as in skewed collections: under half of the entries are read, and with a
+    known score a block that holds none of the best is left after the first stretch."""
+    r = np.random.default_rng(1)
+    c = np.floor(r.lognormal(0, 2.5, (4000, 16)))
+    lists, queries = topk.Lists(c), np.floor(10 * r.random((20, 16)))
+    for q in queries:
+        score = c @ q
+        found = lists.candidates(q, 6)
+        assert set(np.flatnonzero(score >= np.sort(score)[-6])) <= set(found.tolist())
+    assert lists.entries < 0.5 * 20 * c.size
+    far, other = topk.Lists(np.floor(c / 1000)), 0
+    for q in queries:
+        best = np.sort(c @ q)[-6]
+        other += len(far.candidates(q, 6, float(best)))
+    assert other == 0 and far.entries <= 20 * c.size / 16
+    # nothing is read of dimensions in which the query is 0
+    some = topk.Lists(c)
+    some.candidates(np.where(np.arange(16) < 2, 1.0, 0.0), 6)
+    assert some.entries <= 2 * 4000
+
+
+def test_floors(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.integers(-9, 9, 4)]) for i in range(60)] + [(100, [1e12, 1e12, 0.0, 0.0]), (101, [2.0])]
+    v = spark.createDataFrame(rows, "id bigint, v array<double>").selectExpr("*", "size(v) as d")
+    got = {q["id"]: q["floor"] for q in topk.with_floor(v, v, 5, 256).collect()}
+    for i, x in rows[:60]:
+        true = sorted(sum(int(256 * a) * int(256 * b) for a, b in zip(x, y, strict=True)) for j, y in rows[:61] if j != i)[-5]
+        assert got[i] <= true and true - got[i] <= abs(true) * 1e-12
+    assert got[101] is None
 
 
 def test_top_k_edges(spark):
