@@ -64,8 +64,9 @@ class Lists:
     def candidates(self, query: np.ndarray, k: int, floor=None, first: int = 64) -> np.ndarray:
         """The candidates that can be among the query's k best, all that tie with the k-th included.
 
-        floor: a score that the k-th best is known to reach. The first 1 / first of each list is read,
-        then as much again, and so on, each time to twice the depth.
+        floor: a score that the k-th best is known to reach. Without one, the first 1 / first of each
+        list is read. Then the lists' entries at trial depths tell how deep the lists have to be read for an unseen
+        candidate to be out; where that is over a quarter of them, all the rest is read at once.
         """
         n, d = self.vectors.shape
         dims = np.flatnonzero(query != 0)
@@ -73,38 +74,52 @@ class Lists:
             return np.arange(n)
         w = query[dims]
         up = np.array([v > 0 for v in w])
-        # lists from their best entry on: the place of an entry, seen from the query
-        at = lambda depth: np.where(up, n - 1 - depth, depth)
-        least = w * self.sorted[at(n - 1), dims]
-        low_all = least.sum()
-        known = np.zeros(n, self.vectors.dtype)
-        above = np.zeros(n, self.vectors.dtype)  # what has shown beyond the least products
-        read = np.zeros((n, len(dims)), bool)
-        done, depth = 0, max(1, -(-n // first))
+        # a list's last product when it has been read to a depth
+        last = lambda depth: w * self.sorted[np.where(up, n - depth, depth - 1), dims]
+        least = last(n)
+        known, read = np.zeros(n, self.vectors.dtype), np.zeros((n, len(dims)), bool)
+        done, kth, depth = 0, floor, 0 if floor is not None else max(1, -(-n // first))
         while True:
-            depth = min(depth, n)
+            if not depth:
+                depth = self._depth_to(lambda x, kth=kth: last(x).sum() < kth, n)
+                if depth > n // 4:
+                    self.entries += (n - done) * len(dims)
+                    known = self.vectors[:, dims] @ w
+                    return np.flatnonzero(known >= _largest(known, k, floor))
+                depth = max(depth, min(2 * done, n // 4))
             for c, j in enumerate(dims):
                 rows = slice(n - depth, n - done) if up[c] else slice(done, depth)
                 who = self.order[rows, j]
-                shown = w[c] * self.sorted[rows, j]
-                known[who] += shown
-                above[who] += shown - least[c]
+                known[who] += w[c] * self.sorted[rows, j]
                 read[who, c] = True
             self.entries += (depth - done) * len(dims)
             done = depth
-            if done == n:
-                kth = _largest(known, k, floor)
-                return np.flatnonzero(known >= kth)
-            last = w * self.sorted[at(done - 1), dims]
-            kth = _largest(low_all + above, k, floor)
-            if last.sum() < kth:
+            kth = _largest(known + np.where(read, np.zeros_like(least), least).sum(1), k, kth)
+            if last(done).sum() < kth:
                 # a candidate that nobody has seen is out; a seen one's bound is by what it has not shown
                 seen = np.flatnonzero(read.any(1))
-                upper = known[seen] + np.where(read[seen], np.zeros_like(last), last).sum(1)
+                upper = known[seen] + np.where(read[seen], np.zeros_like(least), last(done)).sum(1)
                 left = seen[upper >= kth]
                 if len(left) <= max(4 * k, n // 32):
                     return left
-            depth = 2 * done
+                if done >= n // 4:
+                    # many could still be among the best: what they have not shown is read
+                    self.entries += int((~read[left]).sum())
+                    score = self.vectors[np.ix_(left, dims)] @ w
+                    return left[score >= _largest(score, min(k, len(left)), floor)]
+            depth = 0
+
+    @staticmethod
+    def _depth_to(out, n: int) -> int:
+        """The least depth at which out holds, n + 1 if there is none; out holds at all depths beyond."""
+        low, high = 1, n + 1
+        while low < high:
+            mid = (low + high) // 2
+            if mid <= n and not out(mid):
+                low = mid + 1
+            else:
+                high = mid
+        return low
 
 
 def _largest(values: np.ndarray, k: int, floor):
