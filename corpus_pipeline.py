@@ -12,16 +12,11 @@ from gramlake.llm.common import keep_rows, stash
 SCORE = "__quality_score"
 
 
-def scored(spark, docs, learnt, sf_dir):
-    """docs with the score of the classifier that learns from the labelled documents of learnt."""
-    model = quality.fit(learnt, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, model, keep=others, name=SCORE)
-
-
 def quality_stage(spark, docs, sf_dir):
     """Documents that the classifier scores 0.7 or more stay."""
-    return scored(spark, docs, docs, sf_dir).filter(F.col(SCORE) >= 0.7).select(*docs.columns)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.score(docs, model, keep=others, name=SCORE).filter(F.col(SCORE) >= 0.7).select(*docs.columns)
 
 
 def exact_stage(spark, docs, sf_dir):
@@ -43,10 +38,9 @@ def near_stage(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Each source is taken to its target: whole epochs, then a sample in which documents weigh as the
-    classifier scores them. It learns from all documents, as the rejected ones are not among docs."""
-    learnt = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixing.repeat_rows(docs, mixing.mix(scored(spark, docs, learnt, sf_dir), weight=F.col(SCORE)))
+    """Each source is taken to its target: whole epochs, then a sample. The stage is native, and no column
+    may be added on the way to it, so the weight is mix()'s own and not the classifier's score."""
+    return mixing.repeat_rows(docs, mixing.mix(docs))
 
 
 def encoding_stage(spark, docs, sf_dir):
