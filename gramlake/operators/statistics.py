@@ -30,7 +30,8 @@ RANGE, RANGES = 100_000, 1024
 
 
 def ranked(values: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, value, c) with c rows of each distinct value -> plus rank, ties at their mean.
+    """(by, value, c) with c rows of each distinct value -> plus rank, ties at their mean, and off, the rank
+    less the group's mean rank.
 
     Values of a group are cut into ranges, at approximate quantiles if it has many; counts of ranges are
     summed in order, and within a range the values are. So a task orders one range of a group.
@@ -45,11 +46,12 @@ def ranked(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     placed = placed.withColumn("__range", at).drop("__cuts", *(f"__key_{k}" for k in by))
     counts = placed.groupBy(*by, "__range").agg(F.sum("c").alias("__c"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, F.col("__range").alias("__r"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    every = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select(*keys, F.col("__range").alias("__r"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(every).alias("__all"))
     both = placed.join(counts, same(placed) & (F.col("__range") == F.col("__r")))
     own = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.col("__before") + F.sum("c").over(own) - (F.col("c") - 1) / 2
-    return both.withColumn("rank", rank).drop("__range", "__r", "__before", *(f"__key_{k}" for k in by))
+    return both.withColumn("rank", rank).withColumn("off", F.col("rank") - (F.col("__all") + 1) / 2).drop("__range", "__r", "__before", "__all", *(f"__key_{k}" for k in by))
 
 
 def _all(conditions) -> Column:
@@ -63,22 +65,21 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int
     """ST3: (by, n, rho) over rows where both are known; null under least rows or if a side doesn't vary.
 
     Rows are counted by pair of values first. The mean of a group's ranks is known, so the products of
-    the deviations are sums over pairs of values.
+    the deviations are sums over pairs of values. Ranks are centred before they are multiplied: sums of
+    whole ranks' products reach the cube of n, which no long holds and of which a double loses digits.
     """
     by = list(by)
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("__left"), F.col(y).alias("__right")).agg(F.count("*").alias("c"))
     sides = []
-    for side, r in (("__left", "__rank_left"), ("__right", "__rank_right")):
+    for side, r in (("__left", "__off_left"), ("__right", "__off_right")):
         values = ranked(pairs.groupBy(*by, side).agg(F.sum("c").alias("c")), side, by)
-        sides.append(values.select(*(F.col(k).alias(f"{r}{k}") for k in by), F.col(side).alias(f"{r}_v"), F.col("rank").alias(r)))
+        sides.append(values.select(*(F.col(k).alias(f"{r}{k}") for k in by), F.col(side).alias(f"{r}_v"), F.col("off").alias(r)))
     both = pairs
-    for side, r, values in (("__left", "__rank_left", sides[0]), ("__right", "__rank_right", sides[1])):
+    for side, r, values in (("__left", "__off_left", sides[0]), ("__right", "__off_right", sides[1])):
         both = both.join(values, _all(pairs[k].eqNullSafe(F.col(f"{r}{k}")) for k in by) & (F.col(side) == F.col(f"{r}_v")))
-    mean = lambda e: F.sum(F.col("c") * e)
-    sums = both.groupBy(*by).agg(F.sum("c").alias("n"), mean(F.col("__rank_left") * F.col("__rank_right")).alias("xy"), mean(F.col("__rank_left") ** 2).alias("xx"), mean(F.col("__rank_right") ** 2).alias("yy"))
-    centre = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4
-    off = lambda c: F.col(c) - centre
-    rho = F.try_divide(off("xy"), F.sqrt(F.greatest(off("xx"), F.lit(0.0)) * F.greatest(off("yy"), F.lit(0.0))))
+    summed = lambda e: F.sum(F.col("c") * e)
+    sums = both.groupBy(*by).agg(F.sum("c").alias("n"), summed(F.col("__off_left") * F.col("__off_right")).alias("xy"), summed(F.col("__off_left") ** 2).alias("xx"), summed(F.col("__off_right") ** 2).alias("yy"))
+    rho = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
     out = sums.select(*by, "n", F.when(F.col("n") >= least, rho).alias("rho"))
     return out if by else df.sparkSession.range(1).select().join(out.filter("n is not null"), how="left").select(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "rho")
 

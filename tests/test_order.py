@@ -39,6 +39,17 @@ def test_spearman(spark, monkeypatch, many):
     df.unpersist()
 
 
+def test_spearman_of_many_rows(spark):
+    """n cubed is beyond a long: 2 * 3,000,000 rows of four pairs of values, against the same ranks in NumPy."""
+    share = {(0, 0): 1_900_000, (0, 1): 1_100_000, (1, 0): 400_000, (1, 1): 2_600_000}
+    counts = spark.createDataFrame([(x, y, c) for (x, y), c in share.items()], "x int, y int, c int")
+    df = counts.select("x", "y", F.explode(F.sequence(F.lit(1), F.col("c")))).select("x", "y")
+    n, ones_x, ones_y = 6_000_000, 3_000_000, 3_700_000
+    want = (2_600_000 / n - ones_x * ones_y / n**2) / np.sqrt(ones_x * (n - ones_x) * ones_y * (n - ones_y) / n**4)
+    (got,) = ST.spearman(df, "x", "y").collect()
+    assert got["n"] == n and abs(got["rho"] - want) < 1e-12
+
+
 def test_no_window_over_a_group(spark):
     """Orders are within ranges; a group's own window is over its ranges, RANGES at most."""
     plan = ST.spearman(spark.createDataFrame(table(spark)), "x", "y", ("g",))._jdf.queryExecution().optimizedPlan().toString()
