@@ -22,10 +22,15 @@ def norm(x) -> Column:
     return F.sqrt(F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v * v))
 
 
+def once(x, of) -> Column:
+    """of(x), where x is computed once a row. A lambda computes what it refers to again for each element,
+    unless that is a variable of a lambda around it."""
+    return F.element_at(F.transform(F.array(_c(x)), of), 1)
+
+
 def unit(x, floor: float = 1e-10) -> Column:
     """x over its norm, the norm not under floor."""
-    n = F.greatest(norm(x), F.lit(floor))
-    return F.transform(_c(x), lambda v: v / n)
+    return once(x, lambda y: once(F.greatest(norm(y), F.lit(floor)), lambda n: F.transform(y, lambda v: v / n)))
 
 
 def distance(x, y) -> Column:
@@ -40,8 +45,7 @@ def running(x) -> Column:
 
 def shares(x, eps: float = 1e-12) -> Column:
     """x over its sum plus eps."""
-    s = total(x) + F.lit(eps)
-    return F.transform(_c(x), lambda v: v / s)
+    return once(x, lambda y: once(total(y) + F.lit(eps), lambda s: F.transform(y, lambda v: v / s)))
 
 
 def l1(x, y) -> Column:

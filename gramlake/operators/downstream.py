@@ -74,7 +74,7 @@ def scale(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn("features", scaled).drop("mean", "std", "n")
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """EV3: (row_id, label, predicted) of test rows: majority of the k nearest train rows.
 
     Distance ties go to the smaller train row_id, vote ties to the smaller label. The test set is a

@@ -155,7 +155,7 @@ def _chord(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * np.clip(dot, -1, 1), 0))
 
 
-def two_nn(features: DataFrame, keys: list[str] | None = None, block: int = 2048) -> DataFrame:
+def two_nn(features: DataFrame, keys: list[str] | None = None, block: int | None = None) -> DataFrame:
     """SP7: (keys, n, uid), the TwoNN estimate of intrinsic dimension of each pool.
 
     Null for pools of under 10 rows or with under 5 usable ones. The estimate needs each row's two

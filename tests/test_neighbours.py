@@ -1,9 +1,12 @@
 """Nearest neighbours by bounded blocks against all pairs."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gramlake.functions import vectors as V
 from gramlake.operators import downstream as D
 from gramlake.operators import neighbours as N
 from gramlake.operators import spectral as SP
@@ -82,3 +85,37 @@ def test_two_nn_of_a_plane(spark):
     df = spark.createDataFrame([("p", "a", i, v.tolist()) for i, v in enumerate(x)], "probe string, pool_id string, row_id bigint, features array<double>")
     one, many = (SP.two_nn(df, block=b).first() for b in (2048, 64))
     assert one["n"] == many["n"] == 600 and np.isclose(one["uid"], many["uid"]) and 1.2 < one["uid"] < 3.5
+
+
+def test_norm_is_computed_once(spark):
+    """A norm inside the lambda is computed for each element, nested ones for each of those."""
+    df = spark.range(1).select(V.unit(V.unit(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda v: v.cast("double")))).alias("x")).select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s"))
+    since = time.time()
+    assert abs(df.first()["s"] - 1) < 1e-9 and time.time() - since < 15
+    assert spark.range(1).select(V.unit(F.lit(None).cast("array<double>")).alias("x")).first()["x"] is None
+
+
+def test_blocks_grow_with_the_table():
+    """Twice the rows, as many blocks; a block's bytes end that."""
+    assert N.block_rows(2048, 64) == 2048
+    assert {-(-n // N.block_rows(n, 64)) for n in (20_000, 40_000, 80_000, 160_000)} == {N.PARTS}
+    assert N.block_rows(10**9, 64) * 64 * 8 <= N.BLOCK_BYTES
+
+
+@pytest.mark.parametrize("cells, picks, width", [(1 << 20, 1 << 16, 64), (700, 11, 4)])
+@pytest.mark.parametrize("same", [False, True])
+def test_k_nearest_of_copies(monkeypatch, cells, picks, width, same):
+    """Many equal rows, ids out of order, and few distances at a time."""
+    for name, value in (("CELLS", cells), ("PICKS", picks), ("WIDTH", width)):
+        monkeypatch.setattr(N, name, value)
+    r = np.random.default_rng(7)
+    x = np.concatenate((np.repeat(r.standard_normal((3, 4)), 60, 0), r.standard_normal((90, 4)), np.zeros((9, 4)), -np.zeros((9, 4))))
+    ids = r.permutation(len(x))
+    q, own = (x, ids) if same else (x[::5] + 0.001, np.arange(1000, 1000 + len(x[::5])))
+    for k in (1, 3, 20):
+        pick, col, d = N.k_nearest(q, own, x, ids, k, same, N.gap)
+        want = set()
+        for i, v in enumerate(q):
+            far = np.round(np.sqrt(((x - v) ** 2).sum(1)), 9)
+            want |= {(i, j) for _, _, j in sorted((far[j], ids[j], j) for j in range(len(x)) if not (same and own[i] == ids[j]))[:k]}
+        assert set(zip(pick.tolist(), col.tolist(), strict=True)) == want and len(d) == len(want)
