@@ -79,7 +79,7 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int
         both = both.join(values, _all(pairs[k].eqNullSafe(F.col(f"{r}{k}")) for k in by) & (F.col(side) == F.col(f"{r}_v")))
     summed = lambda e: F.sum(F.col("c") * e)
     sums = both.groupBy(*by).agg(F.sum("c").alias("n"), summed(F.col("__off_left") * F.col("__off_right")).alias("xy"), summed(F.col("__off_left") ** 2).alias("xx"), summed(F.col("__off_right") ** 2).alias("yy"))
-    rho = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
     out = sums.select(*by, "n", F.when(F.col("n") >= least, rho).alias("rho"))
     return out if by else df.sparkSession.range(1).select().join(out.filter("n is not null"), how="left").select(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "rho")
 
