@@ -74,17 +74,35 @@ def scale(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn("features", scaled).drop("mean", "std", "n")
 
 
+def train_neighbours(train: DataFrame, test: DataFrame, k: int = 5, block: int | None = None, labels: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(row_id, other_id, d, train_<label>...): the k nearest train rows of each test row, with their labels.
+
+    Distance ties go to the smaller train row_id. The test set is a stated query set; neighbours.nearest()
+    meets it with the train rows in pairs of blocks.
+    """
+    rows = train.select(F.col("row_id").alias("other_id"), *(F.col(y).alias(f"train_{y}") for y in labels), F.col("features").alias("x"))
+    return nearest(rows, test.select("row_id", F.col("features").alias("x")), k, carry=[f"train_{y}" for y in labels], block=block)
+
+
+def knn_vote(near: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
+    """(row_id, label, predicted): majority of the neighbours' labels, vote ties to the smaller label."""
+    votes = near.groupBy("row_id", f"train_{label}").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(f"train_{label}").alias("label"))).alias("b"))
+    return test.select("row_id", F.col(label).alias("label")).join(best.select("row_id", F.col("b.label").alias("predicted")), "row_id")
+
+
+def nearer(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of train_neighbours() with more: one search serves all smaller k."""
+    own = Window.partitionBy("row_id").orderBy(F.round("d", 9), "other_id")
+    return near.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= k).drop("__n")
+
+
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """EV3: (row_id, label, predicted) of test rows: majority of the k nearest train rows.
 
-    Distance ties go to the smaller train row_id, vote ties to the smaller label. The test set is a
-    stated query set; neighbours.nearest() meets it with the train rows in pairs of blocks.
+    Distance ties go to the smaller train row_id, vote ties to the smaller label.
     """
-    rows = train.select(F.col("row_id").alias("other_id"), F.col("label").alias("train_label"), F.col("features").alias("x"))
-    near = nearest(rows, test.select("row_id", F.col("features").alias("x")), k, carry=["train_label"], block=block)
-    votes = near.groupBy("row_id", "train_label").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("train_label").alias("label"))).alias("b"))
-    return test.select("row_id", "label").join(best.select("row_id", F.col("b.label").alias("predicted")), "row_id")
+    return knn_vote(train_neighbours(train, test, k, block), test)
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:

@@ -367,17 +367,30 @@ def stress_mds(spark, sf):
 VIEWS = {"whole": {}, "runs16": {"dims": 16}, "strides16": {"dims": 16, "strides": True}, "runs8": {"dims": 8}}
 
 
-def evaluated(spark, sf, view: str, dataset: str) -> tuple:
-    """(view, dataset, rank, linear probe, kNN of 5, kNN of 20)."""
-    label = F.col("label") % 4 if dataset == "label_mod4" else F.col("label") >= 5
-    f = pools(spark, sf, label=label.cast("int"), pool=F.lit(dataset), **VIEWS[view]).persist()
+#: Sets of classes of the same vectors.
+CLASSES = {"label_mod4": lambda: (F.col("label") % 4).cast("int"), "label_half": lambda: (F.col("label") >= 5).cast("int")}
+
+
+def evaluated(spark, sf, view: str) -> list[tuple]:
+    """(view, dataset, rank, linear probe, kNN of 5, kNN of 20) of each set of classes.
+
+    The rank, the scaling and the neighbours don't depend on classes, and the 5 nearest are among the 20:
+    a view's neighbours are looked for once.
+    """
+    raw = pools(spark, sf, label=F.col("label"), pool=F.lit("all"), **VIEWS[view])
+    f = raw.select("*", *(y().alias(name) for name, y in CLASSES.items())).drop("label").persist()
     train, test = f.filter("split = 'train'"), f.filter("split = 'test'")
     st = D.scaling(train)
-    near = [D.accuracy(D.knn_predict(D.scale(train, st), D.scale(test, st), k)).first()["accuracy"] for k in (5, 20)]
-    probe = D.accuracy(D.linear_probe(train, test)).first()["accuracy"]
+    near = D.train_neighbours(D.scale(train, st), D.scale(test, st), 20, labels=tuple(CLASSES)).persist()
     rank = SP.summarise(G.pool_grams(f)).first()["r_eff"]
+    out = []
+    for name in CLASSES:
+        knn = [D.accuracy(D.knn_vote(few, test, name)).first()["accuracy"] for few in (D.nearer(near, 5), near)]
+        own = [df.withColumn("label", F.col(name)) for df in (train, test)]
+        out.append((view, name, rank, D.accuracy(D.linear_probe(*own)).first()["accuracy"], *knn))
+    near.unpersist()
     f.unpersist()
-    return (view, dataset, rank, probe, *near)
+    return out
 
 
 @query("evaluator_correlations")
@@ -385,8 +398,8 @@ def evaluator_correlations(spark, sf):
     """ST20 over real evaluators: rank, linear probe and two kNN of four views on two sets of classes.
     The fits don't depend on each other, so their jobs run side by side."""
     with ThreadPool(len(VIEWS)) as pool:
-        rows = pool.starmap(inheritable_thread_target(spark)(evaluated), [(spark, sf, view, dataset) for view in VIEWS for dataset in ("label_mod4", "label_half")])
-    results = spark.createDataFrame(rows, "probe string, dataset string, r_eff double, lp double, knn5 double, knn20 double")
+        found = pool.starmap(inheritable_thread_target(spark)(evaluated), [(spark, sf, view) for view in VIEWS])
+    results = spark.createDataFrame([r for rows in found for r in rows], "probe string, dataset string, r_eff double, lp double, knn5 double, knn20 double")
     return ST.evaluator_correlations(results, ["r_eff", "lp", "knn5", "knn20"])
 
 

@@ -119,3 +119,17 @@ def test_k_nearest_of_copies(monkeypatch, cells, picks, width, same):
             far = np.round(np.sqrt(((x - v) ** 2).sum(1)), 9)
             want |= {(i, j) for _, _, j in sorted((far[j], ids[j], j) for j in range(len(x)) if not (same and own[i] == ids[j]))[:k]}
         assert set(zip(pick.tolist(), col.tolist(), strict=True)) == want and len(d) == len(want)
+
+
+def test_one_search_serves_smaller_k_and_other_classes(spark):
+    r = np.random.default_rng(8)
+    x = np.round(r.standard_normal((80, 3)))
+    df = spark.createDataFrame([(i, int(i % 2), int(i % 3), v.tolist()) for i, v in enumerate(x)], "row_id bigint, a int, b int, features array<double>").persist()
+    train, test = df.filter("row_id >= 20"), df.filter("row_id < 20")
+    near = D.train_neighbours(train, test, 9, labels=("a", "b")).persist()
+    for label in ("a", "b"):
+        for k, few in ((4, D.nearer(near, 4)), (9, near)):
+            want = D.knn_predict(train.withColumn("label", F.col(label)), test.withColumn("label", F.col(label)), k).collect()
+            assert sorted(D.knn_vote(few, test, label).collect()) == sorted(want)
+    near.unpersist()
+    df.unpersist()
