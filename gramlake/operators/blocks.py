@@ -25,7 +25,7 @@ class BlockRows:
 
     def __init__(self, long: DataFrame, i: str = "ds_i", j: str = "ds_j", value: str = "value", block_bytes: int = BLOCK_BYTES):
         self.spark, self.evaluations = long.sparkSession, 0
-        cells = long.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(value).cast("double").alias("v")).persist()
+        cells = long.select(F.col(i).alias("i"), F.col(j).alias("j"), F.col(value).cast("double").alias("v")).hint("rebalance").persist()
         both = cells.select(F.col("i").alias("name")).union(cells.select("j")).distinct()
         self.names = sorted(r["name"] for r in both.collect())
         m = len(self.names)
@@ -43,7 +43,8 @@ class BlockRows:
             values[table.column("row").to_numpy() - first, table.column("col").to_numpy()] = table.column("v").to_numpy()
             return pa.table({"first": pa.array([first], pa.int32()), "values": pa.array([values.ravel()], _MANY)})
 
-        self.frame = at.groupBy("block").applyInArrow(dense, "first int, values array<double>").persist()
+        # as many partitions as blocks: those without one would begin Python workers, too
+        self.frame = at.repartition(max(1, self.blocks), "block").groupBy("block").applyInArrow(dense, "first int, values array<double>").persist()
         self.frame.count()
         cells.unpersist()
 

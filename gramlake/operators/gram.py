@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 FAN = 64
 TILE_BYTES = 4 << 20
 HELD_BYTES = 256 << 20
+#: Bytes of Gram matrices in a partition of held().
+PART_BYTES = 1 << 20
 #: Bytes of rows in a block of row_kernels().
 BLOCK_BYTES = 16 << 20
 NAMES = ["probe", "pool_id"]
@@ -184,6 +187,22 @@ def pool_grams(features: DataFrame, keys: list[str] | None = None, tile_bytes: i
     return sum_tiles(partials, keys, levels(rows, fan), fan).withColumn("d", F.size("colsum"))
 
 
+@contextmanager
+def held(grams: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[DataFrame]:
+    """grams or summaries, computed once and kept on the executors for a with block, in as many partitions
+    as their bytes ask for.
+
+    A cached plan's last shuffle keeps all its partitions, each of which would begin Python workers for a
+    few pools or none. With one more exchange that shuffle is merged by size, and so is what is kept.
+    """
+    own = grams.hint("rebalance").persist()
+    try:
+        size = own.agg(F.sum(8 * F.size("gram").cast("long"))).first()[0] or 0
+        yield own.coalesce(max(1, -(-size // part_bytes)))
+    finally:
+        own.unpersist()
+
+
 def row_kernels(features: DataFrame, keys: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """SP1 from the other side: (keys, n, d, gram, colsum), where gram is the n x n products of a pool's
     rows in order of row_id.

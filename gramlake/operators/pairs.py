@@ -199,8 +199,9 @@ def analyse(summaries: DataFrame, k: int | None = None) -> DataFrame:
 
 def symmetric(pairs: DataFrame, value: Column, diagonal: float, name: str, pools: DataFrame) -> DataFrame:
     """PW21: (probe, ds_i, ds_j, value) both ways and with the diagonal."""
-    up = pairs.select("probe", F.col("ds_a").alias("ds_i"), F.col("ds_b").alias("ds_j"), value.alias(name))
-    return up.unionByName(up.select("probe", F.col("ds_j").alias("ds_i"), F.col("ds_i").alias("ds_j"), name)).unionByName(pools.select("probe", F.col("pool_id").alias("ds_i"), F.col("pool_id").alias("ds_j"), F.lit(diagonal).alias(name)))
+    ways = F.array(F.struct(F.col("ds_a").alias("ds_i"), F.col("ds_b").alias("ds_j")), F.struct(F.col("ds_b").alias("ds_i"), F.col("ds_a").alias("ds_j")))
+    both = pairs.select("probe", F.explode(ways).alias("way"), value.alias(name)).select("probe", "way.ds_i", "way.ds_j", name)
+    return both.unionByName(pools.select("probe", F.col("pool_id").alias("ds_i"), F.col("pool_id").alias("ds_j"), F.lit(diagonal).alias(name)))
 
 
 def grassmann_loss(pairs: DataFrame, clamp: float | None = None) -> DataFrame:

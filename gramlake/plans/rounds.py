@@ -194,10 +194,8 @@ def hybrid_col_dom(spark, sf):
 
 
 def _similarity(spark, sf, block_bytes=BLOCK_BYTES):
-    s = summaries(spark, sf).persist()
-    matrix = BlockRows(P.symmetric(P.analyse(s, k=20), F.col("sa_k"), 1.0, "sa", s), value="sa", block_bytes=block_bytes)
-    s.unpersist()
-    return matrix
+    with G.held(summaries(spark, sf)) as s:
+        return BlockRows(P.symmetric(P.analyse(s, k=20), F.col("sa_k"), 1.0, "sa", s), value="sa", block_bytes=block_bytes)
 
 
 def _chosen(spark, sf, choose, block_bytes=BLOCK_BYTES):
@@ -352,15 +350,14 @@ def augmented_knn(spark, sf):
 
 @query("classical_mds")
 def classical_mds(spark, sf):
-    s = summaries(spark, sf)
-    m = P.symmetric(P.analyse(s, k=20), 1 - F.col("sa_k"), 0.0, "distance", s)
-    return D.classical_mds(m)
+    with G.held(summaries(spark, sf)) as s:
+        return D.classical_mds(P.symmetric(P.analyse(s, k=20), 1 - F.col("sa_k"), 0.0, "distance", s))
 
 
 @query("stress_mds")
 def stress_mds(spark, sf):
-    s = summaries(spark, sf)
-    return D.stress_mds(P.symmetric(P.analyse(s, k=20), 1 - F.col("sa_k"), 0.0, "distance", s))
+    with G.held(summaries(spark, sf)) as s:
+        return D.stress_mds(P.symmetric(P.analyse(s, k=20), 1 - F.col("sa_k"), 0.0, "distance", s))
 
 
 #: Views of the vectors that stand for encoders: whole, and sums of runs or of every n-th component.

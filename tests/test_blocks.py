@@ -59,6 +59,15 @@ def test_facility_location_and_medoids(spark, m, k, levels, block):
     matrix.release()
 
 
+@pytest.mark.parametrize("per_block", [1, 3, 100])
+def test_a_partition_for_each_block(spark, per_block):
+    d = np.random.default_rng(5).uniform(size=(7, 7))
+    matrix = BlockRows(long(spark, d), value="value", block_bytes=8 * 7 * per_block)
+    assert matrix.blocks == -(-7 // per_block) == matrix.frame.rdd.getNumPartitions()
+    assert np.array_equal(np.concatenate([v for _, v in matrix.rows(lambda _, b, __: b, None)]), d.ravel())
+    matrix.release()
+
+
 def test_lazy_gains_skip_candidates(spark):
     """Tight groups: after the first round most bounds are too small to be looked at again."""
     r = np.random.default_rng(1)

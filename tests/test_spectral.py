@@ -277,6 +277,35 @@ def test_summaries_are_read_once(spark, sf):
     assert seen.value == total
 
 
+@pytest.mark.parametrize("name", ["classical_mds"])
+def test_summaries_are_made_by_few_tasks(spark, sf, monkeypatch, name):
+    """Ten pools are decomposed once, by one task, however many partitions their sums are shuffled to."""
+    from gramlake.plans import fixtures, rounds
+
+    begun = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        begun.add(1)
+        yield from batches
+
+    def summaries(spark, sf, **kw):
+        grams = G.pool_grams(fixtures.pools(spark, sf, **kw))
+        return SP.summarise(grams.mapInArrow(count, grams.schema))
+
+    monkeypatch.setattr(rounds, "summaries", summaries)
+    assert getattr(rounds, name)(spark, sf).count() and begun.value == 1
+
+
+def test_held_by_bytes(spark, sf):
+    from gramlake.plans import fixtures
+
+    s = fixtures.summaries(spark, sf)
+    for part_bytes, least, most in ((G.PART_BYTES, 1, 1), (3 * 8 * 64 * 64, 2, 4)):
+        with G.held(s, part_bytes) as kept:
+            assert least <= kept.rdd.getNumPartitions() <= most
+            assert sorted(r["pool_id"] for r in kept.collect()) == [f"p{i}" for i in range(10)]
+
+
 def test_farthest_first_near_and_far(spark, sf):
     from gramlake.operators import select as S
     from gramlake.plans import fixtures
