@@ -143,10 +143,11 @@ def augmented(features: DataFrame, target: str, pools: list[str]) -> DataFrame:
     order = [target, *(p for p in pools if p != target)]
     rows = features.filter(F.col("pool_id").isin(order) & F.col("label").isNotNull())
     place = F.array_position(F.array(*map(F.lit, order)), F.col("pool_id"))
-    dense = rows.withColumn("dense", F.dense_rank().over(Window.partitionBy("pool_id").orderBy("label")) - 1)
-    counts = dense.groupBy("pool_id").agg((F.max("dense") + 1).alias("classes")).withColumn("place", place)
-    shift = counts.withColumn("shift", F.coalesce(F.sum("classes").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("pool_id", "shift")
-    return dense.join(F.broadcast(shift), "pool_id").withColumn("label", (F.col("dense") + F.col("shift")).cast("int")).drop("dense", "shift")
+    # classes are numbered among themselves, in order of place and label; rows stay where they are
+    classes = rows.select("pool_id", "label").distinct()
+    at = F.row_number().over(Window.orderBy(place, "label")) - 1
+    numbered = classes.select("pool_id", "label", at.cast("int").alias("dense"))
+    return rows.join(F.broadcast(numbered), ["pool_id", "label"]).withColumn("label", F.col("dense")).select(features.columns)
 
 
 def projector(grams: DataFrame) -> tuple[np.ndarray, int]:

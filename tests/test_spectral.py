@@ -210,6 +210,18 @@ def test_linear_probe_learns(spark):
     assert D.accuracy(D.fair_probe(f, ["a"], train, test, 50)).first()["accuracy"] > 0.6
 
 
+def test_augmented_rows_stay_where_they_are(spark):
+    """Classes are numbered among themselves: no task gets a pool's rows, and none sorts features."""
+    labels = {"a": [7, 3, None], "b": [5, 9, 2], "c": [3], "d": [1]}
+    rows = [(p, i, labels[p][i % len(labels[p])], [float(i)]) for p in labels for i in range(30)]
+    df = spark.createDataFrame(rows, "pool_id string, row_id bigint, label int, features array<double>").repartition(7).withColumn("at", F.spark_partition_id()).persist()
+    out = D.augmented(df, "b", ["c", "b", "x", "a"]).withColumn("now", F.spark_partition_id()).collect()
+    df.unpersist()
+    number = {("b", 2): 0, ("b", 5): 1, ("b", 9): 2, ("c", 3): 3, ("a", 3): 4, ("a", 7): 5}
+    assert {(r["pool_id"], r["row_id"]): r["label"] for r in out} == {(p, i): number[p, y] for p, i, y, _ in rows if (p, y) in number}
+    assert len(out) == 80 and all(r["at"] == r["now"] and r["features"] == [float(r["row_id"])] for r in out)
+
+
 def test_p_values():
     # t = 2.228 with 10 degrees is the two-sided 5 % point
     r = 2.228138852 / np.sqrt(10 + 2.228138852**2)
