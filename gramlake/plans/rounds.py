@@ -140,11 +140,9 @@ def delta_dir_greedy_d2(spark, sf):
 @query("target_greedy_d2", _greedy_rounds("prediction", 3, "SELECT a, b, c, [pool] AS chosen FROM e WHERE pool = 'p0'", False))
 def target_greedy_d2(spark, sf):
     """SEL1c: p0 is the target, not a candidate."""
-    s = summaries(spark, sf, dims=2).persist()
-    target = S.Pools(s.filter("pool_id = 'p0'")).state("p0")
-    out = _scored(spark, S.greedy(S.Pools(s.filter("pool_id <> 'p0'")), 3, k_basis=1, anchor=target))
-    s.unpersist()
-    return out
+    with G.held(summaries(spark, sf, dims=2)) as s:
+        target = S.Pools(s.filter("pool_id = 'p0'")).state("p0")
+        return _scored(spark, S.greedy(S.Pools(s.filter("pool_id <> 'p0'")), 3, k_basis=1, anchor=target))
 
 
 @query("merge_greedy")
@@ -162,9 +160,9 @@ def merge_greedy_distributed(spark, sf):
 @query("target_greedy")
 def target_greedy(spark, sf):
     """SEL1c: conditioned on a target pool's summary."""
-    p = S.Pools(summaries(spark, sf).filter("pool_id <> 'p0'"))
-    target = S.Pools(summaries(spark, sf).filter("pool_id = 'p0'")).state("p0")
-    return S.rounds_frame(spark, S.greedy(p, 3, anchor=target))
+    with G.held(summaries(spark, sf)) as s:
+        target = S.Pools(s.filter("pool_id = 'p0'")).state("p0")
+        return S.rounds_frame(spark, S.greedy(S.Pools(s.filter("pool_id <> 'p0'")), 3, anchor=target))
 
 
 @query("vendi_greedy")
