@@ -187,8 +187,8 @@ def hybrid_cen_col(spark, sf):
 
 @query("hybrid_col_dom")
 def hybrid_col_dom(spark, sf):
-    s = summaries(spark, sf)
-    return names_frame(spark, S.hybrid_predict_then_domains(S.Pools(s), s, domains(spark, sf), 5))
+    with G.held(summaries(spark, sf)) as s:
+        return names_frame(spark, S.hybrid_predict_then_domains(S.Pools(s), s, domains(spark, sf), 5))
 
 
 def _similarity(spark, sf, block_bytes=BLOCK_BYTES):
@@ -234,11 +234,8 @@ def clone_attack(spark, sf):
 
 @query("strategy_grid")
 def strategy_grid(spark, sf):
-    s = summaries(spark, sf).persist()
-    c = s.select("pool_id", G.centroid().alias("centroid"))
-    out = S.compare_strategies(spark, s, c, domains(spark, sf), [3, 5], [1, 2, 3])
-    s.unpersist()
-    return out
+    with G.held(summaries(spark, sf)) as s:
+        return S.compare_strategies(spark, s, s.select("pool_id", G.centroid().alias("centroid")), domains(spark, sf), [3, 5], [1, 2, 3])
 
 
 @query("strategy_targets")
@@ -264,10 +261,8 @@ def strategy_targets(spark, sf):
 
 def _hybrid(spark, sf, choose):
     """The choice of a hybrid strategy over summaries and the centroids that they hold."""
-    s = summaries(spark, sf).persist()
-    names = choose(S.Pools(s), s.select("pool_id", G.centroid().alias("centroid")))
-    s.unpersist()
-    return names_frame(spark, names)
+    with G.held(summaries(spark, sf)) as s:
+        return names_frame(spark, choose(S.Pools(s), s.select("pool_id", G.centroid().alias("centroid"))))
 
 
 # ---- evaluators ------------------------------------------------------------------------------

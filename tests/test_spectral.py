@@ -289,7 +289,7 @@ def test_summaries_are_read_once(spark, sf):
     assert seen.value == total
 
 
-@pytest.mark.parametrize("name", ["classical_mds", "target_greedy_d2"])
+@pytest.mark.parametrize("name", ["classical_mds", "target_greedy_d2", "hybrid_col_dom", "hybrid_col_cen"])
 def test_summaries_are_made_by_few_tasks(spark, sf, monkeypatch, name):
     """Ten pools are decomposed once, by one task, however many partitions their sums are shuffled to."""
     from gramlake.plans import fixtures, rounds
